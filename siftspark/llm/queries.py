@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, pii
 
-QUERIES = {"op2_line_dedup": line_dedup.op2_line_dedup}
-ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL}
+QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_pii": pii.op5_pii,
+    "op7_decontamination": decontaminate.op7_decontamination,
+}
+ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op5_pii": pii.SQL,
+    "op7_decontamination": decontaminate.SQL,
+}
