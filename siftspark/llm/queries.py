@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, pii
+from . import decontaminate, line_dedup, mixing, pii
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_pii": pii.op5_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op9_mixing": mixing.op9_mixing,
 }
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op5_pii": pii.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op9_mixing": mixing.SQL,
 }
