@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, pii
+from . import decontaminate, line_dedup, mixing, pii, suffix_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_pii": pii.op5_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_mixing": mixing.op9_mixing,
