@@ -51,6 +51,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def prefix(a: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... elements, modulo 2**64."""
+    out = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(a, out=out[1:])
+    return out
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and where each row starts (one more than rows); null is empty."""
     if isinstance(column, pa.ChunkedArray):

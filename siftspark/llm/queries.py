@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, pii, suffix_dedup
+from . import decontaminate, line_dedup, mixing, ngram_join, pii, suffix_dedup
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_pii": pii.op5_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLE_SQL = {
