@@ -101,3 +101,14 @@ def sliding_min(a: np.ndarray, q: int) -> np.ndarray:
     pre = np.minimum.accumulate(full, axis=1).ravel()
     suf = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(suf[:n], pre[q - 1 : q - 1 + n])
+
+
+def pieces(offsets: np.ndarray, chunk: int, overlap: int):
+    """(rows, first byte, last byte, where each row starts, from the first byte) of about chunk bytes; long rows come in pieces that overlap."""
+    for a, b in parts(offsets, chunk):
+        begin, end = int(offsets[a]), int(offsets[b])
+        if b - a > 1 or end - begin <= chunk + overlap:
+            yield np.arange(a, b), begin, end, offsets[a:b] - begin
+        else:
+            for s in range(begin, end - overlap, chunk):
+                yield np.array([a]), s, min(s + chunk + overlap, end), np.zeros(1, np.int64)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join, pii, suffix_dedup
+from . import decontaminate, language, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_language_id": language.op4_language_id,
     "op5_pii": pii.op5_pii,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
