@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity
+from . import decontaminate, language, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
