@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from . import decontaminate, language, line_dedup, mixing, near_vectors, ngram_join, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_near_vectors": near_vectors.op1_near_vectors,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language_id": language.op4_language_id,
