@@ -17,15 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    ``spark.checkpoint.dir`` is used where the session has it; a folder of this
-    machine is made only where it is unset and no other was chosen (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of this machine only where that is unset and no other was chosen (tests)."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "siftspark-checkpoints"))
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "siftspark-checkpoints"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -41,6 +44,20 @@ def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return out.drop("_r_id", "_r_th")
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on integer keys of which few may hold most rows of the left side.
+
+    An aggregate on the right would lend the join its partitioning, and then Spark
+    can't split a hot key's partition. The complement of the keys is new to it,
+    so both sides get an exchange of their own."""
+    right = right.select(*[c for c in right.columns if c not in keys], *[F.bitwise_not(k).alias(f"_not_{k}") for k in keys])
+    on = None
+    for k in keys:
+        same = F.bitwise_not(F.col(k)) == F.col(f"_not_{k}")
+        on = same if on is None else on & same
+    return left.join(right, on).drop(*[f"_not_{k}" for k in keys])
+
+
 def crc_mod(n: int) -> Column:
     """crc32 of doc_id as text, modulo n: the folds of the classifiers."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

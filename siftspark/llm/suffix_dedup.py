@@ -18,8 +18,9 @@ corpus has one run for about eighty bytes.
    Each bucket sorts its suffixes by multikey quicksort, with strings of SYMBOL
    bytes as the characters, and compares neighbours.
 4. A token with more than HOT different runs would make a bucket too large. Its
-   suffixes are split by their whole content instead and counted by one
-   aggregation: the same answer without a bound on the token.
+   runs are cut by a longer leading token (TOKEN2 bytes) and go through steps 2
+   and 3 once more. Where that is hot, too, suffixes are split by their whole
+   content and counted by one aggregation: the same answer without a bound.
 5. What is found is merged and cut out, by document.
 
 Equality of tokens, runs and symbols is that of 64-bit hashes, of which any
@@ -42,9 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_kernel import Powers, buffers, mixed, parts, ranges, sliding_min
-from .common import checkpoint, keyed, on_key, table
+from .common import checkpoint, join_hot, keyed, on_key, table
 
-LENGTH, TOKEN, SYMBOL = 200, 40, 50
+LENGTH, TOKEN, TOKEN2, SYMBOL = 200, 40, 160, 50
 CHUNK = 1 << 20
 HOT = 256
 _MASK = np.uint64((1 << 22) - 1)
@@ -61,32 +62,57 @@ def _pieces(offsets: np.ndarray):
                 yield np.array([a]), np.array([s]), np.array([min(CHUNK + LENGTH - 1, n - s)])
 
 
+def _cut_runs(x: np.ndarray, starts: np.ndarray, counts: np.ndarray, token: int, salt: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Runs of the suffixes (counts of them from each start): segment, lo, hi (places in x), place of the token, hashes of token and content."""
+    sums = powers.sums(x)
+    n = len(x) - token + 1
+    h = mixed((sums[token:] - sums[:n]) * powers.up[:n] + np.uint64(salt))
+    least = sliding_min((h & ~_MASK) | np.arange(n, dtype=np.uint64), LENGTH - token + 1)
+    at = ranges(starts, counts)
+    place = (least[at] & _MASK).astype(np.int64)
+    seg = np.repeat(np.arange(len(starts)), counts)
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (seg[1:] != seg[:-1])]))
+    lo, hi, place, seg = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], place[new], seg[new]
+    content = powers.hashes(sums, lo, hi + LENGTH) + mixed(((hi - lo) * 4096 + place - lo).astype(np.uint64))
+    return seg, lo, hi, place, h[place], content
+
+
 def _runs(batches):
-    """Of each document (doc_id, _th, text): lo, span, off (of the token, from lo), token and content (hashes)."""
+    """Of each document (doc_id, _th, text): lo, span, token and content (hashes)."""
     powers = Powers()
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for rows, first, sizes in _pieces(offsets):
             begin = int(offsets[rows[0]] + first[0])
-            x = data[begin : begin + int(sizes.sum())]
             starts = np.cumsum(sizes) - sizes
             counts = np.maximum(sizes - LENGTH + 1, 0)
             if not counts.sum():
                 continue
-            sums = powers.sums(x)
-            n = len(x) - TOKEN + 1
-            token = mixed((sums[TOKEN:] - sums[:n]) * powers.up[:n])
-            least = sliding_min((token & ~_MASK) | np.arange(n, dtype=np.uint64), LENGTH - TOKEN + 1)
-            at = ranges(starts, counts)
-            place = (least[at] & _MASK).astype(np.int64)
-            seg = np.repeat(np.arange(len(rows)), counts)
-            new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (seg[1:] != seg[:-1])]))
-            lo, hi, place, seg = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], place[new], seg[new]
-            content = powers.hashes(sums, lo, hi + LENGTH) + mixed(((hi - lo) * 4096 + place - lo).astype(np.uint64))
+            seg, lo, hi, _, token, content = _cut_runs(data[begin : begin + int(sizes.sum())], starts, counts, TOKEN, 0, powers)
             row = pa.array(rows[seg])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(row), batch.column("_th").take(row), pa.array((lo - starts[seg] + first[seg]).astype(np.int64)), pa.array((hi - lo).astype(np.int16)), pa.array((place - lo).astype(np.int16)), pa.array(token[place].view(np.int64)), pa.array(content.view(np.int64))],
-                names=["doc_id", "_th", "lo", "span", "off", "token", "content"])
+                [batch.column("doc_id").take(row), batch.column("_th").take(row), pa.array((lo - starts[seg] + first[seg]).astype(np.int64)), pa.array((hi - lo).astype(np.int16)), pa.array(token.view(np.int64)), pa.array(content.view(np.int64))],
+                names=["doc_id", "_th", "lo", "span", "token", "content"])
+
+
+def _binary(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data[ranges(starts, sizes)])]).cast(pa.binary())
+
+
+def _finer(batches):
+    """Runs with bytes, cut by their longer tokens."""
+    powers = Powers()
+    for batch in batches:
+        data, offsets = buffers(batch.column("body"))
+        for a, b in parts(offsets, 1 << 19):
+            x, starts = data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
+            seg, lo, hi, _, token, content = _cut_runs(x, starts, np.diff(offsets[a : b + 1]) - LENGTH + 1, TOKEN2, 77, powers)
+            row = pa.array(seg + a)
+            first = batch.column("lo").to_numpy()[seg + a] + lo - starts[seg]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(row), batch.column("_th").take(row), pa.array(first), pa.array((hi - lo).astype(np.int16)), pa.array(token.view(np.int64)), pa.array(content.view(np.int64)), batch.column("many").take(row), _binary(x, lo, hi - lo + LENGTH)],
+                names=["doc_id", "_th", "lo", "span", "token", "content", "many", "body"])
 
 
 def _bodies(batches):
@@ -100,9 +126,7 @@ def _bodies(batches):
         for a in range(0, len(row), 20_000):
             some, r = flat.slice(a, 20_000), row[a : a + 20_000]
             lo, span = some.field("lo").to_numpy(), some.field("span").to_numpy().astype(np.int64)
-            body = data[ranges(offsets[r] + lo, span + LENGTH)]
-            ends = np.concatenate([[0], np.cumsum(span + LENGTH)]).astype(np.int64)
-            bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(ends), pa.py_buffer(body)]).cast(pa.binary())
+            bodies = _binary(data, offsets[r] + lo, span + LENGTH)
             take = pa.array(r)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("_th").take(take), some.field("lo"), some.field("span"), some.field("token"), some.field("many"), bodies], names=["doc_id", "_th", "lo", "span", "token", "many", "body"])
 
@@ -210,27 +234,48 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+_RUN = "doc_id {0}, _th long, lo long, span short, token long"
+
+
+def _alone(kinds: DataFrame) -> DataFrame:
+    """Tokens with more than one kind of run, of which one occurs once: token, hot."""
+    return kinds.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.when((F.col("n") == 1) & ~F.col("many"), 1).otherwise(0)).alias("alone")).where("k > 1 AND alone > 0").select("token", (F.col("k") > HOT).alias("hot"))
+
+
 def repeats(base: DataFrame, id_type: str) -> DataFrame:
     """doc_id, _th, s, e: byte ranges covered by repeated substrings; base has doc_id, _th and text."""
-    runs = base.mapInArrow(_runs, f"doc_id {id_type}, _th long, lo long, span short, off short, token long, content long")
+    run, found = _RUN.format(id_type), f"doc_id {id_type}, _th long, s long, e long"
+    place = F.struct("doc_id", "_th", "lo", "span")
+    whole = ["doc_id", "_th", F.col("lo").alias("s"), F.expr(f"lo + span + {LENGTH}").alias("e")]
+
+    def buckets(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("token").sortWithinPartitions("token").mapInArrow(_sorted_bucket, found)
+
+    runs = base.mapInArrow(_runs, f"{run}, content long")
     often = runs.groupBy("token").count().where("count > 1").select("token")
-    alike = checkpoint(runs.join(often, "token"))
-    kinds = alike.groupBy("token", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_th", "lo", "span")).alias("r"))
-    many = kinds.where("n > 1").select("token", "content")
-    whole = alike.join(many, ["token", "content"]).select("doc_id", "_th", F.col("lo").alias("s"), F.expr(f"lo + span + {LENGTH}").alias("e"))
-    mixed_tokens = kinds.groupBy("token").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone")).where("k > 1 AND alone > 0")
-    fetch = kinds.join(mixed_tokens, "token").select("r.*", "token", (F.col("n") > 1).alias("many"), (F.col("k") > HOT).alias("hot"))
+    alike = checkpoint(join_hot(runs, often, ["token"]))
+    kinds = alike.groupBy("token", "content").agg(F.count("*").alias("n"), F.min(place).alias("r")).withColumn("many", F.lit(False))
+    out = [join_hot(alike, kinds.where("n > 1").select("token", "content"), ["token", "content"]).select(*whole)]
+    fetch = join_hot(kinds, _alone(kinds), ["token"]).select("r.*", "token", (F.col("n") > 1).alias("many"), "hot")
 
     def fetched(hot: bool) -> DataFrame:
         want = fetch.where(F.col("hot") == F.lit(hot)).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("lo", "span", "token", "many")).alias("_want"))
-        return on_key(base, want, "inner").mapInArrow(_bodies, f"doc_id {id_type}, _th long, lo long, span short, token long, many boolean, body binary")
-
-    cold = fetched(False)
-    buckets = cold.repartitionByRange("token").sortWithinPartitions("token").mapInArrow(_sorted_bucket, f"doc_id {id_type}, _th long, s long, e long")
-    each = fetched(True).mapInArrow(_windows, f"doc_id {id_type}, _th long, lo long, many boolean, w1 long, w2 long")
+        return on_key(base, want, "inner").mapInArrow(_bodies, f"{run}, many boolean, body binary")
+
+    out.append(buckets(fetched(False)))
+    finer = checkpoint(fetched(True).mapInArrow(_finer, f"{run}, content long, many boolean, body binary"))
+    kinds = finer.groupBy("token", "content").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(place).alias("r"))
+    out.append(join_hot(finer.where("NOT many").drop("many", "body"), kinds.where("n > 1").select("token", "content"), ["token", "content"]).select(*whole))
+    first = join_hot(kinds, _alone(kinds), ["token"]).select("token", "content", F.col("many").alias("_many"), (F.col("n") > 1).alias("_more"), "r", "hot")
+    again = join_hot(finer.drop("many"), first, ["token", "content"]).where(place.eqNullSafe(F.col("r"))).select("doc_id", "_th", "lo", "span", "token", (F.col("_many") | F.col("_more")).alias("many"), "body", "hot")
+    out.append(buckets(again.where("NOT hot").drop("hot")))
+    each = again.where("hot").drop("hot").mapInArrow(_windows, f"doc_id {id_type}, _th long, lo long, many boolean, w1 long, w2 long")
     twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    hot = each.where("NOT many").join(twice, ["w1", "w2"]).select("doc_id", "_th", F.col("lo").alias("s"), F.expr(f"lo + {LENGTH}").alias("e"))
-    return whole.unionByName(buckets).unionByName(hot)
+    out.append(join_hot(each.where("NOT many"), twice, ["w1", "w2"]).select("doc_id", "_th", F.col("lo").alias("s"), F.expr(f"lo + {LENGTH}").alias("e")))
+    result = out[0]
+    for more in out[1:]:
+        result = result.unionByName(more)
+    return result
 
 
 def dedup(docs: DataFrame) -> DataFrame:
