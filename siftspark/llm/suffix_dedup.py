@@ -263,7 +263,8 @@ def repeats(base: DataFrame, id_type: str) -> DataFrame:
         return on_key(base, want, "inner").mapInArrow(_bodies, f"{run}, many boolean, body binary")
 
     out.append(buckets(fetched(False)))
-    finer = checkpoint(fetched(True).mapInArrow(_finer, f"{run}, content long, many boolean, body binary"))
+    # Three branches read this exchange, and all read that of the texts, so that each is written once.
+    finer = fetched(True).mapInArrow(_finer, f"{run}, content long, many boolean, body binary").repartition("doc_id", "_th", "lo")
     kinds = finer.groupBy("token", "content").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(place).alias("r"))
     out.append(join_hot(finer.where("NOT many").drop("many", "body"), kinds.where("n > 1").select("token", "content"), ["token", "content"]).select(*whole))
     first = join_hot(kinds, _alone(kinds), ["token"]).select("token", "content", F.col("many").alias("_many"), (F.col("n") > 1).alias("_more"), "r", "hot")
