@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .retrieval import knn
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the folder of the session or, where none is set, in one of this machine (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,13 +35,13 @@ def neighbour_edges(vectors: DataFrame, threshold: float, k: int = 5) -> DataFra
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable); nodes without edges are their own component."""
-    both = _checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _checkpoint(nodes.select("node", F.col("node").alias("comp")))
+    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpoint(nodes.select("node", F.col("node").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        after = _checkpoint(step.join(jump, "low").select("node", F.least("low", "far").alias("next"), (F.least("low", "far") != F.col("comp")).alias("moved")))
+        after = checkpoint(step.join(jump, "low").select("node", F.least("low", "far").alias("next"), (F.least("low", "far") != F.col("comp")).alias("moved")))
         labels = after.select("node", F.col("next").alias("comp"))
         if after.where("moved").isEmpty():
             return labels

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.score import age_hours, combine, recency
 from ..functions.text import index_tokens, topic_tokens
 from .lists import HIDING, latest
+from .order import number_rows
 from .retrieval import K1, B, IDF_FLOOR
 
 # The signal that counts as popularity by kind of source, and weights by mode.
@@ -97,7 +98,6 @@ def candidates(items: DataFrame, digests: DataFrame, day: Column) -> DataFrame:
 def digest(cands: DataFrame, triage: DataFrame, pop: DataFrame, now: Column, mode: str, novelty: DataFrame | None = None, topic: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
     """The day's digest: id, final, position, hidden, age_hours and the terms."""
     out = cands.join(triage.select(F.col("item_id").alias("id"), "relevance", "flags"), "id", "left").join(pop.select(F.col("item_id").alias("id"), "pop"), "id", "left")
-    age = F.expr("NULL")
     age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.coalesce("published_at", "first_seen").cast("timestamp"))) / 86400.0
     none = F.lit(None).cast("double")
     terms = {"rel": F.col("relevance") / 10.0, "pop": F.col("pop"), "rec": recency(age), "nov": none, "topic": none, "source": none}
@@ -110,4 +110,4 @@ def digest(cands: DataFrame, triage: DataFrame, pop: DataFrame, now: Column, mod
     weights = WEIGHTS[mode]
     hidden = F.coalesce(F.exists("flags", lambda f: f.isin(*HIDING)), F.lit(False))
     ranked = out.select("id", "first_seen", F.round(combine(terms, weights), 6).alias("final"), hidden.alias("hidden"), age_hours(age).alias("age_hours"), *[F.round(terms[k], 6).alias(f"t_{k}") for k in weights])
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("final"), F.desc("first_seen"), "id")))
+    return number_rows(ranked, F.desc("final"), F.desc("first_seen"), F.asc("id"))

@@ -76,8 +76,9 @@ def fuse(fts: DataFrame, vec: DataFrame, key: str, k: int) -> DataFrame:
 def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -> DataFrame:
     """query_id, chunk_id, similarity, rank: the k nearest candidates of every query.
 
-    queries has query_id and embedding (and qday), candidates chunk_id and embedding (and day); keep is
-    a condition among 'true', 'other' (another id) and 'band' (another id, at most 14 days apart).
+    queries has query_id and embedding (and qday, qgroup), candidates chunk_id and embedding (and day, group);
+    keep is a condition among 'true', 'other' (another id), 'band' (another id, at most 14 days apart) and
+    'group' (another group): what it leaves out never shrinks k.
     Queries go to the tasks in blocks of at most QUERY_BYTES, each block a pass over the candidates,
     which stay where they are; a task returns its k best for each query, and a window merges them.
     """
@@ -106,7 +107,8 @@ def _knn_block(candidates: DataFrame, rows: list, k: int, keep: str) -> DataFram
     q = np.array([r["embedding"] for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     qday = np.array([r["qday"].toordinal() for r in rows]) if keep == "band" else None
-    cols = ["chunk_id", "embedding", *(["day"] if keep == "band" else [])]
+    qgroup = np.array([r["qgroup"] for r in rows]) if keep == "group" else None
+    cols = ["chunk_id", "embedding", *{"band": ["day"], "group": ["group"]}.get(keep, [])]
 
     def run(batches):
         best_s, best_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
@@ -118,7 +120,9 @@ def _knn_block(candidates: DataFrame, rows: list, k: int, keep: str) -> DataFram
             c = batch.column("chunk_id").to_numpy()
             for a in range(0, len(c), BLOCK_ROWS):
                 s = np.round(q @ x[a : a + BLOCK_ROWS].T, 6)
-                if keep != "true":
+                if keep == "group":
+                    s[qgroup[:, None] == batch.column("group").to_numpy()[None, a : a + BLOCK_ROWS]] = -2
+                elif keep != "true":
                     s[ids[:, None] == c[None, a : a + BLOCK_ROWS]] = -2
                 if keep == "band":
                     day = batch.column("day").cast(pa.int32()).to_numpy() + 719163

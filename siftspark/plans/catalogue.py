@@ -76,7 +76,7 @@ def keyword_and_prefix(v):
 
 
 @query("""
-WITH p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pM\\pN_.\\-]+') AS t FROM documents WHERE doc_id % 1 = 0))
+WITH p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pM\\pN_.\\-]+') AS t FROM documents))
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
 def term_statistics(v):
     p = retrieval.postings(v.raw("documents"), "doc_id", F.col("text"))
@@ -150,16 +150,12 @@ def rrf_hybrid(v):
     return retrieval.top(s, 20, F.desc("score"), F.asc("doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_ALL + ", k AS (SELECT *, vec_id AS v FROM embeddings) SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s WHERE query_id % 25 = 0 AND query_id % 8 <> chunk_id % 8 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 5")
+@query(_ALL + "SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s WHERE query_id % 8 <> chunk_id % 8 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 5")
 def related_items(v):
-    """Nearest items outside the item's own cluster (here: ids equal modulo 8)."""
-    c = v.vectors.select("chunk_id", "embedding")
-    out = None
-    for m in range(8):
-        q = c.where((F.col("chunk_id") % 25 == 0) & (F.col("chunk_id") % 8 == m)).select(F.col("chunk_id").alias("query_id"), "embedding")
-        part = retrieval.knn(q, c.where(F.col("chunk_id") % 8 != m), 5)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    """Nearest items outside an item's own cluster (here: ids equal modulo 8)."""
+    c = v.vectors.select("chunk_id", "embedding", (F.col("chunk_id") % 8).alias("group"))
+    near = retrieval.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding", F.col("group").alias("qgroup")), c, 5, keep="group")
+    return near.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""
@@ -171,16 +167,15 @@ def novelty(v):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 10 = 0),
+WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings),
 s AS (SELECT q.query_id, q.label AS want, e.label, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings e WHERE e.vec_id <> q.query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s), t AS (SELECT query_id, min(rank) FILTER (WHERE label = want) AS rank FROM r WHERE rank <= 10 GROUP BY query_id)
 SELECT 'vector' AS mode, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((rank <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce((rank <= 10)::INT, 0)), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM t""")
 def retrieval_eval(v):
     """A query's target is the first neighbour with its label."""
     c = v.vectors.select("chunk_id", "embedding", "label")
-    q = c.where("chunk_id % 10 = 0")
-    near = retrieval.knn(q.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 10, keep="other")
-    both = near.join(c.select("chunk_id", "label"), "chunk_id").join(q.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("want")), "query_id")
+    near = retrieval.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 10, keep="other")
+    both = near.join(c.select("chunk_id", "label"), "chunk_id").join(c.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("want")), "query_id")
     ranks = both.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("want"), F.col("rank"))).alias("rank"))
     return retrieval.evaluate(ranks.withColumn("mode", F.lit("vector")))
 
@@ -658,7 +653,7 @@ def reply_acceptance(v):
 
 @query()
 def citation_check(v):
-    marked = F.concat(F.substring("text", 1, 200), F.lit(" [1] [2, 9] [[3]4] [p7] [note]"))
+    marked = F.concat("text", F.lit(" [1] [2, 9] [[3]4] [p7] [note]"))
     return v.raw("conversations").select("conv_id", "turn", guard.check_citations(marked, F.lit(3)).alias("c")).select("conv_id", "turn", "c.*")
 
 
