@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: df written as Parquet in the shared folder, and read again. The files go with the session.
+
+    A table carries no more than its rows. Dataset.checkpoint() keeps the plan's constraints,
+    which multiply from round to round where one checkpoint is made of another."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/checkpoint-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -37,6 +45,19 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th"), F.col("text"), *[F.col(f"`{c}`") for c in more])
 
 
+def packed(docs: DataFrame, *skip: str) -> Column:
+    """All columns but some as one struct, _row, in which their names clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in skip]).alias("_row")
+
+
+def unpacked(docs: DataFrame, *skip: str) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in skip]
+
+
+def text_hash() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th")
+
+
 def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join by document; the key of the right side goes."""
     right = right.withColumnsRenamed({"doc_id": "_r_id", "_th": "_r_th"})
@@ -64,19 +85,29 @@ def crc_mod(n: int) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, comp) for each node that has an edge.
+    """Connected components of edges (a, b): one row (node, comp) for each node that has an edge to another.
 
-    comp is the smallest node of the component. Labels travel along the edges
-    and then jump to the label of their label, so that the number of rounds
-    grows with the logarithm of the diameter. Each round is checkpointed.
+    comp is the smallest node of the component. Each round every node takes the
+    first, in a random order of that round, of its neighbours and itself as its
+    parent, and then the parent's parent's; edges between parents are the next
+    round's. What is left shrinks geometrically, whatever the diameter, and so
+    the work is that of a few passes over the edges. Rounds are checkpointed.
     """
-    both = checkpoint(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        after = checkpoint(step.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("moved")))
-        if after.where("moved").isEmpty():
-            return after.select("node", "comp")
-        labels = after.select("node", "comp")
+    left = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    maps: list[DataFrame] = []
+    while not maps or not left.isEmpty():
+        both = left.select("a", "b").union(left.select("b", "a"))
+        place = lambda c, r=len(maps): F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("n"))
+        first = both.groupBy("a").agg(F.min(place("b")).alias("m"))
+        parent = checkpoint(first.select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["n"].alias("parent")))
+        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        twice = parent.join(up, "parent").select("node", F.col("next").alias("parent"))
+        parent = checkpoint(twice.join(up, "parent").select("node", F.col("next").alias("parent")))
+        maps.append(parent)
+        ends = left.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("x")), "a").join(parent.select(F.col("node").alias("b"), F.col("parent").alias("y")), "b")
+        left = checkpoint(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        out = m.join(out.select(F.col("node").alias("parent"), F.col("parent").alias("next")), "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
+    out = checkpoint(out)
+    return out.join(out.groupBy("parent").agg(F.min("node").alias("comp")), "parent").select("node", "comp")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_kernel import Powers, buffers, mixed, parts, prefix
-from .common import checkpoint, components, keyed, on_key, table
+from .common import checkpoint, components, join_hot, keyed, on_key, packed, table, text_hash, unpacked
 
 SPARE = 3
 BLOCK = 128
@@ -281,7 +281,7 @@ def links(docs: DataFrame, described: DataFrame, size: int = 3, percent: int = 9
     base = keyed(docs)
     each = described.select("set", F.explode("sigs").alias("sig"))
     shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
-    stars = each.join(shared, "sig").where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    stars = join_hot(each, shared, ["sig"]).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
     family = components(stars).withColumnsRenamed({"node": "set", "comp": "family"})
     sizes = family.groupBy("family").agg(F.count("*").alias("members"))
     block = f"greatest({BLOCK}, least(4096, members div 24))"
@@ -311,8 +311,8 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 def dedup(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id, then of the smallest hash of its text."""
     stays = groups(docs, size, percent).where("first.doc_id <=> doc_id AND first._th = _th").select("doc_id", "_th").distinct()
-    left = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return on_key(left, stays, "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th")
+    left = docs.select("doc_id", text_hash(), packed(docs))
+    return on_key(left, stays, "left_semi").dropDuplicates(["doc_id", "_th"]).select(*unpacked(docs))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
