@@ -29,29 +29,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge, y is 1 or -1), by accelerated gradient descent."""
+    x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
     n, d = x.shape
-    w, b = np.zeros(d, np.float64), 0.0
+    w, b = np.zeros(d, np.float32), 0.0
     vw, vb, t = w.copy(), b, 1.0
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    rate = 1 / (1 / c + 2 * (1 + float((x.astype(np.float64) ** 2).sum(1).max(initial=1.0))))
+    rate = np.float32(1 / (1 / c + 2 * (1 + float((x**2).sum(1).max(initial=1.0)))))
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ vw + vb)) * weight * y
-        gw, gb = vw / c / n * 10 - 2 * (x.T @ slack), -2 * slack.sum()
+        slack = (np.maximum(0, 1 - y * (x @ vw + np.float32(vb))) * weight * y).astype(np.float32)
+        gw, gb = vw * np.float32(10 / c / n) - 2 * (x.T @ slack), -2 * float(slack.sum())
         nw, nb = vw - rate * gw, vb - rate * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        go = np.float32((t - 1) / nt)
+        vw, vb = nw + go * (nw - w), nb + float(go) * (nb - b)
         w, b, t = nw, nb, nt
-    return w, float(b)
+    return w.astype(np.float64), float(b)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression, by Newton's method where x is narrow, else by accelerated descent."""
     n, d = x.shape
     weight = np.full(n, 1 / max(n, 1)) if weight is None else weight / weight.sum()
-    xb = np.concatenate([x, np.ones((n, 1))], 1).astype(np.float64)
-    reg = np.concatenate([np.full(d, l2), [1e-6]])
-    w = np.zeros(d + 1)
     if d <= 64:
+        xb = np.concatenate([x, np.ones((n, 1))], 1).astype(np.float64)
+        reg = np.concatenate([np.full(d, l2), [1e-6]])
+        w = np.zeros(d + 1)
         for _ in range(40):
             p = sigmoid(xb @ w)
             g = xb.T @ (weight * (p - y)) + reg * w
@@ -59,11 +61,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2:
             step = np.linalg.solve(h, g)
             w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         return w[:-1], float(w[-1])
-    rate = 1 / (0.25 * float(((xb**2).sum(1) * weight).sum()) + reg.max())
-    v, t = w.copy(), 1.0
+    x = np.asarray(x, np.float32)
+    w, b = np.zeros(d, np.float32), 0.0
+    vw, vb, t = w, b, 1.0
+    rate = np.float32(1 / (0.25 * float((((x**2).sum(1) + 1) * weight).sum()) + l2))
     for _ in range(steps):
-        nw = v - rate * (xb.T @ (weight * (sigmoid(xb @ v) - y)) + reg * v)
+        miss = (weight * (sigmoid(x @ vw + vb) - y)).astype(np.float32)
+        nw, nb = vw - rate * (x.T @ miss + np.float32(l2) * vw), vb - float(rate) * float(miss.sum())
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v = nw + (t - 1) / nt * (nw - w)
-        w, t = nw, nt
-    return w[:-1], float(w[-1])
+        go = np.float32((t - 1) / nt)
+        vw, vb = nw + go * (nw - w), nb + float(go) * (nb - b)
+        w, b, t = nw, nb, nt
+    return w.astype(np.float64), float(b)

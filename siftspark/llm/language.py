@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytes_kernel import buffers, pieces
-from .common import crc_mod, table
+from .common import crc_mod, packed, table, unpacked
 from .fit import linear_svm, sample, sigmoid
 
 DIMENSIONS = 2048
@@ -129,26 +130,19 @@ def train(docs: DataFrame, each: int = EACH) -> Hierarchy | None:
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
-    """docs with lang_pred and score."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            lettered = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
-            lang, score = np.full(len(lettered), "und", object), np.zeros(len(lettered))
-            for a in range(0, len(lettered), 512):
-                b = min(a + 512, len(lettered))
-                if model is not None:
-                    lang[a:b], score[a:b] = model.predict(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            lang[~lettered], score[~lettered] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "_letter"] + [pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[c for c in batch.schema.names if c != "_letter"] + ["lang_pred", "score"])
-
-    ready = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letter"))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([ready.schema[c] for c in own] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return ready.mapInArrow(run, schema)
+    """docs with lang_pred and score. Only texts go to the Python workers, and only the two values come back."""
+
+    @F.arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def told(text: pa.Array) -> pa.Array:
+        lang, score = np.full(len(text), "und", object), np.zeros(len(text))
+        if model is not None:
+            for a in range(0, len(text), 256):
+                x = features(*buffers(text.slice(a, 256)))
+                lang[a : a + len(x)], score[a : a + len(x)] = model.predict(x)
+        return pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    out = docs.select(packed(docs, "lang_pred", "score"), F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)).alias("_letter"), told("text").alias("_told"))
+    return out.select(*unpacked(docs, "lang_pred", "score"), F.when(F.col("_letter"), F.col("_told.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("_letter"), F.col("_told.score")).otherwise(0.0).alias("score"))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
