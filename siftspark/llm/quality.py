@@ -40,8 +40,8 @@ SLICE = 1 << 19
 
 
 def _padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from multiples of half a chunk, with zeros between; and the half chunks that each has."""
-    halves = np.maximum(-(-sizes // (HALF * STRIDE)), 1)
+    """Texts from multiples of half a chunk, with a filter's width of zeros or more between; and the half chunks that each has."""
+    halves = -(-(sizes + WIDTH) // (HALF * STRIDE))
     first = np.cumsum(halves) - halves
     out = np.zeros(int(halves.sum()) * HALF * STRIDE + WIDTH, np.uint8)
     out[ranges(first * HALF * STRIDE, sizes)] = data[ranges(starts, sizes)]
@@ -96,6 +96,8 @@ class Network:
         conv = adds[0].take(x[: n * STRIDE : STRIDE], axis=0)
         for k in range(1, WIDTH):
             conv += adds[k].take(x[k : k + n * STRIDE : STRIDE], axis=0)
+        ends = np.cumsum(halves) * HALF - 1
+        conv[ends] = conv[ends - 1]  # the last place of a text would reach into the next one
         half = conv.reshape(-1, HALF, FILTERS).max(1)
         last = np.cumsum(halves) - 1
         both = np.maximum(half, np.concatenate([half[1:], half[-1:]]))
