@@ -309,9 +309,9 @@ def not_in_earlier_digest(v):
     return ranking.candidates(v.items, v.digests, F.lit(DAY).cast("date")).select("id")
 
 
-@query("SELECT item_id, observed_on, s.u AS upvotes, s.u7 AS upvotes7d, s.c AS comments FROM latest_signals", "latest_signals")
+@query("SELECT item_id, observed_on::VARCHAR AS observed_on, s.u AS upvotes, s.u7 AS upvotes7d, s.c AS comments FROM latest_signals", "latest_signals")
 def latest_signals(v):
-    return lists.latest(v.signals, "item_id", "observed_on")
+    return lists.latest(v.signals, "item_id", "observed_on").withColumn("observed_on", F.col("observed_on").cast("string"))
 
 
 @query("SELECT i.id, i.title FROM items i WHERE kind = 'article' AND length(summary) < 200 AND published_at IS NOT NULL ORDER BY first_seen DESC, id DESC LIMIT 40", "items")
@@ -429,9 +429,9 @@ def combine_scores_likes(v):
 
 # Spending
 
-@query("SELECT day, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(cost_usd), 6) AS cost_usd, count(*) AS calls FROM usage GROUP BY day", "usage")
+@query("SELECT day::VARCHAR AS day, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(cost_usd), 6) AS cost_usd, count(*) AS calls FROM usage GROUP BY day", "usage")
 def spend_by_day(v):
-    return v.usage.groupBy("day").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("calls"))
+    return v.usage.groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("calls"))
 
 
 @query("SELECT id, coalesce(sum(round(cost_usd, 9)::DECIMAL(18, 9)) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS allowed FROM usage", "usage")
@@ -671,10 +671,10 @@ def constraint_violations(v):
     return state.violations(v.items, {"kind": F.col("kind").isin("paper", "article"), "title": F.col("title") != "", "dates": F.coalesce("published_at", "first_seen") <= F.col("first_seen")})
 
 
-@query("SELECT day, CASE WHEN bad = 0 THEN 'ok' WHEN bad = n THEN 'failed' ELSE 'partial' END AS status, n, bad FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (WHERE action = 'hide') AS bad FROM interactions GROUP BY 1)", "interactions")
+@query("SELECT day::VARCHAR AS day, CASE WHEN bad = 0 THEN 'ok' WHEN bad = n THEN 'failed' ELSE 'partial' END AS status, n, bad FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (WHERE action = 'hide') AS bad FROM interactions GROUP BY 1)", "interactions")
 def run_status(v):
     by = v.interactions.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("action") == "hide").alias("bad"))
-    return by.select("day", F.when(F.col("bad") == 0, "ok").when(F.col("bad") == F.col("n"), "failed").otherwise("partial").alias("status"), "n", "bad")
+    return by.select(F.col("day").cast("string").alias("day"), F.when(F.col("bad") == 0, "ok").when(F.col("bad") == F.col("n"), "failed").otherwise("partial").alias("status"), "n", "bad")
 
 
 @query("SELECT s.item_id FROM item_state s WHERE s.item_id IN (SELECT id FROM items WHERE source_id NOT IN ('src0', 'src1'))", "items", "item_state")
