@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_key, table
+from .common import join_hot, on_key, packed, table, text_hash, unpacked
 
 WINDOW = 3
 
@@ -40,20 +40,22 @@ def covered(docs: DataFrame) -> DataFrame:
     windows = _windows(docs)
     here = F.struct("doc_id", "_th", "first")
     firsts = windows.groupBy("k1", "k2").agg(F.count("*").alias("_n"), F.min(here).alias("_f")).where("_n > 1")
-    later = windows.join(firsts, ["k1", "k2"]).where(~here.eqNullSafe(F.col("_f")))
+    later = join_hot(windows, firsts, ["k1", "k2"]).where(~here.eqNullSafe(F.col("_f")))
     spans = later.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "last")).alias("_s"))
     return spans.select("doc_id", "_th", F.expr("array_sort(array_distinct(flatten(transform(_s, s -> sequence(s.first, s.last)))))").alias("_cov"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, and n_lines, n_removed and n_spans (runs of removed lines)."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")]
-    left = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th"), F.split("text", "\n", -1).alias("_lines"))
+    counts = ("n_lines", "n_removed", "n_spans")
+    left = docs.select("doc_id", text_hash(), packed(docs, "text", *counts), F.split("text", "\n", -1).alias("_lines"))
     both = on_key(left, covered(docs), "left")
-    kept = "transform(array_except(sequence(0, size(_lines) - 1), _cov), i -> _lines[i])"
+    kept = "CASE WHEN _cov IS NULL THEN _lines WHEN size(_cov) = size(_lines) THEN array() ELSE transform(array_except(sequence(0, size(_lines) - 1), _cov), i -> _lines[i]) END"
+    text = F.array_join(F.expr(kept), "\n").alias("text")
+    rest = dict(zip([c for c in docs.columns if c != "text" and c not in counts], unpacked(docs, "text", *counts), strict=True))
     return both.select(
-        *[(F.expr(f"CASE WHEN _cov IS NULL THEN text WHEN size(_cov) = size(_lines) THEN '' ELSE array_join({kept}, '\n') END").alias("text") if c == "text" else F.col(f"`{c}`")) for c in own],
-        F.expr("CASE WHEN text IS NULL THEN 0L ELSE size(_lines) END").cast("long").alias("n_lines"),
+        *[text if c == "text" else rest[c] for c in docs.columns if c not in counts],
+        F.expr("CASE WHEN _lines IS NULL THEN 0L ELSE size(_lines) END").cast("long").alias("n_lines"),
         F.expr("coalesce(size(_cov), 0)").cast("long").alias("n_removed"),
         F.expr("coalesce(size(_cov) - size(array_intersect(_cov, transform(_cov, x -> x + 1))), 0)").cast("long").alias("n_spans"),
     )
