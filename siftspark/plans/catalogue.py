@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import address, score, text
-from ..operators import chunks, clusters, guard, lists, ranking, retrieval, state
+from ..operators import chunks, clusters, guard, lists, ranking, retrieval, state, steps
 from ..sources import exports, markup
 from ..streaming import incremental
 from .views import NOW, Views, now, with_views
@@ -683,6 +683,68 @@ def cascade_delete(v):
     return state.survivors(v.item_state, items, "item_id", "id").select("item_id")
 
 
+# Steps and runs
+
+@query("WITH o AS (SELECT id, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS n FROM items) SELECT id, n // 50 AS batch, n % 50 AS idx FROM o", "items")
+def triage_batches(v):
+    return steps.shuffled_batches(v.items.select("id"), 7)
+
+
+@query()
+def triage_payloads(v):
+    return steps.payloads(steps.shuffled_batches(v.items.select("id", "title", "summary"), 7))
+
+
+@query("SELECT count(*) AS attempted, count(relevance) AS triaged, count(*) - count(relevance) AS failed, count(*) FILTER (WHERE list_has_any(flags, ['promo', 'thin'])) AS hidden FROM items LEFT JOIN triage ON item_id = id", "items", "triage")
+def triage_statistics(v):
+    return steps.triage_statistics(v.items, v.triage)
+
+
+@query("SELECT day::VARCHAR AS day, count(*) AS items, count(*) FILTER (WHERE list_has_any(flags, ['promo', 'thin'])) AS hidden, count(*) FILTER (WHERE relevance IS NULL) AS without_relevance FROM digests d LEFT JOIN triage t ON t.item_id = d.item_id GROUP BY day", "digests", "triage")
+def digest_statistics(v):
+    return steps.digest_statistics(v.digests, v.triage).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT action AS kind, max(id) AS id FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY ts DESC, id DESC) AS n FROM interactions WHERE k % 4 < 2) WHERE n = 1 GROUP BY action", "interactions")
+def last_runs(v):
+    status = F.expr("CASE k % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'partial' ELSE 'failed' END")
+    runs = v.interactions.select("id", F.col("action").alias("kind"), F.col("ts").alias("started_at"), status.alias("status"))
+    return steps.last_runs(runs, ["ok", "partial"]).select("kind", "id")
+
+
+@query("SELECT health, count(*) AS n FROM (SELECT CASE WHEN f >= 3 THEN 'broken' WHEN f >= 1 THEN 'degraded' ELSE 'ok' END AS health FROM (SELECT item_id, count(*) FILTER (WHERE action = 'hide') AS f FROM interactions GROUP BY item_id)) GROUP BY health", "interactions")
+def health_counts(v):
+    by = v.interactions.groupBy("item_id").agg(F.count_if(F.col("action") == "hide").alias("f"))
+    return by.groupBy(score.health(F.col("f"), F.lit(1)).alias("health")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CASE WHEN id % 11 = 0 THEN 'retry' WHEN id % 13 = 0 THEN 'new' ELSE 'old' END AS reason FROM items WHERE (id % 13 = 0 AND id % 11 <> 0) OR (id % 11 = 0 AND id % 2 = 0) OR (id % 11 <> 0 AND id % 13 <> 0 AND id % 5 = 0)", "items")
+def extraction_due(v):
+    c = v.contents.where("item_id % 13 <> 0 OR item_id % 11 = 0").select("item_id", "status", F.expr("CASE WHEN item_id % 5 = 0 THEN 1 ELSE 2 END").alias("extractor_version"), F.when(F.col("item_id") % 2 == 0, now() - F.expr("INTERVAL 2 HOURS")).otherwise(now()).alias("fetched_at"))
+    return steps.extraction_due(v.items, c, now(), 2)
+
+
+@query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'missing' WHEN item_id % 6 = 1 THEN 'changed' ELSE 'no vector' END AS reason FROM contents WHERE status = 'ok' AND trim(body) <> '' AND (item_id % 4 = 0 OR item_id % 6 = 1 OR item_id % 10 = 3)", "contents")
+def content_due(v):
+    stored = v.contents.where("item_id % 4 <> 0").select("item_id", F.when(F.col("item_id") % 6 == 1, F.lit("x")).otherwise(F.sha1("body")).alias("hash"), (F.col("item_id") % 10 != 3).alias("has_vector"))
+    return steps.content_due(v.contents, stored, True)
+
+
+@query("""WITH p AS (SELECT event_id // 40 AS run, event_id % 40 AS pos, md5((event_id % 17)::VARCHAR) AS hash, event_id % 17 AS h FROM events), o AS (SELECT run, hash, h, min(pos) AS pos FROM p WHERE h % 3 <> 0 GROUP BY run, hash, h),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos, hash) AS n FROM o) SELECT run, pos, hash, h % 5 = 1 AS duplicate FROM k WHERE n <= 5""")
+def accepted_recipes(v):
+    h = F.col("event_id") % 17
+    p = v.raw("events").select(F.expr("event_id div 40").alias("run"), (F.col("event_id") % 40).alias("pos"), F.md5(h.cast("string")).alias("hash"), h.alias("h"))
+    known = p.select("hash", "h").distinct()
+    return steps.accepted_recipes(p, known.where("h % 3 <> 0"), known.where("h % 5 = 1"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id DESC, turn DESC) AS n FROM conversations WHERE role = 'user' ORDER BY n LIMIT 20")
+def recent_asks(v):
+    rows = v.raw("conversations").where("role = 'user'")
+    return retrieval.top(rows, 20, F.desc("conv_id"), F.desc("turn"), rank="n").select("conv_id", "turn", F.col("n").cast("long").alias("n"))
+
+
 # Extensions: forms that the engine adds, with event time and grouping sets
 
 @query("SELECT source_id, kind, count(*) AS n FROM items GROUP BY ROLLUP (source_id, kind)", "items")
