@@ -5,10 +5,11 @@ hashes is the global n-gram order. Cut into V fragments of equal range, that
 order cuts each set into V segments.
 
 Candidates. Two sets with at least 90 % in common differ in at most
-k = (|x| + |y|) / 19 shingles, which spoil k segments at most; of V = k + 1 +
-SPARE segments more than SPARE are equal. Sets with no more than SPARE empty
-segments therefore share one that isn't empty, and need to be looked up by these
-only; the others are looked up by the empty ones too. As V depends on size, sizes
+k = (|x| + |y|) / 19 shingles, which spoil k segments at most; of V = k + 1 + s
+segments more than s are equal. Sets with no more than s empty segments
+therefore share one that isn't empty, and need to be looked up by these only; the
+others are looked up by the empty ones too. s grows with V as the number of empty
+segments does, so that such sets stay as rare among long texts as among short. As V depends on size, sizes
 are cut into classes, each with the V of its largest; a set is looked up in its
 own class, and in the next one if a partner can be there. No frequency table and
 no cap is needed: a frequent shingle or line is only part of a segment.
@@ -43,7 +44,7 @@ from .common import checkpoint, components, join_hot, keyed, on_key, packed, tab
 SPARE = 3
 BLOCK = 128
 COLUMNS = 4096
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _U = np.uint64
 _C1, _C2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
@@ -137,7 +138,8 @@ def _signatures(s: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
         row = np.flatnonzero(some)
         if not len(row):
             continue
-        v = frags[cls[row]] + SPARE
+        spare = SPARE + frags[cls[row]] // 40
+        v = frags[cls[row]] + spare
         idx = np.repeat(at[row] - (np.cumsum(n[row]) - n[row]), n[row]) + np.arange(n[row].sum())
         first = np.cumsum(v) - v
         frag = ((s[idx] >> _U(32)) * np.repeat(v, n[row]).astype(np.uint64) >> _U(32)).astype(np.int64) + np.repeat(first, n[row])
@@ -151,7 +153,7 @@ def _signatures(s: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
         number = (np.arange(total) - first[of]).astype(np.uint64)
         sig = mixed(sums + mixed(number * _C1 + cls[row][of].astype(np.uint64) * _C2 + count.astype(np.uint64)))
         empty = np.bincount(of, weights=count == 0, minlength=len(row))
-        use = (count > 0) | (empty[of] > SPARE)
+        use = (count > 0) | (empty[of] > spare[of])
         sigs.append(sig[use])
         rows.append(row[of[use]])
     if not sigs:
