@@ -32,7 +32,7 @@ from .fit import linear_svm, sample, sigmoid
 
 DIMENSIONS = 2048
 EACH = 500
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 FOLDS = 5
 SCALE = 4.0
 

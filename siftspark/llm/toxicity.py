@@ -1,7 +1,9 @@
 """Toxicity by a chain of classifiers.
 
 Categories are predicted one after the other by logistic regressions over the
-words that a text holds (its letters, lower case in ASCII; presence, not count).
+words that a text holds and the heads of its words (letters, lower case in
+ASCII; the first HEADS bytes), each as whether it occurs at least once, twice
+and so on (LEVELS).
 Each later model also gets the log-odds of the categories before it; for its
 training those come from out-of-fold predictions, so that it learns how far the
 earlier models can be trusted on texts that they haven't seen. The same
@@ -11,7 +13,7 @@ predictions place the last model's cut, a score of 0.5, where F1 is best.
 are made of these: abuse in text of bad quality, abuse in good text, abuse.
 
 Learned from at most 2 * EACH labelled texts of each combination of labels,
-chosen by hash; the vocabulary are the words whose presence depends most on a
+chosen by hash; the vocabulary are the features whose presence depends most on a
 label (chi-square at least LEAST_CHI2, in at least LEAST_DOCS of the texts, at
 most VOCABULARY). The models are a few tables of numbers and go to the executors
 with the task; every text is scored whole where it lies.
@@ -28,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import Powers, buffers, parts
+from .bytes_kernel import Powers, buffers, mixed, parts
 from .common import crc_mod, table
 from .fit import logistic, sample, sigmoid
 
-EACH = 1500
+EACH = 1000
+HEADS, LEVELS = (4, 6, 8), (1, 2, 4)
 VOCABULARY = 2000
 LEAST_CHI2, LEAST_DOCS = 12.0, 4
 HELD_OUT_OF, K = 5, 5
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
 _FOLD = np.arange(256)
@@ -49,7 +52,7 @@ CATEGORIES = (("abuse_in_bad_text", "toxic = 1 AND quality = 0"), ("abuse_in_goo
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers):
-    """For runs of rows: the first row, a hash of each word, and its row counted from the first."""
+    """For runs of rows: the first row, hashes of each word and of its heads, and their rows counted from the first."""
     values = powers.values[_FOLD]
     for a, b in parts(offsets, CHUNK):
         x, starts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -61,18 +64,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers):
             edge[starts[(starts >= s) & (starts <= s + len(y))] - s] = True
             begin = np.flatnonzero(letter & (edge[:-1] | np.concatenate([[True], ~letter[:-1]])[: len(y)]))
             end = np.flatnonzero(letter & (edge[1:] | np.concatenate([~letter[1:], [True]])[: len(y)])) + 1
-            out.append(powers.hashes(powers.sums(y, values), begin, end))
-            rows.append(np.searchsorted(starts, begin + s, side="right") - 1)
+            sums, row = powers.sums(y, values), np.searchsorted(starts, begin + s, side="right") - 1
+            out.append(powers.hashes(sums, begin, end))
+            rows.append(row)
+            for k in HEADS:
+                long = end - begin > k
+                out.append(powers.hashes(sums, begin[long], begin[long] + k) + np.uint64(k))
+                rows.append(row[long])
         yield a, b, np.concatenate(out), np.concatenate(rows)
 
 
+def leveled(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of hashes that occur so often, and which hash each is of."""
+    at = [np.flatnonzero(counts >= k) for k in LEVELS]
+    return np.concatenate([mixed(h[i] + np.uint64(k)) for k, i in zip(LEVELS, at, strict=True)]), np.concatenate(at)
+
+
 def _collect(batches):
-    """The distinct words of each text, as bytes."""
+    """The distinct words and heads of each text and their counts, as bytes."""
     powers = Powers()
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for a, b, h, row in word_hashes(data, offsets, powers):
-            words = [np.unique(h[row == r]).tobytes() for r in range(b - a)]
+            order = np.argsort(row, kind="stable")
+            ends = np.cumsum(np.bincount(row, minlength=b - a))
+            words = []
+            for r in range(b - a):
+                own, n = np.unique(h[order[(ends[r - 1] if r else 0) : ends[r]]], return_counts=True)
+                words.append(own.tobytes() + np.minimum(n, max(LEVELS)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), batch.column("quality").slice(a, b - a), pa.array(words, pa.binary())], names=["toxic", "quality", "words"])
 
 
@@ -87,10 +106,13 @@ def _best_cut(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 class Chain:
     """Models of the categories in order; each has weights of words, of the log-odds before it, and a bias."""
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> None:
+    def __init__(self, sets: list[bytes], labels: np.ndarray, weight: np.ndarray) -> None:
         n = len(sets)
-        owner = np.repeat(np.arange(n), [len(s) for s in sets])
-        flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+        size = [len(s) // 9 for s in sets]
+        base = np.concatenate([np.frombuffer(s, np.uint64, k) for s, k in zip(sets, size, strict=True)]) if n else np.zeros(0, np.uint64)
+        counts = np.concatenate([np.frombuffer(s, np.uint8, offset=8 * k) for s, k in zip(sets, size, strict=True)]) if n else np.zeros(0, np.uint8)
+        flat, of = leveled(base, counts)
+        owner = np.repeat(np.arange(n), size)[of]
         words, col = np.unique(flat, return_inverse=True)
         df = np.bincount(col, minlength=len(words))
         best = np.zeros(len(words))
@@ -103,6 +125,7 @@ class Chain:
         best[(df < LEAST_DOCS) | (best < LEAST_CHI2)] = 0
         keep = np.argsort(-best, kind="stable")[:VOCABULARY]
         self.words = np.sort(words[keep[best[keep] > 0]])
+        self.base = np.unique(base[of[np.isin(flat, self.words)]])
         x = np.zeros((n, len(self.words)), np.float32)
         at = np.searchsorted(self.words, flat)
         hit = np.flatnonzero((at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == flat)) if len(self.words) else np.zeros(0, int)
@@ -128,12 +151,15 @@ class Chain:
 
     def predict(self, rows: int, h: np.ndarray, row: np.ndarray) -> np.ndarray:
         """A probability for each row and category, for words h of rows."""
-        v = len(self.words)
+        v, m = len(self.words), len(self.base)
         if v:
-            at = np.searchsorted(self.words, h)
-            hit = np.flatnonzero((at < v) & (self.words[np.minimum(at, v - 1)] == h))
-            own = np.unique(row[hit] * v + at[hit])
-            r, c = own // v, own % v
+            at = np.searchsorted(self.base, h)
+            hit = np.flatnonzero(self.base[np.minimum(at, m - 1)] == h)
+            own, n = np.unique(row[hit] * m + at[hit], return_counts=True)
+            f, of = leveled(self.base[own % m], n)
+            at = np.searchsorted(self.words, f)
+            hit = np.flatnonzero(self.words[np.minimum(at, v - 1)] == f)
+            r, c = own[of[hit]] // m, at[hit]
         else:
             r = c = np.zeros(0, int)
         odds = np.zeros((rows, 0))
@@ -156,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Chain:
     for k, n in counts.items():
         if (kind == k).any():
             weight[kind == k] = n / (kind == k).sum()
-    return Chain([np.frombuffer(bytes(r["words"]), np.uint64) for r in rows], made, weight)
+    return Chain([bytes(r["words"]) for r in rows], made, weight)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
