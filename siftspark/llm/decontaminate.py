@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, on_key, table
+from .common import checkpoint, on_key, packed, table, text_hash, unpacked
 
 WINDOW = 10
 TERMS_AT_ONCE = 20_000
@@ -114,8 +114,8 @@ def summarize(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; all columns as they were."""
     bad = summarize(matches(docs, bench)).where("n_hit > 0").select("doc_id", "_th")
-    left = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return on_key(left, bad, "left_anti").drop("_th")
+    left = docs.select("doc_id", text_hash(), packed(docs))
+    return on_key(left, bad, "left_anti").select(*unpacked(docs))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ from .bytes_kernel import Powers, buffers, mixed, parts, ranges, sliding_min
 from .common import checkpoint, join_hot, keyed, on_key, table
 
 LENGTH, TOKEN, TOKEN2, SYMBOL = 200, 40, 160, 50
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 HOT = 256
 _MASK = np.uint64((1 << 22) - 1)
 
