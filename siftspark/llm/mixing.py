@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, packed, table, text_hash, unpacked
 
 MAX_SOURCES = 100_000
 BLOCK_DOCS = 1000
@@ -79,14 +79,13 @@ def plan(counts: DataFrame, entropy: float | None, repeats: float | None, budget
     return out
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4.0, budget: int | None = None, seed: int = 0, source: str = "source") -> DataFrame:
-    """docs in the mix, a row for each time a document is taken, with n_tokens, weight, epoch (from 0), block and place.
+def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4.0, budget: int | None = None, seed: int = 0, source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns to keep) in the mix, a row for each time a document is taken, with n_tokens, weight, epoch (from 0), block and place.
 
     Sorting by epoch, block and place gives the permutation; place is the
     document's rank within its block and pass."""
-    spark, own = docs.sparkSession, [c for c in docs.columns if c not in ("n_tokens", "weight", "epoch", "block", "place")]
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    counted = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.expr(r"regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+')").cast("long").alias("n_tokens"), key.alias("_th")).where("n_tokens > 0")
+    spark, own = docs.sparkSession, docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in ("n_tokens", "weight", "epoch", "block", "place")])
+    counted = docs.select("doc_id", packed(own), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.expr(r"regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+')").cast("long").alias("n_tokens"), text_hash()).where("n_tokens > 0")
     counts = counted.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     made = plan(counts, entropy, repeats, budget)
     schema = "_source string, weight double, _passes long, _part long, _blocks long"
@@ -107,12 +106,11 @@ def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4
     placed = placed.withColumn("place", F.rank().over(within).cast("long") - 1).withColumn("_sum", F.sum("n_tokens").over(within))
     taken = F.col("_passes") + F.when(F.col("_sum") <= F.col("_room"), 1).otherwise(0)
     times = placed.withColumn("_times", taken).where("_times > 0")
-    return times.select(*[F.col(f"`{c}`") for c in own], "n_tokens", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch"), "block", "place")
+    return times.select(*unpacked(own), "n_tokens", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch"), "block", "place")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place")
+    return mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "place")
 
 
 SQL = r"""

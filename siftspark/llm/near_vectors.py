@@ -273,12 +273,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     want = k * SAMPLE_EACH
     chosen = good.where(draw < int(min(1.0, 1.3 * want / max(n, 1)) * (1 << 30))).orderBy(draw, "vec_id").limit(want)
-    seed = np.array([r["v"] for r in chosen.select("v").collect()], np.float64)
+    seed = _matrix(chosen.select("v").toArrow().column("v"))
     if not len(seed):
         found = spark.createDataFrame([], "vec_id long, n_links long, other long, edge boolean")
     else:
-        seed /= np.abs(seed).max(1, keepdims=True)
-        seed /= np.linalg.norm(seed, axis=1, keepdims=True)
         placed = good.mapInArrow(_assign(centroids(seed, k)), "vec_id long, x binary, home long, second long")
         placed = checkpoint(placed.withColumn("shard", F.explode(F.array_distinct(F.array("home", "second")))))
         parts = placed.repartition("shard").sortWithinPartitions("shard")
