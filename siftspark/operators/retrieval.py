@@ -30,9 +30,19 @@ def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str] | Non
     if terms is None:
         each = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
         return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    def any_term(t: Column) -> Column:
+        if not prefix:
+            return t.isin(*terms)
+        found = F.lit(False)
+        for w in terms:
+            found |= F.startswith(t, F.lit(w))
+        return found
+
     def count(w: str) -> Column:
-        return F.size(F.filter("t", lambda t: F.startswith(t, F.lit(w)) if prefix else t == w))
+        return F.size(F.filter("h", lambda t: F.startswith(t, F.lit(w)) if prefix else t == w))
 
+    # The few tokens that matter are picked once, and only they are counted term by term.
+    tokens = tokens.select(key, "t", F.filter("t", any_term).alias("h"))
     counts = F.array(*[F.struct(F.lit(w).alias("term"), count(w).alias("tf")) for w in terms])
     # One pass over the tokens, one row for each document and query term: nothing else is shuffled.
     return tokens.select(key, F.size("t").alias("length"), F.inline(counts))

@@ -33,7 +33,10 @@ class Views:
     path: str
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A table. Texts in fewer pieces than there are cores (a small file can be a single row group) are dealt out first; larger tables never are."""
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def items(self) -> DataFrame:
