@@ -1,19 +1,23 @@
 """Near-duplicate vectors on a robust-pruned flat graph.
 
-1. Centroids, one for about SHARD vectors (MAX_CENTROIDS at most), are fitted by
-   spherical k-means on a sample of at most SAMPLE_EACH vectors for each,
-   chosen by hash. Every vector goes to the shards of its two nearest centroids.
+1. TABLES sets of centroids, one for about SHARD vectors (MAX_CENTROIDS at most),
+   are fitted by spherical k-means on a sample of at most SAMPLE_EACH vectors for
+   each, chosen by hash. Every vector goes to the shards of its two nearest
+   centroids of each set; near vectors that share no shard of one set mostly
+   share one of another.
 2. In each shard a graph is built: of the nearest CANDIDATES, robust pruning
    keeps DEGREE neighbours that no other kept one is closer to (by ALPHA); edges
    count both ways, and a few random ones are added.
 3. A vector's adjacency lists from its shards are united.
 4. In each shard, all its vectors are searched for in the united graph: greedily
    with a beam, from the shard's medoids and the vector's own node, and then,
-   range-expanding, through every node within the threshold less SLACK.
-5. Every link is verified by its cosine in double precision. A vector's links
-   are counted where it meets a neighbour first, in its nearest shard or else in
-   the second, so no pair is counted twice and none has to be written; for the
-   components each shard returns a spanning forest.
+   range-expanding, through every node within the threshold less SLACK. Each
+   shard returns a spanning forest of the pairs within that, in single precision.
+5. The components of all shards' forests are families. They reach over any number
+   of shards, as every vector is in several. A family is cut into blocks; for each
+   pair of blocks all cosines are taken in double precision, the links counted,
+   and a spanning forest of the links returned. So all links within a family
+   count, whether or not their ends share a shard, and no pair is written.
 
 audit() measures recall by brute force, for a bounded number of queries in
 blocks against all rows.
@@ -34,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table
 
-SHARD, MAX_CENTROIDS, SAMPLE_EACH = 500, 16384, 8
+SHARD, MAX_CENTROIDS, SAMPLE_EACH, TABLES = 500, 16384, 8, 2
 CANDIDATES, DEGREE, RANDOM, ALPHA = 48, 16, 2, 1.2
 MEDOIDS, BEAM, SLACK, PAIRS = 8, 12, 0.05, 100_000
+BLOCK, STEP, ROWS = 128, 256, 50_000
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -71,20 +76,25 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 11) -> np.ndar
     return c
 
 
-def _assign(c: np.ndarray):
+def _assign(tables: list[np.ndarray]):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("v"))
-            out = []
-            for a in range(0, len(x), 1024):
-                s = x[a : a + 1024] @ c.T
-                home = s.argmax(1)
-                s[np.arange(len(s)), home] = -2
-                out.append(np.stack([home, s.argmax(1) if len(c) > 1 else home], 1))
-            both = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["vec_id", "x", "home", "second"])
+            near, before = [], 0
+            for c in tables:
+                out = []
+                for a in range(0, len(x), 1024):
+                    s = x[a : a + 1024] @ c.T
+                    home = s.argmax(1)
+                    s[np.arange(len(s)), home] = -2
+                    out.append(np.stack([home, s.argmax(1) if len(c) > 1 else home], 1))
+                near.append(np.concatenate(out) + before)
+                before += len(c)
+            near = np.concatenate(near, 1)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], names=["vec_id", "x", "shards"])
 
     return run
 
@@ -117,31 +127,32 @@ def _prune(x: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([kept, r.integers(0, n, (n, RANDOM))], 1)
 
 
-def _shards(batches, columns, solve):
-    """Runs solve on the rows of each shard; batches come sorted by shard."""
+def _units(batches, keys, solve):
+    """Runs solve on the rows of each key; batches come sorted by the keys."""
     held, now = [], None
     for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        cols = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1).tolist(), len(cols)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if shard[a] != now and held:
+            key = tuple(cols[a].tolist())
+            if key != now and held:
                 yield from solve(now, pa.Table.from_batches(held))
                 held = []
-            now = shard[a]
+            now = key
             held.append(batch.slice(a, b - a))
     if held:
         yield from solve(now, pa.Table.from_batches(held))
 
 
 def _vectors(t) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(t.num_rows, -1)
+    return np.frombuffer(b"".join(t.column("x").to_pylist()), np.float32).reshape(t.num_rows, -1)
 
 
 def _build(batches):
-    def solve(shard, t):
-        ids, near = t.column("vec_id").to_numpy(), _prune(_vectors(t), int(shard))
+    def solve(key, t):
+        ids, near = t.column("vec_id").to_numpy(), _prune(_vectors(t), key[0])
         u, v = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
         u, v = u[v >= 0], v[v >= 0]
         both = np.unique(np.concatenate([np.stack([u, v], 1), np.stack([v, u], 1)]), axis=0)
@@ -149,13 +160,12 @@ def _build(batches):
         ends = np.concatenate([[0], np.cumsum(np.bincount(both[:, 0], minlength=len(ids)))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[both[:, 1]]))], names=["vec_id", "near"])
 
-    yield from _shards(batches, None, solve)
+    yield from _units(batches, ["shard"], solve)
 
 
 def _search(threshold: float):
-    def solve(shard, t):
+    def solve(key, t):
         ids, x = t.column("vec_id").to_numpy(), _vectors(t)
-        home, second = t.column("home").to_numpy(), t.column("second").to_numpy()
         n = len(ids)
         order = np.argsort(ids)
         near = t.column("near").combine_chunks()
@@ -171,20 +181,51 @@ def _search(threshold: float):
         while len(starts) < min(MEDOIDS, n):
             starts.append(int(most.argmin()))
             most = np.maximum(most, x @ x[starts[-1]])
-        counts, links = np.zeros(n, np.int64), []
+        wide = []
         step = max(1, min(n, 2_000_000 // max(n, 1) + 1))
         for a in range(0, n, step):
             queries = np.arange(a, min(a + step, n))
-            q, v = _range_search(x, queries, starts, to, first, degree, threshold)
-            counts_here = (home[q] == shard) | ((home[v] != home[q]) & (second[v] != home[q]))
-            counts += np.bincount(q[counts_here], minlength=n)
-            links.append(_forest(n, q, v))
-        u, v = (np.concatenate(z) for z in zip(*links, strict=True))
-        final = _forest(n, u, v)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool))], names=["vec_id", "n_links", "other", "edge"])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[final[0]]), pa.array(np.zeros(len(final[0]), np.int64)), pa.array(ids[final[1]]), pa.array(np.ones(len(final[0]), bool))], names=["vec_id", "n_links", "other", "edge"])
+            wide.append(_forest(n, *_range_search(x, queries, starts, to, first, degree, threshold)))
+        final = _forest(n, *(np.concatenate(z) for z in zip(*wide, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[final[0]]), pa.array(ids[final[1]])], names=["a", "b"])
+
+    return lambda batches: _units(batches, ["shard"], solve)
+
+
+def _count(threshold: float):
+    """Links of each vector within its family, and a spanning forest of them."""
+
+    def solve(key, t):
+        ids, x, own = t.column("vec_id").to_numpy(), _matrix(t.column("v")), t.column("own").to_numpy()
+        n, (_, i, j) = len(ids), key
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        counts, links = np.zeros(n, np.int64), [(np.zeros(0, np.int64),) * 2]
+        for a in range(0, len(left), STEP):
+            part = left[a : a + STEP]
+            link = x[part] @ x[right].T >= threshold
+            if i == j:
+                link[np.arange(len(part)), np.arange(a, a + len(part))] = False
+            else:
+                counts[right] += link.sum(0)
+            counts[part] += link.sum(1)
+            u, v = np.nonzero(link)
+            links.append(_forest(n, part[u], right[v]))
+        u, v = _forest(n, *(np.concatenate(z) for z in zip(*links, strict=True)))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[u]])), pa.array(np.concatenate([counts[some], np.zeros(len(u), np.int64)])), pa.array(np.concatenate([ids[some], ids[v]]))], names=["vec_id", "n_links", "other"])
 
-    return lambda batches: _shards(batches, None, solve)
+    def run(batches):
+        held, rows = [], 0
+        for out in _units(batches, ["family", "i", "j"], solve):
+            held.append(out)
+            rows += out.num_rows
+            if rows > ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
 def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +245,7 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _range_search(x, queries, starts, to, first, degree, threshold):
-    """Pairs (query, neighbour) of at least the threshold, found from the starts and each query's own node."""
+    """Pairs (query, neighbour) of at least the threshold less SLACK, found from the starts and each query's own node."""
     n, m = len(x), len(queries)
     seen = np.zeros((m, n), bool)
     seen[np.arange(m), queries] = True
@@ -254,10 +295,9 @@ def _range_search(x, queries, starts, to, first, degree, threshold):
     q, v, s = np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
     out_q, out_v = [], []
     while len(q):  # range-expanding
-        linked = (s >= threshold) & (v != queries[q])
-        out_q.append(queries[q[linked]])
-        out_v.append(v[linked])
         wide = s >= threshold - SLACK
+        out_q.append(queries[q[wide]])
+        out_v.append(v[wide])
         q, v = spread(q[wide], v[wide])
         s = sims(q, v)
     return (np.concatenate(out_q), np.concatenate(out_v)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -275,17 +315,24 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     chosen = good.where(draw < int(min(1.0, 1.3 * want / max(n, 1)) * (1 << 30))).orderBy(draw, "vec_id").limit(want)
     seed = _matrix(chosen.select("v").toArrow().column("v"))
     if not len(seed):
-        found = spark.createDataFrame([], "vec_id long, n_links long, other long, edge boolean")
+        found = spark.createDataFrame([], "vec_id long, n_links long, other long")
     else:
-        placed = good.mapInArrow(_assign(centroids(seed, k)), "vec_id long, x binary, home long, second long")
-        placed = checkpoint(placed.withColumn("shard", F.explode(F.array_distinct(F.array("home", "second")))))
-        parts = placed.repartition("shard").sortWithinPartitions("shard")
-        lists = parts.select("shard", "vec_id", "x").mapInArrow(_build, "vec_id long, near array<long>")
+        tables = [centroids(seed, k, seed=11 + t) for t in range(TABLES if k > 1 else 1)]
+        placed = checkpoint(good.mapInArrow(_assign(tables), "vec_id long, x binary, shards array<long>"))
+        shard = F.explode(F.array_distinct("shards")).alias("shard")
+        parts = placed.select("vec_id", "x", shard).repartition("shard").sortWithinPartitions("shard")
+        lists = parts.mapInArrow(_build, "vec_id long, near array<long>")
         united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        ready = placed.join(united, "vec_id").repartition("shard").sortWithinPartitions("shard")
-        found = checkpoint(ready.mapInArrow(_search(threshold), "vec_id long, n_links long, other long, edge boolean"))
-    comp = components(found.where("edge").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    counts = found.where("NOT edge").groupBy(F.col("vec_id").alias("node2")).agg(F.sum("n_links").alias("n"))
+        ready = placed.join(united, "vec_id").select("vec_id", "x", "near", shard).repartition("shard").sortWithinPartitions("shard")
+        family = components(ready.mapInArrow(_search(threshold), "a long, b long")).select(F.col("node").alias("vec_id"), F.col("comp").alias("family"))
+        sizes = family.groupBy("family").agg(F.count("*").alias("members"))
+        block = f"greatest({BLOCK}, least(4096, members div 12))"
+        family = family.join(sizes, "family").withColumn("blocks", F.expr(f"int(ceil(members / {block}))"))
+        dealt = good.join(family, "vec_id").withColumn("own", F.expr("pmod(xxhash64(vec_id), blocks)")).withColumn("to", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+        dealt = dealt.select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "vec_id", "v")
+        found = checkpoint(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_count(threshold), "vec_id long, n_links long, other long"))
+    comp = components(found.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    counts = found.where("vec_id = other").groupBy(F.col("vec_id").alias("node2")).agg(F.sum("n_links").alias("n"))
     ids = rows.select("vec_id").distinct()
     out = ids.join(counts, F.col("vec_id") == F.col("node2"), "left").join(comp, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("comp", "vec_id")

@@ -114,6 +114,19 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(d.where("false")).count() == 0
 
 
+def test_near_vectors_over_shards(spark):
+    """A noisy group of more than 20 shards: its links mostly have ends that share none."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(1, 64)) / 8 + r.normal(size=(10_500, 64)) * 0.021, r.normal(size=(500, 64))]).astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = near_vectors.near_vectors(d)
+    got = {k: (n, c) for k, n, c, _ in out.collect()}
+    want = np.concatenate([(x[a : a + 1024] @ x.T >= 0.95).sum(1) - 1 for a in range(0, len(x), 1024)])
+    assert want[:10_500].min() > 9_000 and [got[i][0] for i in range(len(x))] == want.tolist()
+    assert all(got[i][1] == (0 if i < 10_500 else i) for i in range(len(x))) and near_vectors.audit(d, out) == 1.0
+
+
 def test_prune_keeps_near():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 16))
