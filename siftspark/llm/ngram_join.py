@@ -1,11 +1,14 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
+Shingles have SIZE words, and documents with at least PERCENT % in common are
+linked, unless a caller says otherwise, as op8_ngram_join does (3 words, 90 %).
+
 A document's set are the hashes of its distinct shingles; the order of the
 hashes is the global n-gram order. Cut into V fragments of equal range, that
 order cuts each set into V segments.
 
-Candidates. Two sets with at least 90 % in common differ in at most
-k = (|x| + |y|) / 19 shingles, which spoil k segments at most; of V = k + 1 + s
+Candidates. Two sets with at least p % in common differ in at most
+k = (|x| + |y|) (100 - p) / (100 + p) shingles, which spoil k segments at most; of V = k + 1 + s
 segments more than s are equal. Sets with no more than s empty segments
 therefore share one that isn't empty, and need to be looked up by these only; the
 others are looked up by the empty ones too. s grows with V as the number of empty
@@ -14,6 +17,12 @@ are cut into classes, each with the V of its largest; a set is looked up in its
 own class, and in the next one if a partner can be there. No frequency table and
 no cap is needed: a frequent shingle or line is only part of a segment.
 
+dedup() looks sets up by prefixes instead, since at lower percentages segments are
+short and many unrelated sets share one. Two sets that are linked share one of the
+first n - ceil(n p / 100) + 1 elements of each, in any global order; here the
+shingles that a sample has least often come first. The sample only moves work:
+the result is the same for any order.
+
 Families. Sets that share a segment are joined to the least of them (a star, not
 pairs); the connected components are families, outside of which there is no
 link. Equal sets are one node from the start, so copies are never paired.
@@ -21,7 +30,7 @@ link. Equal sets are one node from the start, so copies are never paired.
 Counting. A family is cut into blocks; each pair of blocks (a small family is
 one) is a task's unit. It counts the overlaps of its pairs one fragment of the
 global order after the other, sums the partial counts per pair, tests
-100 * intersection >= 90 * union in whole numbers, and returns a spanning forest
+100 * intersection >= p * union in whole numbers, and returns a spanning forest
 of the links. The components of all forests are those of all links.
 
 Defined cases: null, empty and blank texts have an empty set and no link; with
@@ -41,9 +50,11 @@ from pyspark.sql import functions as F
 from .bytes_kernel import Powers, buffers, mixed, parts, prefix
 from .common import checkpoint, components, join_hot, keyed, on_key, packed, table, text_hash, unpacked
 
+SIZE, PERCENT = 5, 80
 SPARE = 3
 BLOCK = 128
 COLUMNS = 4096
+SAMPLE, SKETCH_BITS, FEW = 20_000, 22, 8
 CHUNK = 1 << 19
 _U = np.uint64
 _C1, _C2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -161,7 +172,42 @@ def _signatures(s: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
     return np.concatenate(sigs), np.concatenate(rows)
 
 
-def _describe(size: int, percent: int):
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _prefixes(s: np.ndarray, n: np.ndarray, percent: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles to look up, and their row, of sets s of sizes n: those of the prefix in the order of often, then of the hashes."""
+    row = np.repeat(np.arange(len(n)), n)
+    s = s[np.argsort(row * 256 + often[_slots(s)], kind="stable")]
+    use = np.arange(len(s)) - (np.cumsum(n) - n)[row] < (n + (-percent * n) // 100 + 1)[row]
+    return s[use], row[use]
+
+
+def _tally(size: int):
+    def run(batches):
+        powers = Powers()
+        values = powers.values[_LOWER]
+        often = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for _, s, _ in shingle_sets(data, offsets, size, powers, values):
+                np.add.at(often, _slots(s), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(often, 255).astype(np.uint8).tobytes()], pa.binary())], names=["often"])
+
+    return run
+
+
+def _often(base: DataFrame, size: int) -> np.ndarray:
+    """How often a sample of about SAMPLE texts has the shingles of each slot, 255 at most."""
+    draw = F.pmod("_th", F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(base.count(), 1)) * (1 << 30))
+    total = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for r in base.where(draw).select("text").repartition(4).mapInArrow(_tally(size), "often binary").toLocalIterator():
+        total += np.frombuffer(r["often"], np.uint8)
+    return np.minimum(total, 255).astype(np.uint8)
+
+
+def _describe(size: int, percent: int, often: np.ndarray | None = None):
     def run(batches):
         powers = Powers()
         values = powers.values[_LOWER]
@@ -172,7 +218,7 @@ def _describe(size: int, percent: int):
                 cum = prefix(mixed(s * _C1))
                 ends = np.cumsum(n)
                 whole = mixed(cum[ends] - cum[ends - n] + n.astype(np.uint64)).view(np.int64)
-                sig, row = _signatures(s, n, percent)
+                sig, row = _signatures(s, n, percent) if often is None else _prefixes(s, n, percent, often)
                 order = np.argsort(row, kind="stable")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)), pa.array(sig[order].view(np.int64)))
                 ids = batch.column("doc_id").slice(a, rows)
@@ -271,19 +317,39 @@ def _count(percent: int):
     return run
 
 
-def describe(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, _th, set (hash of the set of shingles), n (its size), sigs (segments to look up); checkpointed."""
+def describe(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
+    """doc_id, _th, set (hash of the set of shingles), n (its size), sigs (segments, or shingles of the prefix, to look up); checkpointed."""
     base = keyed(docs)
-    out = base.mapInArrow(_describe(size, percent), f"doc_id {dict(base.dtypes)['doc_id']}, _th long, set long, n long, sigs array<long>")
+    out = base.mapInArrow(_describe(size, percent, _often(base, size) if prefix else None), f"doc_id {dict(base.dtypes)['doc_id']}, _th long, set long, n long, sigs array<long>")
     return checkpoint(out.withColumn("set", F.when(F.col("n") > 0, F.col("set")).otherwise(F.xxhash64("doc_id", F.lit("no words"), "_th"))))
 
 
-def links(docs: DataFrame, described: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+def _by_prefix(described: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all sets that can be linked.
+
+    The sets of a shingle that more than FEW rows look up are joined to the least of them. Of the others
+    pairs are made, and kept if what they share so far, and all that is beyond the prefix, could be enough:
+    a pair that shares c shingles of both prefixes shares max(|x| - prefix, |y| - prefix) more at most."""
+    each = described.select("set", "n", F.explode("sigs").alias("sig"))
+    shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sig", "low", "rows")
+    found = checkpoint(join_hot(each, shared, ["sig"]))
+    stars = found.where((F.col("rows") > FEW) & (F.col("set") != F.col("low"))).select(F.col("set").alias("a"), F.col("low").alias("b"))
+    few = found.where(F.col("rows") <= FEW).groupBy("sig").agg(F.collect_set(F.struct("set", "n")).alias("m")).select("m", F.explode("m").alias("x"))
+    pairs = few.select("x", F.explode(F.expr("filter(m, y -> y.set > x.set)")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
+    rest = f"greatest(({percent} * x.n + 99) div 100, ({percent} * y.n + 99) div 100) - 1"
+    able = pairs.where(f"{100 + percent} * (c + {rest}) >= {percent} * (x.n + y.n) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    return stars.union(able.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))).distinct()
+
+
+def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
     """Edges (a, b) between sets whose components are those of all links."""
     base = keyed(docs)
     each = described.select("set", F.explode("sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
-    stars = join_hot(each, shared, ["sig"]).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
+    if prefix:
+        stars = _by_prefix(described, percent)
+    else:
+        shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
+        stars = join_hot(each, shared, ["sig"]).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
     family = components(stars).withColumnsRenamed({"node": "set", "comp": "family"})
     sizes = family.groupBy("family").agg(F.count("*").alias("members"))
     block = f"greatest({BLOCK}, least(4096, members div 24))"
@@ -298,10 +364,10 @@ def links(docs: DataFrame, described: DataFrame, size: int = 3, percent: int = 9
     return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_count(percent), "a long, b long")
 
 
-def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
     """doc_id, _th, n_shingles, component_id (smallest doc_id reachable by links) and first (the key of the document that stays)."""
-    described = describe(docs, size, percent)
-    comp = components(links(docs, described, size, percent)).withColumnRenamed("node", "set")
+    described = describe(docs, size, percent, prefix)
+    comp = components(links(docs, described, size, percent, prefix)).withColumnRenamed("node", "set")
     classes = described.groupBy("set").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_th")).alias("key"))
     linked = comp.join(classes, "set")
     lows = linked.groupBy("comp").agg(F.min("low").alias("low"), F.min("key").alias("key"))
@@ -310,18 +376,18 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     return described.select("doc_id", "_th", "set", F.col("n").alias("n_shingles")).join(of_set, "set", "left").select("doc_id", "_th", "n_shingles", "component_id", "first")
 
 
-def dedup(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id, then of the smallest hash of its text."""
-    stays = groups(docs, size, percent).where("first.doc_id <=> doc_id AND first._th = _th").select("doc_id", "_th").distinct()
+    stays = groups(docs, size, percent, prefix=True).where("first.doc_id <=> doc_id AND first._th = _th").select("doc_id", "_th").distinct()
     left = docs.select("doc_id", text_hash(), packed(docs))
     return on_key(left, stays, "left_semi").dropDuplicates(["doc_id", "_th"]).select(*unpacked(docs))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return groups(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
-def brute_force(rows: list[tuple[int, str | None]], size: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
+def brute_force(rows: list[tuple[int, str | None]], size: int = SIZE, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """n_shingles and component_id by comparing all pairs that share a shingle."""
     import re
 

@@ -41,6 +41,15 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         assert got <= quota and got >= quota - max(len(r.text.split()) for r in b.values() if r.source == s)
 
 
+def test_near_copies_from_80_percent(spark, sf):
+    """Copies of 5-word Jaccard 0.8 to 0.9, or under 0.9 at three words, go; one under 0.8 stays."""
+    w = [f"w{i}" for i in range(200)]
+    texts = [w, [f"c{i}" if i in (30, 70, 110, 150) else x for i, x in enumerate(w)], w + [f"d{i}" for i in range(30)], w + [f"e{i}" for i in range(40)], w + [f"f{i}" for i in range(55)]]
+    rows = [(i, " ".join(t), "en", "s1", 1) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, fx.SCHEMA), sf).collect()}
+    assert kept == {0, 4} == {i for i, (_, c) in ngram_join.brute_force([r[:2] for r in rows], 5, 80).items() if i == c}
+
+
 def test_odd_cases(spark, sf):
     docs = fx.documents(spark, repeat=True).withColumn("score", F.lit("clash"))
     for name, stage in corpus_pipeline.STAGES[1:4]:

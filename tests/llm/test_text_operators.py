@@ -170,6 +170,12 @@ def test_ngrams(spark):
     assert got == want and want[2011][1] == 2000
 
 
+def test_ngram_query_contract(spark, sf):
+    """op8's own values are 3 words and 90 %."""
+    want = ngram_join.brute_force([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()], 3, 90)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.op8_ngram_join(spark, sf).collect()} == want
+
+
 def test_ngram_odd_cases(spark):
     d = fx.clashing(fx.documents(spark, repeat=True))
     g = ngram_join.groups(d).collect()
