@@ -1,54 +1,69 @@
 """Vectorised work on the bytes of a batch of texts (Python workers).
 
-Hashes of substrings are polynomials modulo 2**64 over random byte values; the
-hash of any substring comes from one prefix sum, multiplied by powers of the
-odd base and of its inverse.
+Hashes are taken of 8-byte words, each mixed before anything is added, so that
+no arrangement of bytes (repeats, swaps, Thue-Morse words) makes sums cancel.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+_MULT = np.random.default_rng(20240131).integers(1, 2**62, 64, dtype=np.uint64) * _U(2) + _U(1)
+LONG_WORD = 256
 
 
-def _values() -> np.ndarray:
-    return np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-
-
-class Powers:
-    """Powers of the base and of its inverse, as far as needed so far."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits, in which every bit depends on every other."""
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-        self.values = _values()
-        self.inverse = pow(BASE, -1, 2**64)
 
-    def reach(self, n: int) -> None:
-        while len(self.up) < n + 1:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * _U(pow(BASE, k, 2**64))])
-            self.down = np.concatenate([self.down, self.down * _U(pow(self.inverse, k, 2**64))])
+def _loads(x: np.ndarray, order: str) -> np.ndarray:
+    """A view of the eight bytes at every place of x; zeros after its end."""
+    padded = np.concatenate([x, np.zeros(8, np.uint8)])
+    return np.ndarray(len(x) + 1, f"{order}u8", padded, strides=(1,))
 
-    def sums(self, x: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-        """Prefix sums of x (bytes); sums[b] - sums[a], times up[a], is the hash of x[a:b] up to mixing."""
-        self.reach(len(x))
-        out = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((self.values if values is None else values)[x] * self.down[: len(x)], out=out[1:])
-        return out
 
-    def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of x[start:end], negated start as a power: position free."""
-        return mixed((sums[end] - sums[start]) * self.up[start])
+def words_at(x: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place of x as a number that orders like them."""
+    return _loads(x, ">").astype(np.uint64)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> _U(29))
-    h = h * _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(32))
+def block_hashes(x: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Hash of the size bytes (a multiple of 8) at each place of x that has so many."""
+    n = len(x) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    words = mixed(_loads(x, "<").astype(np.uint64) + _U(salt))
+    out = np.zeros(n, np.uint64)
+    for k in range(size // 8):
+        out += words[8 * k : 8 * k + n] * _MULT[k]
+    return mixed(out)
+
+
+def string_hashes(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each x[begin:end]; strings beyond LONG_WORD bytes go through blake2b."""
+    size = end - begin
+    load = _loads(x, "<")
+    h = mixed(size.astype(np.uint64) * _MULT[0])
+    left = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = 0
+    while len(left):
+        rest = np.minimum(size[left] - at, 8)
+        word = load[begin[left] + at].astype(np.uint64)
+        word = np.where(rest < 8, word & ((_U(1) << (np.minimum(rest, 7).astype(np.uint64) * _U(8))) - _U(1)), word)
+        h[left] = mixed((h[left] ^ mixed(word + _MULT[1])) * _MULT[2])
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(x[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def prefix(a: np.ndarray) -> np.ndarray:
@@ -112,3 +127,15 @@ def pieces(offsets: np.ndarray, chunk: int, overlap: int):
         else:
             for s in range(begin, end - overlap, chunk):
                 yield np.array([a]), s, min(s + chunk + overlap, end), np.zeros(1, np.int64)
+
+
+def cuts(x: np.ndarray, chunk: int, inside: np.ndarray):
+    """Pieces [a, b) of x of about chunk bytes, or more where a word (bytes for which inside holds) would be cut."""
+    a = 0
+    while a < len(x):
+        b = min(a + chunk, len(x))
+        while b < len(x) and inside[x[b - 1]] and inside[x[b]]:
+            more = np.flatnonzero(~inside[x[b : b + 4096]])
+            b = b + int(more[0]) if len(more) else min(b + 4096, len(x))
+        yield a, b
+        a = b

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import Powers, buffers, mixed, parts, prefix
+from .bytes_kernel import buffers, cuts, mixed, parts, prefix, string_hashes
 from .common import checkpoint, components, join_hot, keyed, on_key, packed, table, text_hash, unpacked
 
 SIZE, PERCENT = 5, 80
@@ -60,43 +60,29 @@ _U = np.uint64
 _C1, _C2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _words(x: np.ndarray, starts: np.ndarray, powers: Powers, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word; starts has where each row starts, and the end."""
     word = ~_SPACE[x]
     edge = np.zeros(len(x) + 1, bool)
     edge[starts] = True
     begin = np.flatnonzero(word & (edge[:-1] | np.concatenate([[True], ~word[:-1]])))
     end = np.flatnonzero(word & (edge[1:] | np.concatenate([~word[1:], [True]]))) + 1
-    h = powers.hashes(powers.sums(x, values), begin, end) + (end - begin).astype(np.uint64)
-    return h, np.searchsorted(starts, begin, side="right") - 1
+    return string_hashes(_LOWER[x], begin, end), np.searchsorted(starts, begin, side="right") - 1
 
 
-def _long_words(x: np.ndarray, powers: Powers, values: np.ndarray) -> np.ndarray:
-    """The word hashes of one long text, in pieces that end at a blank."""
-    out, a = [], 0
-    while a < len(x):
-        b = min(a + CHUNK, len(x))
-        while b < len(x) and not _SPACE[x[b - 1]]:
-            more = np.flatnonzero(_SPACE[x[b : b + 4096]])
-            b = b + int(more[0]) + 1 if len(more) else min(b + 4096, len(x))
-        out.append(_words(x[a:b], np.array([0, b - a]), powers, values)[0])
-        a = b
-    return np.concatenate(out)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, powers: Powers, values: np.ndarray):
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
     """For runs of rows: first row, sorted distinct shingles of all of them, and how many each row has."""
     for a, b in parts(offsets, CHUNK):
         x = data[offsets[a] : offsets[b]]
         if b - a == 1 and len(x) > CHUNK:
-            h = _long_words(x, powers, values)
+            h = np.concatenate([_words(x[i:j], np.array([0, j - i]))[0] for i, j in cuts(x, CHUNK, ~_SPACE)])
             row = np.zeros(len(h), np.int64)
         else:
-            h, row = _words(x, offsets[a : b + 1] - offsets[a], powers, values)
+            h, row = _words(x, offsets[a : b + 1] - offsets[a])
         n = np.bincount(row, minlength=b - a)
         s = np.zeros(len(h), np.uint64)
         rest = len(h)
@@ -186,12 +172,10 @@ def _prefixes(s: np.ndarray, n: np.ndarray, percent: int, often: np.ndarray) ->
 
 def _tally(size: int):
     def run(batches):
-        powers = Powers()
-        values = powers.values[_LOWER]
         often = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for _, s, _ in shingle_sets(data, offsets, size, powers, values):
+            for _, s, _ in shingle_sets(data, offsets, size):
                 np.add.at(often, _slots(s), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array([np.minimum(often, 255).astype(np.uint8).tobytes()], pa.binary())], names=["often"])
 
@@ -209,11 +193,9 @@ def _often(base: DataFrame, size: int) -> np.ndarray:
 
 def _describe(size: int, percent: int, often: np.ndarray | None = None):
     def run(batches):
-        powers = Powers()
-        values = powers.values[_LOWER]
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for a, s, n in shingle_sets(data, offsets, size, powers, values):
+            for a, s, n in shingle_sets(data, offsets, size):
                 rows = len(n)
                 cum = prefix(mixed(s * _C1))
                 ends = np.cumsum(n)
@@ -230,11 +212,9 @@ def _describe(size: int, percent: int, often: np.ndarray | None = None):
 
 def _fetch(size: int):
     def run(batches):
-        powers = Powers()
-        values = powers.values[_LOWER]
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for a, s, n in shingle_sets(data, offsets, size, powers, values):
+            for a, s, n in shingle_sets(data, offsets, size):
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
                 body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, len(n)) for c in ("set", "family", "blocks")] + [body], names=["set", "family", "blocks", "body"])

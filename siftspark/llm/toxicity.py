@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import Powers, buffers, mixed, parts
+from .bytes_kernel import buffers, cuts, mixed, parts, string_hashes
 from .common import crc_mod, table
 from .fit import logistic, sample, sigmoid
 
@@ -39,10 +39,10 @@ HEADS, LEVELS = (4, 6, 8), (1, 2, 4)
 VOCABULARY = 2000
 LEAST_CHI2, LEAST_DOCS = 12.0, 4
 HELD_OUT_OF, K = 5, 5
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
-_FOLD = np.arange(256)
+_FOLD = np.arange(256, dtype=np.uint8)
 for _c in range(26):
     _LETTER[ord("a") + _c] = _LETTER[ord("A") + _c] = True
     _FOLD[ord("A") + _c] = ord("a") + _c
@@ -51,25 +51,24 @@ for _c in range(26):
 CATEGORIES = (("abuse_in_bad_text", "toxic = 1 AND quality = 0"), ("abuse_in_good_text", "toxic = 1 AND quality = 1"), ("toxic", "toxic = 1"))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, powers: Powers):
+def word_hashes(data: np.ndarray, offsets: np.ndarray):
     """For runs of rows: the first row, hashes of each word and of its heads, and their rows counted from the first."""
-    values = powers.values[_FOLD]
     for a, b in parts(offsets, CHUNK):
-        x, starts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        out, rows = [], []
-        for s in range(0, max(len(x), 1), CHUNK):  # a long text in pieces; a word on the cut is two
-            y = x[s : s + CHUNK]
+        x, starts = _FOLD[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for s, e in cuts(x, CHUNK, _LETTER) if b - a == 1 else [(0, len(x))]:  # a long text in pieces, between words
+            y = x[s:e]
             letter = _LETTER[y]
             edge = np.zeros(len(y) + 1, bool)
-            edge[starts[(starts >= s) & (starts <= s + len(y))] - s] = True
+            edge[starts[(starts >= s) & (starts <= e)] - s] = True
             begin = np.flatnonzero(letter & (edge[:-1] | np.concatenate([[True], ~letter[:-1]])[: len(y)]))
             end = np.flatnonzero(letter & (edge[1:] | np.concatenate([~letter[1:], [True]])[: len(y)])) + 1
-            sums, row = powers.sums(y, values), np.searchsorted(starts, begin + s, side="right") - 1
-            out.append(powers.hashes(sums, begin, end))
+            row = np.searchsorted(starts, begin + s, side="right") - 1
+            out.append(string_hashes(y, begin, end))
             rows.append(row)
             for k in HEADS:
                 long = end - begin > k
-                out.append(powers.hashes(sums, begin[long], begin[long] + k) + np.uint64(k))
+                out.append(string_hashes(y, begin[long], begin[long] + k) + np.uint64(k))
                 rows.append(row[long])
         yield a, b, np.concatenate(out), np.concatenate(rows)
 
@@ -82,10 +81,9 @@ def leveled(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _collect(batches):
     """The distinct words and heads of each text and their counts, as bytes."""
-    powers = Powers()
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
-        for a, b, h, row in word_hashes(data, offsets, powers):
+        for a, b, h, row in word_hashes(data, offsets):
             order = np.argsort(row, kind="stable")
             ends = np.cumsum(np.bincount(row, minlength=b - a))
             words = []
@@ -190,10 +188,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c, _ in CATEGORIES]
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for a, b, h, row in word_hashes(data, offsets, powers):
+            for a, b, h, row in word_hashes(data, offsets):
                 p = chain.predict(b - a, h, row)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=["doc_id", "held_out", *names])
 

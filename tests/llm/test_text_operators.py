@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import fixtures as fx
 from pyspark.sql import functions as F
 
-from siftspark.llm import common, decontaminate, line_dedup, mixing, ngram_join, pii, queries, suffix_dedup
+from siftspark.llm import bytes_kernel, common, decontaminate, line_dedup, mixing, ngram_join, pii, queries, suffix_dedup
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -185,16 +185,37 @@ def test_ngram_odd_cases(spark):
     assert ngram_join.groups(fx.empty(spark)).count() == 0
 
 
+def thue_morse():
+    """Two different words of 1024 letters whose polynomial hashes modulo 2**64 agree for every odd base."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def sets_of(t, chunk, monkeypatch, size=3):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    x = np.frombuffer(t.encode(), np.uint8)
+    return [s.tolist() for _, s, _ in ngram_join.shingle_sets(x, np.array([0, len(x)]), size)]
+
+
 def test_ngram_long_text(monkeypatch):
-    monkeypatch.setattr(ngram_join, "CHUNK", 64)
-    from siftspark.llm.bytes_kernel import Powers
-
-    t = fx.prose(8, 400)
-    p = Powers()
-    whole = sorted(set(np.concatenate([s for _, s, _ in ngram_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 3, p, p.values[ngram_join._LOWER])]).tolist()))
-    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 21)
-    again = sorted(set(np.concatenate([s for _, s, _ in ngram_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 3, p, p.values[ngram_join._LOWER])]).tolist()))
-    assert whole == again
+    for t in (fx.prose(8, 400), "x" * 5000 + " y " + fx.prose(9, 50)):
+        assert sets_of(t, 64, monkeypatch) == sets_of(t, 1 << 21, monkeypatch)
+
+
+def test_hashes_of_structured_words(spark, monkeypatch):
+    a, b = thue_morse()
+    docs = [(1, a), (2, b), (3, f"{a} {b} {a}"), (4, f"{b} {a} {b}"), (5, a.upper())]
+    want = ngram_join.brute_force(docs)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.groups(d).collect()} == want and want[2][1] == 2 and want[5][1] == 1
+    parts = [a[:300], b[:300], "c" + a[512:812], "d" + b[512:812], a[:199]]
+    d = spark.createDataFrame(list(enumerate(parts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in suffix_dedup.dedup(d).withColumn("h", F.sha2("kept", 256)).collect()}
+    assert got == dict(enumerate(suffix_dedup.brute_force(parts)))
+    for size in (8, 9, 200, 256, 257, 1024):
+        x = np.frombuffer((a[:size] + b[:size]).encode(), np.uint8)
+        h = bytes_kernel.string_hashes(x, np.array([0, size, 0]), np.array([size, 2 * size, size]))
+        assert h[0] == h[2] != h[1]
 
 
 def test_components(spark):
