@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of this machine only where that is unset and no other was chosen (tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset and no other was chosen, a folder of this machine, if all of Spark is on it; else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "siftspark-checkpoints"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -79,6 +81,18 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*[f"_not_{k}" for k in keys])
 
 
+def released(run):
+    """A function for mapInArrow that gives Arrow's freed memory back as it ends: idle workers stay and would hold it."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def crc_mod(n: int) -> Column:
     """crc32 of doc_id as text, modulo n: the folds of the classifiers."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

@@ -1,16 +1,18 @@
 """Benchmark decontamination with a positional inverted index.
 
 Test texts are cut into windows of ten consecutive words (shorter texts are one
-window). A pass over the corpus counts how often each test term occurs; each
-window is then looked up by its rarest term only. The index holds, for every
-such term, postings (document, position) with the terms at the offsets around
-it; a posting joined with a window by the term is a match if the terms at all
-the window's other offsets agree (exact phrase), or if they all occur within a
-few words (proximity). Only DataFrame functions are used.
-
-Terms go into the scan as a set of literals, TERMS_AT_ONCE at a time; more terms
-mean more passes, with the same result. The driver holds no more than the terms
-of one pass. Postings are joined by a shuffle, whose hot terms Spark may split.
+window). One pass over the corpus counts how often each test term occurs, and one
+stores the index: for the two rarest terms of each window, postings (document,
+position) with the words around them. A window's list of the rarest term and that
+of the next, each adjusted by the term's offset in the window, are intersected;
+where both lists have a document and start, the terms at the window's other
+offsets are compared with the words kept beside the posting (exact phrase), or
+looked for within a few words of it (proximity). Only DataFrame functions are used.
+
+Index terms go into the pass as a set of literals where they are TERMS_INLINE at
+most. More are joined with the corpus' words, and each document gets its own list:
+the same result, and the number of passes doesn't depend on the benchmark. Lists
+are joined by a shuffle, whose hot terms Spark may split.
 
 Defined cases: null and wordless texts have no words, match nothing and are
 returned with zeros; rows that repeat doc_id and text are one document here and
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, on_key, packed, table, text_hash, unpacked
 
 WINDOW = 10
-TERMS_AT_ONCE = 20_000
+TERMS_INLINE = 20_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,70 +39,75 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), _GAP), lambda x: x != "")
 
 
-def _blocks(terms: DataFrame):
-    """Lists of terms of at most TERMS_AT_ONCE, in order."""
-    last = None
-    while got := [r[0] for r in (terms if last is None else terms.where(F.col("term") > last)).orderBy("term").limit(TERMS_AT_ONCE).collect()]:
-        yield got
-        if len(got) < TERMS_AT_ONCE:
-            return
-        last = got[-1]
-
-
 def windows(bench: DataFrame) -> DataFrame:
     """item_id, window (array of words), for all windows of all items."""
     w = bench.select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).where("size(w) > 0")
     return w.select("item_id", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {WINDOW}, 0)), i -> slice(w, i + 1, {WINDOW}))")).alias("window")).distinct()
 
 
+def _few(terms: DataFrame) -> list[str] | None:
+    """All terms, if they are TERMS_INLINE at most."""
+    got = [r[0] for r in terms.limit(TERMS_INLINE + 1).collect()]
+    return got if len(got) <= TERMS_INLINE else None
+
+
 def index_terms(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """The windows with their rarest term and its offset; windows with a term that the corpus lacks are left out."""
+    """The windows as w (a number), with their rarest term and the next (t1, t2) and their offsets (o1, o2); t2 is null where there is one term only.
+
+    Windows with a term that the corpus lacks are left out."""
     terms = checkpoint(wins.select(F.explode("window").alias("term")).distinct())
-    counts = None
-    for block in _blocks(terms):
-        some = docs.select(F.explode(F.filter(words(F.col("text")), lambda x: x.isin(block))).alias("term")).groupBy("term").count()
-        counts = some if counts is None else counts.union(some)
-    if counts is None:
-        counts = terms.select("term", F.lit(0).cast("long").alias("count"))
-    counts = checkpoint(counts)
-    each = wins.select("item_id", "window", F.posexplode("window").alias("off", "term")).join(counts, "term", "left")
-    return each.groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "off")).alias("r")).where("r.n > 0").select("item_id", "window", F.col("r.term").alias("term"), F.col("r.off").alias("off"))
+    some = _few(terms)
+    each = words(F.col("text")) if some is None else F.filter(words(F.col("text")), lambda x: x.isin(some))
+    counts = docs.select(F.explode(each).alias("term")).groupBy("term").count()
+    counts = checkpoint(counts if some is not None else counts.join(terms, "term", "left_semi"))
+    places = wins.select("item_id", "window", F.posexplode("window").alias("off", "term"))
+    ranked = places.join(counts, "term", "left").groupBy("item_id", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "off"))).alias("r"))
+    ranked = ranked.where("r[0].n > 0").select("item_id", "window", F.col("r")[0].alias("a"), F.expr("filter(r, x -> x.term <> r[0].term)[0]").alias("b"))
+    return ranked.select(F.xxhash64("item_id", "window").alias("w"), "item_id", "window", F.col("a.term").alias("t1"), F.col("a.off").alias("o1"), F.col("b.term").alias("t2"), F.col("b.off").alias("o2"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> DataFrame:
     """The index: doc_id, _th, n_words and, for each place of a term, term, pos, ctx (the words around) and lead (how many of them stand before).
 
-    Documents without such a term have one row with a term that is no word."""
-    base = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_th"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    out = None
-    for block in _blocks(terms) if terms is not None else ():
-        place = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("term"))), lambda p: p["term"].isin(block))
-        hits = base.select("doc_id", "_th", F.size("w").alias("n_words"), "w", place.alias("p"))
-        hits = hits.select("doc_id", "_th", "n_words", F.expr(f"transform(p, x -> struct(x.pos AS pos, x.term AS term, slice(w, greatest(x.pos - {around}, 0) + 1, least(x.pos, {around}) + 1 + {around}) AS ctx, least(x.pos, {around}) AS lead))").alias("p"))
-        some = hits.select("doc_id", "_th", "n_words", F.inline_outer("p")).withColumn("term", F.coalesce("term", F.concat(F.lit("\x00"), F.col("_th"))))
-        out = some if out is None else out.union(some)
-    if out is None:
-        out = base.select("doc_id", "_th", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("pos"), F.concat(F.lit("\x00"), F.col("_th")).alias("term"), F.array().cast("array<string>").alias("ctx"), F.lit(0).alias("lead"))
-    return out
+    Every document has one row more, with pos -1 and no term."""
+    base = docs.select("doc_id", text_hash(), words(F.coalesce("text", F.lit(""))).alias("w"))
+    some = _few(terms)
+    if some is None:
+        held = base.select("doc_id", "_th", F.explode(F.array_distinct("w")).alias("term")).join(terms, "term")
+        base = on_key(base, held.groupBy("doc_id", "_th").agg(F.collect_set("term").alias("_t")), "left")
+        wanted = lambda p: F.array_contains("_t", p["term"])
+    else:
+        wanted = lambda p: p["term"].isin(some)
+    place = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("term"))), wanted)
+    hits = base.select("doc_id", "_th", F.size("w").alias("n_words"), "w", F.coalesce(place, F.expr("cast(array() AS array<struct<pos: int, term: string>>)")).alias("p"))
+    rows = f"""concat(array(struct(-1 AS pos, cast(NULL AS string) AS term, cast(NULL AS array<string>) AS ctx, 0 AS lead)),
+        transform(p, x -> struct(x.pos AS pos, x.term AS term, slice(w, greatest(x.pos - {around}, 0) + 1, least(x.pos, {around}) + 1 + {around}) AS ctx, least(x.pos, {around}) AS lead)))"""
+    return hits.select("doc_id", "_th", "n_words", F.expr(rows).alias("p")).select("doc_id", "_th", "n_words", F.inline("p"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataFrame:
-    """One row for each document and match, or one with null item_id: doc_id, _th, n_words, item_id, start, len.
+    """One row for each document, with null item_id, and one for each match: doc_id, _th, n_words, item_id, start, len.
 
     With slop, a match is a place of the rarest term that has all terms of the
     window, in any order, among len + slop consecutive words around it; start is then the place itself and len 1."""
     near = WINDOW - 1 + (slop or 0)
     wins = checkpoint(index_terms(docs, checkpoint(windows(bench))))
-    posts = postings(docs, wins.select("term").distinct(), near)
-    both = posts.join(wins, "term", "left")
+    posts = checkpoint(postings(docs, wins.select(F.explode(F.array("t1", "t2")).alias("term")).where("term IS NOT NULL").distinct(), near))
+    each = posts.where("pos = -1").select("doc_id", "_th", "n_words", F.lit(None).cast(dict(bench.dtypes)["item_id"]).alias("item_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"))
+    lists = posts.where("pos >= 0")
+    first = lists.join(wins.withColumnRenamed("t1", "term"), "term")
     if slop is None:
-        hit = F.expr("lead >= off AND slice(ctx, lead - off + 1, size(window)) = window")
-        start, size = F.expr("pos - off"), F.expr("size(window)")
+        first = first.withColumn("start", F.expr("pos - o1")).where("start >= 0")
+        key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.col("_th").alias("_t"), F.col("w").alias("_w")]
+        second = lists.join(wins.withColumnRenamed("t2", "term"), "term").select(*key, F.expr("pos - o2").alias("_s"))
+        same = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("_d")) & (F.col("_th") == F.col("_t")) & (F.col("w") == F.col("_w")) & (F.col("start") == F.col("_s"))
+        both = first.where("t2 IS NOT NULL").join(second, same, "left_semi").unionByName(first.where("t2 IS NULL"))
+        first = both.where("slice(ctx, lead - o1 + 1, size(window)) = window")
+        start, size = F.col("start"), F.expr("size(window)")
     else:
-        hit = F.expr(f"exists(sequence(1, greatest(size(ctx) - size(window) - {slop} + 1, 1)), a -> a <= lead + 1 AND a + size(window) + {slop} > lead + 1 AND size(array_except(window, slice(ctx, a, size(window) + {slop}))) = 0)")
+        first = first.where(f"exists(sequence(1, greatest(size(ctx) - size(window) - {slop} + 1, 1)), a -> a <= lead + 1 AND a + size(window) + {slop} > lead + 1 AND size(array_except(window, slice(ctx, a, size(window) + {slop}))) = 0)")
         start, size = F.col("pos"), F.lit(1)
-    hit = F.col("window").isNotNull() & hit
-    return both.select("doc_id", "_th", "n_words", F.when(hit, F.col("item_id")).alias("item_id"), F.when(hit, start).alias("start"), F.when(hit, size).alias("len"))
+    return each.unionByName(first.select("doc_id", "_th", "n_words", "item_id", start.alias("start"), size.alias("len")))
 
 
 def summarize(found: DataFrame) -> DataFrame:

@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 _SPACE = 1 << 30
 
 
-def sample(rows: DataFrame, label: str, each: int, most_labels: int = 200) -> tuple[DataFrame, dict]:
+def sample(rows: DataFrame, label: str, each: int, most_rows: int = 20_000, most_bytes: int = 256 << 20) -> tuple[DataFrame, dict]:
     """About `each` rows of every label, chosen by a hash of doc_id and text, and the label's number of rows.
 
-    The counts cover all rows. At most most_labels labels (the most frequent) are learned."""
-    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    The counts cover all rows, and every label is learned. Where labels are many, or texts long, fewer rows
+    of each are taken: about most_rows, and about most_bytes of text, in all."""
+    spark = rows.sparkSession
+    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.avg(F.octet_length("text")).alias("size")).orderBy(label).collect()
+    counts = {r[0]: r["n"] for r in sizes}
     if not counts:
         return rows.where("false"), {}
+    each = max(1, min(each, most_rows // (2 * len(counts)), int(most_bytes / (2 * sum(r["size"] + 1 for r in sizes)))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SPACE))
-    wanted = F.lit(False)
-    for k, n in counts.items():
-        wanted |= (F.col(label) == F.lit(k)) & (draw < int(min(1.0, 1.2 * each / n) * _SPACE))
-    return rows.where(wanted).orderBy(draw, "doc_id").limit(2 * each * len(counts)), counts
+    rates = spark.createDataFrame([(k, int(min(1.0, 1.2 * each / n) * _SPACE)) for k, n in counts.items()], f"_label {dict(rows.dtypes)[label]}, _rate long")
+    wanted = rows.join(rates, F.col(label) == F.col("_label")).where(draw < F.col("_rate")).drop("_label", "_rate")
+    return wanted.orderBy(draw, "doc_id").limit(2 * each * len(counts)), counts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

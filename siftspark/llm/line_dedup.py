@@ -10,7 +10,8 @@ their ends; blank lines join no window, but go if they lie inside one that goes.
 A document of fewer than three lines that aren't blank keeps all of them. Null
 text has no lines and stays null. Rows that repeat doc_id and text are one
 document and get the same result; null ids come first. Other columns pass
-through untouched, whatever their names.
+through untouched, but for columns called n_lines, n_removed and n_spans: the
+result's take their place.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, on_key, packed, table, text_hash, unpacked
+from .common import checkpoint, join_hot, on_key, packed, table, text_hash, unpacked
 
 WINDOW = 3
 
@@ -37,7 +38,7 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, _th and the sorted positions (_cov) of the lines to remove, for documents that have some."""
-    windows = _windows(docs)
+    windows = checkpoint(_windows(docs))  # texts are split and hashed once
     here = F.struct("doc_id", "_th", "first")
     firsts = windows.groupBy("k1", "k2").agg(F.count("*").alias("_n"), F.min(here).alias("_f")).where("_n > 1")
     later = join_hot(windows, firsts, ["k1", "k2"]).where(~here.eqNullSafe(F.col("_f")))

@@ -10,12 +10,13 @@ hashed blocks and of the documents within each block; the partial pass takes
 blocks in that order while they fit and cuts the last one to the token.
 
 The driver holds one number for each source; more than MAX_SOURCES is an error.
-No task gathers more than a source's list of blocks, or one block.
+No task gathers more than one block, or a 4096th of a source's list of blocks.
 
 Defined cases: a null source is the source ''; documents without tokens (null or
 empty text) are in no mix; in a tie of hashes the smaller doc_id, then the hash
 of the text, goes first; rows that repeat doc_id and text are one document whose
-copies share a place and count each; an empty table gives an empty mix.
+copies share a place and count each; an empty table gives an empty mix; columns
+called n_tokens, weight, epoch, block and place give way to the result's.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, packed, table, text_hash, unpacked
+from .common import checkpoint, on_key, packed, table, text_hash, unpacked
 
 MAX_SOURCES = 100_000
 BLOCK_DOCS = 1000
@@ -79,14 +80,23 @@ def plan(counts: DataFrame, entropy: float | None, repeats: float | None, budget
     return out
 
 
+RESULTS = ("n_tokens", "weight", "epoch", "block", "place")
+
+
 def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4.0, budget: int | None = None, seed: int = 0, source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns to keep) in the mix, a row for each time a document is taken, with n_tokens, weight, epoch (from 0), block and place.
 
     Sorting by epoch, block and place gives the permutation; place is the
     document's rank within its block and pass."""
-    spark, own = docs.sparkSession, docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in ("n_tokens", "weight", "epoch", "block", "place")])
-    counted = docs.select("doc_id", packed(own), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("_source"), F.expr(r"regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+')").cast("long").alias("n_tokens"), text_hash()).where("n_tokens > 0")
-    counts = counted.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    spark = docs.sparkSession
+    own = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in RESULTS])
+    tokens = F.expr(r"regexp_count(coalesce(text, ''), r'[^\x20\x09-\x0D]+')").cast("long")
+    name = F.col(f"`{source}`")
+    of_source = F.coalesce(name.cast("string"), F.lit("")).alias("_source")
+    # Texts are counted once. A document is its id, text and source, however many rows it has.
+    each = docs.select("doc_id", text_hash(), of_source, name.alias("_named"), tokens.alias("n_tokens")).where("n_tokens > 0")
+    counted = checkpoint(each.groupBy("doc_id", "_th", "_source").agg(F.min("_named").alias("_named"), F.min("n_tokens").alias("n_tokens"), F.count("*").alias("_copies")))
+    counts = counted.groupBy("_source").agg(F.sum(F.col("n_tokens") * F.col("_copies")).alias("tokens"), F.sum("_copies").alias("n_docs"))
     made = plan(counts, entropy, repeats, budget)
     schema = "_source string, weight double, _passes long, _part long, _blocks long"
     plans = spark.createDataFrame([tuple(p.values()) for p in made], schema)
@@ -97,16 +107,37 @@ def mix(docs: DataFrame, entropy: float | None = 0.98, repeats: float | None = 4
 
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     dealt = counted.join(plans, "_source").withColumn("_b", F.conv(F.substring(hashed(doc), 1, 8), 16, 10).cast("long") % F.col("_blocks"))
-    sizes = dealt.groupBy("_source", "_b", "_part", "_passes").agg(F.sum("n_tokens").alias("_size"))
-    order = Window.partitionBy("_source").orderBy(hashed(F.col("_source"), F.col("_b").cast("string")), "_b")
-    blocks = checkpoint(sizes.withColumn("_before", F.sum("_size").over(order) - F.col("_size")).withColumn("block", F.row_number().over(order).cast("long") - 1))
-    blocks = blocks.select("_source", "_b", "block", (F.col("_part") - F.col("_before")).alias("_room"))
+    sizes = dealt.groupBy("_source", "_b", "_part").agg(F.sum(F.col("n_tokens") * F.col("_copies")).alias("_size"))
+    blocks = checkpoint(_in_order(sizes.withColumn("_h", hashed(F.col("_source"), F.col("_b").cast("string")))))
     placed = dealt.join(blocks, ["_source", "_b"])
     within = Window.partitionBy("_source", "_b").orderBy(hashed(F.lit("d"), doc), "doc_id", "_th")
-    placed = placed.withColumn("place", F.rank().over(within).cast("long") - 1).withColumn("_sum", F.sum("n_tokens").over(within))
+    upto = F.sum(F.col("n_tokens") * F.col("_copies")).over(within)
+    placed = placed.withColumn("place", F.sum("_copies").over(within) - F.col("_copies")).withColumn("_sum", upto)
     taken = F.col("_passes") + F.when(F.col("_sum") <= F.col("_room"), 1).otherwise(0)
     times = placed.withColumn("_times", taken).where("_times > 0")
-    return times.select(*unpacked(own), "n_tokens", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch"), "block", "place")
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch")
+    if set(own.columns) <= {"doc_id", source}:  # nothing more to read
+        copies = times.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)")))
+        return copies.select(*[F.col("_named" if c == source else c).alias(c) for c in own.columns], "n_tokens", "weight", epochs, "block", "place")
+    rows = docs.select("doc_id", text_hash(), of_source, packed(own))
+    times = times.select("doc_id", "_th", F.col("_source").alias("_of"), "n_tokens", "weight", "_times", "block", "place")
+    both = on_key(rows, times, "inner").where("_source = _of")
+    return both.select(*unpacked(own), "n_tokens", "weight", epochs, "block", "place")
+
+
+def _in_order(sizes: DataFrame) -> DataFrame:
+    """_source, _b, block (its number in the order of _h) and _room (tokens of the partial pass that are left when it begins).
+
+    The order is cut by the first digits of the hash, so that no task holds all blocks of a source."""
+    head = F.substring("_h", 1, 3).alias("_head")
+    sizes = sizes.select("_source", "_b", "_part", "_size", "_h", head)
+    first = Window.partitionBy("_source").orderBy("_head")
+    heads = sizes.groupBy("_source", "_head").agg(F.sum("_size").alias("_s"), F.count("*").alias("_n"))
+    heads = heads.select("_source", "_head", (F.sum("_s").over(first) - F.col("_s")).alias("_s0"), (F.sum("_n").over(first) - F.col("_n")).alias("_n0"))
+    order = Window.partitionBy("_source", "_head").orderBy("_h", "_b")
+    out = sizes.join(heads, ["_source", "_head"])
+    before = F.col("_s0") + F.sum("_size").over(order) - F.col("_size")
+    return out.select("_source", "_b", (F.col("_n0") + F.row_number().over(order) - 1).cast("long").alias("block"), (F.col("_part") - before).alias("_room"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Near-duplicate vectors on a robust-pruned flat graph.
 
-1. TABLES sets of centroids, one for about SHARD vectors (MAX_CENTROIDS at most),
+0. Equal vectors are one class, told apart by 128 bits of hash: the smallest vec_id
+   stands for it and counts as often as the class has members. Vectors of each
+   length are worked on by themselves.
+1. TABLES sets of centroids, one for about SHARD vectors (CENTROID_BYTES at most),
    are fitted by spherical k-means on a sample of at most SAMPLE_EACH vectors for
-   each, chosen by hash. Every vector goes to the shards of its two nearest
-   centroids of each set; near vectors that share no shard of one set mostly
-   share one of another.
+   each (SAMPLE_BYTES at most), chosen by hash. Every vector goes to the shards of
+   its two nearest centroids of each set; near vectors that share no shard of one
+   set mostly share one of another.
 2. In each shard a graph is built: of the nearest CANDIDATES, robust pruning
    keeps DEGREE neighbours that no other kept one is closer to (by ALPHA); edges
    count both ways, and a few random ones are added.
@@ -13,18 +16,20 @@
    with a beam, from the shard's medoids and the vector's own node, and then,
    range-expanding, through every node within the threshold less SLACK. Each
    shard returns a spanning forest of the pairs within that, in single precision.
-5. The components of all shards' forests are families. They reach over any number
-   of shards, as every vector is in several. A family is cut into blocks; for each
+5. The components of all shards' forests are families: what range expansion over
+   the united lists reaches, over any number of shards, as every vector is in
+   several and each shard's forest goes on where another's ends. A family is cut
+   into blocks; for each
    pair of blocks all cosines are taken in double precision, the links counted,
    and a spanning forest of the links returned. So all links within a family
    count, whether or not their ends share a shard, and no pair is written.
 
-audit() measures recall by brute force, for a bounded number of queries in
-blocks against all rows.
+audit() measures recall by brute force, for all vectors whose id is divisible by
+20, in blocks against all rows.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite
-components, or have another length than most, link with nothing, and so do
-vectors with a null id, which have no component and are kept; of rows that
+Defined cases: vectors that are null, empty, zero or hold null or non-finite
+components link with nothing, vectors of different lengths not with each other,
+and vectors with a null id with nothing: they have no component and are kept; of rows that
 repeat an id the vector with the smallest hash counts, and they give one row;
 other columns (labels too) aren't read.
 """
@@ -36,9 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, table
+from .common import checkpoint, components, join_hot, table
 
-SHARD, MAX_CENTROIDS, SAMPLE_EACH, TABLES = 500, 16384, 8, 2
+SHARD, SAMPLE_EACH, TABLES = 500, 8, 2
+SAMPLE_BYTES, CENTROID_BYTES = 128 << 20, 32 << 20
 CANDIDATES, DEGREE, RANDOM, ALPHA = 48, 16, 2, 1.2
 MEDOIDS, BEAM, SLACK, PAIRS = 8, 12, 0.05, 100_000
 BLOCK, STEP, ROWS = 128, 256, 50_000
@@ -48,9 +54,7 @@ def _valid(rows: DataFrame) -> DataFrame:
     """vec_id, v (array of doubles) of the vectors that can link."""
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = rows.where(fine).groupBy("vec_id").agg(F.min_by(v, F.xxhash64("embedding")).alias("v"))
-    top = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (top["n"] if top else 0))
+    return rows.where(fine).groupBy("vec_id").agg(F.min_by(v, F.xxhash64("embedding")).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -85,8 +89,9 @@ def _assign(tables: list[np.ndarray]):
             near, before = [], 0
             for c in tables:
                 out = []
-                for a in range(0, len(x), 1024):
-                    s = x[a : a + 1024] @ c.T
+                step = max(1, (4 << 20) // len(c))
+                for a in range(0, len(x), step):
+                    s = x[a : a + step].astype(np.float32) @ c.T
                     home = s.argmax(1)
                     s[np.arange(len(s)), home] = -2
                     out.append(np.stack([home, s.argmax(1) if len(c) > 1 else home], 1))
@@ -193,10 +198,10 @@ def _search(threshold: float):
 
 
 def _count(threshold: float):
-    """Links of each vector within its family, and a spanning forest of them."""
+    """Links of each vector within its family, copies counted, and a spanning forest of them."""
 
     def solve(key, t):
-        ids, x, own = t.column("vec_id").to_numpy(), _matrix(t.column("v")), t.column("own").to_numpy()
+        ids, x, own, copies = t.column("vec_id").to_numpy(), _matrix(t.column("v")), t.column("own").to_numpy(), t.column("copies").to_numpy()
         n, (_, i, j) = len(ids), key
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         counts, links = np.zeros(n, np.int64), [(np.zeros(0, np.int64),) * 2]
@@ -206,8 +211,8 @@ def _count(threshold: float):
             if i == j:
                 link[np.arange(len(part)), np.arange(a, a + len(part))] = False
             else:
-                counts[right] += link.sum(0)
-            counts[part] += link.sum(1)
+                counts[right] += copies[part] @ link
+            counts[part] += link @ copies[right]
             u, v = np.nonzero(link)
             links.append(_forest(n, part[u], right[v]))
         u, v = _forest(n, *(np.concatenate(z) for z in zip(*links, strict=True)))
@@ -303,61 +308,82 @@ def _range_search(x, queries, starts, to, first, degree, threshold):
     return (np.concatenate(out_q), np.concatenate(out_v)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _fitted(good: DataFrame, n: int, dims: int) -> list[np.ndarray]:
+    """Sets of centroids for n vectors, fitted on a bounded sample."""
+    k = max(1, min(CENTROID_BYTES // (4 * dims), -(-n // SHARD)))
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    want = max(2, min(k * SAMPLE_EACH, SAMPLE_BYTES // (8 * dims)))
+    chosen = good.where(draw < int(min(1.0, 1.3 * want / max(n, 1)) * (1 << 30))).orderBy(draw, "vec_id").limit(want)
+    seed = _matrix(chosen.select("v").toArrow().column("v")).astype(np.float32)
+    k = min(k, len(seed))
+    return [centroids(seed, k, seed=11 + t) for t in range(TABLES if k > 1 else 1)] if k else []
+
+
+def _linked(good: DataFrame, n: int, dims: int, threshold: float) -> DataFrame | None:
+    """vec_id, n_links, other: rows with vec_id = other count links in one pair of blocks, the others connect what links connect."""
+    tables = _fitted(good, n, dims)
+    if not tables:
+        return None
+    placed = checkpoint(good.mapInArrow(_assign(tables), "vec_id long, x binary, shards array<long>"))
+    shard = F.explode(F.array_distinct("shards")).alias("shard")
+    parts = placed.select("vec_id", "x", shard).repartition("shard").sortWithinPartitions("shard")
+    lists = parts.mapInArrow(_build, "vec_id long, near array<long>")
+    united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    ready = placed.join(united, "vec_id").select("vec_id", "x", "near", shard).repartition("shard").sortWithinPartitions("shard")
+    family = components(ready.mapInArrow(_search(threshold), "a long, b long")).select(F.col("node").alias("vec_id"), F.col("comp").alias("family"))
+    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
+    block = f"greatest({BLOCK}, least(4096, members div 12))"
+    family = join_hot(family, sizes, ["family"]).withColumn("blocks", F.expr(f"int(ceil(members / {block}))"))
+    dealt = good.join(family, "vec_id").withColumn("own", F.expr("pmod(xxhash64(vec_id), blocks)")).withColumn("to", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    dealt = dealt.select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "vec_id", "v", "copies")
+    unit = ["family", "i", "j"]
+    return checkpoint(dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_count(threshold), "vec_id long, n_links long, other long"))
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of rows (vec_id, embedding)."""
-    spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = checkpoint(_valid(rows))
-    n = good.count()
-    k = max(1, min(MAX_CENTROIDS, -(-n // SHARD)))
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    want = k * SAMPLE_EACH
-    chosen = good.where(draw < int(min(1.0, 1.3 * want / max(n, 1)) * (1 << 30))).orderBy(draw, "vec_id").limit(want)
-    seed = _matrix(chosen.select("v").toArrow().column("v"))
-    if not len(seed):
-        found = spark.createDataFrame([], "vec_id long, n_links long, other long")
-    else:
-        tables = [centroids(seed, k, seed=11 + t) for t in range(TABLES if k > 1 else 1)]
-        placed = checkpoint(good.mapInArrow(_assign(tables), "vec_id long, x binary, shards array<long>"))
-        shard = F.explode(F.array_distinct("shards")).alias("shard")
-        parts = placed.select("vec_id", "x", shard).repartition("shard").sortWithinPartitions("shard")
-        lists = parts.mapInArrow(_build, "vec_id long, near array<long>")
-        united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        ready = placed.join(united, "vec_id").select("vec_id", "x", "near", shard).repartition("shard").sortWithinPartitions("shard")
-        family = components(ready.mapInArrow(_search(threshold), "a long, b long")).select(F.col("node").alias("vec_id"), F.col("comp").alias("family"))
-        sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-        block = f"greatest({BLOCK}, least(4096, members div 12))"
-        family = family.join(sizes, "family").withColumn("blocks", F.expr(f"int(ceil(members / {block}))"))
-        dealt = good.join(family, "vec_id").withColumn("own", F.expr("pmod(xxhash64(vec_id), blocks)")).withColumn("to", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-        dealt = dealt.select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "vec_id", "v")
-        found = checkpoint(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_count(threshold), "vec_id long, n_links long, other long"))
-    comp = components(found.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    counts = found.where("vec_id = other").groupBy(F.col("vec_id").alias("node2")).agg(F.sum("n_links").alias("n"))
-    ids = rows.select("vec_id").distinct()
-    out = ids.join(counts, F.col("vec_id") == F.col("node2"), "left").join(comp, F.col("vec_id") == F.col("node"), "left")
+    good = checkpoint(_valid(rows).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v")))
+    classes = checkpoint(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.min_by("v", "vec_id").alias("v"), F.count("*").alias("copies")))
+    found = rows.sparkSession.createDataFrame([], "vec_id long, n_links long, other long")
+    for r in classes.groupBy(F.size("v").alias("dims")).count().where("count > 1").orderBy("dims").collect():
+        some = _linked(classes.where(F.size("v") == r["dims"]).select("vec_id", "v", "copies"), r["count"], r["dims"], threshold)
+        found = found if some is None else found.unionByName(some)
+    comp = components(found.where("vec_id <> other").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "of", "comp": "comp"})
+    counts = found.where("vec_id = other").groupBy(F.col("vec_id").alias("of")).agg(F.sum("n_links").alias("n"))
+    told = classes.select("h1", "h2", F.col("vec_id").alias("of"), "copies").join(counts, "of", "left").join(comp, "of", "left")
+    told = told.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "of").alias("comp"))
+    members = join_hot(good.select(F.col("vec_id").alias("member"), "h1", "h2"), told, ["h1", "h2"])
+    out = rows.select("vec_id").distinct().join(members, F.col("vec_id") == F.col("member"), "left")
     component = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def audit(rows: DataFrame, result: DataFrame, threshold: float = 0.95, every: int = 20, most: int = 2000) -> float:
-    """Share of the true links of the queries (ids divisible by `every`, `most` at most) that the counts of result hold."""
-    good = _valid(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    queries = good.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(most).collect()
-    if not queries:
-        return 1.0
-    ids = np.array([r["vec_id"] for r in queries])
-    q = np.array([r["v"] for r in queries], np.float64)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                hits = (_matrix(batch.column("v")) @ q.T >= threshold) & (batch.column("vec_id").to_numpy()[:, None] != ids[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits.sum(0))], names=["vec_id", "true_links"])
-
-    true = good.mapInArrow(run, "vec_id long, true_links long").groupBy("vec_id").agg(F.sum("true_links").alias("true_links"))
-    got = true.join(result, "vec_id").agg(F.sum("true_links").alias("t"), F.sum(F.least("true_links", "n_links")).alias("f")).first()
-    return got["f"] / got["t"] if got["t"] else 1.0
+def audit(rows: DataFrame, result: DataFrame, threshold: float = 0.95, every: int = 20, block: int = 2000) -> float:
+    """Share of the true links of the queries (all ids divisible by `every`, block after block) that the counts of result hold."""
+    good = checkpoint(_valid(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")))
+    held, true, last = 0, 0, None
+    while True:
+        wanted = good.where(F.col("vec_id") % every == 0)
+        queries = (wanted if last is None else wanted.where(F.col("vec_id") > last)).orderBy("vec_id").limit(block).collect()
+        if not queries:
+            return held / true if true else 1.0
+        last = queries[-1]["vec_id"]
+        for dims in {len(r["v"]) for r in queries}:
+            some = [r for r in queries if len(r["v"]) == dims]
+            ids = np.array([r["vec_id"] for r in some])
+            q = np.array([r["v"] for r in some], np.float64)
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+
+            def run(batches, q=q, ids=ids):
+                for batch in batches:
+                    if batch.num_rows:
+                        hits = (_matrix(batch.column("v")) @ q.T >= threshold) & (batch.column("vec_id").to_numpy()[:, None] != ids[None, :])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits.sum(0))], names=["vec_id", "true_links"])
+
+            counted = good.where(F.size("v") == dims).mapInArrow(run, "vec_id long, true_links long").groupBy("vec_id").agg(F.sum("true_links").alias("true_links"))
+            got = counted.join(result, "vec_id").agg(F.sum("true_links").alias("t"), F.sum(F.least("true_links", "n_links")).alias("f")).first()
+            held, true = held + (got["f"] or 0), true + (got["t"] or 0)
 
 
 def op1_near_vectors(spark, sf_dir: str) -> DataFrame:

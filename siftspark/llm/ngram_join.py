@@ -27,11 +27,18 @@ Families. Sets that share a segment are joined to the least of them (a star, not
 pairs); the connected components are families, outside of which there is no
 link. Equal sets are one node from the start, so copies are never paired.
 
-Counting. A family is cut into blocks; each pair of blocks (a small family is
-one) is a task's unit. It counts the overlaps of its pairs one fragment of the
-global order after the other, sums the partial counts per pair, tests
-100 * intersection >= p * union in whole numbers, and returns a spanning forest
-of the links. The components of all forests are those of all links.
+Partial overlaps. Each set of a family is paired with the star's centre that it
+shares most segments with. The sets are stored by fragment of the global order;
+a join on set and fragment gives a partial overlap for each pair and fragment,
+their sum is the pair's, and 100 * intersection >= p * union is tested in whole
+numbers. There is one pair a set, however large a family is, and in a group of
+near copies these links already connect almost all.
+
+The rest. What isn't in the largest part that its family then has is compared with
+all sets of the family, in units of a block of these by a block of all: a unit
+sums the partial overlaps of its pairs fragment by fragment, tests them, and
+returns a spanning forest of the links. The components of both are those of all
+links.
 
 Defined cases: null, empty and blank texts have an empty set and no link; with
 fewer words than the shingle's, the whole sequence is one shingle; sets are
@@ -52,6 +59,7 @@ from .common import checkpoint, components, join_hot, keyed, on_key, packed, tab
 
 SIZE, PERCENT = 5, 80
 SPARE = 3
+FRAGMENTS = 4
 BLOCK = 128
 COLUMNS = 4096
 SAMPLE, SKETCH_BITS, FEW = 20_000, 22, 8
@@ -211,19 +219,37 @@ def _describe(size: int, percent: int, often: np.ndarray | None = None):
 
 
 def _fetch(size: int):
+    """The sets of texts, a row for each fragment that isn't empty: set, frag, part (sorted hashes), n (size of the whole set)."""
+
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, s, n in shingle_sets(data, offsets, size):
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
-                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, len(n)) for c in ("set", "family", "blocks")] + [body], names=["set", "family", "blocks", "body"])
+                key = np.repeat(np.arange(len(n)), n) * FRAGMENTS + (s >> _U(62)).astype(np.int64)
+                count = np.bincount(key, minlength=len(n) * FRAGMENTS)
+                some = np.flatnonzero(count)
+                ends = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int64) * 8
+                part = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary())
+                row = some // FRAGMENTS
+                yield pa.RecordBatch.from_arrays([batch.column("set").slice(a, len(n)).take(pa.array(row)), pa.array((some % FRAGMENTS).astype(np.int32)), part, pa.array(n[row].astype(np.int64))], names=["set", "frag", "part", "n"])
 
     return run
 
 
-def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
-    """Sizes of the intersections of sets (of the first left with the others, if given), fragment after fragment of the order of their elements."""
+def _partial(batches):
+    """How many elements the parts x and y of pairs have in common."""
+    for batch in batches:
+        x, y = (buffers(batch.column(c)) for c in ("x", "y"))
+        out = np.zeros(batch.num_rows, np.int64)
+        for i in range(batch.num_rows):
+            both = np.concatenate([d[o[i] : o[i + 1]].view(np.uint64) for d, o in (x, y)])
+            both.sort()
+            out[i] = np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "na", "nb")], pa.array(out)], names=["a", "b", "na", "nb", "o"])
+
+
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first left sets with the others, fragment after fragment of the order of their elements."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat := np.concatenate(sets), kind="stable")
     flat, owner = flat[order], owner[order]
@@ -231,25 +257,24 @@ def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     col = np.cumsum(new) - 1
     shared = np.bincount(col)[col] > 1
     col, owner = np.unique(col[shared], return_inverse=True)[1], owner[shared]
-    a, b = (slice(None), slice(None)) if left is None else (slice(0, left), slice(left, None))
-    total = np.zeros((len(sets) if left is None else left, len(sets) if left is None else len(sets) - left), np.float32)
+    total = np.zeros((left, len(sets) - left), np.float32)
     for start in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
         i, j = np.searchsorted(col, [start, start + COLUMNS])
         part = np.zeros((len(sets), min(COLUMNS, int(col.max()) + 1 - start)), np.float32)
         part[owner[i:j], col[i:j] - start] = 1
-        total += part[a] @ part[b].T
+        total += part[:left] @ part[left:].T
     return total.astype(np.int64)
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int | None, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what links connect: of each set with the first of its local component."""
+def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what links of the first left sets with the others connect: of each set with the first of its local component."""
     n = np.array([len(s) for s in sets])
     o = overlaps(sets, left)
-    na, nb = (n, n) if left is None else (n[:left], n[left:])
-    link = 100 * o >= percent * (na[:, None] + nb[None, :] - o)
+    link = 100 * o >= percent * (n[:left, None] + n[None, left:] - o)
+    node, own = np.unique(ids, return_inverse=True)
     i, j = np.nonzero(link)
-    j = j + (left or 0)
-    label = np.arange(len(ids))
+    i, j = own[i], own[j + left]
+    label = np.arange(len(node))
     while True:
         low = np.minimum(label[i], label[j])
         after = label.copy()
@@ -259,39 +284,44 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int | None, percent:
         if (after == label).all():
             break
         label = after
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return [(int(ids[x]), int(ids[label[x]])) for x in moved]
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    return [(int(node[x]), int(node[label[x]])) for x in moved]
 
 
 def _count(percent: int):
+    """Rows sorted by family, i, j, other, set, frag; other tells the sets of block j of all from those of block i of the rest."""
+
     def run(batches):
-        def solve(key, rows):
-            ids = np.array([r[0] for r in rows])
-            own = np.array([r[1] for r in rows])
-            order = np.argsort(own, kind="stable")
-            sets = [np.frombuffer(rows[k][2], np.uint64) for k in order]
-            left = None if key[1] == key[2] else int((own == key[1]).sum())
-            if len(rows) < 2 or left in (0, len(rows)):
+        def solve(rows):
+            ids, sets, left, last = [], [], 0, None
+            for s, other, part in rows:
+                if (s, other) != last:
+                    ids.append(s)
+                    sets.append([])
+                    left += not other
+                    last = (s, other)
+                sets[-1].append(np.frombuffer(part, np.uint64))
+            if left in (0, len(ids)):
                 return []
-            return _forest(ids[order], sets, left, percent)
+            return _forest(np.array(ids), [np.concatenate(x) for x in sets], left, percent)
 
         def emit(edges):
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
         key, rows, edges = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "own", "body")]
-            for f, i, j, s, own, body in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "other", "part")]
+            for f, i, j, s, other, part in zip(*cols, strict=True):
                 if (f, i, j) != key:
                     if rows:
-                        edges += solve(key, rows)
+                        edges += solve(rows)
                     key, rows = (f, i, j), []
-                rows.append((s, own, body))
+                rows.append((s, other, part))
             if len(edges) > 10_000:
                 yield emit(edges)
                 edges = []
         if rows:
-            edges += solve(key, rows)
+            edges += solve(rows)
         yield emit(edges)
 
     return run
@@ -305,7 +335,7 @@ def describe(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix:
 
 
 def _by_prefix(described: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all sets that can be linked.
+    """Edges (a, b, c) that connect all sets that can be linked; c counts what a and b were found by.
 
     The sets of a shingle that more than FEW rows look up are joined to the least of them. Of the others
     pairs are made, and kept if what they share so far, and all that is beyond the prefix, could be enough:
@@ -313,12 +343,12 @@ def _by_prefix(described: DataFrame, percent: int) -> DataFrame:
     each = described.select("set", "n", F.explode("sigs").alias("sig"))
     shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sig", "low", "rows")
     found = checkpoint(join_hot(each, shared, ["sig"]))
-    stars = found.where((F.col("rows") > FEW) & (F.col("set") != F.col("low"))).select(F.col("set").alias("a"), F.col("low").alias("b"))
+    stars = found.where((F.col("rows") > FEW) & (F.col("set") != F.col("low"))).groupBy(F.col("set").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("c"))
     few = found.where(F.col("rows") <= FEW).groupBy("sig").agg(F.collect_set(F.struct("set", "n")).alias("m")).select("m", F.explode("m").alias("x"))
     pairs = few.select("x", F.explode(F.expr("filter(m, y -> y.set > x.set)")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
     rest = f"greatest(({percent} * x.n + 99) div 100, ({percent} * y.n + 99) div 100) - 1"
     able = pairs.where(f"{100 + percent} * (c + {rest}) >= {percent} * (x.n + y.n) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    return stars.union(able.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))).distinct()
+    return stars.union(able.select(F.col("y.set").alias("a"), F.col("x.set").alias("b"), "c"))
 
 
 def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
@@ -329,19 +359,38 @@ def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int
         stars = _by_prefix(described, percent)
     else:
         shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
-        stars = join_hot(each, shared, ["sig"]).where("set <> low").select(F.col("set").alias("a"), F.col("low").alias("b")).distinct()
-    family = components(stars).withColumnsRenamed({"node": "set", "comp": "family"})
-    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-    block = f"greatest({BLOCK}, least(4096, members div 24))"
-    family = family.join(sizes, "family").withColumn("blocks", F.expr(f"int(ceil(members / {block}))")).select("set", "family", "blocks")
+        stars = join_hot(each, shared, ["sig"]).where("set <> low").groupBy(F.col("set").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("c"))
+    stars = checkpoint(stars)
+    family = checkpoint(components(stars.select("a", "b")).withColumnsRenamed({"node": "set", "comp": "family"}))
     one = described.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "_th")).alias("r"))
-    want = family.join(one, "set").select("r.doc_id", "r._th", "set", "family", "blocks")
-    bodies = on_key(base, want, "inner").select("text", "set", "family", "blocks")
-    # Rows that repeat doc_id and text give a set twice; a twin links with its twin alone.
-    sets = bodies.mapInArrow(_fetch(size), "set long, family long, blocks int, body binary")
-    own = F.expr("pmod(xxhash64(set), blocks)").cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "own", "body")
-    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_count(percent), "a long, b long")
+    want = family.join(one, "set").select("r.doc_id", "r._th", "set")
+    texts = on_key(base, want, "inner").select("text", "set").dropDuplicates(["set"])  # rows that repeat doc_id and text
+    parts = checkpoint(texts.mapInArrow(_fetch(size), "set long, frag int, part binary, n long"))
+
+    # one pair a set, its partial overlaps by fragment, and their sums
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    sizes = parts.groupBy("set").agg(F.max("n").alias("n"))
+    sized = best.join(sizes.select(F.col("set").alias("a"), F.col("n").alias("na")), "a")
+    sized = join_hot(sized, sizes.select(F.col("set").alias("b"), F.col("n").alias("nb")), ["b"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    x = sized.join(parts.select(F.col("set").alias("a"), "frag", F.col("part").alias("x")), "a")
+    pairs = join_hot(x, parts.select(F.col("set").alias("b"), "frag", F.col("part").alias("y")), ["b", "frag"])
+    summed = pairs.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, o long").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    sure = checkpoint(summed.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"))
+
+    # what these leave apart, against all of the family
+    known = family.join(components(sure).withColumnsRenamed({"node": "set", "comp": "known"}), "set", "left").select("set", "family", F.coalesce("known", "set").alias("known"))
+    per = known.groupBy("family", "known").agg(F.count("*").alias("m"))
+    main = per.groupBy("family").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.sum("m").alias("members"), F.max("m").alias("most")).where("most < members")
+    block = f"greatest({BLOCK}, least(4096, members div 24))"
+    main = main.select("family", "main", F.expr(f"int(ceil(members / {block}))").alias("columns"), F.expr(f"int(ceil((members - most) / {block}))").alias("rows"))
+    left = checkpoint(join_hot(known, main, ["family"]).withColumn("rest", F.col("known") != F.col("main")))
+    spread = lambda k: F.expr(f"pmod(xxhash64(set), {k})").cast("int")
+    right = left.select("set", "family", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), spread("columns").alias("j"), F.lit(True).alias("other"))
+    minor = left.where("rest").select("set", "family", spread("rows").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(False).alias("other"))
+    dealt = right.union(minor).join(parts.select("set", "frag", "part"), "set")
+    unit = ["family", "i", "j"]
+    rest = dealt.repartition(*unit).sortWithinPartitions(*unit, "other", "set", "frag").mapInArrow(_count(percent), "a long, b long")
+    return sure.union(rest)
 
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
@@ -353,7 +402,7 @@ def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bo
     lows = linked.groupBy("comp").agg(F.min("low").alias("low"), F.min("key").alias("key"))
     of_set = classes.join(comp.join(lows, "comp").select("set", F.col("low").alias("low2"), F.col("key").alias("key2")), "set", "left")
     of_set = of_set.select("set", F.coalesce("low2", "low").alias("component_id"), F.coalesce("key2", "key").alias("first"))
-    return described.select("doc_id", "_th", "set", F.col("n").alias("n_shingles")).join(of_set, "set", "left").select("doc_id", "_th", "n_shingles", "component_id", "first")
+    return join_hot(described.select("doc_id", "_th", "set", F.col("n").alias("n_shingles")), of_set, ["set"]).select("doc_id", "_th", "n_shingles", "component_id", "first")
 
 
 def dedup(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -7,11 +7,12 @@ values the chunk's log-odds. The mean, largest and smallest of a text's chunks,
 and the share of chunks above zero, are combined by a logistic regression into
 one probability.
 
-Learned from at most 2 * EACH labelled texts of a label, chosen by hash; the
-network sees CHUNKS_EACH chunks of each, evenly spaced over the whole text, by
-Adam; the combination sees all chunks of each. Embedding and filters collapse
-into one table by byte and place in the filter, which goes to the executors with
-the task. Texts are scored whole, SLICE bytes at a time.
+Learned from at most 2 * EACH labelled texts of a label (fewer where they are long:
+fit.sample, MOST_BYTES in all), chosen by hash. Network and combination see all
+chunks of each: a step of Adam draws texts of both labels, then any chunk of each.
+Embedding and filters collapse into one table by byte and place in the filter,
+which goes to the executors with the task. Texts are scored whole, SLICE bytes at
+a time, with the same result as in one piece.
 
 Defined cases: null and empty texts are one chunk of zeros; where nothing can be
 learned the score is the share of label 1 (0.5 without labels); rows that repeat
@@ -26,17 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_kernel import buffers, pieces, ranges
+from .bytes_kernel import buffers, parts, ranges
 from .common import crc_mod, table
 from .fit import logistic, sample, sigmoid
 
 WIDTH, STRIDE, FILTERS, EMBED = 8, 4, 16, 6
 CHUNK_BYTES = 256
 HALF = CHUNK_BYTES // STRIDE // 2
-EACH, CHUNKS_EACH, STEPS, BATCH = 600, 12, 500, 256
-MAX_TRAIN_CHUNKS = 4096
+EACH, STEPS, BATCH, MOST_BYTES = 600, 500, 256, 64 << 20
 FOLDS, HELD = 3, 1
-SLICE = 1 << 19
+SLICE = 1 << 17
+GRID = 1 << 20
 
 
 def _padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,13 @@ class Network:
         self.head: tuple[np.ndarray, float] | None = None
         self.share = 0.5
 
-    def fit(self, chunks: np.ndarray, y: np.ndarray, seed: int = 7) -> None:
-        """Adam on chunks (n, CHUNK_BYTES + WIDTH) with the labels of their texts."""
+    def fit(self, texts: list[bytes], y: np.ndarray, seed: int = 7) -> None:
+        """Adam on the chunks of texts with labels y; a step draws texts, then a chunk of each."""
+        sizes = np.array([len(t) for t in texts])
+        data, halves = _padded(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        data = np.concatenate([data, np.zeros(CHUNK_BYTES, np.uint8)])
+        first, count = np.cumsum(halves) - halves, np.maximum(halves - 1, 1)
+        inside = np.arange(CHUNK_BYTES + WIDTH)
         r = np.random.default_rng(seed)
         p = self.p
         m = {k: np.zeros_like(v) for k, v in p.items()}
@@ -65,7 +71,10 @@ class Network:
         sides = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
         for step in range(1, STEPS + 1):
             pick = np.concatenate([r.choice(side, BATCH // 2) for side in sides])
-            x, t = chunks[pick][:, places], y[pick]
+            at = (first[pick] + (r.random(len(pick)) * count[pick]).astype(np.int64)) * HALF * STRIDE
+            end = (first[pick] + halves[pick]) * HALF * STRIDE
+            chunk = np.where(at[:, None] + inside < end[:, None], data[at[:, None] + inside], 0)
+            x, t = chunk[:, places], y[pick]
             emb = p["e"][x].reshape(BATCH, len(places), WIDTH * EMBED)
             conv = emb @ p["w"]
             top = conv.argmax(1)
@@ -89,88 +98,73 @@ class Network:
         """What each byte at each place of a filter adds: (WIDTH, 256, FILTERS)."""
         return np.einsum("xe,tef->txf", self.p["e"], self.p["w"].reshape(WIDTH, EMBED, FILTERS)).astype(np.float32)
 
-    def chunk_odds(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, adds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of the chunks of texts, one after the other, and how many each has."""
-        x, halves = _padded(data, starts, sizes)
+    def chunk_odds(self, x: np.ndarray, ends: np.ndarray, adds: np.ndarray) -> np.ndarray:
+        """Log-odds of the chunks that begin at each half chunk of x but the last; ends has the last half chunk of each text that ends here.
+
+        A text's last place would reach into the next one and is that before it."""
         n = (len(x) - WIDTH) // STRIDE
         conv = adds[0].take(x[: n * STRIDE : STRIDE], axis=0)
         for k in range(1, WIDTH):
             conv += adds[k].take(x[k : k + n * STRIDE : STRIDE], axis=0)
-        ends = np.cumsum(halves) * HALF - 1
-        conv[ends] = conv[ends - 1]  # the last place of a text would reach into the next one
+        last = ends * HALF + HALF - 1
+        conv[last] = conv[last - 1]
         half = conv.reshape(-1, HALF, FILTERS).max(1)
-        last = np.cumsum(halves) - 1
         both = np.maximum(half, np.concatenate([half[1:], half[-1:]]))
-        both[last] = half[last]
-        keep = np.ones(len(half), bool)
-        keep[last[halves > 1]] = False  # the last half chunk is in the chunk before it
-        return np.maximum(both[keep] + self.p["b"], 0) @ self.p["v"] + self.p["c"], np.maximum(halves - 1, 1)
-
-
-def _state(n: int) -> np.ndarray:
-    """Of each text: sum, largest, smallest, chunks above zero, chunks."""
-    out = np.zeros((n, 5))
-    out[:, 1], out[:, 2] = -np.inf, np.inf
-    return out
+        both[ends] = half[ends]
+        z = (np.maximum(both + self.p["b"], 0) * self.p["v"]).sum(1) + self.p["c"]
+        return np.round(np.clip(z, -1e6, 1e6) * GRID).astype(np.int64)  # whole numbers: their sum doesn't depend on slices
 
 
 def _gather(net: Network, adds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """What the combination sees of each text: mean, largest, smallest, share above zero."""
-    s = _state(len(offsets) - 1)
-    for rows, begin, end, starts in pieces(offsets, SLICE, CHUNK_BYTES // 2):
-        sizes = np.diff(np.append(starts, end - begin))
-        z, n = net.chunk_odds(data[begin:end], starts, sizes, adds)
-        at = np.cumsum(n) - n
-        s[rows, 0] += np.add.reduceat(z, at)
-        s[rows, 1] = np.maximum(s[rows, 1], np.maximum.reduceat(z, at))
-        s[rows, 2] = np.minimum(s[rows, 2], np.minimum.reduceat(z, at))
-        s[rows, 3] += np.add.reduceat((z > 0).astype(float), at)
-        s[rows, 4] += n
-    return np.clip(np.stack([s[:, 0] / s[:, 4], s[:, 1], s[:, 2], s[:, 3] / s[:, 4]], 1), -12, 12)
-
-
-def _spaced(batches):
-    """Evenly spaced chunks of each text, as bytes, zeros after its end."""
-    for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        out = []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            n = int(b - a)
-            k = min(CHUNKS_EACH, max(1, -(-n // CHUNK_BYTES)))
-            at = np.linspace(0, max(n - CHUNK_BYTES, 0), k).astype(np.int64)
-            x = np.concatenate([data[a:b], np.zeros(CHUNK_BYTES + WIDTH, np.uint8)])
-            out.append(x[at[:, None] + np.arange(CHUNK_BYTES + WIDTH)].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], names=["label", "x"])
+    """What the combination sees of each text: mean, largest, smallest, share above zero of its chunks."""
+    n = len(offsets) - 1
+    total, above, chunks = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    most, least = np.full(n, np.iinfo(np.int64).min), np.full(n, np.iinfo(np.int64).max)
+
+    def count(rows, z, at):
+        total[rows] += np.add.reduceat(z, at)
+        above[rows] += np.add.reduceat((z > 0).astype(np.int64), at)
+        chunks[rows] += np.diff(np.append(at, len(z)))
+        most[rows] = np.maximum(most[rows], np.maximum.reduceat(z, at))
+        least[rows] = np.minimum(least[rows], np.minimum.reduceat(z, at))
+
+    step = SLICE // (HALF * STRIDE)
+    for a, b in parts(offsets, SLICE):
+        x, halves = _padded(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1]))
+        if b - a > 1 or halves[0] <= step + 1:
+            ends = np.cumsum(halves) - 1
+            z = net.chunk_odds(x, ends, adds)
+            keep = np.ones(len(z), bool)
+            keep[ends[halves > 1]] = False  # the last half chunk is in the chunk before it
+            own = np.maximum(halves - 1, 1)
+            count(np.arange(a, b), z[keep], np.cumsum(own) - own)
+        else:
+            for h in range(0, int(halves[0]) - 1, step):  # slices share a half chunk: chunks that begin in h .. e - 1
+                e = min(h + step, int(halves[0]) - 1)
+                ends = np.array([e - h] if e == halves[0] - 1 else [], np.int64)
+                z = net.chunk_odds(x[h * HALF * STRIDE : (e + 1) * HALF * STRIDE + WIDTH], ends, adds)
+                count(np.array([a]), z[: e - h], np.zeros(1, np.int64))
+    return np.clip(np.stack([total / GRID / chunks, most / GRID, least / GRID, above / chunks], 1), -12, 12)
 
 
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Network:
     """Learn from labelled rows that aren't held out."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(crc_mod(FOLDS) != HELD).join(marks, "doc_id")
-    chosen, counts = sample(known, "label", each)
+    chosen, counts = sample(known, "label", each, most_bytes=MOST_BYTES)
     net = Network()
     if counts:
         net.share = counts.get(1, 0) / sum(counts.values())
     if len(counts) < 2:
         return net
-    rows = chosen.select("label", "text").mapInArrow(_spaced, "label int, x binary").collect()
-    chunks = [np.frombuffer(bytes(r["x"]), np.uint8).reshape(-1, CHUNK_BYTES + WIDTH) for r in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c in chunks])
-    y = np.array([r["label"] for r in rows], float)
-    if len(set(y)) < 2:
+    rows = chosen.select("label", F.encode("text", "UTF-8").alias("text")).collect()
+    texts, label = [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], float)
+    if len(set(label)) < 2:
         return net
-    net.fit(np.concatenate(chunks), y[owner])
-    adds = net.table()
-
-    def run(batches):
-        for batch in batches:
-            x = _gather(net, adds, *buffers(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(x[:, k]) for k in range(4)]], names=["label", "a", "b", "c", "d"])
-
-    seen = np.array([tuple(r) for r in chosen.select("label", "text").mapInArrow(run, "label int, a double, b double, c double, d double").collect()])
-    label = seen[:, 0]
+    net.fit(texts, label)
+    x = _gather(net, net.table(), np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     weight = np.where(label == 1, counts[1] / max((label == 1).sum(), 1), counts[0] / max((label == 0).sum(), 1))
-    net.head = logistic(seen[:, 1:], label, weight, 1e-3)
+    net.head = logistic(x, label, weight, 1e-3)
     return net
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_kernel import block_hashes, buffers, mixed, parts, ranges, sliding_min, words_at
-from .common import checkpoint, join_hot, keyed, on_key, table
+from .common import checkpoint, join_hot, keyed, on_key, released, table
 
 LENGTH, TOKEN, TOKEN2, BLOCK = 200, 40, 160, 40
 CHUNK = 1 << 17
@@ -273,28 +273,28 @@ def repeats(base: DataFrame, id_type: str) -> DataFrame:
 
     def buckets(rows: DataFrame, token: int) -> DataFrame:
         lead = F.expr(f"substring(body, anchor + 1, {token})")
-        return rows.repartitionByRange(lead).sortWithinPartitions(lead).mapInArrow(_sorted_bucket(token), found)
+        return rows.repartitionByRange(lead).sortWithinPartitions(lead).mapInArrow(released(_sorted_bucket(token)), found)
 
-    runs = base.mapInArrow(_runs, f"{run}, content long")
+    runs = base.mapInArrow(released(_runs), f"{run}, content long")
     often = runs.groupBy("token").count().where("count > 1").select("token")
     alike = checkpoint(join_hot(runs, often, ["token"]))
     kinds = alike.groupBy("token", "content").agg(F.count("*").alias("n"), F.min(place).alias("r")).withColumn("many", F.lit(False))
     out = [join_hot(alike, kinds.where("n > 1").select("token", "content"), ["token", "content"]).select(*whole)]
     fetch = join_hot(kinds, _alone(kinds), ["token"]).select("r.*", "token", (F.col("n") > 1).alias("many"), "hot")
 
-    def fetched(hot: bool) -> DataFrame:
+    def fetched(hot: bool, how, more: str) -> DataFrame:
         want = fetch.where(F.col("hot") == F.lit(hot)).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("lo", "span", "anchor", "token", "many")).alias("_want"))
-        return on_key(base, want, "inner").mapInArrow(_bodies, f"{run}, many boolean, body binary")
+        return on_key(base, want, "inner").mapInArrow(released(how), f"{run}, {more}, body binary")
 
-    out.append(buckets(fetched(False), TOKEN))
+    out.append(buckets(fetched(False, _bodies, "many boolean"), TOKEN))
     # Three branches read this exchange, and all read that of the texts, so that each is written once.
-    finer = fetched(True).mapInArrow(_finer, f"{run}, content long, many boolean, body binary").repartition("doc_id", "_th", "lo")
+    finer = fetched(True, lambda batches: _finer(_bodies(batches)), "content long, many boolean").repartition("doc_id", "_th", "lo")
     kinds = finer.groupBy("token", "content").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(place).alias("r"))
     out.append(join_hot(finer.where("NOT many").drop("many", "body"), kinds.where("n > 1").select("token", "content"), ["token", "content"]).select(*whole))
     first = join_hot(kinds, _alone(kinds), ["token"]).select("token", "content", F.col("many").alias("_many"), (F.col("n") > 1).alias("_more"), "r", "hot")
     again = join_hot(finer.drop("many"), first, ["token", "content"]).where(place.eqNullSafe(F.col("r"))).select("doc_id", "_th", "lo", "span", "anchor", "token", (F.col("_many") | F.col("_more")).alias("many"), "body", "hot")
     out.append(buckets(again.where("NOT hot").drop("hot"), TOKEN2))
-    each = again.where("hot").drop("hot").mapInArrow(_windows, f"doc_id {id_type}, _th long, lo long, many boolean, w1 long, w2 long")
+    each = again.where("hot").drop("hot").mapInArrow(released(_windows), f"doc_id {id_type}, _th long, lo long, many boolean, w1 long, w2 long")
     twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     out.append(join_hot(each.where("NOT many"), twice, ["w1", "w2"]).select("doc_id", "_th", F.col("lo").alias("s"), F.expr(f"lo + {LENGTH}").alias("e")))
     result = out[0]
@@ -308,7 +308,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     id_type = dict(base.dtypes)["doc_id"]
     spans = repeats(base, id_type).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    return on_key(base, spans, "left").mapInArrow(_cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return on_key(base, spans, "left").mapInArrow(released(_cut), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

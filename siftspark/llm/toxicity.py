@@ -12,8 +12,8 @@ predictions place the last model's cut, a score of 0.5, where F1 is best.
 `labels` marks texts as toxic or not and as good or bad. The chain's categories
 are made of these: abuse in text of bad quality, abuse in good text, abuse.
 
-Learned from at most 2 * EACH labelled texts of each combination of labels,
-chosen by hash; the vocabulary are the features whose presence depends most on a
+Learned from at most 2 * EACH labelled texts of each combination of labels (fewer
+where they are long: fit.sample, MOST_BYTES in all), chosen by hash; the vocabulary are the features whose presence depends most on a
 label (chi-square at least LEAST_CHI2, in at least LEAST_DOCS of the texts, at
 most VOCABULARY). The models are a few tables of numbers and go to the executors
 with the task; every text is scored whole where it lies.
@@ -39,6 +39,7 @@ HEADS, LEVELS = (4, 6, 8), (1, 2, 4)
 VOCABULARY = 2000
 LEAST_CHI2, LEAST_DOCS = 12.0, 4
 HELD_OUT_OF, K = 5, 5
+MOST_BYTES = 64 << 20
 CHUNK = 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Chain:
     """Learn from labelled rows that aren't held out."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("quality", F.lit(1))).alias("quality"))
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(crc_mod(HELD_OUT_OF) != 0).join(marks, "doc_id").withColumn("_kind", F.col("toxic") * 2 + F.col("quality"))
-    chosen, counts = sample(known, "_kind", each)
+    chosen, counts = sample(known, "_kind", each, most_bytes=MOST_BYTES)
     rows = chosen.select(F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_collect, "toxic int, quality int, words binary").collect()
     toxic, quality = np.array([r["toxic"] for r in rows], int), np.array([r["quality"] for r in rows], int)
     made = np.stack([(toxic == 1) & (quality == 0), (toxic == 1) & (quality == 1), toxic == 1], 1).astype(float) if rows else np.zeros((0, 3))

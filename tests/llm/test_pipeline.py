@@ -50,16 +50,35 @@ def test_near_copies_from_80_percent(spark, sf):
     assert kept == {0, 4} == {i for i, (_, c) in ngram_join.brute_force([r[:2] for r in rows], 5, 80).items() if i == c}
 
 
-def test_odd_cases(spark, sf):
-    docs = fx.documents(spark, repeat=True).withColumn("score", F.lit("clash"))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+NAMES = ["lang_pred", "score", "n_lines", "n_removed", "n_spans", "n_shingles", "component_id", "set", "first", "n_words", "n_hit", "n_items", "items", "_th", "_row", "_told", "_lines", "_cov", "a", "b"]
+
+
+def test_clashing_names(spark, sf):
+    """Every stage but the last returns columns of any name as they were."""
+    docs = fx.documents(spark, repeat=True)
+    for c in NAMES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in NAMES), name
+
+
+def test_odd_cases(spark, sf):
+    docs = fx.documents(spark, repeat=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
         out.count()
-    assert corpus_pipeline.language_id(spark, fx.documents(spark), sf).columns == fx.documents(spark).columns
-    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, fx.empty(spark), sf).count() == 0
 
 
+def test_mixing_clashes(spark, sf):
+    docs = fx.documents(spark).withColumn("weight", F.lit("mine")).withColumn("_named", F.lit(1))
+    out = corpus_pipeline.mixing(spark, docs, sf)
+    assert dict(out.dtypes)["weight"] == "double" and {r["_named"] for r in out.collect()} == {1}
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100

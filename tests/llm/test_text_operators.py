@@ -102,6 +102,7 @@ def pii_by_hand(t):
 PII = [
     "mail a.b+c@ex-a.co.uk, x@y and é@b.co, a@b.c_d@e.f", "1.2.3.4 256.1.1.1 1.2.3.4.5 001.02.3.255 1.2.3.4.5.6.7.8", "card 4785 3805 9239 1139, 4111-1111-1111-1111 and 4111111111111112", "call +1 (706) 555-3138. or +44 20 7946 0958 x +1-2",
     "IBAN DE89 3704 0044 0532 0130 00", "é😀 a@b.co", "", None, "@" * 50, "a" * 5000 + "@b" + ".c" * 5000, "1 " * 9000, "+" + "1-" * 3000 + "1", "a@b.c@d.e 1.1.1.1@x.y",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and ' + "x" * 40, "é a@b.co " * 3000, "y" * 4080 + " write to a@b.co now",
 ]
 
 
@@ -113,6 +114,11 @@ def test_pii(spark):
     spans = {r.doc_id: r.pii for r in pii.find(d).collect()}
     assert [p.kind for p in spans[4]][-1] == "iban" and spans[4][-1].score == 100 and spans[7] == []
     assert pii.find(fx.empty(spark)).count() == 0
+    assert [(p.kind, p.s, p.e, p.score) for p in spans[13]] == [("secret", 9, 49, 90)]
+    assert spans[15][-1].kind == "email" and spans[15][-1].score == 95
+    own = d.withColumn("_pii0", F.lit(1)).withColumn("pii", F.lit("mine")).withColumn("_cuts", F.lit(2))
+    out = pii.find(own)
+    assert sorted(out.columns) == sorted(own.columns) and out.where("doc_id = 0").first()["_pii0"] == 1 and len(out.where("doc_id = 0").first().pii) == 3
     assert pii.redact(d).where("doc_id = 5").first().text == "é😀 <EMAIL>"
 
 
@@ -140,8 +146,8 @@ def test_benchmark(spark, monkeypatch):
     bench = [(1, " ".join(a.split()[5:30])), (2, "Two words"), (3, None), (4, ""), (5, "not there at all " + a[:30]), (6, "x"), (6, "x"), (7, " ".join(a.split()[50:60]).upper())]
     want = hits_by_hand([(r[0], r[1]) for r in fx.rows()], bench)
     b = spark.createDataFrame(bench, "item_id long, text string")
-    for at_once in (20_000, 7):
-        monkeypatch.setattr(decontaminate, "TERMS_AT_ONCE", at_once)
+    for inline in (20_000, 7):
+        monkeypatch.setattr(decontaminate, "TERMS_INLINE", inline)
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.summarize(decontaminate.matches(fx.documents(spark), b)).collect()}
         assert got == want
     kept = decontaminate.decontaminate(fx.clashing(fx.documents(spark, repeat=True)), b)
