@@ -19,22 +19,41 @@ def with_scheme(url: Column) -> Column:
     return F.when(F.rlike(u, F.lit(r"(?i)^[^/?#]*://|^/|^[a-z][a-z0-9+.-]*:(?!\d)")), u).otherwise(F.concat(F.lit("https://"), u))
 
 
+def _decoded(part: Column) -> Column:
+    """A part of a query as it reads: + is a blank, %XX a byte; a % that starts no byte stands for itself."""
+    return F.try_url_decode(F.regexp_replace(part, F.lit("%(?![0-9A-Fa-f]{2})"), F.lit("%25")))
+
+
+def _encoded(part: Column) -> Column:
+    """Percent-encoded but for letters, digits and _.-~; a blank is +."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, final slash, fragment or tracking parameter; query pairs sorted."""
-    u = with_scheme(url)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    rest = F.regexp_replace(F.regexp_replace(u, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.lit("")), F.lit(r"#.*$"), F.lit(""))
-    host = F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?]*)", 1), F.lit(r"^[^@]*@"), F.lit("")))
-    host = F.when((scheme == "http"), F.regexp_replace(host, F.lit(r":80$"), F.lit(""))).when(scheme == "https", F.regexp_replace(host, F.lit(r":443$"), F.lit(""))).otherwise(host)
-    path = F.regexp_extract(rest, r"^[^/?]*(/[^?]*)", 1)
-    path = F.regexp_replace(path, F.lit(r"/+$"), F.lit(""))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    pairs = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda p: p != "")
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(pairs, lambda p: ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING))
-    full = F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    query = F.array_join(F.array_sort(full), "&")
-    return F.concat(scheme, F.lit("://"), host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    """Lower-case scheme and host, no default port, final slash, fragment, user or tracking parameter; query pairs decoded, sorted and encoded again.
+
+    What has a port that is none, or a bracket that doesn't pair, is only trimmed."""
+    bare = F.regexp_replace(F.regexp_replace(with_scheme(url), F.lit(r"[\t\r\n]"), F.lit("")), F.lit(r"^[\x00-\x20]+"), F.lit(""))
+    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    scheme = F.when(scheme == "", F.lit("https")).otherwise(scheme)
+    rest = F.regexp_replace(F.regexp_replace(bare, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit("")), F.lit(r"(?s)#.*$"), F.lit(""))
+    netloc = F.regexp_replace(F.regexp_extract(rest, r"^//([^/?]*)", 1), F.lit(r"^.*@"), F.lit(""))
+    host = F.lower(F.regexp_extract(netloc, r"^(?:\[([^\]]*)\]|([^:]*))", 0))
+    host = F.regexp_replace(host, F.lit(r"^\[|\]$"), F.lit(""))
+    port = F.regexp_extract(netloc, r"^(?:\[[^\]]*\]|[^:\[\]]*):(.*)$", 1)
+    number = port.try_cast("int")
+    fine = ((port == "") | (F.rlike(port, F.lit(r"^\d+$")) & (number <= 65535))) & (F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]")))
+    default = ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
+    shown = F.when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), number.cast("string")))
+    path = F.regexp_extract(F.regexp_replace(rest, F.lit(r"^//[^/?]*"), F.lit("")), r"^([^?]*)", 1)
+    cut = F.regexp_replace(path, F.lit("/+$"), F.lit(""))
+    path = F.when(cut == "", F.lit("/")).otherwise(cut)
+    pairs = F.transform(F.filter(F.split(F.regexp_extract(rest, r"(?s)^[^?]*\?(.*)$", 1), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, F.lit("(?s)^[^=]*="), F.lit(""))).otherwise(F.lit(""))).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.startswith(F.lower(p["k"]), F.lit("utm_")) & ~F.lower(p["k"]).isin(*TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    rooted = F.startswith(path, F.lit("/"))
+    site = F.when(shown != "", F.concat(F.lit("://"), shown, F.when(rooted, path).otherwise(F.concat(F.lit("/"), path)))).when(rooted & scheme.isin("http", "https", "ftp"), F.concat(F.lit("://"), path)).otherwise(F.concat(F.lit(":"), path))
+    return F.when(~fine, F.trim(url)).otherwise(F.concat(scheme, site, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
 
 
 def paper_id(*texts: Column) -> Column:

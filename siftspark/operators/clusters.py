@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .retrieval import knn
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder of the session or, where none is set, in one of this machine (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "siftspark-checkpoints"))
-    return df.checkpoint()
+from .storage import checkpoint
 
 
 def partner_edges(items: DataFrame) -> DataFrame:
@@ -70,6 +60,20 @@ def siblings(clusters: DataFrame) -> DataFrame:
     return c.join(c.select(F.col("id").alias("sibling"), "cluster_id"), "cluster_id").where("id <> sibling").select("id", "sibling")
 
 
+def ordered_siblings(clusters: DataFrame, items: DataFrame) -> DataFrame:
+    """id, sibling, n: each item's siblings in the order they are shown, the newest first, then the largest id."""
+    from pyspark.sql import Window
+
+    seen = items.select(F.col("id").alias("sibling"), "first_seen")
+    w = Window.partitionBy("id").orderBy(F.desc("first_seen"), F.desc("sibling"))
+    return siblings(clusters).join(seen, "sibling").select("id", "sibling", F.row_number().over(w).alias("n"))
+
+
+def groups(clusters: DataFrame) -> DataFrame:
+    """id, group: an item's cluster, or a group of its own."""
+    return clusters.select("id", F.coalesce("cluster_id", -1 - F.col("id")).alias("group"))
+
+
 def novelty(vectors: DataFrame, today, window: int = 60) -> DataFrame:
     """id, nov: one less the largest cosine to a vector read in the window, itself excepted; no row if there is none."""
     archive = vectors.where("collection = 'archive'")

@@ -49,7 +49,11 @@ class ItemFilter:
     pinned: int | None = None
 
 
-
+def eval_pairs(items: DataFrame, archive: DataFrame) -> DataFrame:
+    """query_id, target, title, summary: articles and the paper that they are about, where the archive holds the paper."""
+    asks = items.where("kind = 'article'").select(F.col("id").alias("query_id"), "paper_key", "title", "summary")
+    papers = items.where("kind = 'paper'").select(F.col("id").alias("target"), "paper_key")
+    return asks.join(papers, "paper_key").join(archive.select(F.col("chunk_id").alias("target")), "target", "left_semi").select("query_id", "target", "title", "summary")
 
 
 def shown(show: str) -> Column:
@@ -96,9 +100,6 @@ def conditions(f: ItemFilter) -> Column:
     return keep | (F.col("id") == f.pinned) if f.pinned is not None else keep
 
 
-
-
-
 def order(name: str) -> list[Column]:
     newest = [F.desc("first_seen"), F.desc(F.coalesce("published_at", "first_seen")), F.desc("id")]
     return {

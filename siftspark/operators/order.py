@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clusters import checkpoint
+from .storage import checkpoint
 
 
 def number_rows(rows: DataFrame, *by: Column, name: str = "position") -> DataFrame:

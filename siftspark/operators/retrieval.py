@@ -1,50 +1,50 @@
 """Keyword, vector and hybrid retrieval.
 
-Keyword scores are BM25 over postings (document, term, count). Vector scores are
-exact cosines. Filters apply before ranking, never after a top-k. Many queries
-are ranked at once by partitioning on the query; the candidate matrix of an
-all-pairs search is read in blocks, so its size has no bound on the driver.
+Keyword scores are BM25 over postings (document, term, count), which are stored by
+term once (write_index) and then read by the terms of a query only. Vector scores
+are exact cosines. Filters apply before ranking, never after a top-k. Many queries
+are ranked at once by partitioning on the query; all-pairs search joins blocks of
+queries with blocks of candidates on the executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import cosine
-from ..functions.text import index_tokens
+from ..functions.text import index_tokens, query_terms, search_terms
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SIDE_K, RRF_K = 50, 60
-BLOCK_ROWS = 4096
-QUERY_BYTES = 64 << 20
+BLOCK_ROWS = 2048
+BUCKETS, SHARDS = 32, 4
 
 
-def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str] | None = None, prefix: bool = False) -> DataFrame:
-    """key, length (tokens of the document) and, for each term, its count; with terms, only those (exact, or as prefixes)."""
-    tokens = docs.select(key, index_tokens(text).alias("t"))
-    if terms is None:
-        each = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
-        return each.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str], prefix: bool = False) -> DataFrame:
+    """key, length (tokens of the document) and, for each term (exact, or as a prefix), its count: one row for each document and term, without an index."""
+
+    def is_(t: Column, w: str) -> Column:
+        return F.startswith(t, F.lit(w)) if prefix else t == F.lit(w)
+
     def any_term(t: Column) -> Column:
-        if not prefix:
-            return t.isin(*terms)
         found = F.lit(False)
         for w in terms:
-            found |= F.startswith(t, F.lit(w))
+            found |= is_(t, w)
         return found
 
     def count(w: str) -> Column:
-        return F.size(F.filter("h", lambda t: F.startswith(t, F.lit(w)) if prefix else t == w))
+        return F.size(F.filter("h", lambda t: is_(t, w)))
 
     # The few tokens that matter are picked once, and only they are counted term by term.
-    tokens = tokens.select(key, "t", F.filter("t", any_term).alias("h"))
+    tokens = docs.select(key, index_tokens(text).alias("t")).select(key, "t", F.filter("t", any_term).alias("h"))
     counts = F.array(*[F.struct(F.lit(w).alias("term"), count(w).alias("tf")) for w in terms])
-    # One pass over the tokens, one row for each document and query term: nothing else is shuffled.
     return tokens.select(key, F.size("t").alias("length"), F.inline(counts))
 
 
@@ -57,15 +57,147 @@ def bm25(posts: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings: term, key, tf, length; terms: term, n (documents); corpus: total, mean (one row)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, text: Column, folder: str) -> None:
+    """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to SHARDS files at least, so no task holds a hot term's whole list."""
+    tokens = docs.select(F.col(key).alias("key"), index_tokens(text).alias("t"))
+    each = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term"))
+    dealt = each.withColumn("bucket", _bucket("term")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
+    counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
+    counted.drop("shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
+    stored.groupBy("bucket", "term").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+    lengths = stored.agg(F.sum("tf").alias("tokens")).crossJoin(docs.agg(F.count("*").alias("total")))  # one row each
+    lengths.select("total", (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("mean")).write.parquet(f"{folder}/corpus")
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "terms", "corpus")])
+
+
+def _part(n: str = "n") -> Column:
+    """What a posting adds to a BM25 score."""
+    idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("total") - F.col(n) + 0.5) / (F.col(n) + 0.5)))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+
+def keyword_scores(index: Index, terms: Sequence[str]) -> DataFrame:
+    """key, score of documents with one of the terms; only the terms' buckets are read."""
+    some = F.col("term").isin(list(terms)) & F.col("bucket").isin(_buckets(index, terms))
+    hits = index.postings.where(some).join(index.terms.where(some).select("term", "n"), "term").crossJoin(F.broadcast(index.corpus))  # one row
+    return hits.groupBy("key").agg(F.sum(_part()).alias("score"))
+
+
+def _buckets(index: Index, terms: Sequence[str]) -> list[int]:
+    rows = index.corpus.sparkSession.createDataFrame([(t,) for t in terms] or [("",)], "term string")
+    return [r[0] for r in rows.select(_bucket("term")).distinct().collect()]
+
+
+def keyword_scores_of(index: Index, queries: DataFrame, text: Column) -> DataFrame:
+    """query_id, key, score for many queries (query_id and a text) at once."""
+    asked = queries.select("query_id", F.explode(search_terms(text)).alias("term")).withColumn("bucket", _bucket("term"))
+    known = asked.join(index.terms, ["bucket", "term"])
+    hits = known.join(index.postings, ["bucket", "term"]).crossJoin(F.broadcast(index.corpus))  # one row
+    return hits.groupBy("query_id", "key").agg(F.sum(_part()).alias("score"))
+
+
+class VectorsUnavailable(ValueError):
+    """Why the vector side of a search can't run."""
+
+
+@dataclass(frozen=True)
+class SearchFilter:
+    """What passages a search may return; an empty sequence or None is no condition."""
+
+    collections: Sequence[str] = ("archive", "content")
+    item: int | None = None
+    sources: Sequence[str] = ()
+    kinds: Sequence[str] = ()
+    day_from: date | None = None
+    day_to: date | None = None
+    read_since: date | None = None
+    exclude: Sequence[int] = ()
+
+
+def allowed(f: SearchFilter, vector: bool) -> Column:
+    """The condition on passages, the same on both sides; only vectors know the day of reading."""
+    keep = F.col("collection").isin(*f.collections)
+    if f.item is not None:
+        keep &= F.col("item_id") == f.item
+    if f.sources:
+        keep &= F.col("source_id").isin(*f.sources)
+    if f.kinds:
+        keep &= F.col("kind").isin(*f.kinds)
+    if f.day_from is not None:
+        keep &= F.col("published_day") >= F.lit(f.day_from)
+    if f.day_to is not None:
+        keep &= F.col("published_day") <= F.lit(f.day_to)
+    if f.read_since is not None and vector:
+        keep &= F.col("read_day") >= F.lit(f.read_since)
+    return keep & ~F.col("item_id").isin(*f.exclude) if f.exclude else keep
+
+
+def search(passages: DataFrame, index: Index, query: str, vector: Sequence[float] | DataFrame | None = None, f: SearchFilter = SearchFilter(), mode: str = "hybrid", k: int = 10, problem: str | None = None) -> DataFrame:
+    """chunk_id, item_id, fts_rank, vec_rank, similarity, score, rank of the k best passages.
+
+    mode is 'hybrid', 'fts' or 'vector'. Without a vector, or where the caller names a problem
+    with the vectors, any mode but 'fts' is refused."""
+    if mode not in ("hybrid", "fts", "vector"):
+        raise ValueError(f"no such mode: {mode}")
+    if mode != "fts" and (problem or vector is None):
+        raise VectorsUnavailable(problem or "the query has no vector")
+    spark = passages.sparkSession
+    terms = query_terms(query)
+    if mode == "vector" or not terms:
+        fts = spark.createDataFrame([], "chunk_id long, rank int")
+    else:
+        scored = keyword_scores(index, terms).select(F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
+        fts = top(scored.join(passages.where(allowed(f, False)).select("chunk_id"), "chunk_id", "left_semi"), SIDE_K, F.desc("score"), F.asc("chunk_id"))
+    if mode == "fts":
+        near = spark.createDataFrame([], "chunk_id long, similarity double, rank int")
+    else:
+        near = nearest(passages.where(allowed(f, True)), vector)
+    out = fuse(fts, near, "chunk_id", k)
+    return out.join(passages.select("chunk_id", "item_id"), "chunk_id")
+
+
+def item_order(hits: DataFrame) -> DataFrame:
+    """item_id, place: each item once, in the order of its best passage; hits are a search's few rows."""
+    best = hits.groupBy("item_id").agg(F.min("rank").alias("best"))
+    return best.select("item_id", F.row_number().over(Window.orderBy("best")).alias("place"))
+
+
 def top(rows: DataFrame, k: int, *by: Column, rank: str = "rank") -> DataFrame:
     """The first k rows with their rank: a distributed top-k, then numbers on k rows."""
     return rows.orderBy(*by).limit(k).withColumn(rank, F.row_number().over(Window.orderBy(*by)))
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], k: int = SIDE_K) -> DataFrame:
-    """chunk_id, similarity, rank of the k nearest to one query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top(vectors.select("chunk_id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity")), k, F.desc("similarity"), F.asc("chunk_id"))
+def nearest(vectors: DataFrame, query: Sequence[float] | DataFrame, k: int = SIDE_K) -> DataFrame:
+    """chunk_id, similarity, rank of the k nearest to one vector: numbers, or the embedding of a table's only row (none: no result)."""
+    if isinstance(query, DataFrame):
+        both = vectors.crossJoin(F.broadcast(query.select(F.col("embedding").alias("_q")).limit(1)))  # one row
+    else:
+        both = vectors.withColumn("_q", F.array(*[F.lit(float(x)) for x in query]))
+    same = both.where(comparable(F.col("embedding")) & comparable(F.col("_q")) & (F.size("embedding") == F.size("_q")))
+    return top(same.select("chunk_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("similarity")), k, F.desc("similarity"), F.asc("chunk_id"))
+
+
+def comparable(v: Column) -> Column:
+    """Whether a vector has a direction: not null, no component null or not finite, not all zero."""
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def rrf(*ranked: DataFrame, key: str) -> DataFrame:
@@ -88,63 +220,89 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -
 
     queries has query_id and embedding (and qday, qgroup), candidates chunk_id and embedding (and day, group);
     keep is a condition among 'true', 'other' (another id), 'band' (another id, at most 14 days apart) and
-    'group' (another group): what it leaves out never shrinks k.
-    Queries go to the tasks in blocks of at most QUERY_BYTES, each block a pass over the candidates,
-    which stay where they are; a task returns its k best for each query, and a window merges them.
+    'group' (another group): what it leaves out never shrinks k. Vectors that have no direction have no
+    neighbours, and only vectors of one length are compared.
+    Both sides are cut into blocks of about BLOCK_ROWS; each pair of blocks is compared in one task, which
+    holds the two, and returns the k best of each query; a window merges those of a query.
     """
-    dims = 8 * 1024
-    step = max(1, QUERY_BYTES // dims)
-    parts, last = [], None
-    while True:
-        some = (queries if last is None else queries.where(F.col("query_id") > last)).orderBy("query_id").limit(step).collect()
-        if not some:
-            break
-        last = some[-1]["query_id"]
-        parts.append(_knn_block(candidates, some, k, keep))
-        if len(some) < step:
-            break
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, similarity double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    more = {"band": ["day"], "group": ["group"]}.get(keep, [])
+    q = queries.where(comparable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *[f"q{c}" for c in more])
+    c = candidates.where(comparable(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    nq, nc = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, c))
+    dims = F.size("embedding").alias("dims")
+    left = q.select("*", dims, F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"))
+    right = c.select("*", dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).alias("j"))
+    unit = ["dims", "i", "j"]
+    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_compare(k, keep), "query_id long, chunk_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _knn_block(candidates: DataFrame, rows: list, k: int, keep: str) -> DataFrame:
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    q = np.array([r["embedding"] for r in rows], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    qday = np.array([r["qday"].toordinal() for r in rows]) if keep == "band" else None
-    qgroup = np.array([r["qgroup"] for r in rows]) if keep == "group" else None
-    cols = ["chunk_id", "embedding", *{"band": ["day"], "group": ["group"]}.get(keep, [])]
-
-    def run(batches):
-        best_s, best_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            c = batch.column("chunk_id").to_numpy()
-            for a in range(0, len(c), BLOCK_ROWS):
-                s = np.round(q @ x[a : a + BLOCK_ROWS].T, 6)
-                if keep == "group":
-                    s[qgroup[:, None] == batch.column("group").to_numpy()[None, a : a + BLOCK_ROWS]] = -2
-                elif keep != "true":
-                    s[ids[:, None] == c[None, a : a + BLOCK_ROWS]] = -2
-                if keep == "band":
-                    day = batch.column("day").cast(pa.int32()).to_numpy() + 719163
-                    s[np.abs(qday[:, None] - day[None, a : a + BLOCK_ROWS]) > 14] = -2
-                s = np.concatenate([best_s, s], 1)
-                i = np.concatenate([best_i, np.broadcast_to(c[a : a + BLOCK_ROWS], (len(ids), len(c[a : a + BLOCK_ROWS])))], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        ok = best_s > -2
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query_id", "chunk_id", "similarity"])
-
-    return candidates.select(*cols).mapInArrow(run, "query_id long, chunk_id long, similarity double")
+def _unit_rows(t: pa.Table) -> np.ndarray:
+    x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, ties by the smaller id; only rows with ties at the edge are sorted whole."""
+    k = min(k, s.shape[1])
+    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(s, at, 1).min(1)
+    for r in np.flatnonzero((s >= edge[:, None]).sum(1) > k):
+        some = np.flatnonzero(s[r] >= edge[r])
+        at[r] = some[np.lexsort((ids[some], -s[r, some]))[:k]]
+    return at
+
+
+def _compare(k: int, keep: str):
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if queries.num_rows and candidates.num_rows:
+            ids, c = queries.column("query_id").to_numpy(), candidates.column("chunk_id").to_numpy()
+            s = np.round(_unit_rows(queries) @ _unit_rows(candidates).T, 6)
+            if keep == "group":
+                s[queries.column("qgroup").to_numpy()[:, None] == candidates.column("group").to_numpy()[None, :]] = -2
+            elif keep != "true":
+                s[ids[:, None] == c[None, :]] = -2
+            if keep == "band":
+                days = [t.column(n).cast(pa.int32()).to_numpy(zero_copy_only=False) for t, n in ((queries, "qday"), (candidates, "day"))]
+                s[~(np.abs(days[0][:, None] - days[1][None, :]) <= 14)] = -2
+            at = _best(s, c, k)
+            best = np.take_along_axis(s, at, 1)
+            row, col = np.nonzero(best > -2)
+            out = [ids[row], c[at[row, col]], best[row, col]]
+        return pa.table(dict(zip(("query_id", "chunk_id", "similarity"), map(pa.array, out), strict=True)))
+
+    return run
+
+
+def search_ranks(pairs: DataFrame, index: Index, passages: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, mode, rank: where each pair's target stands in keyword, vector and hybrid search, null beyond the first k.
+
+    pairs: query_id (the item asking, left out of its own results), target (item_id), text, embedding. All queries are ranked at once."""
+    archive = passages.where("collection = 'archive'")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    scored = keyword_scores_of(index, pairs, F.col("text")).select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
+    fts = scored.join(archive.select("chunk_id", "item_id"), "chunk_id").where("item_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SIDE_K)
+    near = knn(pairs.select("query_id", "embedding", F.col("query_id").alias("qgroup")), archive.select("chunk_id", "embedding", F.col("item_id").alias("group")), SIDE_K, keep="group")
+    sides = fts.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank"))
+    fused = sides.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score")).withColumn("rank", F.row_number().over(best))
+    out = None
+    for mode, hits in (("fts", fts), ("vector", near), ("hybrid", fused)):
+        items = hits.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank").join(archive.select("chunk_id", "item_id"), "chunk_id").groupBy("query_id", "item_id").agg(F.min("rank").alias("rank"))
+        place = items.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        one = pairs.select("query_id", F.col("target").alias("item_id")).join(place, ["query_id", "item_id"], "left").select("query_id", F.lit(mode).alias("mode"), "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def enough_pairs(pairs: DataFrame, least: int = 30) -> int:
+    """How many pairs there are; fewer than `least` are no basis for an evaluation."""
+    n = pairs.count()
+    if n < least:
+        raise ValueError(f"{n} pairs, {least} are needed")
+    return n
 
 
 def evaluate(ranks: DataFrame) -> DataFrame:

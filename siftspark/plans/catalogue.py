@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,8 +50,8 @@ sc AS (SELECT doc_id, sum(greatest(1e-6, ln((total - st.n + 0.5) / (st.n + 0.5))
 
 
 def _bm25(v: Views) -> DataFrame:
-    scored = retrieval.bm25(retrieval.postings(v.raw("documents"), "doc_id", F.col("text"), WORDS), "doc_id")
-    return retrieval.top(scored.select("doc_id", F.round("score", 6).alias("score")), 50, F.desc("score"), F.asc("doc_id"))
+    scored = retrieval.keyword_scores(v.index, WORDS)
+    return retrieval.top(scored.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")), 50, F.desc("score"), F.asc("doc_id"))
 
 
 @query(_BM25 + "SELECT doc_id, round(s, 6) AS score, row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) AS rank FROM sc ORDER BY rank LIMIT 50")
@@ -76,15 +76,15 @@ def keyword_and_prefix(v):
 
 
 @query("""
-WITH p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pM\\pN_.\\-]+') AS t FROM documents))
-SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
+WITH p AS (SELECT doc_id, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\pL\\pM\\pN_.\\-]+') AS t FROM documents))
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, (SELECT count(*) FROM documents) AS docs, round((SELECT count(*) FROM p) / (SELECT count(*) FROM documents), 6) AS mean_length FROM p GROUP BY term""")
 def term_statistics(v):
-    p = retrieval.postings(v.raw("documents"), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20")
+    each = v.index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return each.crossJoin(F.broadcast(v.index.corpus)).select("term", "df", "cf", F.col("total").alias("docs"), F.round("mean", 6).alias("mean_length"))  # the corpus is one row
 
 
-def _probe(v: Views) -> list[float]:
-    return v.raw("embeddings").where("vec_id = 7").first()["embedding"]
+def _probe(v: Views) -> DataFrame:
+    return v.raw("embeddings").where("vec_id = 7")
 
 
 _KNN = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS similarity FROM embeddings, q) "
@@ -150,10 +150,15 @@ def rrf_hybrid(v):
     return retrieval.top(s, 20, F.desc("score"), F.asc("doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_ALL + "SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s WHERE query_id % 8 <> chunk_id % 8 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 5")
+@query("""
+WITH g AS (SELECT i.id, coalesce(min(least(i.id, b.id)), -1 - i.id) AS g FROM items i LEFT JOIN items b ON i.paper_key = b.paper_key AND i.id <> b.id AND i.kind <> b.kind GROUP BY i.id),
+a AS (SELECT chunk_id, embedding, g FROM vectors JOIN g ON g.id = chunk_id WHERE collection = 'archive'),
+s AS (SELECT x.chunk_id AS query_id, y.chunk_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM a x, a y WHERE x.g <> y.g)
+SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5""", "items", "vectors")
 def related_items(v):
-    """Nearest items outside an item's own cluster (here: ids equal modulo 8)."""
-    c = v.vectors.select("chunk_id", "embedding", (F.col("chunk_id") % 8).alias("group"))
+    """Nearest archive passages that are neither the item's own nor of its cluster."""
+    group = clusters.groups(clusters.cluster(v.items.select("id"), clusters.partner_edges(v.items)))
+    c = v.vectors.where("collection = 'archive'").join(group.withColumnRenamed("id", "chunk_id"), "chunk_id").select("chunk_id", "embedding", "group")
     near = retrieval.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding", F.col("group").alias("qgroup")), c, 5, keep="group")
     return near.withColumn("rank", F.col("rank").cast("long"))
 
@@ -166,18 +171,69 @@ def novelty(v):
     return clusters.novelty(v.vectors, F.lit(NOW[:10]).cast("date")).select("id", F.round("nov", 6).alias("nov"))
 
 
-@query("""
-WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings),
-s AS (SELECT q.query_id, q.label AS want, e.label, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings e WHERE e.vec_id <> q.query_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s), t AS (SELECT query_id, min(rank) FILTER (WHERE label = want) AS rank FROM r WHERE rank <= 10 GROUP BY query_id)
-SELECT 'vector' AS mode, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((rank <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce((rank <= 10)::INT, 0)), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM t""")
+_TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all(strip_accents(lower(title)), '" + TOKENS + "'), lambda x: trim(x, '.-')), lambda x: length(x) >= 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in text.SEARCH_STOPWORDS) + ")))"
+_PAIRS = f"""pairs AS (SELECT b.id AS query_id, p.id AS target, {_TERMS.replace("title", "b.title")} AS terms, e.embedding FROM items b JOIN items p ON p.paper_key = b.paper_key AND p.kind = 'paper' AND b.kind = 'article' JOIN vectors c ON c.chunk_id = p.id AND c.collection = 'archive' JOIN embeddings e ON e.vec_id = b.id)"""
+
+
+def _pairs(v: Views) -> DataFrame:
+    pairs = lists.eval_pairs(v.items, v.vectors.where("collection = 'archive'"))
+    return pairs.join(v.raw("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+
+
+@query("WITH " + _PAIRS + " SELECT query_id, target, len(terms) AS terms FROM pairs", "items", "vectors")
+def eval_pairs(v):
+    return _pairs(v).select("query_id", "target", F.size(text.search_terms(F.col("title"))).cast("long").alias("terms"))
+
+
+@query(f"""
+WITH {_PAIRS}, tok AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{TOKENS}') AS t FROM documents), len_ AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM tok),
+post AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS n FROM tok) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+arch AS (SELECT chunk_id, embedding FROM vectors JOIN documents ON doc_id = chunk_id WHERE collection = 'archive'), asked AS (SELECT query_id, unnest(terms) AS term FROM pairs),
+sc AS (SELECT query_id, doc_id AS chunk_id, round(sum(greatest(1e-6, ln((total - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term), len_ GROUP BY 1, 2),
+f AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc SEMI JOIN arch USING (chunk_id) WHERE chunk_id <> query_id QUALIFY rank <= 50),
+w AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(p.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) DESC, chunk_id) AS rank FROM pairs p, arch a WHERE chunk_id <> query_id QUALIFY rank <= 50),
+h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, chunk_id) AS rank FROM (SELECT * FROM f UNION ALL SELECT * FROM w) GROUP BY 1, 2),
+m AS (SELECT 'fts' AS mode, * FROM f UNION ALL SELECT 'vector', * FROM w UNION ALL SELECT 'hybrid', * FROM h),
+r AS (SELECT modes.mode, p.query_id, m.rank FROM pairs p CROSS JOIN (SELECT unnest(['fts', 'vector', 'hybrid']) AS mode) modes LEFT JOIN m ON m.mode = modes.mode AND m.query_id = p.query_id AND m.chunk_id = p.target AND m.rank <= 10)
+SELECT mode, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((rank <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce((rank <= 10)::INT, 0)), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r GROUP BY mode""", "items", "vectors")
 def retrieval_eval(v):
-    """A query's target is the first neighbour with its label."""
-    c = v.vectors.select("chunk_id", "embedding", "label")
-    near = retrieval.knn(c.select(F.col("chunk_id").alias("query_id"), "embedding"), c, 10, keep="other")
-    both = near.join(c.select("chunk_id", "label"), "chunk_id").join(c.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("want")), "query_id")
-    ranks = both.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("want"), F.col("rank"))).alias("rank"))
-    return retrieval.evaluate(ranks.withColumn("mode", F.lit("vector")))
+    """An article asks with its title and vector for the paper that it is about: keyword, vector and hybrid search over the archive, the article left out."""
+    archive = v.passages.where("collection = 'archive'").withColumn("item_id", F.col("chunk_id"))
+    return retrieval.evaluate(retrieval.search_ranks(_pairs(v).withColumn("text", F.col("title")), v.index, archive))
+
+
+_WITHIN = "collection = 'archive' AND kind = 'article' AND source_id IN ('src1', 'src2', 'src3', 'src4') AND published_day >= DATE '2023-12-10' AND published_day <= DATE '2024-01-25' AND item_id NOT IN (6, 30)"
+_FILTER = retrieval.SearchFilter(collections=("archive",), kinds=("article",), sources=("src1", "src2", "src3", "src4"), day_from=date(2023, 12, 10), day_to=date(2024, 1, 25), read_since=date(2023, 11, 20), exclude=(6, 30))
+_FOUND = _BM25 + f""", f AS (SELECT chunk_id, row_number() OVER (ORDER BY round(s, 6) DESC, chunk_id) AS rank FROM sc JOIN passages ON chunk_id = doc_id WHERE {_WITHIN} ORDER BY rank LIMIT 50),
+w AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM passages e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE {_WITHIN} AND read_day >= DATE '2023-11-20') ORDER BY rank LIMIT 50) """
+_SIDES = {"fts": "SELECT chunk_id, rank AS fts_rank, NULL::BIGINT AS vec_rank, NULL::DOUBLE AS similarity FROM f", "vector": "SELECT chunk_id, NULL::BIGINT AS fts_rank, rank AS vec_rank, similarity FROM w", "hybrid": "SELECT coalesce(f.chunk_id, w.chunk_id) AS chunk_id, f.rank AS fts_rank, w.rank AS vec_rank, similarity FROM f FULL JOIN w ON f.chunk_id = w.chunk_id"}
+
+
+def _search_sql(mode: str) -> str:
+    return _FOUND + f", h AS (SELECT *, round(coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vec_rank), 0), 9) AS score FROM ({_SIDES[mode]})), r AS (SELECT chunk_id, chunk_id - chunk_id % 2 AS item_id, fts_rank, vec_rank, similarity, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM h ORDER BY rank LIMIT 20) "
+
+
+def _search(v: Views, mode: str) -> DataFrame:
+    found = retrieval.search(v.passages, v.index, " ".join(WORDS), None if mode == "fts" else _probe(v), _FILTER, mode, 20)
+    ranks = [F.col(c).cast("long").alias(c) for c in ("fts_rank", "vec_rank", "rank")]
+    return found.select("chunk_id", "item_id", *ranks, "similarity", F.round("score", 9).alias("score"))
+
+
+def _search_query(mode: str) -> None:
+    def run(v: Views) -> DataFrame:
+        return _search(v, mode)
+
+    run.__name__ = f"search_{mode}"
+    query(_search_sql(mode) + "SELECT * FROM r", "passages")(run)
+
+
+for _mode in _SIDES:
+    _search_query(_mode)
+
+
+@query(_search_sql("hybrid") + "SELECT item_id, row_number() OVER (ORDER BY min(rank)) AS place FROM r GROUP BY item_id", "passages")
+def item_order(v):
+    return retrieval.item_order(_search(v, "hybrid")).withColumn("place", F.col("place").cast("long"))
 
 
 # Clusters

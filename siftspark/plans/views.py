@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_line, word_count
+from ..operators import retrieval
+from ..operators.storage import fingerprint, new_folder
 
+_INDEXES: dict[tuple[str, str], str] = {}
 NOW = "2024-01-31 00:00:00"
 EPOCH = "2024-01-01"
 
@@ -90,6 +93,22 @@ class Views:
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label", F.expr("CASE WHEN vec_id % 3 = 0 THEN 'archive' ELSE 'content' END").alias("collection"), F.date_sub(F.lit(NOW[:10]).cast("date"), F.expr("int(vec_id % 60)")).alias("published_day"), F.when(F.col("vec_id") % 4 == 1, F.date_sub(F.lit(NOW[:10]).cast("date"), F.expr("int(vec_id % 90)"))).alias("read_day"))
 
+    @cached_property
+    def index(self) -> retrieval.Index:
+        """The documents' postings: written once for each state of the table, then read."""
+        what = (self.spark.sparkContext.applicationId, fingerprint(self.spark, f"{self.path}/documents.parquet"))
+        if what not in _INDEXES:
+            folder = new_folder(self.spark, "postings")
+            retrieval.write_index(self.raw("documents"), "doc_id", F.col("text"), folder)
+            _INDEXES[what] = folder
+        return retrieval.open_index(self.spark, _INDEXES[what])
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        """Passages with what a search filters by; two neighbouring ids are passages of one item."""
+        of = self.raw("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), F.expr("CASE WHEN doc_id % 4 = 0 THEN 'paper' ELSE 'article' END").alias("kind"))
+        return self.vectors.join(of, "chunk_id").withColumn("item_id", F.expr("chunk_id - chunk_id % 2"))
+
     @cached_property
     def usage(self) -> DataFrame:
         return self.interactions.select("id", "ts", F.to_date("ts").alias("day"), (F.col("k") * 100).cast("long").alias("tokens_in"), (F.col("k") * 10).cast("long").alias("tokens_out"), (F.col("value") / 1000).alias("cost_usd"))
@@ -109,6 +128,7 @@ VIEW_SQL: dict[str, str] = {
     "digests": """SELECT id AS item_id, first_seen::DATE AS day, (id % 97)::DOUBLE / 97 AS final_score FROM items WHERE id % 5 = 0 UNION ALL SELECT id, first_seen::DATE + 1, (id % 89)::DOUBLE / 89 FROM items WHERE id % 10 = 0""",
     "sources": """SELECT DISTINCT source AS id, 'Source ' || substr(source, 4, 9) AS name, CASE substr(source, 4)::INT % 4 WHEN 0 THEN 'hf_papers' WHEN 1 THEN 'hf_blog' WHEN 2 THEN 'hf_community' ELSE 'rss' END AS recipe_type, CASE WHEN substr(source, 4)::INT % 3 = 0 THEN 'builtin' ELSE 'user' END AS origin, substr(source, 4)::INT % 6 <> 5 AS enabled FROM documents""",
     "vectors": """SELECT vec_id AS chunk_id, embedding, label, CASE WHEN vec_id % 3 = 0 THEN 'archive' ELSE 'content' END AS collection, DATE '2024-01-31' - (vec_id % 60)::INT AS published_day, CASE WHEN vec_id % 4 = 1 THEN DATE '2024-01-31' - (vec_id % 90)::INT END AS read_day FROM embeddings""",
+    "passages": """SELECT v.*, source AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'paper' ELSE 'article' END AS kind, chunk_id - chunk_id % 2 AS item_id FROM vectors v JOIN documents ON doc_id = chunk_id""",
     "usage": """SELECT id, ts, ts::DATE AS day, k * 100 AS tokens_in, k * 10 AS tokens_out, value / 1000 AS cost_usd FROM interactions""",
     "latest_signals": """SELECT item_id, max(observed_on) AS observed_on, arg_max(struct_pack(u := upvotes, u7 := upvotes7d, c := comments), observed_on) AS s FROM signals GROUP BY 1""",
     "latest_digests": """SELECT item_id, max(day) AS day, arg_max(final_score, day) AS final_score FROM digests GROUP BY 1""",
@@ -116,7 +136,7 @@ VIEW_SQL: dict[str, str] = {
         st.read_at IS NOT NULL AS opened, coalesce(st.read_progress, 0) AS read_progress, c.words, CASE WHEN c.words > 0 THEN greatest(1, round_even(c.words / 230.0, 0)::INT) END AS minutes, ld.final_score AS score, t.relevance, coalesce(t.tags, []) AS tags, coalesce(t.flags, []) AS flags
         FROM items i LEFT JOIN item_state st ON st.item_id = i.id LEFT JOIN contents c ON c.item_id = i.id AND c.status = 'ok' LEFT JOIN latest_signals ls ON ls.item_id = i.id LEFT JOIN latest_digests ld ON ld.item_id = i.id LEFT JOIN triage t ON t.item_id = i.id""",
 }
-_USES = {"signals": ["interactions"], "item_state": ["interactions"], "digests": ["items"], "usage": ["interactions"], "latest_signals": ["signals"], "latest_digests": ["digests"], "listed": ["items", "item_state", "contents", "latest_signals", "latest_digests", "triage"]}
+_USES = {"passages": ["vectors"], "signals": ["interactions"], "item_state": ["interactions"], "digests": ["items"], "usage": ["interactions"], "latest_signals": ["signals"], "latest_digests": ["digests"], "listed": ["items", "item_state", "contents", "latest_signals", "latest_digests", "triage"]}
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

@@ -41,7 +41,15 @@ def test_markdown(spark):
 
 def test_addresses(spark):
     c = one(spark, address.canonical_url(F.col("t")), "HTTP://Ex.org:80/a/?b=2&a=1&utm_x=1#f", "ex.org", "https://ex.org/?ref=z", "ex.org/?next=https://y")
-    assert c == ["http://ex.org/a?a=1&b=2", "https://ex.org/", "https://ex.org/", "https://ex.org/?next=https://y"]
+    assert c == ["http://ex.org/a?a=1&b=2", "https://ex.org/", "https://ex.org/", "https://ex.org/?next=https%3A%2F%2Fy"]
+    same = {  # what it is -> its canonical form
+        "https://e.org/?a=1&a-b=1": "https://e.org/?a=1&a-b=1", "//e.org/x": "https://e.org/x", "https://e.org/?q=a+b": "https://e.org/?q=a+b", "https://e.org/?q=a%20b": "https://e.org/?q=a+b",
+        "https://e.org:8080/x//": "https://e.org:8080/x", "https://e.org:443": "https://e.org/", "http://user:p@H.org/a?x&y=": "http://h.org/a?x=&y=", "http://[::1": "http://[::1", "https://e.org:ab/x ": "https://e.org:ab/x",
+        "https://e.org:99999/x": "https://e.org:99999/x", "mailto:a@b.c": "mailto:a@b.c", "/x/y/": "https:///x/y", "https://e.org/?k=%7E*%zz&é=ü": "https://e.org/?k=~%2A%25zz&%C3%A9=%C3%BC", "https://e.org/a?b=c=d&&a==1": "https://e.org/a?a=%3D1&b=c%3Dd",
+        "host:8080/x": "https://host:8080/x", "https://e.org/a#b?c": "https://e.org/a", "https://e.org/?B=1&a=2&UTM_Q=3&Ref=4": "https://e.org/?B=1&a=2",
+    }
+    assert one(spark, address.canonical_url(F.col("t")), *same) == list(same.values())
+    assert one(spark, text.inert_url(F.col("t")), "https://a/x\ny\tz", "https://a/\u200b\u2028é", "HTTPS://a/^`|<>", "http://[::1]/x", "http://[::1", "java\nscript:x") == ["https://a/x%0Ay%09z", "https://a/%E2%80%8B%E2%80%A8é", "HTTPS://a/%5E%60%7C%3C%3E", "http://[::1]/x", None, None]
     assert one(spark, address.paper_id(F.col("t")), "see arXiv: 2401.01234v2", "https://arxiv.org/pdf/2401.1234", "none") == ["2401.01234", "2401.1234", None]
     assert one(spark, address.slug(F.col("t")), "A  b!C", "--") == ["a-b-c", "source"]
     assert one(spark, address.page_url(F.col("t")), "ex.org", "https://ex.org/a", "mailto:x@y") == ["https://ex.org/", "https://ex.org/a", None]

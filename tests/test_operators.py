@@ -1,9 +1,11 @@
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftspark.operators import chunks, clusters, guard, lists, order, ranking, retrieval, state
+from siftspark.operators.storage import new_folder
 from siftspark.streaming import incremental
 
 
@@ -30,8 +32,37 @@ def test_knn_blocks(spark, monkeypatch):
     c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_id long, embedding array<float>")
     q = c.select(F.col("chunk_id").alias("query_id"), "embedding")
     whole = sorted(map(tuple, retrieval.knn(q, c, 3, keep="other").collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BYTES", 7 * 8192)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
     assert sorted(map(tuple, retrieval.knn(q, c, 3, keep="other").collect())) == whole and len(whole) == 60
+    odd = spark.createDataFrame([(100, None), (101, [0.0, 0.0]), (102, [1.0, None]), (103, [float("nan"), 1.0]), (104, [1.0, 2.0, 3.0]), (105, [1.0, 2.0, 3.5])], "chunk_id long, embedding array<float>")
+    more = {}
+    for r in retrieval.knn(q.union(odd), c.union(odd), 3, keep="other").collect():
+        more.setdefault(r.query_id, []).append(r.chunk_id)
+    assert sum(len(more[i]) for i in range(20)) == 60 and more[104] == [105] and more[105] == [104] and not {100, 101, 102, 103} & set(more)
+
+
+def test_knn_ties():
+    s = np.array([[0.5, 0.5, 0.9, 0.5], [0.1, 0.2, 0.3, 0.4]])
+    ids = np.array([9, 3, 7, 5])
+    assert sorted(ids[retrieval._best(s, ids, 2)[0]]) == [3, 7] and sorted(ids[retrieval._best(s, ids, 2)[1]]) == [5, 7]
+
+
+def test_search_modes(spark):
+    p = spark.createDataFrame([(1, "archive", "a", "article", [1.0, 0.0], "red fox"), (2, "archive", "b", "paper", [0.9, 0.1], "red hen"), (3, "content", "a", "article", [0.0, 1.0], "blue fox")], "chunk_id long, collection string, source_id string, kind string, embedding array<double>, text string").selectExpr("*", "chunk_id AS item_id", "DATE '2024-01-01' AS published_day", "CAST(NULL AS DATE) AS read_day")
+    folder = new_folder(spark, "test-index")
+    retrieval.write_index(p, "chunk_id", F.col("text"), folder)
+    index = retrieval.open_index(spark, folder)
+    ids = lambda **k: [r.chunk_id for r in retrieval.search(p, index, "the red fox", **k).orderBy("rank").collect()]
+    assert ids(mode="fts")[0] == 1 and set(ids(mode="fts")) == {1, 2, 3} and ids(mode="vector", vector=[1.0, 0.0]) == [1, 2, 3]
+    assert ids(mode="fts", f=retrieval.SearchFilter(collections=("content",))) == [3] and ids(vector=[1.0, 0.0], f=retrieval.SearchFilter(exclude=(1,), sources=("a",))) == [3]
+    assert ids(mode="vector", vector=[1.0, 0.0], f=retrieval.SearchFilter(read_since=datetime(2024, 1, 1).date())) == [] and ids(mode="vector", vector=p.where("chunk_id = 9")) == []
+    for bad in ({"mode": "hybrid"}, {"mode": "vector", "vector": [1.0], "problem": "mixed models"}):
+        with pytest.raises(retrieval.VectorsUnavailable):
+            ids(**bad)
+    with pytest.raises(ValueError):
+        ids(mode="other")
+    with pytest.raises(ValueError):
+        retrieval.enough_pairs(p)
 
 
 def test_components(spark):
@@ -96,6 +127,27 @@ def test_citations():
     assert guard.checked("a [[7]9] b", 9) == ("a b", [], ["[[7]9]"])
     assert guard.checked("see [note] [2-9] 【 1 】​.", 3) == ("see [note] [1].", [1], ["[2-9]"])
     assert guard.checked(None, 3) == ("", [], [])
+    for text, count, want in (
+        ("[1[x9]2] [[a] 7] [b [1] c]", 12, ("[12] [[a] 7] [b [1] c]", [12, 1], ["[x9]"])),
+        ("[[a9] 5x] [7]", 3, ("", [], ["[a9]", "7", "[ 5x]"])),
+        ("open [1 and ] 2] [3", 3, ("open 2] [3", [], ["[1 and ]"])),
+        ("[2, 2,1] \ue000 [0001] .", 2, ("[2, 1] \ue000 [1].", [2, 1], [])),
+        ("[١] [12345]", 2, ("", [], ["[١]", "[12345]"])),
+    ):
+        assert guard.checked(text, count) == want
+    many = "[1]" * 9000
+    assert guard.checked(many, 1) == (many, [1], [])
+
+
+def test_chunk_sections():
+    """Sections of one name stay apart; passages overlap after prose alone, and long sentences are cut at blanks."""
+    assert [(s, t) for s, t, *_ in chunks.chunk("# A\none\n# A\ntwo")] == [("A", "one"), ("A", "two")]
+    long = "word " * 1000
+    got = chunks.chunk(long)
+    assert [(a, b) for _, _, a, b in got] == [(0, 1999), (1760, 3994), (3755, 4999)]
+    code = "```\n" + "x\n" * 1500 + "```\n"
+    got = chunks.chunk("intro here.\n\n" + code + "\nafter.")
+    assert [t[:5] for _, t, *_ in got] == ["intro", "intro", "after"] and got[1][1].endswith("```")
 
 
 def test_summary(spark):
