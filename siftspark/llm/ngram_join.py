@@ -35,7 +35,7 @@ numbers. There is one pair a set, however large a family is, and in a group of
 near copies these links already connect almost all.
 
 The rest. What isn't in the largest part that its family then has is compared with
-all sets of the family, in units of a block of these by a block of all: a unit
+all sets of the family, in units of a block of these by a block of any: a unit
 sums the partial overlaps of its pairs fragment by fragment, tests them, and
 returns a spanning forest of the links. The components of both are those of all
 links.
@@ -60,7 +60,7 @@ from .common import checkpoint, components, join_hot, keyed, on_key, packed, tab
 SIZE, PERCENT = 5, 80
 SPARE = 3
 FRAGMENTS = 4
-BLOCK = 128
+BLOCK = 1024
 COLUMNS = 4096
 SAMPLE, SKETCH_BITS, FEW = 20_000, 22, 8
 CHUNK = 1 << 19
@@ -248,8 +248,8 @@ def _partial(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "na", "nb")], pa.array(out)], names=["a", "b", "na", "nb", "o"])
 
 
-def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
-    """Sizes of the intersections of the first left sets with the others, fragment after fragment of the order of their elements."""
+def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of sets (of the first left with the others, if given), fragment after fragment of the order of their elements."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat := np.concatenate(sets), kind="stable")
     flat, owner = flat[order], owner[order]
@@ -257,24 +257,25 @@ def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
     col = np.cumsum(new) - 1
     shared = np.bincount(col)[col] > 1
     col, owner = np.unique(col[shared], return_inverse=True)[1], owner[shared]
-    total = np.zeros((left, len(sets) - left), np.float32)
+    a, b = (slice(None), slice(None)) if left is None else (slice(0, left), slice(left, None))
+    total = np.zeros((len(sets) if left is None else left, len(sets) - (left or 0)), np.float32)
     for start in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
         i, j = np.searchsorted(col, [start, start + COLUMNS])
         part = np.zeros((len(sets), min(COLUMNS, int(col.max()) + 1 - start)), np.float32)
         part[owner[i:j], col[i:j] - start] = 1
-        total += part[:left] @ part[left:].T
+        total += part[a] @ part[b].T
     return total.astype(np.int64)
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what links of the first left sets with the others connect: of each set with the first of its local component."""
+def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int | None, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what links connect: of each set with the first of its local component."""
     n = np.array([len(s) for s in sets])
     o = overlaps(sets, left)
-    link = 100 * o >= percent * (n[:left, None] + n[None, left:] - o)
-    node, own = np.unique(ids, return_inverse=True)
+    na, nb = (n, n) if left is None else (n[:left], n[left:])
+    link = 100 * o >= percent * (na[:, None] + nb[None, :] - o)
     i, j = np.nonzero(link)
-    i, j = own[i], own[j + left]
-    label = np.arange(len(node))
+    j = j + (left or 0)
+    label = np.arange(len(ids))
     while True:
         low = np.minimum(label[i], label[j])
         after = label.copy()
@@ -284,44 +285,44 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], left: int, percent: int) ->
         if (after == label).all():
             break
         label = after
-    moved = np.flatnonzero(label != np.arange(len(node)))
-    return [(int(node[x]), int(node[label[x]])) for x in moved]
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return [(int(ids[x]), int(ids[label[x]])) for x in moved]
 
 
 def _count(percent: int):
-    """Rows sorted by family, i, j, other, set, frag; other tells the sets of block j of all from those of block i of the rest."""
+    """Rows sorted by family, i, j, own, set, frag: the sets of block i and those of block j."""
 
     def run(batches):
-        def solve(rows):
+        def solve(key, rows):
             ids, sets, left, last = [], [], 0, None
-            for s, other, part in rows:
-                if (s, other) != last:
+            for s, own, part in rows:
+                if s != last:
                     ids.append(s)
                     sets.append([])
-                    left += not other
-                    last = (s, other)
+                    left += own == key[1]
+                    last = s
                 sets[-1].append(np.frombuffer(part, np.uint64))
-            if left in (0, len(ids)):
+            if len(ids) < 2 or key[1] != key[2] and left in (0, len(ids)):
                 return []
-            return _forest(np.array(ids), [np.concatenate(x) for x in sets], left, percent)
+            return _forest(np.array(ids), [np.concatenate(x) for x in sets], None if key[1] == key[2] else left, percent)
 
         def emit(edges):
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
         key, rows, edges = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "other", "part")]
-            for f, i, j, s, other, part in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "own", "part")]
+            for f, i, j, s, own, part in zip(*cols, strict=True):
                 if (f, i, j) != key:
                     if rows:
-                        edges += solve(rows)
+                        edges += solve(key, rows)
                     key, rows = (f, i, j), []
-                rows.append((s, other, part))
+                rows.append((s, own, part))
             if len(edges) > 10_000:
                 yield emit(edges)
                 edges = []
         if rows:
-            edges += solve(rows)
+            edges += solve(key, rows)
         yield emit(edges)
 
     return run
@@ -381,15 +382,15 @@ def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int
     known = family.join(components(sure).withColumnsRenamed({"node": "set", "comp": "known"}), "set", "left").select("set", "family", F.coalesce("known", "set").alias("known"))
     per = known.groupBy("family", "known").agg(F.count("*").alias("m"))
     main = per.groupBy("family").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.sum("m").alias("members"), F.max("m").alias("most")).where("most < members")
-    block = f"greatest({BLOCK}, least(4096, members div 24))"
-    main = main.select("family", "main", F.expr(f"int(ceil(members / {block}))").alias("columns"), F.expr(f"int(ceil((members - most) / {block}))").alias("rows"))
-    left = checkpoint(join_hot(known, main, ["family"]).withColumn("rest", F.col("known") != F.col("main")))
-    spread = lambda k: F.expr(f"pmod(xxhash64(set), {k})").cast("int")
-    right = left.select("set", "family", F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), spread("columns").alias("j"), F.lit(True).alias("other"))
-    minor = left.where("rest").select("set", "family", spread("rows").alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"), F.lit(False).alias("other"))
-    dealt = right.union(minor).join(parts.select("set", "frag", "part"), "set")
+    block = f"greatest({BLOCK}, least({2 * BLOCK}, members div 24))"
+    main = main.select("family", "main", F.expr(f"int(ceil((members - most) / {block}))").alias("rows"), F.expr(f"int(ceil(most / {block}))").alias("columns"))
+    left = join_hot(known, main, ["family"]).withColumn("apart", F.col("known") != F.col("main"))
+    # Blocks 0 .. rows - 1 are of what stands apart, the others of the main part, whose pairs are known.
+    left = checkpoint(left.withColumn("own", F.expr("int(if(apart, pmod(xxhash64(set), rows), rows + pmod(xxhash64(set), columns)))")).withColumn("last", F.expr("if(apart, rows + columns, rows) - 1")))
+    dealt = left.withColumn("to", F.explode(F.expr("sequence(0, last)"))).select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "set")
     unit = ["family", "i", "j"]
-    rest = dealt.repartition(*unit).sortWithinPartitions(*unit, "other", "set", "frag").mapInArrow(_count(percent), "a long, b long")
+    units = dealt.join(parts.select("set", "frag", "part"), "set").repartition(*unit).sortWithinPartitions(*unit, "own", "set", "frag")
+    rest = units.mapInArrow(_count(percent), "a long, b long")
     return sure.union(rest)
 
 
