@@ -96,3 +96,19 @@ def feed_candidates(url: Column) -> Column:
     root = F.array(*[F.concat(origin, F.lit(p)) for p in FEED_PATHS])
     below = F.array(*[F.concat(origin, prefix, F.lit(p)) for p in PREFIXED_FEED_PATHS])
     return F.array_distinct(F.when(prefix == "", root).otherwise(F.concat(root, below)))
+
+
+def homepage(recipe_url: Column, claimed: Column) -> Column:
+    """The homepage that is kept with a recipe: the path and query of the claimed one if it is http(s) on the recipe's own host, else the host's root.
+
+    Scheme aside, the site is always the recipe's: a claimed port or user never gets in."""
+    site = F.regexp_extract(recipe_url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = lambda netloc: F.lower(F.regexp_replace(F.regexp_replace(netloc, F.lit(r"^.*@"), F.lit("")), F.lit(r":\d*$"), F.lit("")))
+    c = F.trim(claimed)
+    scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    theirs = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    path = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(c, r"^[^?#]*(\?[^#]+)", 1)
+    root = F.concat(F.regexp_extract(recipe_url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1), site, F.lit("/"))
+    ours = scheme.isin("http", "https") & (host(theirs) == host(site)) & (site != "")
+    return F.when(ours, F.concat(scheme, F.lit("://"), site, F.when(path == "", "/").otherwise(path), query)).otherwise(root)

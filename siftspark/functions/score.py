@@ -74,3 +74,17 @@ def signal_notes(upvotes: Column, upvotes7d: Column, stars: Column, comments: Co
 
 def price(tokens_in: Column, tokens_out: Column, per_in: Column, per_out: Column) -> Column:
     return (tokens_in * per_in + tokens_out * per_out) / F.lit(1e6)
+
+
+def shown(x: Column) -> Column:
+    """A term of a breakdown as it is kept: four places, halves to even."""
+    return F.bround(x, 4)
+
+
+def ago(seconds: Column) -> Column:
+    """How long ago, in the largest unit that fits: just now, 5m, 3h, 2d, 4w."""
+    steps = ((604800, "w"), (86400, "d"), (3600, "h"), (60, "m"))
+    out = F.lit("just now")
+    for size, unit in reversed(steps):
+        out = F.when(seconds >= size, F.concat(F.floor(seconds / size).cast("string"), F.lit(unit))).otherwise(out)
+    return out

@@ -10,6 +10,7 @@ from ..functions.text import index_tokens, topic_tokens
 from .lists import HIDING, latest
 from .order import number_rows
 from .retrieval import K1, B, IDF_FLOOR
+from .storage import checkpoint
 
 # The signal that counts as popularity by kind of source, and weights by mode.
 POPULARITY = {"hf_papers": "upvotes", "hf_blog": "upvotes7d", "hf_community": "upvotes7d"}
@@ -23,24 +24,30 @@ ALPHA, BETA = 1.0, 10.0
 
 
 def mid_rank(value: str, *by: str) -> Column:
-    """Share of the partition strictly below, plus half of the ties (the row itself included)."""
+    """Share of the partition strictly below, plus half of the ties (the row itself included). One task holds a partition: see mid_ranks."""
     part = Window.partitionBy(*by)
     return (F.rank().over(part.orderBy(value)) - 1 + 0.5 * F.count("*").over(Window.partitionBy(*by, value))) / F.count("*").over(part)
 
 
-def popularity(items: DataFrame, sources: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
-    """item_id, pop: percentile within the source among items of the last 30 days.
+def mid_ranks(rows: DataFrame, value: str, by: str, name: str) -> DataFrame:
+    """rows with mid_rank() of value by a key. The windows run over ranges of distinct values, then over the sums of the ranges: no task holds the rows of a key, nor all its values."""
+    counts = rows.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    parts = counts.repartitionByRange(by, value).withColumn("_part", F.spark_partition_id())
+    parts = checkpoint(parts.withColumn("_in", F.sum("_n").over(Window.partitionBy("_part", by).orderBy(value)) - F.col("_n")))
+    sums = parts.groupBy(by, "_part").agg(F.sum("_n").alias("_s"))
+    before = sums.select(by, "_part", (F.sum("_s").over(Window.partitionBy(by).orderBy("_part")) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(by)).alias("_all"))
+    at = parts.join(before, [by, "_part"]).select(by, value, ((F.col("_before") + F.col("_in") + 0.5 * F.col("_n")) / F.col("_all")).alias(name))
+    return rows.join(at, [by, value])
+
 
-    Values are counted first, so that the windows run over a source's distinct values, not its items."""
+def popularity(items: DataFrame, sources: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
+    """item_id, pop: percentile within the source among items of the last 30 days."""
     pick = F.lit(None).cast("long")
     for kind, signal in POPULARITY.items():
         pick = F.when(F.col("recipe_type") == kind, F.col(signal)).otherwise(pick)
     recent = items.where(F.col("first_seen") >= now - F.expr("INTERVAL 30 DAYS"))
-    have = recent.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "recipe_type")), "source_id").join(latest(signals, "item_id", "observed_on"), F.col("id") == F.col("item_id")).select("id", "source_id", pick.alias("value")).where("value IS NOT NULL")
-    counts = have.groupBy("source_id", "value").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("source_id").orderBy("value")
-    at = (F.sum("n").over(run) - F.col("n") + 0.5 * F.col("n")) / F.sum("n").over(Window.partitionBy("source_id"))
-    return have.join(counts.select("source_id", "value", at.alias("pop")), ["source_id", "value"]).select(F.col("id").alias("item_id"), "pop")
+    have = recent.join(sources.select(F.col("id").alias("source_id"), "recipe_type"), "source_id").join(latest(signals, "item_id", "observed_on"), F.col("id") == F.col("item_id")).select("id", "source_id", pick.alias("value")).where("value IS NOT NULL")
+    return mid_ranks(have, "value", "source_id", "pop").select(F.col("id").alias("item_id"), "pop")
 
 
 def liked_terms(items: DataFrame, state: DataFrame, limit: int = LIKED_TERMS) -> DataFrame:
@@ -88,6 +95,44 @@ def source_affinity(items: DataFrame, state: DataFrame) -> DataFrame:
     return rates.crossJoin(F.broadcast(rates.agg(F.max("rate").alias("best")))).select("source_id", "likes", "seen", (F.col("rate") / F.col("best")).alias("source"))
 
 
+def mode_of(ai: bool, state: DataFrame) -> str:
+    """'ai' where there are relevances, 'likes' where something is liked and not hidden, else 'cold'."""
+    return "ai" if ai else "cold" if state.where("liked AND NOT hidden").isEmpty() else "likes"
+
+
+def like_affinity(items: DataFrame, cands: DataFrame, state: DataFrame, limit: int = LIKED_TERMS) -> tuple[DataFrame | None, DataFrame, DataFrame] | None:
+    """(topic, source, matched) of a day's candidates, or None where nothing is liked; topic is None where no liked term is useful.
+
+    Terms are `limit` at most. BM25 counts all items; the best of the candidates is 1; terms are named only where the topic isn't 0."""
+    if state.where("liked AND NOT hidden").isEmpty():
+        return None
+    terms = [r.term for r in liked_terms(items, state, limit).collect()]
+    if not terms:
+        return None, source_affinity(items, state), cands.select("id", F.array().cast("array<string>").alias("matched"))
+    mine = topic_scores(items, terms).join(cands.select("id"), "id", "left_semi")
+    best = mine.agg(F.max("topic").alias("best"))
+    topic = mine.crossJoin(F.broadcast(best)).select("id", F.when(F.col("best") > 0, F.col("topic") / F.col("best")).otherwise(F.lit(0.0)).alias("topic"))  # best is one row
+    named = matched_terms(cands, terms).join(topic, "id").select("id", F.when(F.col("topic") > 0, F.col("matched")).otherwise(F.array().cast("array<string>")).alias("matched"))
+    return topic, source_affinity(items, state), named
+
+
+def build_digest(items: DataFrame, digests: DataFrame, triage: DataFrame, state: DataFrame, pop: DataFrame, day: Column, now: Column, ai: bool, novelty: DataFrame | None = None) -> tuple[str, DataFrame]:
+    """(mode, the day's rows): day, item_id, position, final_score, hidden and the terms; see exports.replace_day for the write."""
+    cands = candidates(items, digests, day)
+    mode, more = mode_of(ai, state), {}
+    if mode == "ai":
+        more["novelty"] = novelty
+    elif mode == "likes":
+        more["topic"], more["source"], _ = like_affinity(items, cands, state)
+    ranked = digest(cands, triage, pop, now, mode, **more)
+    return mode, ranked.select(day.alias("day"), F.col("id").alias("item_id"), "position", F.col("final").alias("final_score"), "hidden", *[c for c in ranked.columns if c.startswith("t_")])
+
+
+def replaced_day(digests: DataFrame, built: DataFrame, day: Column) -> DataFrame:
+    """The digests after a day's was built: its rows in place of what that day had."""
+    return digests.where(~F.col("day").eqNullSafe(day)).unionByName(built.select(*digests.columns))
+
+
 def candidates(items: DataFrame, digests: DataFrame, day: Column) -> DataFrame:
     """Items first seen on a day that no earlier digest shows."""
     start = day.cast("timestamp_ntz")

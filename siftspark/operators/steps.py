@@ -6,18 +6,23 @@ A call is whatever function the caller brings; nothing here knows a provider.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import slug
+from ..functions.fences import fenced
 from ..functions.text import clip
+from .guard import checked
 from .lists import HIDING
 from .order import number_rows
 
 BATCH, SUMMARY, RETRY = 50, 600, "INTERVAL 1 HOUR"
 MOST_RECIPES = 5
+# Where a recipe holds its address.
+RECIPE_KEYS = ("url", "feed_url", "sitemap_url")
 
 
 def shuffled_batches(items: DataFrame, seed: int, size: int = BATCH) -> DataFrame:
@@ -121,3 +126,86 @@ def transcript(events: DataFrame, most: int = 200) -> DataFrame:
     parts = events.select("session", "pos", F.posexplode("parts").alias("at", "p"))
     said = F.when(F.col("p.kind") == "call", F.concat(F.lit("> "), "p.name", F.lit(" "), "p.text")).when(F.col("p.kind") == "reply", F.concat(F.lit("< "), "p.name", F.lit(" "), "p.text")).otherwise(F.col("p.text"))
     return parts.select("session", "pos", "at", clip(said, most).alias("line"))
+
+
+def find_by_recipe_url(sources: DataFrame, recipe: Column, url: str) -> DataFrame:
+    """id of the first source whose recipe has the address, under any of the keys that recipes use."""
+    hit = F.lit(False)
+    for key in RECIPE_KEYS:
+        hit |= F.coalesce(F.get_json_object(recipe, f"$.{key}") == url, F.lit(False))
+    return sources.where(hit).agg(F.min("id").alias("id")).where("id IS NOT NULL")
+
+
+def can_rediscover(origin: Column) -> Column:
+    return origin == "user"
+
+
+def rediscover_target(homepage: Column, recipe_url: Column, name: Column) -> Column:
+    """Where to look for a source anew: its homepage, else the site of its recipe, else its name."""
+    site = F.nullif(F.regexp_extract(recipe_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), F.lit(""))
+    return F.coalesce(F.nullif(homepage, F.lit("")), F.concat(site, F.lit("/")), name)
+
+
+def cached_summaries(summaries: DataFrame, wanted: DataFrame, version: str, model: str) -> DataFrame:
+    """Summaries of wanted items (item_id) by just this version of the prompt and model."""
+    return summaries.where((F.col("prompt_version") == version) & (F.col("model") == model)).join(wanted.select("item_id"), "item_id", "left_semi")
+
+
+def names_of(rows: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the name of their key, or the key itself where it has none."""
+    return rows.join(names.select(F.col("id").alias(key), F.col("name").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.col(key).cast("string")))
+
+
+def count_new(items: DataFrame, state: DataFrame, since: Column | None) -> DataFrame:
+    """n: items first seen after a visit that are neither opened nor hidden; 0 without a visit."""
+    if since is None:
+        return items.agg(F.lit(0).cast("long").alias("n"))
+    s = state.select(F.col("item_id").alias("id"), "read_at", "hidden")
+    return items.where(F.col("first_seen") > since).join(s, "id", "left").agg(F.count_if(F.col("read_at").isNull() & ~F.coalesce("hidden", F.lit(False))).alias("n"))
+
+
+def recipe_test(items: DataFrame, now: Column, most: int = 3) -> DataFrame:
+    """By recipe (run): how many items it found, why it is refused (null if it isn't), and the first samples. Only where all items are dated can the newest be too old."""
+    from pyspark.sql import Window
+
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy("rank")))
+    by = first.groupBy("run").agg(F.count("title").alias("found"), F.count("published_at").alias("dated"), F.max("published_at").alias("newest"), F.array_sort(F.collect_list(F.when((F.col("_n") <= most) & F.col("title").isNotNull(), F.struct("_n", "title")))).alias("s"))
+    stale = (F.col("dated") == F.col("found")) & (F.col("newest") < now - F.expr("INTERVAL 365 DAYS"))
+    why = F.when(F.col("found") == 0, "it found no items").when(stale, F.concat(F.lit("its newest item is of "), F.date_format("newest", "yyyy-MM-dd")))
+    return by.select("run", "found", why.alias("refused"), F.transform("s", lambda x: x["title"]).alias("samples"))
+
+
+@dataclass(frozen=True)
+class Answer:
+    text: str
+    passages: list[dict]
+    cited: list[int]
+    removed: list[str]
+    refused: str | None = None
+
+
+def ask(question: str, search: Callable[[str], DataFrame], passages: DataFrame, model: Callable[[str], str], ensure: Callable[[], None] = lambda: None, problem: Callable[[], str | None] = lambda: None, k: int = 8) -> Answer:
+    """An answer with checked citations from the k best passages (chunk_id, header, text) of a search; refused where the caller names a problem or nothing is found.
+
+    Only the passages shown come to the driver, k of them."""
+    if (why := problem()) is not None:
+        return Answer("", [], [], [], why)
+    ensure()
+    hits = search(question).where(F.col("rank") <= k).join(passages, "chunk_id").orderBy("rank").select("chunk_id", "rank", "header", "text").limit(k).collect()
+    if not hits:
+        return Answer("", [], [], [], "nothing was found")
+    shown = [{"n": n, **r.asDict()} for n, r in enumerate(hits, 1)]
+    numbered = "\n\n".join(f"[{p['n']}] {p['header']}\n{p['text']}" for p in shown)
+    text, cited, removed = checked(model(fenced([("Question:\n", False), (question, True), ("\n\nPassages:\n", False), (numbered, True)])), len(shown))
+    return Answer(text, shown, cited, removed)
+
+
+def prefetch(ids: Sequence[Any], steps: Sequence[Callable[[Any], bool]], problem: Callable[[], str | None]) -> tuple[list[Any], list[Any], str | None]:
+    """(done, failed, why it stopped): the steps of each id in order, until one says no; before each id the budget is asked."""
+    done: list[Any] = []
+    failed: list[Any] = []
+    for i in ids:
+        if (why := problem()) is not None:
+            return done, failed, why
+        (done if all(step(i) for step in steps) else failed).append(i)
+    return done, failed, None

@@ -262,7 +262,8 @@ def cluster_siblings(v):
     return clusters.siblings(clusters.cluster(v.items, clusters.partner_edges(v.items)))
 
 
-@query()
+@query("""WITH e AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM items a JOIN items b ON a.paper_key = b.paper_key AND a.id < b.id AND a.kind <> b.kind)
+SELECT i.id, coalesce(x.a, y.a) AS cluster_id FROM items i LEFT JOIN e x ON x.a = i.id LEFT JOIN e y ON y.b = i.id""", "items")
 def cluster_incremental(v):
     """Items of the second half join clusters of the first, which stay whole."""
     edges = clusters.partner_edges(v.items)
@@ -376,9 +377,9 @@ def needs_enrichment(v):
     return rows.orderBy(F.desc("first_seen"), F.desc("id")).limit(40).select("id", "title")
 
 
-@query("SELECT d.item_id, row_number() OVER (ORDER BY final_score DESC, d.item_id) AS n FROM digests d LEFT JOIN triage t ON t.item_id = d.item_id WHERE day = DATE '2024-01-30' AND NOT coalesce(list_has_any(flags, ['promo', 'thin']), false) ORDER BY n LIMIT 10", "digests", "triage")
+@query("SELECT d.item_id, row_number() OVER (ORDER BY final_score DESC, d.item_id) AS n FROM digests d LEFT JOIN triage t ON t.item_id = d.item_id WHERE day = DATE '2024-01-26' AND NOT coalesce(list_has_any(flags, ['promo', 'thin']), false) ORDER BY n LIMIT 10", "digests", "triage")
 def top_digest_items(v):
-    rows = v.digests.where(F.col("day") == F.lit("2024-01-30").cast("date")).join(v.triage.select("item_id", "flags"), "item_id", "left").where(~F.coalesce(lists.hidden_by_triage(), F.lit(False)))
+    rows = v.digests.where(F.col("day") == F.lit("2024-01-26").cast("date")).join(v.triage.select("item_id", "flags"), "item_id", "left").where(~F.coalesce(lists.hidden_by_triage(), F.lit(False)))
     return retrieval.top(rows, 10, F.desc("final_score"), F.asc("item_id"), rank="n").select("item_id", F.col("n").cast("long").alias("n"))
 
 
@@ -399,7 +400,7 @@ def popularity_percentile(v):
 
 @query("SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY event_type, value)) / count(*) OVER (PARTITION BY event_type), 6) AS p FROM events")
 def mid_rank_percentile(v):
-    return v.raw("events").select("event_id", F.round(ranking.mid_rank("value", "event_type"), 6).alias("p"))
+    return ranking.mid_ranks(v.raw("events").select("event_id", "event_type", "value"), "value", "event_type", "p").select("event_id", F.round("p", 6).alias("p"))
 
 
 _AFFINITY = """SELECT source_id, count(*) FILTER (WHERE liked AND NOT hidden) AS likes, count(*) FILTER (WHERE read_at IS NOT NULL OR liked) AS seen FROM items i LEFT JOIN item_state s ON s.item_id = i.id GROUP BY source_id"""
@@ -627,7 +628,11 @@ def control_strip(v):
     return v.raw("documents").select("doc_id", F.md5(text.strip_controls(noisy)).alias("text_md5"))
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(#|>|\||```|- |\* |\[image:|!)')),
+  lambda x: trim(regexp_replace(replace(regexp_replace(regexp_replace(x, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\\([\\`*_{}\[\]()#+\-.!|>])', '\1', 'g'), '**', ''), '\s+', ' ', 'g'))), lambda x: length(x) >= 80) AS p FROM documents),
+n AS (SELECT doc_id, p, list_transform(range(1, len(p) + 1), lambda i: list_sum(list_prepend(0, list_transform(p[1:i - 1], lambda x: length(x))))) AS before FROM b),
+t AS (SELECT doc_id, coalesce(array_to_string(list_filter(p, lambda x, i: before[i] < 300), ' '), '') AS t FROM n)
+SELECT doc_id, CASE WHEN length(t) <= 600 THEN t ELSE regexp_replace(substr(t, 1, 599), ' [^ ]*$', '') || '…' END AS lead FROM t""")
 def lead_paragraph(v):
     return v.raw("documents").select("doc_id", text.lead_paragraph(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("lead"))
 
@@ -746,9 +751,21 @@ def triage_batches(v):
     return steps.shuffled_batches(v.items.select("id"), 7)
 
 
-@query()
+_ONE_LINE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+def _clipped(column: str, most: int) -> str:
+    line = _ONE_LINE.format(column)
+    return f"CASE WHEN length({line}) <= {most} THEN {line} ELSE rtrim(substr({line}, 1, {most - 1})) || '…' END"
+
+
+@query(f"""WITH o AS (SELECT id, title, summary, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS n FROM items)
+SELECT n // 50 AS batch, string_agg(n % 50 || chr(9) || {_clipped("title", 200)} || chr(9) || {_clipped("summary", 600)}, chr(10) ORDER BY n) AS entries FROM o GROUP BY n // 50""", "items")
 def triage_payloads(v):
-    return steps.payloads(steps.shuffled_batches(v.items.select("id", "title", "summary"), 7))
+    """The payloads, read back from their JSON."""
+    made = steps.payloads(steps.shuffled_batches(v.items.select("id", "title", "summary"), 7))
+    entries = F.from_json("payload", "array<struct<idx: long, title: string, summary: string>>")
+    return made.select("batch", F.array_join(F.transform(entries, lambda e: F.concat_ws("\t", e["idx"].cast("string"), e["title"], e["summary"])), "\n").alias("entries"))
 
 
 @query("SELECT count(*) AS attempted, count(relevance) AS triaged, count(*) - count(relevance) AS failed, count(*) FILTER (WHERE list_has_any(flags, ['promo', 'thin'])) AS hidden FROM items LEFT JOIN triage ON item_id = id", "items", "triage")

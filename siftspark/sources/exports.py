@@ -33,8 +33,12 @@ def daily_lines(shown: DataFrame) -> DataFrame:
 
 def write_daily(documents: DataFrame, path: str) -> None:
     """One text file for each day, under path/day=..., replacing that day's."""
-    documents.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    documents.select("body", "day").repartition("day").write.mode("overwrite").partitionBy("day").option("lineSep", "\n").text(path)
+    documents.select("body", "day").repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").option("lineSep", "\n").text(path)
+
+
+def replace_day(digest: DataFrame, path: str) -> None:
+    """A day's digest (with its day) as the partition of that day, in place of what it was; other days stay."""
+    digest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

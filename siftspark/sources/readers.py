@@ -1,7 +1,8 @@
-"""A Python data source for captured payloads: spark.read.format("captured").load(folder).
+"""Captured payloads: spark.read.format("captured").load(folder), or captures() with what couldn't be read.
 
-A folder holds one JSON-lines file for each capture: {"source_id", "recipe", "url", "body"}.
-Every file is a partition, read where the task runs.
+A folder holds JSON-lines files of captures: {"source_id", "recipe", "url", "body"}. captures() reads them
+through Spark's own readers, from any store; the data source is for a folder that every machine sees at the
+same path.
 """
 
 from __future__ import annotations
@@ -9,12 +10,61 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import listings, markup
+
 SCHEMA = "source_id string, recipe string, url string, body string"
 
 
+def captures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(captures, malformed lines by file) of all files under a folder."""
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file"), "value").where("trim(value) <> ''")
+    read = lines.select("file", F.from_json("value", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    ok = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return read.where(ok).select("r.source_id", "r.recipe", "r.url", "r.body"), read.where(~ok).groupBy("file").agg(F.count("*").alias("malformed"))
+
+
+def _feed(rows: DataFrame) -> DataFrame:
+    return rows.select("source_id", F.inline(markup.parse_feed("body", "url"))).select("source_id", "rank", "ok", "url", "title", "published_at", "summary")
+
+
+def _posts(field: str, limit: int | None = None):
+    return lambda rows: listings.posts(rows, field, limit=limit, base="https://posts.example.org").select("source_id", "rank", "ok", "url", "title", "published_at", "summary")
+
+
+#: How the captures of a recipe become items: source_id, rank, ok, url, title, published_at, summary.
+ADAPTERS = {
+    "rss": _feed,
+    "hf_papers": lambda rows: listings.papers(rows).select("source_id", "rank", "ok", "url", "title", "published_at", "summary"),
+    "hf_blog": _posts("allBlogs"),
+    "hf_community": _posts("posts", 20),
+}
+
+
+class NothingUsable(ValueError):
+    """A capture without entries, or with malformed ones alone."""
+
+
+def scan(rows: DataFrame, recipe: str) -> DataFrame:
+    """The items in the captures of one recipe; a recipe without an adapter is an error."""
+    if recipe not in ADAPTERS:
+        raise ValueError(f"no adapter for {recipe}")
+    return ADAPTERS[recipe](rows.where(F.col("recipe") == recipe))
+
+
+def checked_scan(rows: DataFrame, recipe: str) -> DataFrame:
+    """scan() of what must hold something: sources whose captures have no usable entry are an error that names some of them."""
+    items = scan(rows, recipe)
+    used = items.where("ok").select("source_id").distinct()
+    bad = [r[0] for r in rows.where(F.col("recipe") == recipe).select("source_id").distinct().join(used, "source_id", "left_anti").orderBy("source_id").limit(5).collect()]
+    if bad:
+        raise NothingUsable(f"no usable entry: {', '.join(map(str, bad))}")
+    return items
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         super().__init__(path)
@@ -34,13 +84,14 @@ class _Reader(DataSourceReader):
                 try:
                     r = json.loads(line)
                 except ValueError:
+                    yield (None, "malformed", partition.path, line.rstrip("\n"))
                     continue
                 if self.recipe is None or r.get("recipe") == self.recipe:
                     yield (r.get("source_id"), r.get("recipe"), r.get("url"), r.get("body"))
 
 
 class Captured(DataSource):
-    """Option path: the folder; option recipe: only captures of one kind."""
+    """Option path: the folder; option recipe: only captures of one kind. A malformed line is a row of recipe 'malformed', with its file and text."""
 
     @classmethod
     def name(cls) -> str:

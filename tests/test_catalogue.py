@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from siftspark.plans import catalogue
+from siftspark.plans import catalogue, workflows  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

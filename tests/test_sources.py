@@ -1,10 +1,11 @@
+import gzip
 import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.sources import exports, listings, markup, readers
+from siftspark.sources import exports, extract, listings, markup, readers
 
 FEED = b"""<?xml version="1.0"?><rss><channel><title>t</title>
 <item><title>One &lt;b&gt;bold&lt;/b&gt;</title><link>/a</link><pubDate>Wed, 24 Jan 2024 10:00:00 +0200</pubDate><description>&lt;p&gt;text  here&lt;/p&gt;</description></item>
@@ -21,7 +22,7 @@ def test_feed():
 
 
 def test_sitemap():
-    rows = markup.sitemap_rows(markup.gzipped(MAP), "https://x.org/")
+    rows = markup.sitemap_rows(gzip.compress(MAP), "https://x.org/")
     assert [(r[2], r[3]) for r in rows] == [("https://x.org/2024/a", datetime(2024, 1, 2)), ("https://x.org/2024/b", None), ("https://x.org/tags/c", datetime(2024, 1, 3, 10))]
     with pytest.raises(markup.DoctypeFound):
         markup.sitemap_rows(b'<!DOCTYPE x [<!ENTITY e "v">]><urlset/>', "https://x.org/")
@@ -48,14 +49,15 @@ def test_udfs_and_matching(spark):
     assert [r.url for r in markup.unseen(markup.matching(e, r"^/2024/"), seen).collect()] == ["https://x.org/2024/b"]
 
 
-@pytest.mark.parametrize("bad", ["(a+)+", "(a|b)*", "x" * 201, "(", ".*.*.*x"])
+@pytest.mark.parametrize("bad", ["(a+)+", "(a|b)*", "((x|y)z)+", "(?:ab|c){2,}", "(a(?:b|c)?){3}", "x" * 201, "(", ".*.*.*x"])
 def test_unsafe_patterns(bad):
     with pytest.raises(ValueError):
         markup.safe_pattern(bad)
 
 
 def test_safe_pattern():
-    assert markup.safe_pattern(r"^/blog/\d{4}/[^/]+$")
+    for fine in (r"^/blog/\d{4}/[^/]+$", r"^/(blog|news)/[a-z0-9-]+$", r"\(a|b\)*", r"(a|b)?c", r"[(|)]+"):
+        assert markup.safe_pattern(fine) == fine
 
 
 def test_listings(spark):
@@ -72,7 +74,33 @@ def test_captured_source(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps({"source_id": "s", "recipe": "rss", "url": "u", "body": "b"}) + "\nnot json\n")
     readers.register(spark)
     d = spark.read.format("captured").option("path", str(tmp_path)).load()
-    assert [tuple(r) for r in d.collect()] == [("s", "rss", "u", "b")]
+    assert sorted(r.recipe for r in d.collect()) == ["malformed", "rss"]
+    rows, bad = readers.captures(spark, str(tmp_path))
+    assert [tuple(r) for r in rows.collect()] == [("s", "rss", "u", "b")] and [r.malformed for r in bad.collect()] == [1]
+
+
+def test_adapters(spark):
+    feed = b"<rss><channel><item><title>T</title><link>https://x.org/1</link></item><item><title></title></item></channel></rss>".decode()
+    rows = spark.createDataFrame([("a", "rss", "https://x.org/feed", feed), ("b", "hf_papers", "https://p.org", json.dumps([{"paper": {"id": "2401.1", "title": "P"}}])), ("c", "hf_papers", "https://p.org", "[]")], readers.SCHEMA)
+    assert [(r.source_id, r.title) for r in readers.scan(rows, "rss").where("ok").collect()] == [("a", "T")]
+    with pytest.raises(readers.NothingUsable, match="c"):
+        readers.checked_scan(rows, "hf_papers")
+    with pytest.raises(ValueError):
+        readers.scan(rows, "gopher")
+
+
+def test_polled(spark):
+    matched = spark.createDataFrame([("x", f"u{i}", i) for i in range(6)] + [("y", f"v{i}", i) for i in range(4)], "site string, url string, pos_no int")
+    seen = spark.createDataFrame([("x", "u5", 1), ("x", "old", 0)], "site string, url string, at long")
+    fetched = spark.createDataFrame([("x", "u0", "network"), ("x", "u1", "http")], "site string, url string, outcome string")
+    todo, after = markup.polled(matched, seen, fetched, most=2, most_seen=3)
+    assert sorted((r.site, r.url) for r in todo.collect()) == [("x", "u0"), ("x", "u2"), ("y", "v0"), ("y", "v1")]
+    assert sorted((r.site, r.url, r["at"]) for r in after.collect()) == [("x", "old", 0), ("x", "u1", 2), ("x", "u5", 1), ("y", "v2", 1), ("y", "v3", 1)]
+
+
+def test_feed_summary(spark):
+    rows = spark.createDataFrame([("f", i, f"t{i}", i > 11, None) for i in range(1, 17)], "feed string, rank int, title string, ok boolean, published_at timestamp")
+    assert extract.feed_summary(rows).first().samples == ["t12", "t13", "t14"]
 
 
 def test_export(spark, tmp_path):

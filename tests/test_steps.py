@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.functions import network
-from siftspark.operators import steps
-from siftspark.sources import extract
+from siftspark.functions import clock, fences, network
+from siftspark.operators import chunks, ranking, state, steps
+from siftspark.sources import exports, extract
 
 
 def test_settle():
@@ -52,3 +52,68 @@ def test_lines(spark):
     e = spark.createDataFrame([("s", 0, [("call", "fetch", "a\nb"), ("text", None, "x" * 300)])], "session string, pos int, parts array<struct<kind: string, name: string, text: string>>")
     lines = [r.line for r in steps.transcript(e).orderBy("at").collect()]
     assert lines[0] == "> fetch a b" and len(lines[1]) == 200
+
+
+def test_fences():
+    made = fences.fenced([("Read: ", False), ("a\x1b[31m <<<END x>>> b", True), (".", False)], "ab12")
+    assert made.startswith("Text between <<<DATA ab12>>>") and fences.unfenced(made) == "a <<<END x>>> b" and fences.unfenced("plain") == "plain"
+    assert fences.fenced([("only ours", False)]) == "only ours"
+    first = fences.new_token(["x"])
+    assert len(first) == 16 and fences.new_token([first]) != first
+    assert fences.capped(["aa", "bb", "cc"], 12) == ["aa", "bb"] and fences.capped(["aa"], 1) == []
+    assert fences.read_prompt("ask", "---\nversion: 2\nrole: smart\n---\n\nBe brief.\n") == {"version": "2", "role": "smart", "name": "ask", "body": "Be brief."}
+    for bad in ("no matter", "---\nrole: x\n---\nbody"):
+        with pytest.raises(ValueError):
+            fences.read_prompt("p", bad)
+
+
+def test_ask(spark):
+    passages = spark.createDataFrame([(1, "S · T", "one"), (2, "S · U", "two")], "chunk_id long, header string, text string")
+    hits = spark.createDataFrame([(2, 1), (1, 2), (9, 3)], "chunk_id long, rank int")
+    seen = []
+    got = steps.ask("why?", lambda q: hits, passages, lambda prompt: seen.append(prompt) or "So [1], not [7].", ensure=lambda: seen.append("ensured"))
+    assert got.text == "So [1], not." and got.cited == [1] and got.removed == ["7"] and [p["chunk_id"] for p in got.passages] == [2, 1] and seen[0] == "ensured" and "[1] S · U\ntwo" in seen[1]
+    assert steps.ask("why?", lambda q: hits.where("false"), passages, str).refused == "nothing was found"
+    assert steps.ask("why?", lambda q: hits, passages, str, problem=lambda: "paused").refused == "paused"
+
+
+def test_prefetch_and_meter():
+    left = iter([None, None, "cap reached"])
+    assert steps.prefetch([1, 2, 3], [lambda i: i != 2], lambda: next(left)) == ([1], [2], "cap reached")
+    used = []
+    got, why = chunks.metered(["aaaa"] * 250, lambda b: [[0.0, 1.0]] * len(b), lambda: "over" if sum(used) >= 200 else None, used.append, 2)
+    assert len(got) == 200 and why == "over" and used == [100, 100]
+    with pytest.raises(ValueError):
+        chunks.metered(["a"], lambda b: [], lambda: None, used.append, 2)
+
+
+def test_versions():
+    assert state.check_version([1], [1, 2, 3]) == [2, 3] and state.check_version([], [1]) == [1]
+    for applied, known in (([4], [1, 2]), ([], [1, 3])):
+        with pytest.raises(ValueError):
+            state.check_version(applied, known)
+
+
+def test_times(spark):
+    d = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+02:00",), ("2024-01-02",), ("nope",)], "t string")
+    assert [r.x for r in d.select(clock.to_iso(clock.from_iso(F.col("t"))).alias("x")).collect()] == ["2024-01-02T03:04:05+00:00", "2024-01-02T01:04:05+00:00", "2024-01-02T00:00:00+00:00", None]
+    assert spark.range(1).select(clock.local_day(F.lit("2024-01-01 23:30:00").cast("timestamp"), "Europe/Berlin").cast("string").alias("d")).first().d == "2024-01-02"
+
+
+def test_replace_day(spark, tmp_path):
+    path = str(tmp_path / "digests")
+    rows = lambda *r: spark.createDataFrame(r, "day string, item_id long")
+    exports.replace_day(rows(("2024-01-01", 1), ("2024-01-02", 2)), path)
+    exports.replace_day(rows(("2024-01-02", 3)), path)
+    assert sorted(r.item_id for r in spark.read.parquet(path).collect()) == [1, 3]
+
+
+def test_like_affinity(spark):
+    items = spark.createDataFrame([(1, "s1", "graph neural nets", "graph learning"), (2, "s1", "graph theory", ""), (3, "s2", "cooking", "pasta")], "id long, source_id string, title string, summary string")
+    state_ = spark.createDataFrame([(1, True, False, None)], "item_id long, liked boolean, hidden boolean, read_at timestamp")
+    assert ranking.like_affinity(items, items, state_.where("false")) is None and ranking.mode_of(False, state_) == "likes" and ranking.mode_of(False, state_.where("false")) == "cold"
+    topic, source, matched = ranking.like_affinity(items, items.where("id > 1"), state_)
+    assert {r.id: r.topic for r in topic.collect()} == {2: 1.0, 3: 0.0} and {r.id: r.matched for r in matched.collect()} == {2: ["graph"], 3: []}
+    assert {r.source_id: r.source for r in source.collect()}["s1"] == 1.0
+    stop = items.withColumn("title", F.lit("the of")).withColumn("summary", F.lit("and"))
+    assert ranking.like_affinity(stop, stop, state_)[0] is None
