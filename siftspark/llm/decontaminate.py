@@ -62,7 +62,7 @@ def index_terms(docs: DataFrame, wins: DataFrame) -> DataFrame:
     counts = checkpoint(counts if some is not None else counts.join(terms, "term", "left_semi"))
     places = wins.select("item_id", "window", F.posexplode("window").alias("off", "term"))
     ranked = places.join(counts, "term", "left").groupBy("item_id", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "term", "off"))).alias("r"))
-    ranked = ranked.where("r[0].n > 0").select("item_id", "window", F.col("r")[0].alias("a"), F.expr("filter(r, x -> x.term <> r[0].term)[0]").alias("b"))
+    ranked = ranked.where("r[0].n > 0").select("item_id", "window", F.col("r")[0].alias("a"), F.expr("get(filter(r, x -> x.term <> r[0].term), 0)").alias("b"))
     return ranked.select(F.xxhash64("item_id", "window").alias("w"), "item_id", "window", F.col("a.term").alias("t1"), F.col("a.off").alias("o1"), F.col("b.term").alias("t2"), F.col("b.off").alias("o2"))
 
 
@@ -82,7 +82,7 @@ def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> Dat
     hits = base.select("doc_id", "_th", F.size("w").alias("n_words"), "w", F.coalesce(place, F.expr("cast(array() AS array<struct<pos: int, term: string>>)")).alias("p"))
     rows = f"""concat(array(struct(-1 AS pos, cast(NULL AS string) AS term, cast(NULL AS array<string>) AS ctx, 0 AS lead)),
         transform(p, x -> struct(x.pos AS pos, x.term AS term, slice(w, greatest(x.pos - {around}, 0) + 1, least(x.pos, {around}) + 1 + {around}) AS ctx, least(x.pos, {around}) AS lead)))"""
-    return hits.select("doc_id", "_th", "n_words", F.expr(rows).alias("p")).select("doc_id", "_th", "n_words", F.inline("p"))
+    return hits.select("doc_id", "_th", "n_words", F.expr(rows).alias("p")).select("doc_id", "_th", "n_words", F.inline_outer("p"))  # inline() would infer a filter that repeats all of p
 
 
 def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataF
         second = lists.join(wins.withColumnRenamed("t2", "term"), "term").select(*key, F.expr("pos - o2").alias("_s"))
         same = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == F.col("_d")) & (F.col("_th") == F.col("_t")) & (F.col("w") == F.col("_w")) & (F.col("start") == F.col("_s"))
         both = first.where("t2 IS NOT NULL").join(second, same, "left_semi").unionByName(first.where("t2 IS NULL"))
-        first = both.where("slice(ctx, lead - o1 + 1, size(window)) = window")
+        first = both.where("slice(ctx, greatest(lead - o1, 0) + 1, size(window)) = window")
         start, size = F.col("start"), F.expr("size(window)")
     else:
         first = first.where(f"exists(sequence(1, greatest(size(ctx) - size(window) - {slop} + 1, 1)), a -> a <= lead + 1 AND a + size(window) + {slop} > lead + 1 AND size(array_except(window, slice(ctx, a, size(window) + {slop}))) = 0)")

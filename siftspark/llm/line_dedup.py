@@ -33,7 +33,7 @@ def _windows(docs: DataFrame) -> DataFrame:
     triples = lines.where(f"size(_l) >= {WINDOW}").select("doc_id", "_th", F.expr(f"""
         transform(arrays_zip(slice(_l, 1, {n}), slice(_l, 2, {n}), slice(_l, 3, {n})),
                   x -> struct(x.`0`.p AS first, x.`2`.p AS last, xxhash64(x.`0`.g, x.`1`.g, x.`2`.g) AS k1, xxhash64(x.`0`.h, x.`1`.h, x.`2`.h) AS k2))""").alias("_w"))
-    return triples.select("doc_id", "_th", F.inline("_w"))
+    return triples.select("doc_id", "_th", F.inline_outer("_w"))  # inline() would infer a filter that repeats all of _w
 
 
 def covered(docs: DataFrame) -> DataFrame:
