@@ -27,18 +27,18 @@ Families. Sets that share a segment are joined to the least of them (a star, not
 pairs); the connected components are families, outside of which there is no
 link. Equal sets are one node from the start, so copies are never paired.
 
-Partial overlaps. Each set of a family is paired with the star's centre that it
-shares most segments with. The sets are stored by fragment of the global order;
-a join on set and fragment gives a partial overlap for each pair and fragment,
-their sum is the pair's, and 100 * intersection >= p * union is tested in whole
-numbers. There is one pair a set, however large a family is, and in a group of
-near copies these links already connect almost all.
-
-The rest. What isn't in the largest part that its family then has is compared with
-all sets of the family, in units of a block of these by a block of any: a unit
-sums the partial overlaps of its pairs fragment by fragment, tests them, and
-returns a spanning forest of the links. The components of both are those of all
-links.
+Partial overlaps. Sets are stored by fragment of the global order. A family is
+cut into blocks of about BLOCK sets; a pair of blocks (a family of BLOCK sets is
+one) is a task's unit. It counts the overlaps of its pairs one fragment after the
+other, sums the partial counts per pair, tests 100 * intersection >= p * union in
+whole numbers, and returns a spanning forest of the links. In a family of more
+than LARGE sets, whose blocks would be sent too often, each set is first paired with the star's centre that
+it shares most segments with: a join on set and fragment gives a partial overlap
+for each pair and fragment, their sum is the pair's. There is one pair a set,
+however large the family is, and in a group of near copies these links connect
+many. What isn't in the largest part that the family then has is compared with all
+of it, in units of a block of these by a block of any. The components of all these
+links are those of all links.
 
 Defined cases: null, empty and blank texts have an empty set and no link; with
 fewer words than the shingle's, the whole sequence is one shingle; sets are
@@ -60,7 +60,7 @@ from .common import checkpoint, components, join_hot, keyed, on_key, packed, tab
 SIZE, PERCENT = 5, 80
 SPARE = 3
 FRAGMENTS = 4
-BLOCK = 1024
+BLOCK, LARGE = 2048, 16 * 2048
 COLUMNS = 4096
 SAMPLE, SKETCH_BITS, FEW = 20_000, 22, 8
 CHUNK = 1 << 19
@@ -219,7 +219,7 @@ def _describe(size: int, percent: int, often: np.ndarray | None = None):
 
 
 def _fetch(size: int):
-    """The sets of texts, a row for each fragment that isn't empty: set, frag, part (sorted hashes), n (size of the whole set)."""
+    """The sets of texts, a row for each fragment that isn't empty: family, members, set, frag, part (sorted hashes), n (size of the whole set)."""
 
     def run(batches):
         for batch in batches:
@@ -231,7 +231,8 @@ def _fetch(size: int):
                 ends = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int64) * 8
                 part = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(s))]).cast(pa.binary())
                 row = some // FRAGMENTS
-                yield pa.RecordBatch.from_arrays([batch.column("set").slice(a, len(n)).take(pa.array(row)), pa.array((some % FRAGMENTS).astype(np.int32)), part, pa.array(n[row].astype(np.int64))], names=["set", "frag", "part", "n"])
+                of = [batch.column(c).slice(a, len(n)).take(pa.array(row)) for c in ("family", "members", "set")]
+                yield pa.RecordBatch.from_arrays([*of, pa.array((some % FRAGMENTS).astype(np.int32)), part, pa.array(n[row].astype(np.int64))], names=["family", "members", "set", "frag", "part", "n"])
 
     return run
 
@@ -295,12 +296,14 @@ def _count(percent: int):
     def run(batches):
         def solve(key, rows):
             ids, sets, left, last = [], [], 0, None
-            for s, own, part in rows:
-                if s != last:
+            for s, own, frag, part in rows:
+                if last is None or s != last[0]:
                     ids.append(s)
                     sets.append([])
                     left += own == key[1]
-                    last = s
+                elif frag == last[1]:  # of rows that repeat doc_id and text
+                    continue
+                last = (s, frag)
                 sets[-1].append(np.frombuffer(part, np.uint64))
             if len(ids) < 2 or key[1] != key[2] and left in (0, len(ids)):
                 return []
@@ -311,13 +314,13 @@ def _count(percent: int):
 
         key, rows, edges = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "own", "part")]
-            for f, i, j, s, own, part in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("family", "i", "j", "set", "own", "frag", "part")]
+            for f, i, j, s, own, frag, part in zip(*cols, strict=True):
                 if (f, i, j) != key:
                     if rows:
                         edges += solve(key, rows)
                     key, rows = (f, i, j), []
-                rows.append((s, own, part))
+                rows.append((s, own, frag, part))
             if len(edges) > 10_000:
                 yield emit(edges)
                 edges = []
@@ -352,8 +355,8 @@ def _by_prefix(described: DataFrame, percent: int) -> DataFrame:
     return stars.union(able.select(F.col("y.set").alias("a"), F.col("x.set").alias("b"), "c"))
 
 
-def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
-    """Edges (a, b) between sets whose components are those of all links."""
+def linked(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
+    """set, comp: the component of all links for each set that may have one."""
     base = keyed(docs)
     each = described.select("set", F.explode("sigs").alias("sig"))
     if prefix:
@@ -362,45 +365,70 @@ def links(docs: DataFrame, described: DataFrame, size: int = SIZE, percent: int
         shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
         stars = join_hot(each, shared, ["sig"]).where("set <> low").groupBy(F.col("set").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("c"))
     stars = checkpoint(stars)
-    family = checkpoint(components(stars.select("a", "b")).withColumnsRenamed({"node": "set", "comp": "family"}))
+    family = components(stars.select("a", "b")).withColumnsRenamed({"node": "set", "comp": "family"})
+    family = checkpoint(join_hot(family, family.groupBy("family").agg(F.count("*").alias("members")), ["family"]).select("set", "family", "members"))
     one = described.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "_th")).alias("r"))
-    want = family.join(one, "set").select("r.doc_id", "r._th", "set")
-    texts = on_key(base, want, "inner").select("text", "set").dropDuplicates(["set"])  # rows that repeat doc_id and text
-    parts = checkpoint(texts.mapInArrow(_fetch(size), "set long, frag int, part binary, n long"))
+    want = family.join(one, "set").select("r.doc_id", "r._th", "set", "family", "members")
+    texts = on_key(base, want, "inner").select("text", "set", "family", "members")
+    parts = checkpoint(texts.mapInArrow(_fetch(size), "family long, members long, set long, frag int, part binary, n long"))  # texts are shuffled once
+    unit = ["family", "i", "j"]
 
-    # one pair a set, its partial overlaps by fragment, and their sums
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    def counted(units: DataFrame) -> DataFrame:
+        return units.repartition(*unit).sortWithinPartitions(*unit, "own", "set", "frag").mapInArrow(_count(percent), "a long, b long")
+
+    blocks = F.expr(f"int(ceil(members / {BLOCK}))")
+    few = parts.where(F.col("members") <= LARGE).withColumn("own", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    edges = counted(few.select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "set", "frag", "part"))
+    known = family.select("set", F.col("set").alias("known"))
+    large = family.where(F.col("members") > LARGE)
+    if not large.isEmpty():
+        parts = parts.where(F.col("members") > LARGE).dropDuplicates(["set", "frag"])
+        sure = checkpoint(_by_best(stars, parts, percent))
+        known = checkpoint(family.join(components(sure).withColumnsRenamed({"node": "set", "comp": "known"}), "set", "left").select("set", "family", "members", F.coalesce("known", "set").alias("known")))
+        left = _apart(known.where(F.col("members") > LARGE))
+        dealt = left.withColumn("to", F.explode(F.expr("sequence(0, last)"))).select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "set")
+        edges = edges.union(counted(dealt.join(parts.select("set", "frag", "part"), "set")))
+    ends = [known.select(F.col("set").alias(e), F.col("known").alias(f"k{e}")) for e in ("a", "b")]
+    between = edges.join(ends[0], "a").join(ends[1], "b").where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return join_hot(known.select("set", "known"), _whole(known, components(between)), ["known"]).select("set", "comp")
+
+
+def _by_best(stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of each set with the centre that it shares most with: partial overlaps by fragment, and their sums."""
     sizes = parts.groupBy("set").agg(F.max("n").alias("n"))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     sized = best.join(sizes.select(F.col("set").alias("a"), F.col("n").alias("na")), "a")
     sized = join_hot(sized, sizes.select(F.col("set").alias("b"), F.col("n").alias("nb")), ["b"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     x = sized.join(parts.select(F.col("set").alias("a"), "frag", F.col("part").alias("x")), "a")
     pairs = join_hot(x, parts.select(F.col("set").alias("b"), "frag", F.col("part").alias("y")), ["b", "frag"])
     summed = pairs.select("a", "b", "na", "nb", "x", "y").mapInArrow(_partial, "a long, b long, na long, nb long, o long").groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    sure = checkpoint(summed.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b"))
+    return summed.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
+
 
-    # what these leave apart, against all of the family
-    known = family.join(components(sure).withColumnsRenamed({"node": "set", "comp": "known"}), "set", "left").select("set", "family", F.coalesce("known", "set").alias("known"))
+def _apart(known: DataFrame) -> DataFrame:
+    """family, set, own (its block) and last (the last block that it meets) for families of more than one part.
+
+    Blocks 0 .. rows - 1 are of what stands apart, the others of the main part, whose pairs need no test."""
     per = known.groupBy("family", "known").agg(F.count("*").alias("m"))
     main = per.groupBy("family").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.sum("m").alias("members"), F.max("m").alias("most")).where("most < members")
-    block = f"greatest({BLOCK}, least({2 * BLOCK}, members div 24))"
-    main = main.select("family", "main", F.expr(f"int(ceil((members - most) / {block}))").alias("rows"), F.expr(f"int(ceil(most / {block}))").alias("columns"))
-    left = join_hot(known, main, ["family"]).withColumn("apart", F.col("known") != F.col("main"))
-    # Blocks 0 .. rows - 1 are of what stands apart, the others of the main part, whose pairs are known.
-    left = checkpoint(left.withColumn("own", F.expr("int(if(apart, pmod(xxhash64(set), rows), rows + pmod(xxhash64(set), columns)))")).withColumn("last", F.expr("if(apart, rows + columns, rows) - 1")))
-    dealt = left.withColumn("to", F.explode(F.expr("sequence(0, last)"))).select("family", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "set")
-    unit = ["family", "i", "j"]
-    units = dealt.join(parts.select("set", "frag", "part"), "set").repartition(*unit).sortWithinPartitions(*unit, "own", "set", "frag")
-    rest = units.mapInArrow(_count(percent), "a long, b long")
-    return sure.union(rest)
+    main = main.select("family", "main", F.expr(f"int(ceil((members - most) / {BLOCK}))").alias("rows"), F.expr(f"int(ceil(most / {BLOCK}))").alias("columns"))
+    left = join_hot(known.drop("members"), main, ["family"]).withColumn("apart", F.col("known") != F.col("main"))
+    own = F.expr("int(if(apart, pmod(xxhash64(set), rows), rows + pmod(xxhash64(set), columns)))")
+    return checkpoint(left.select("family", "set", own.alias("own"), F.expr("if(apart, rows + columns, rows) - 1").alias("last")))
+
+
+def _whole(known: DataFrame, merged: DataFrame) -> DataFrame:
+    """known, comp: for each part that the sure links make, the component that the other links make of parts."""
+    parts = known.select("known").distinct()
+    return parts.join(merged.select(F.col("node").alias("known"), "comp"), "known", "left").select("known", F.coalesce("comp", "known").alias("comp"))
 
 
 def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix: bool = False) -> DataFrame:
     """doc_id, _th, n_shingles, component_id (smallest doc_id reachable by links) and first (the key of the document that stays)."""
     described = describe(docs, size, percent, prefix)
-    comp = components(links(docs, described, size, percent, prefix)).withColumnRenamed("node", "set")
+    comp = linked(docs, described, size, percent, prefix)
     classes = described.groupBy("set").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_th")).alias("key"))
-    linked = comp.join(classes, "set")
-    lows = linked.groupBy("comp").agg(F.min("low").alias("low"), F.min("key").alias("key"))
+    lows = comp.join(classes, "set").groupBy("comp").agg(F.min("low").alias("low"), F.min("key").alias("key"))
     of_set = classes.join(comp.join(lows, "comp").select("set", F.col("low").alias("low2"), F.col("key").alias("key2")), "set", "left")
     of_set = of_set.select("set", F.coalesce("low2", "low").alias("component_id"), F.coalesce("key2", "key").alias("first"))
     return join_hot(described.select("doc_id", "_th", "set", F.col("n").alias("n_shingles")), of_set, ["set"]).select("doc_id", "_th", "n_shingles", "component_id", "first")

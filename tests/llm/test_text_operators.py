@@ -161,7 +161,7 @@ def test_benchmark(spark, monkeypatch):
     assert decontaminate.matches(near, one).where("item_id IS NOT NULL").count() == 0
 
 
-def test_ngrams(spark):
+def test_ngrams(spark, monkeypatch):
     base = fx.prose(50, 150).split()
     r = np.random.default_rng(1)
     more = []
@@ -172,8 +172,11 @@ def test_ngrams(spark):
         more.append((1000 + k, " ".join(w), None, None, None))
     more += [(2000 + i, " ".join(f"t{j}" for j in range(i, i + 30)), None, None, None) for i in range(12)]  # a chain
     want = ngram_join.brute_force([(x[0], x[1]) for x in fx.rows() + more])
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.groups(fx.documents(spark, more)).collect()}
-    assert got == want and want[2011][1] == 2000
+    for block, large in ((2048, 1 << 15), (64, 1 << 15), (64, 8)):  # one unit a family, pairs of blocks, partial overlaps first
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "LARGE", large)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.groups(fx.documents(spark, more)).collect()}
+        assert got == want and want[2011][1] == 2000
 
 
 def test_ngram_query_contract(spark, sf):
