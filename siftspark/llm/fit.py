@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = 1 << 30
+MOST_BROADCAST = 100_000  # labels whose rates go to every executor
 
 
 def sample(rows: DataFrame, label: str, each: int, most_rows: int = 20_000, most_bytes: int = 256 << 20) -> tuple[DataFrame, dict]:
@@ -15,14 +16,17 @@ def sample(rows: DataFrame, label: str, each: int, most_rows: int = 20_000, most
     The counts cover all rows, and every label is learned. Where labels are many, or texts long, fewer rows
     of each are taken: about most_rows, and about most_bytes of text, in all."""
     spark = rows.sparkSession
-    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.avg(F.octet_length("text")).alias("size")).orderBy(label).collect()
+    size = F.col("_size") if "_size" in rows.columns else F.octet_length("text")  # _size: made below a join, which then needs no texts
+    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.avg(size).alias("size")).orderBy(label).collect()
     counts = {r[0]: r["n"] for r in sizes}
     if not counts:
         return rows.where("false"), {}
     each = max(1, min(each, most_rows // (2 * len(counts)), int(most_bytes / (2 * sum(r["size"] + 1 for r in sizes)))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SPACE))
-    rates = spark.createDataFrame([(k, int(min(1.0, 1.2 * each / n) * _SPACE)) for k, n in counts.items()], f"_label {dict(rows.dtypes)[label]}, _rate long")
-    wanted = rows.join(rates, F.col(label) == F.col("_label")).where(draw < F.col("_rate")).drop("_label", "_rate")
+    rate = {k: int(min(1.0, 1.2 * each / n) * _SPACE) for k, n in counts.items()}
+    rates = spark.createDataFrame(list(rate.items()), f"_label {dict(rows.dtypes)[label]}, _rate long")
+    some = rows.where(draw < max(rate.values()))  # reaches below whatever join made rows
+    wanted = some.join(F.broadcast(rates) if len(rate) <= MOST_BROADCAST else rates, F.col(label) == F.col("_label")).where(draw < F.col("_rate")).drop("_label", "_rate")
     return wanted.orderBy(draw, "doc_id").limit(2 * each * len(counts)), counts
 
 

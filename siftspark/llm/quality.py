@@ -150,7 +150,7 @@ def _gather(net: Network, adds: np.ndarray, data: np.ndarray, offsets: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Network:
     """Learn from labelled rows that aren't held out."""
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(crc_mod(FOLDS) != HELD).join(marks, "doc_id")
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size")).where(crc_mod(FOLDS) != HELD).join(marks, "doc_id")
     chosen, counts = sample(known, "label", each, most_bytes=MOST_BYTES)
     net = Network()
     if counts:

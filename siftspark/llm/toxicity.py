@@ -171,7 +171,7 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Chain:
     """Learn from labelled rows that aren't held out."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("quality", F.lit(1))).alias("quality"))
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(crc_mod(HELD_OUT_OF) != 0).join(marks, "doc_id").withColumn("_kind", F.col("toxic") * 2 + F.col("quality"))
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size")).where(crc_mod(HELD_OUT_OF) != 0).join(marks, "doc_id").withColumn("_kind", F.col("toxic") * 2 + F.col("quality"))
     chosen, counts = sample(known, "_kind", each, most_bytes=MOST_BYTES)
     rows = chosen.select(F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(_collect, "toxic int, quality int, words binary").collect()
     toxic, quality = np.array([r["toxic"] for r in rows], int), np.array([r["quality"] for r in rows], int)
