@@ -18,10 +18,12 @@ own class, and in the next one if a partner can be there. No frequency table and
 no cap is needed: a frequent shingle or line is only part of a segment.
 
 dedup() looks sets up by prefixes instead, since at lower percentages segments are
-short and many unrelated sets share one. Two sets that are linked share one of the
-first n - ceil(n p / 100) + 1 elements of each, in any global order; here the
-shingles that a sample has least often come first. The sample only moves work:
-the result is the same for any order.
+short and many unrelated sets share one. Two sets that are linked share 1 + m EXTRA / 100
+of the first n - ceil(n p / 100) + 1 + n EXTRA / 100 elements of each, where m is
+the smaller size, in any global order; here the shingles that a sample has least
+often come first. The sample only moves work: the result is the same for any order.
+Shingles that many sets look up join sets only by a prefix of their own (_by_prefix),
+so that a passage which many documents share doesn't make a family of them.
 
 Families. Sets that share a segment are joined to the least of them (a star, not
 pairs); the connected components are families, outside of which there is no
@@ -62,7 +64,7 @@ SPARE = 3
 FRAGMENTS = 4
 BLOCK, LARGE = 2048, 16 * 2048
 COLUMNS = 4096
-SAMPLE, SKETCH_BITS, FEW = 20_000, 22, 8
+SAMPLE, SKETCH_BITS, FEW, EXTRA = 20_000, 22, 8, 5
 CHUNK = 1 << 19
 _U = np.uint64
 _C1, _C2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
@@ -174,7 +176,7 @@ def _prefixes(s: np.ndarray, n: np.ndarray, percent: int, often: np.ndarray) ->
     """Shingles to look up, and their row, of sets s of sizes n: those of the prefix in the order of often, then of the hashes."""
     row = np.repeat(np.arange(len(n)), n)
     s = s[np.argsort(row * 256 + often[_slots(s)], kind="stable")]
-    use = np.arange(len(s)) - (np.cumsum(n) - n)[row] < (n + (-percent * n) // 100 + 1)[row]
+    use = np.arange(len(s)) - (np.cumsum(n) - n)[row] < (n + (-percent * n) // 100 + 1 + n * EXTRA // 100)[row]
     return s[use], row[use]
 
 
@@ -341,17 +343,27 @@ def describe(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, prefix:
 def _by_prefix(described: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b, c) that connect all sets that can be linked; c counts what a and b were found by.
 
-    The sets of a shingle that more than FEW rows look up are joined to the least of them. Of the others
-    pairs are made, and kept if what they share so far, and all that is beyond the prefix, could be enough:
-    a pair that shares c shingles of both prefixes shares max(|x| - prefix, |y| - prefix) more at most."""
+    Of t = ceil(n percent / 100) shingles that a set of n has in common with a linked one at least, all but
+    t - 1 - n EXTRA / 100 are in both prefixes; so linked sets share 1 + t EXTRA / 100 (need) there, with
+    the t of either. Shingles that no more than FEW rows look up make pairs, which are kept if what they share so
+    far, the hot shingles that they can share, and all that is beyond the prefix could be enough. The others
+    are hot. Two sets that share need of them share one of the first h - need + 1 of the h that each has, the
+    rarest first: these join sets to the least of them. Who has fewer hot ones than need is joined by none."""
     each = described.select("set", "n", F.explode("sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sig", "low", "rows")
+    shared = each.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sig", "rows")
     found = checkpoint(join_hot(each, shared, ["sig"]))
-    stars = found.where((F.col("rows") > FEW) & (F.col("set") != F.col("low"))).groupBy(F.col("set").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("c"))
-    few = found.where(F.col("rows") <= FEW).groupBy("sig").agg(F.collect_set(F.struct("set", "n")).alias("m")).select("m", F.explode("m").alias("x"))
+    least = f"(({percent} * n + 99) div 100)"
+    need, rest = f"(1 + {least} * {EXTRA} div 100)", f"greatest({least} - 1 - n * {EXTRA} div 100, 0)"
+    hot = found.where(F.col("rows") > FEW).groupBy("set", "n").agg(F.array_sort(F.collect_set(F.struct("rows", "sig"))).alias("hot"))
+    hot = checkpoint(hot.selectExpr("set", "size(hot) AS h", f"if(size(hot) >= {need}, transform(slice(hot, 1, int(size(hot) - {need} + 1)), x -> x.sig), array()) AS sigs"))
+    keys = hot.select("set", F.explode("sigs").alias("sig"))
+    lows = keys.groupBy("sig").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("sig", "low")
+    stars = join_hot(keys, lows, ["sig"]).where("set <> low").groupBy(F.col("set").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("c"))
+    few = found.where(F.col("rows") <= FEW).join(hot.select("set", "h"), "set", "left")
+    few = few.groupBy("sig").agg(F.collect_set(F.struct("set", "n", F.coalesce("h", F.lit(0)).alias("h"), F.expr(need).alias("need"), F.expr(rest).alias("rest"))).alias("m")).select("m", F.explode("m").alias("x"))
     pairs = few.select("x", F.explode(F.expr("filter(m, y -> y.set > x.set)")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
-    rest = f"greatest(({percent} * x.n + 99) div 100, ({percent} * y.n + 99) div 100) - 1"
-    able = pairs.where(f"{100 + percent} * (c + {rest}) >= {percent} * (x.n + y.n) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    most = "c + least(x.h, y.h, greatest(x.need, y.need) - 1) + greatest(x.rest, y.rest)"
+    able = pairs.where(f"{100 + percent} * ({most}) >= {percent} * (x.n + y.n) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     return stars.union(able.select(F.col("y.set").alias("a"), F.col("x.set").alias("b"), "c"))
 
 

@@ -179,6 +179,37 @@ def test_ngrams(spark, monkeypatch):
         assert got == want and want[2011][1] == 2000
 
 
+def near_copies(seed):
+    """Families whose links lie around 80 %: changed words, texts cut or lengthened, passages that many of them share."""
+    r = np.random.default_rng(seed)
+    passages = [fx.prose(600 + k, 25) for k in range(3)]
+    out = []
+    for f in range(24):
+        base = fx.prose(700 + f % 16, int(r.integers(6, 160))).split()
+        for _ in range(int(r.choice([2, 5, 14, 30]))):
+            w = list(base)
+            for p in r.integers(0, len(w), int(r.integers(0, 2 + len(w) // 45))):
+                w[p] = f"n{r.integers(1 << 40)}"
+            w = w[: len(w) - int(r.integers(0, 1 + len(w) // 6))] + fx.prose(int(r.integers(1 << 30)), int(r.integers(0, 1 + len(w) // 6))).split()
+            if r.random() < 0.4:
+                at = int(r.integers(0, len(w) + 1))
+                w[at:at] = passages[int(r.integers(3))].split()
+            out.append((len(out), " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("few", "extra", "percent"), [(8, 5, 80), (2, 5, 80), (2, 20, 70), (3, 0, 90)])
+def test_ngram_prefixes(spark, monkeypatch, few, extra, percent):
+    """Candidates by prefixes, with frequent shingles by prefixes of their own, lose no link."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "EXTRA", extra)
+    docs = near_copies(few + percent)
+    want = ngram_join.brute_force(docs, 5, percent)
+    got = ngram_join.groups(spark.createDataFrame(docs, "doc_id long, text string"), 5, percent, prefix=True)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+    assert 24 < len({c for _, c in want.values()}) < len(docs) - 4
+
+
 def test_ngram_query_contract(spark, sf):
     """op8's own values are 3 words and 90 %."""
     want = ngram_join.brute_force([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()], 3, 90)
