@@ -15,8 +15,8 @@ the same result, and the number of passes doesn't depend on the benchmark. Lists
 are joined by a shuffle, whose hot terms Spark may split.
 
 Defined cases: null and wordless texts have no words, match nothing and are
-returned with zeros; rows that repeat doc_id and text are one document here and
-keep their number in the result; repeated test items count once by item_id;
+returned with zeros; rows that repeat doc_id and text are one document while
+matching and keep their number in the result; repeated test items count once by item_id;
 extra columns are never read.
 """
 
@@ -85,15 +85,15 @@ def postings(docs: DataFrame, terms: DataFrame, around: int = WINDOW - 1) -> Dat
     return hits.select("doc_id", "_th", "n_words", F.expr(rows).alias("p")).select("doc_id", "_th", "n_words", F.inline_outer("p"))  # inline() would infer a filter that repeats all of p
 
 
-def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataFrame:
-    """One row for each document, with null item_id, and one for each match: doc_id, _th, n_words, item_id, start, len.
+def find(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, matches): doc_id, _th, n_words for each row of docs; doc_id, _th, n_words, item_id, start, len for each match.
 
     With slop, a match is a place of the rarest term that has all terms of the
     window, in any order, among len + slop consecutive words around it; start is then the place itself and len 1."""
     near = WINDOW - 1 + (slop or 0)
     wins = checkpoint(index_terms(docs, checkpoint(windows(bench))))
     posts = checkpoint(postings(docs, wins.select(F.explode(F.array("t1", "t2")).alias("term")).where("term IS NOT NULL").distinct(), near))
-    each = posts.where("pos = -1").select("doc_id", "_th", "n_words", F.lit(None).cast(dict(bench.dtypes)["item_id"]).alias("item_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"))
+    each = posts.where("pos = -1").select("doc_id", "_th", "n_words")
     lists = posts.where("pos >= 0")
     first = lists.join(wins.withColumnRenamed("t1", "term"), "term")
     if slop is None:
@@ -107,27 +107,38 @@ def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataF
     else:
         first = first.where(f"exists(sequence(1, greatest(size(ctx) - size(window) - {slop} + 1, 1)), a -> a <= lead + 1 AND a + size(window) + {slop} > lead + 1 AND size(array_except(window, slice(ctx, a, size(window) + {slop}))) = 0)")
         start, size = F.col("pos"), F.lit(1)
-    return each.unionByName(first.select("doc_id", "_th", "n_words", "item_id", start.alias("start"), size.alias("len")))
+    return each, first.select("doc_id", "_th", "n_words", "item_id", start.alias("start"), size.alias("len"))
+
+
+def matches(docs: DataFrame, bench: DataFrame, slop: int | None = None) -> DataFrame:
+    """find() in one: one row for each document, with null item_id, and one for each match."""
+    each, found = find(docs, bench, slop)
+    nulls = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("item_id", "start", "len")]
+    return each.select("doc_id", "_th", "n_words", *nulls).unionByName(found)
 
 
-def summarize(found: DataFrame) -> DataFrame:
-    """matches() by document: n_words, n_hit, n_items, items (their ids as sorted strings), covered (positions of hit words)."""
-    agg = found.groupBy("doc_id", "_th", "n_words").agg(
-        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "len"))).alias("_s"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+def summarize(found: DataFrame, each: DataFrame | None = None) -> DataFrame:
+    """Documents, row by row, with n_words, n_hit, n_items, items (their ids as sorted strings), covered (positions of hit words): of what find() gives, or of matches()."""
+    if each is None:
+        each, found = found.where("start IS NULL"), found.where("start IS NOT NULL")
+    agg = found.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("start", "len")).alias("_s"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     cov = "array_sort(array_distinct(flatten(transform(_s, s -> sequence(s.start, s.start + s.len - 1)))))"
-    return agg.select("doc_id", "_th", F.col("n_words").cast("long").alias("n_words"), F.expr(cov).alias("covered"), "items").withColumn("n_hit", F.size("covered").cast("long")).withColumn("n_items", F.size("items").cast("long"))
+    hit = agg.select("doc_id", "_th", F.expr(cov).alias("covered"), "items")
+    out = on_key(each, hit, "left").select("doc_id", "_th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("covered", F.array().cast("array<int>")).alias("covered"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.withColumn("n_hit", F.size("covered").cast("long")).withColumn("n_items", F.size("items").cast("long"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; all columns as they were."""
-    bad = summarize(matches(docs, bench)).where("n_hit > 0").select("doc_id", "_th")
+    bad = find(docs, bench)[1].select("doc_id", "_th").distinct()
     left = docs.select("doc_id", text_hash(), packed(docs))
     return on_key(left, bad, "left_anti").select(*unpacked(docs))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = summarize(matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")))
+    each, found = find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    out = summarize(found, each)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

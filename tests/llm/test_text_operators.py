@@ -16,7 +16,7 @@ from siftspark.llm import bytes_kernel, common, decontaminate, line_dedup, mixin
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(name, spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf), c.sql(queries.ORACLE_SQL[name])
     cols = sorted(got.columns)
@@ -161,6 +161,31 @@ def test_benchmark(spark, monkeypatch):
     assert decontaminate.matches(near, one).where("item_id IS NOT NULL").count() == 0
 
 
+def test_benchmark_keeps_repeated_rows(spark):
+    """Six rows for six, a repeated document, a null one and a null id among them."""
+    text = fx.prose(8, 40)
+    rows = [(1, text), (1, text), (2, "other " + text), (None, text), (3, None), (4, "nothing of it")]
+    bench = spark.createDataFrame([("i", " ".join(text.split()[3:20]))], "item_id string, text string")
+    each, found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.summarize(found, each).collect()), key=str)
+    assert got == sorted([(1, 40, 17, ["i"]), (1, 40, 17, ["i"]), (2, 41, 17, ["i"]), (None, 40, 17, ["i"]), (3, 0, 0, []), (4, 3, 0, [])], key=str)
+
+
+def test_long_texts(spark):
+    """Texts of megabytes: what repeats, what leaks and what is personal is found at their ends as well."""
+    words = fx.prose(90, 400_000)
+    tail = "\n".join(["one line of three", "the next line of three", "the last line of three"])
+    long = words.replace(" ", "\n", 5000) + "\n" + tail + "\nmail a.b@example.org and 10.1.2.3"
+    docs = spark.createDataFrame([(1, tail, "a"), (2, long, "b"), (3, "z" * 3_000_000, "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(docs).select("doc_id", "n_removed").collect()} == {1: 0, 2: 3, 3: 0}
+    bench = spark.createDataFrame([(1, "the next line of three the last line of three")], "item_id long, text string")
+    each, found = decontaminate.find(docs, bench)
+    assert {r.doc_id: r.n_hit for r in decontaminate.summarize(found, each).collect()} == {1: 10, 2: 10, 3: 0}
+    assert {r.doc_id: [p.kind for p in r.pii] for r in pii.find(docs).select("doc_id", "pii").collect()} == {1: [], 2: ["email", "ip"], 3: []}
+    mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("n_tokens").alias("n")).collect()
+    assert mixed and all(r.n > 0 for r in mixed)
+
+
 def test_ngrams(spark, monkeypatch):
     base = fx.prose(50, 150).split()
     r = np.random.default_rng(1)
