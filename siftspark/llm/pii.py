@@ -1,8 +1,7 @@
 """Personal data in text: patterns propose, checksums confirm, context scores.
 
-Only DataFrame functions are used. A pattern's matches come from
-regexp_extract_all, their places from the lengths of what split() leaves
-between them; both walk the text with the same matcher. Patterns start at the
+Only DataFrame functions are used. A pattern's matches and their places come
+from one walk of the matcher (spans). Patterns start at the
 head of a run (or where the last match ended) and use possessive repeats, which
 find the same leftmost matches in linear time and without deep recursion.
 
@@ -11,8 +10,8 @@ and tokens: long runs of letters and digits, with many of both) are added. A
 span's score is the kind's own plus 10, 100 at most, where one of the kind's
 context words stands within 40 characters of it; a secret's is 90 where it does.
 
-Places add up in blocks of matches, and context is read from pieces of the text,
-so that the work grows with the text and not with its square.
+Context is read from pieces of the text, so that the work grows with the text
+and not with its square.
 
 Defined cases: null and empty text have no spans; every row is judged by itself,
 so null or repeated ids and tied spans change nothing; places count code points,
@@ -26,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, table, unpacked
+from .spans import matches
 
 _CARD_LUHN = """aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN i % 2 = 1 THEN int(substr({d}, length({d}) - i + 1, 1))
     ELSE int(substr({d}, length({d}) - i + 1, 1)) * 2 - CASE WHEN int(substr({d}, length({d}) - i + 1, 1)) > 4 THEN 9 ELSE 0 END END) % 10 = 0"""
@@ -44,21 +44,14 @@ BASE = 4
 NEAR = 40
 
 
-MATCHES, PIECE = 256, 4096
+PIECE = 4096
 
 
 def _spans(at: int) -> Column:
     """Confirmed spans of one kind, as structs (s, k, kind, e, score); reads text and its pieces (_cuts)."""
     kind, pattern, gate, digits, confirm, score, context = KINDS[at]
     confirm = confirm.replace("{d}", "d")
-    quoted = "r'" + pattern + "'"
-    none = "cast(array() AS array<struct<s: int, h: string>>)"
-    block = f"""aggregate(slice(z, b + 1, {MATCHES}), struct(0 AS pos, {none} AS out),
-        (a, x) -> CASE WHEN x.`1` IS NULL THEN a ELSE struct(a.pos + length(x.`0`) + length(x.`1`) AS pos, concat(a.out, array(struct(a.pos + length(x.`0`) AS s, x.`1` AS h))) AS out) END)"""
-    blocks = f"transform(sequence(0, size(z) - 1, {MATCHES}), b -> {block})"
-    starts = "aggregate(y, struct(0 AS pos, cast(array() AS array<int>) AS out), (a, x) -> struct(a.pos + x.pos AS pos, concat(a.out, array(a.pos)) AS out), a -> a.out)"
-    added = f"flatten(transform(arrays_zip(y, {starts}), p -> transform(p.y.out, x -> struct(x.s + p.`1` AS s, x.h AS h))))"
-    placed = f"transform(transform(array(arrays_zip(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0))), z -> {blocks}), y -> {added})[0]"
+    placed = matches(pattern)
     checked = f"filter(transform({placed}, x -> struct(x.s AS s, x.h AS h, transform(array(x.h), h -> {digits})[0] AS d)), x -> transform(array(struct(x.h AS h, x.d AS d)), y -> {_of('y', confirm)})[0])"
     # The text from place p: two pieces are enough for NEAR characters.
     some = lambda p: f"substr(concat(_cuts[({p}) div {PIECE}], coalesce(get(_cuts, int(({p}) div {PIECE} + 1)), '')), ({p}) % {PIECE} + 1"
