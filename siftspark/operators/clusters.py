@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest
 from .retrieval import knn
 from .storage import checkpoint
 
@@ -17,8 +20,8 @@ def partner_edges(items: DataFrame) -> DataFrame:
 
 
 def neighbour_edges(vectors: DataFrame, threshold: float, k: int = 5) -> DataFrame:
-    """a, b, similarity: of the k nearest within 14 days, those of at least the threshold; k comes first."""
-    v = vectors.select(F.col("chunk_id"), "embedding", F.col("published_day").alias("day"))
+    """a, b, similarity: of the k nearest archive vectors within 14 days, those of at least the threshold; k comes first."""
+    v = vectors.where("collection = 'archive'").select(F.col("chunk_id"), "embedding", F.col("published_day").alias("day"))
     near = knn(v.select(F.col("chunk_id").alias("query_id"), "embedding", F.col("day").alias("qday")), v, k, keep="band")
     return near.where(F.col("similarity") >= threshold).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), "similarity")
 
@@ -54,6 +57,78 @@ def cluster(items: DataFrame, edges: DataFrame, existing: DataFrame | None = Non
     return comp.join(names, "comp").select(F.col("node").alias("id"), F.when(F.col("n") > 1, F.col("name")).alias("cluster_id"))
 
 
+PARTS = 32
+
+
+def _part(c) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Membership:
+    """Who is in which cluster (id, cluster_id), twice: by_id in parts of the id, by_cluster in parts of the cluster, without single items."""
+
+    by_id: DataFrame
+    by_cluster: DataFrame
+
+
+def open_membership(spark: SparkSession, folder: str, kind: str = "long") -> Membership:
+    return Membership(*[spark.read.schema(f"id {kind}, cluster_id {kind}, part int").parquet(f"{folder}/{t}") for t in ("by_id", "by_cluster")])
+
+
+def write_membership(clusters: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Store id, cluster_id under folder; with mode 'overwrite' only the parts that clusters has rows of are replaced."""
+    out = lambda rows, name: rows.repartition("part").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/{name}")
+    out(clusters.select("id", "cluster_id", _part("id").alias("part")), "by_id")
+    out(clusters.where("cluster_id IS NOT NULL").select("id", "cluster_id", _part("cluster_id").alias("part")), "by_cluster")
+
+
+def _some(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """Of rows stored in parts of `by`, those with one of the wanted values; other parts aren't read."""
+    parts = [r[0] for r in wanted.select(_part(by)).distinct().collect()]  # PARTS at most
+    return rows.where(F.col("part").isin(parts)).join(wanted, by, "left_semi")
+
+
+def update(known: Membership, new: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, cluster_id, part of the items whose cluster changes with new items (id) and their edges (a, b); the others are as they were.
+
+    A cluster that an edge touches is one node; labels run over these nodes and the new items, which is the frontier
+    of the batch. Clusters that come together take the smallest one's name, which is also a new item's; items that
+    had none take the smallest id. Members are read of those clusters only whose name changes."""
+    e = edges.select("a", "b").where("a <> b")
+    ends = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).union(new.select("id")).distinct()
+    found = _some(known.by_id, ends, "id").select("id", "cluster_id")
+    of = checkpoint(ends.join(found, "id", "left").withColumn("node", F.when(F.col("cluster_id").isNull(), F.concat(F.lit("item "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")))))
+    node = lambda c: of.select(F.col("id").alias(c), F.col("node").alias(f"n{c}"))
+    between = e.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    comp = components(of.select("node").distinct(), between)
+    labelled = of.join(comp, "node")
+    names = labelled.groupBy("comp").agg(F.coalesce(F.min("cluster_id"), F.min("id")).alias("name"), F.count_distinct("node").alias("n"))
+    after = checkpoint(labelled.join(names, "comp").select("id", "cluster_id", F.when(F.col("n") > 1, F.col("name")).otherwise(F.col("cluster_id")).alias("name")))
+    renamed = after.where("cluster_id <> name").select("cluster_id", "name").distinct()
+    members = _some(known.by_cluster, renamed.select("cluster_id"), "cluster_id").join(renamed, "cluster_id").select("id", F.col("name").alias("cluster_id"))
+    alone = after.join(found.select("id"), "id", "left_anti").where("name IS NULL").select("id", F.lit(None).cast(dict(members.dtypes)["cluster_id"]).alias("cluster_id"))
+    joined = after.where("cluster_id IS NULL AND name IS NOT NULL").select("id", F.col("name").alias("cluster_id"))
+    return members.unionByName(joined).unionByName(alone)
+
+
+def store_update(spark: SparkSession, folder: str, changes: DataFrame) -> None:
+    """The stored membership after changes (id, cluster_id): only the parts of the ids, and of the clusters that gain or lose members, are read and written."""
+    known, changes = open_membership(spark, folder), checkpoint(changes)
+    before = checkpoint(_some(known.by_id, changes.select("id"), "id").select("id", "cluster_id"))
+    touched = [r[0] for r in changes.select(_part("id")).distinct().collect()]
+    ids = known.by_id.where(F.col("part").isin(touched)).select("id", "cluster_id").join(changes.select("id"), "id", "left_anti").unionByName(changes)
+    moved = before.unionByName(changes).where("cluster_id IS NOT NULL").select(_part("cluster_id").alias("part")).distinct()
+    parts = [r[0] for r in moved.collect()]
+    named = known.by_cluster.where(F.col("part").isin(parts)).select("id", "cluster_id").join(changes.select("id"), "id", "left_anti").unionByName(changes.where("cluster_id IS NOT NULL"))
+    for rows, name, by, all_parts in ((ids, "by_id", "id", touched), (named, "by_cluster", "cluster_id", parts)):
+        kept = checkpoint(rows.withColumn("part", _part(by)))
+        # A part that has lost all its rows is removed; an overwrite leaves it as it is.
+        for empty in set(all_parts) - {r[0] for r in kept.select("part").distinct().collect()}:
+            manifest.remove(spark, f"{folder}/{name}/part={empty}")
+        kept.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder}/{name}")
+
+
 def siblings(clusters: DataFrame) -> DataFrame:
     """id, sibling: the other items of an item's cluster."""
     c = clusters.where("cluster_id IS NOT NULL")

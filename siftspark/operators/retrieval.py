@@ -66,7 +66,8 @@ class Index:
     corpus: DataFrame
 
 
-def _bucket(term) -> Column:
+def bucket(term) -> Column:
+    """Where a term's postings are."""
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
@@ -74,7 +75,7 @@ def write_index(docs: DataFrame, key: str, text: Column, folder: str) -> None:
     """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to SHARDS files at least, so no task holds a hot term's whole list."""
     tokens = docs.select(F.col(key).alias("key"), index_tokens(text).alias("t"))
     each = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term"))
-    dealt = each.withColumn("bucket", _bucket("term")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
+    dealt = each.withColumn("bucket", bucket("term")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
     counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
     counted.drop("shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     stored = docs.sparkSession.read.parquet(f"{folder}/postings")
@@ -102,12 +103,12 @@ def keyword_scores(index: Index, terms: Sequence[str]) -> DataFrame:
 
 def _buckets(index: Index, terms: Sequence[str]) -> list[int]:
     rows = index.corpus.sparkSession.createDataFrame([(t,) for t in terms] or [("",)], "term string")
-    return [r[0] for r in rows.select(_bucket("term")).distinct().collect()]
+    return [r[0] for r in rows.select(bucket("term")).distinct().collect()]
 
 
 def keyword_scores_of(index: Index, queries: DataFrame, text: Column) -> DataFrame:
     """query_id, key, score for many queries (query_id and a text) at once."""
-    asked = queries.select("query_id", F.explode(search_terms(text)).alias("term")).withColumn("bucket", _bucket("term"))
+    asked = queries.select("query_id", F.explode(search_terms(text)).alias("term")).withColumn("bucket", bucket("term"))
     known = asked.join(index.terms, ["bucket", "term"])
     hits = known.join(index.postings, ["bucket", "term"]).crossJoin(F.broadcast(index.corpus))  # one row
     return hits.groupBy("query_id", "key").agg(F.sum(_part()).alias("score"))
@@ -223,21 +224,42 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -
     'group' (another group): what it leaves out never shrinks k. Vectors that have no direction have no
     neighbours, and only vectors of one length are compared.
     Both sides are cut into blocks of about BLOCK_ROWS; each pair of blocks is compared in one task, which
-    holds the two, and returns the k best of each query; a window merges those of a query.
+    holds the two, and returns the k best of each query; a window merges those of a query. For 'band' the
+    blocks are cut by day first, and only those of near days meet: their number grows with the days, not
+    with its square.
     """
     more = {"band": ["day"], "group": ["group"]}.get(keep, [])
     q = queries.where(comparable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *[f"q{c}" for c in more])
     c = candidates.where(comparable(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), *more)
-    nq, nc = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, c))
-    dims = F.size("embedding").alias("dims")
-    left = q.select("*", dims, F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"))
-    right = c.select("*", dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).alias("j"))
-    unit = ["dims", "i", "j"]
+    if keep == "band":
+        left, right, unit = _band_blocks(q, c)
+    else:
+        nq, nc = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, c))
+        dims = F.size("embedding").alias("dims")
+        left = q.select("*", dims, F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"))
+        right = c.select("*", dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).alias("j"))
+        unit = ["dims", "i", "j"]
     found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_compare(k, keep), "query_id long, chunk_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+BAND_DAYS = 14
+
+
+def _band_blocks(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt to pairs of blocks of ranges of BAND_DAYS + 1 days: a range meets itself and the two beside it, whatever else there is. Rows without a day meet none."""
+    range_of = lambda day: F.floor(F.unix_date(day) / (BAND_DAYS + 1)).cast("long")
+    q, c = q.where("qday IS NOT NULL").withColumn("r", range_of("qday")), c.where("day IS NOT NULL").withColumn("s", range_of("day"))
+    blocks = lambda rows, by, name: rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    near = blocks(q, "r", "nq").select("r", "nq", F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("s")).join(blocks(c, "s", "nc"), "s")
+    near = near.select(F.col("r").alias("r"), F.col("s").alias("s"), F.col("nq").cast("long").alias("nq"), F.col("nc").cast("long").alias("nc"))  # three rows for each 15 days of the calendar
+    zero, dims = F.lit(0).cast("long"), F.size("embedding").alias("dims")
+    left = q.join(F.broadcast(near), "r").select("query_id", "embedding", "qday", dims, "r", "s", F.pmod(F.xxhash64("query_id"), F.col("nq")).alias("i"), F.explode(F.sequence(zero, F.col("nc") - 1)).alias("j"))
+    right = c.join(F.broadcast(near), "s").select("chunk_id", "embedding", "day", dims, "r", "s", F.explode(F.sequence(zero, F.col("nq") - 1)).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.col("nc")).alias("j"))
+    return left, right, ["dims", "r", "s", "i", "j"]
+
+
 def _unit_rows(t: pa.Table) -> np.ndarray:
     x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -267,7 +289,7 @@ def _compare(k: int, keep: str):
                 s[ids[:, None] == c[None, :]] = -2
             if keep == "band":
                 days = [t.column(n).cast(pa.int32()).to_numpy(zero_copy_only=False) for t, n in ((queries, "qday"), (candidates, "day"))]
-                s[~(np.abs(days[0][:, None] - days[1][None, :]) <= 14)] = -2
+                s[~(np.abs(days[0][:, None] - days[1][None, :]) <= BAND_DAYS)] = -2
             at = _best(s, c, k)
             best = np.take_along_axis(s, at, 1)
             row, col = np.nonzero(best > -2)

@@ -6,6 +6,7 @@ Each merge takes the table as it is and the batch, and returns the next table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,6 +183,55 @@ def survivors(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) ->
     return rows.join(parents.select(F.col(parent_key).alias(key)), key, "left_semi")
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A row of table refers by key to a row of parent, and goes with it."""
+
+    table: str
+    key: str
+    parent: str
+    parent_key: str
+
+
+def cascade(tables: dict[str, DataFrame], references: Sequence[Reference], deleted: dict[str, tuple[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Every table after deletions; deleted has, for some tables, a key column and the keys to go.
+
+    Tables are walked from parents to children. What passes down is the keys of rows that go, so a level costs a
+    semi-join of its rows with these, and a table that nothing reaches comes back as it is. Null keys refer to nothing."""
+    gone: dict[str, list[DataFrame]] = {}  # rows of a table that go, by reason
+    out: dict[str, DataFrame] = {}
+    for name in _parents_first(list(tables), references):
+        rows = tables[name]
+        reasons = [(key, keys.select(F.col(keys.columns[0]).alias(key))) for key, keys in [deleted[name]]] if name in deleted else []
+        for r in references:
+            if r.table == name and r.parent in gone:
+                lost = None
+                for g in gone[r.parent]:
+                    part = g.select(F.col(r.parent_key).alias(r.key))
+                    lost = part if lost is None else lost.unionByName(part)
+                reasons.append((r.key, lost))
+        left = rows
+        for key, keys in reasons:
+            some = keys.where(F.col(key).isNotNull()).distinct()
+            if any(r.parent == name for r in references):
+                gone.setdefault(name, []).append(rows.join(some, key, "left_semi"))
+            left = left.join(some, key, "left_anti")
+        out[name] = left
+    return out
+
+
+def _parents_first(names: Sequence[str], references: Sequence[Reference]) -> list[str]:
+    """Names with every parent before its children; a table may refer to itself no more than to a ring of others."""
+    left, out = list(names), []
+    while left:
+        free = [n for n in left if not any(r.table == n and r.parent in left for r in references)]
+        if not free:
+            raise ValueError(f"references in a ring: {', '.join(left)}")
+        out += free
+        left = [n for n in left if n not in free]
+    return out
+
+
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, n: how many rows break each rule."""
     counts = rows.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])

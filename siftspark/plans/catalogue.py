@@ -238,7 +238,7 @@ def item_order(v):
 
 # Clusters
 
-_EDGES = """WITH s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vectors a, vectors b WHERE a.chunk_id <> b.chunk_id AND abs(a.published_day - b.published_day) <= 14),
+_EDGES = """WITH s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vectors a, vectors b WHERE a.collection = 'archive' AND b.collection = 'archive' AND a.chunk_id <> b.chunk_id AND abs(a.published_day - b.published_day) <= 14),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM s), e AS (SELECT a, b, similarity FROM k WHERE r <= 5 AND similarity >= 0.4) """
 
 
@@ -432,12 +432,21 @@ def _terms(v: Views) -> list[str]:
     return [r["term"] for r in sorted(rows, key=lambda r: (-r["n"], -r["n_title"], r["term"]))]
 
 
-@query()
+_TOP_TERMS = _LIKED + ", tt AS (SELECT term, row_number() OVER (ORDER BY n DESC, n_title DESC, term) AS i FROM c ORDER BY i LIMIT 30)"
+
+
+@query(_TOP_TERMS + f""", k AS (SELECT id, list_transform(regexp_extract_all(lower(concat_ws(' ', title, summary)), '{TOKENS}'), lambda t: regexp_replace(t, '^[._-]+|[._-]+$', '', 'g')) AS t FROM items),
+f AS (SELECT id, list([term] ORDER BY i) FILTER (WHERE len(list_filter(t, lambda x: starts_with(x, term))) > 0) AS w FROM k, tt GROUP BY id),
+p AS (SELECT id, list_reduce(list_prepend([], coalesce(w, [])), lambda a, b: CASE WHEN len(list_filter(a, lambda h: starts_with(h, b[1]) OR starts_with(b[1], h))) > 0 THEN a ELSE list_concat(a, b) END) AS w FROM f)
+SELECT id, coalesce(w[1:3], []) AS matched FROM k LEFT JOIN p USING (id)""", "items", "item_state")
 def matched_terms(v):
     return ranking.matched_terms(v.items, _terms(v))
 
 
-@query()
+@query(_TOP_TERMS + f""", k AS (SELECT id, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, summary))), '{TOKENS}') AS t FROM items),
+n AS (SELECT id, len(t) AS length, i, len(list_filter(t, lambda x: starts_with(x, term))) AS tf FROM k, tt), st AS (SELECT i, count(*) FILTER (WHERE tf > 0) AS n, count(*) AS total, avg(length) AS mean FROM n GROUP BY i),
+s AS (SELECT id, sum(CASE WHEN tf > 0 THEN greatest(1e-6, ln((total - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) ELSE 0 END) AS raw FROM n JOIN st USING (i) GROUP BY id)
+SELECT id, round(CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0.0 END, 6) AS topic FROM s""", "items", "item_state")
 def topic_scores(v):
     return ranking.topic_scores(v.items, _terms(v)).withColumn("topic", F.round("topic", 6))
 

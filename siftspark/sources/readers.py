@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+import time
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 from . import listings, markup
 
@@ -65,33 +67,109 @@ def checked_scan(rows: DataFrame, recipe: str) -> DataFrame:
     return items
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
+class _Range(InputPartition):
+    """Bytes of a file: the lines that begin in them."""
+
+    def __init__(self, path: str, start: int, stop: int) -> None:
         super().__init__(path)
-        self.path = path
+        self.path, self.start, self.stop = path, start, stop
+
+
+#: Bytes of a range; a line longer than that is read by the range in which it begins.
+RANGE = 32 << 20
+#: A file counts as landed once it is this old: what lands within one tick of the clock is never split.
+SETTLED = 0.2
+_KEYS = ("recipe", "source_id")
+
+
+def _files(folder: str) -> list[tuple[str, dict[str, str]]]:
+    """Files under a folder with what the folders above them (recipe=..., source_id=...) say of all their lines."""
+    out = []
+    for at, _, names in os.walk(folder):
+        told = dict(p.split("=", 1) for p in os.path.relpath(at, folder).split(os.sep) if "=" in p)
+        out += [(os.path.join(at, n), {k: unquote(v) for k, v in told.items() if k in _KEYS}) for n in names if n.endswith(".jsonl")]
+    return sorted(out, key=lambda f: f[0])
+
+
+def _ranges(path: str) -> list[_Range]:
+    size = os.path.getsize(path)
+    return [_Range(path, i, min(size, i + RANGE)) for i in range(0, size, RANGE)]
+
+
+def _lines(part: _Range):
+    """The lines that begin in a range: the one that reaches into it belongs to the range before."""
+    with open(part.path, "rb") as f:
+        if part.start:
+            f.seek(part.start - 1)
+            f.readline()
+        while f.tell() < part.stop and (line := f.readline()):
+            if line.strip():
+                yield line.decode("utf-8", "replace").rstrip("\r\n")
+
+
+def _captures(part: _Range, wanted: dict[str, set[str]]):
+    for line in _lines(part):
+        try:
+            r = json.loads(line)
+            row = (r.get("source_id"), r.get("recipe"), r.get("url"), r.get("body"))
+        except (ValueError, AttributeError):
+            row = (None, "malformed", part.path, line)
+        if all(row[("source_id", "recipe").index(k)] in v for k, v in wanted.items()):
+            yield row
 
 
 class _Reader(DataSourceReader):
     def __init__(self, folder: str, recipe: str | None) -> None:
-        self.folder, self.recipe = folder, recipe
+        self.folder, self.wanted = folder, {}
+        if recipe is not None:
+            self.wanted["recipe"] = {recipe}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in _KEYS:
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
+            else:
+                yield f
 
     def partitions(self):
-        return [_File(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder)) if f.endswith(".jsonl")]
+        some = [path for path, told in _files(self.folder) if all(told.get(k) is None or told[k] in v for k, v in self.wanted.items())]
+        return [r for path in some for r in _ranges(path)] or [_Range(os.devnull, 0, 0)]
 
     def read(self, partition):
-        with open(partition.path, encoding="utf-8") as lines:
-            for line in lines:
-                try:
-                    r = json.loads(line)
-                except ValueError:
-                    yield (None, "malformed", partition.path, line.rstrip("\n"))
-                    continue
-                if self.recipe is None or r.get("recipe") == self.recipe:
-                    yield (r.get("source_id"), r.get("recipe"), r.get("url"), r.get("body"))
+        yield from _captures(partition, self.wanted)
+
+
+class _Landing(DataSourceStreamReader):
+    """Files in the order in which they land; an offset is the last one of all. Files are moved in whole, never change and stay, so that a batch read again is the same, and after a restart none comes twice."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def _landed(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(path).st_ctime_ns, os.path.relpath(path, self.folder)) for path, _ in _files(self.folder))
+
+    def initialOffset(self) -> dict:
+        return {"at": 0, "path": ""}
+
+    def latestOffset(self) -> dict:
+        young = time.time_ns() - int(SETTLED * 1e9)
+        at, path = max((f for f in self._landed() if f[0] < young), default=(0, ""))
+        return {"at": at, "path": path}
+
+    def partitions(self, start: dict, end: dict):
+        first, last = ((o["at"], o["path"]) for o in (start, end))
+        return [r for f in self._landed() if first < f <= last for r in _ranges(os.path.join(self.folder, f[1]))]
+
+    def read(self, partition):
+        yield from _captures(partition, {})
 
 
 class Captured(DataSource):
-    """Option path: the folder; option recipe: only captures of one kind. A malformed line is a row of recipe 'malformed', with its file and text."""
+    """Option path: the folder; option recipe: only captures of one kind. A malformed line is a row of recipe 'malformed', with its file and text.
+
+    Files are read in ranges. Filters on recipe and source_id are applied while reading, and files in folders called recipe=... or
+    source_id=... (of which all lines are) are left out by them. As a stream, files count once, in the order in which they land."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,6 +181,10 @@ class Captured(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"], self.options.get("recipe"))
 
+    def streamReader(self, schema):
+        return _Landing(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Captured)

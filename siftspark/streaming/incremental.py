@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,3 +61,35 @@ def item_states(stream: DataFrame) -> DataFrame:
 def run(stream: DataFrame, name: str, checkpoint: str, merge: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Start a query that hands each micro-batch to merge(rows, batch id), once for what is there now."""
     return stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def day_writer(path: str, day_of: Callable[[DataFrame], DataFrame], open_from: Callable[[], Any], keys: list[str], at: str = "at") -> Callable[[DataFrame, int], None]:
+    """What run() hands micro-batches to, to keep a table by day under path: rows (with day) of days that are still open are merged, the last by `at` of each of keys; closed days are refused.
+
+    open_from() gives the first open day. Only the days of a batch are read and rewritten. Each row keeps the batch
+    that brought it, so a batch that is replayed after a crash finds its own rows and changes nothing. Refused rows
+    are kept under path/refused, by batch."""
+    from ..operators.storage import checkpoint
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        dated = checkpoint(day_of(rows))
+        first = F.lit(open_from()).cast("date")
+        late = dated.where(F.col("day") < first)
+        late.write.mode("overwrite").parquet(f"{path}/refused/batch={batch}")
+        fresh = dated.where(F.col("day") >= first).withColumn("batch", F.lit(batch).cast("long"))
+        days = [r.day for r in fresh.select("day").distinct().collect()]  # the days of one batch that are open
+        if not days:
+            return
+        whole = fresh
+        try:
+            stored = spark.read.schema(fresh.schema).parquet(f"{path}/days").where(F.col("day").isin(days))
+            whole = stored.unionByName(fresh)
+        except AnalysisException:
+            pass
+        rest = [c for c in fresh.columns if c not in (*keys, "day")]
+        # Of equal moments the earlier batch stays, so that a batch that comes again is no news.
+        best = whole.groupBy("day", *keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(at), -F.col("batch"))).alias("_r")).select("day", *keys, "_r.*")
+        checkpoint(best).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/days")
+
+    return merge

@@ -46,7 +46,7 @@ def test_udfs_and_matching(spark):
     got = markup.matching(e, r"^/2024/").orderBy("pos_no").collect()
     assert [(r.url, r.pos_no) for r in got] == [("https://x.org/2024/a", 2), ("https://x.org/2024/b", 3)]
     seen = spark.createDataFrame([("x", "https://x.org/2024/a")], "site string, url string")
-    assert [r.url for r in markup.unseen(markup.matching(e, r"^/2024/"), seen).collect()] == ["https://x.org/2024/b"]
+    assert [r.url for r in markup.to_fetch(markup.matching(e, r"^/2024/"), seen).collect()] == ["https://x.org/2024/b"]
 
 
 @pytest.mark.parametrize("bad", ["(a+)+", "(a|b)*", "((x|y)z)+", "(?:ab|c){2,}", "(a(?:b|c)?){3}", "x" * 201, "(", ".*.*.*x"])
@@ -90,12 +90,40 @@ def test_adapters(spark):
 
 
 def test_polled(spark):
-    matched = spark.createDataFrame([("x", f"u{i}", i) for i in range(6)] + [("y", f"v{i}", i) for i in range(4)], "site string, url string, pos_no int")
-    seen = spark.createDataFrame([("x", "u5", 1), ("x", "old", 0)], "site string, url string, at long")
-    fetched = spark.createDataFrame([("x", "u0", "network"), ("x", "u1", "http")], "site string, url string, outcome string")
-    todo, after = markup.polled(matched, seen, fetched, most=2, most_seen=3)
-    assert sorted((r.site, r.url) for r in todo.collect()) == [("x", "u0"), ("x", "u2"), ("y", "v0"), ("y", "v1")]
-    assert sorted((r.site, r.url, r["at"]) for r in after.collect()) == [("x", "old", 0), ("x", "u1", 2), ("x", "u5", 1), ("y", "v2", 1), ("y", "v3", 1)]
+    """The first poll takes the newest and counts all it lists as handled; network failures come again; what isn't listed is forgotten."""
+    listing = lambda *urls: spark.createDataFrame([("x", u, i) for i, u in enumerate(urls)], "site string, url string, pos_no int")
+    outcomes = lambda **o: spark.createDataFrame([("x", u, v) for u, v in o.items()] or [("-", "-", "ok")], "site string, url string, outcome string")
+    seen = spark.createDataFrame([("y", "kept", 0)], "site string, url string, pos_no int")
+    first = listing("u0", "u1", "u2", "u3")
+    assert [r.url for r in markup.to_fetch(first, seen, 2).orderBy("pos_no").collect()] == ["u0", "u1"]
+    seen = markup.handled(first, outcomes(u0="network", u1="http"), seen)
+    assert sorted((r.site, r.url) for r in seen.collect()) == [("x", "u1"), ("x", "u2"), ("x", "u3"), ("y", "kept")]
+    second = listing("new", "u0", "u1", "u3")
+    assert [r.url for r in markup.to_fetch(second, seen, 2).orderBy("pos_no").collect()] == ["new", "u0"]
+    seen = markup.handled(second, outcomes(new="ok", u0="ok"), seen, most_seen=3)
+    assert sorted(r.url for r in seen.where("site = 'x'").collect()) == ["new", "u0", "u1"]  # u2 isn't listed any more, u3 is past the bound
+    assert [r.url for r in markup.to_fetch(listing("u2", "u3"), seen).orderBy("pos_no").collect()] == ["u2", "u3"]
+
+
+def test_all_entries_and_reports(spark):
+    index = b"<sitemapindex><sitemap><loc>https://x.org/old.xml</loc><lastmod>2023-01-01</lastmod></sitemap><sitemap><loc>https://x.org/new.xml</loc><lastmod>2024-01-01</lastmod></sitemap></sitemapindex>"
+    d = spark.createDataFrame([("x", bytearray(index), "https://x.org/sitemap.xml"), ("y", bytearray(MAP), "https://y.org/")], "site string, body binary, base string")
+    top = d.select("site", F.inline(markup.parse_sitemap("body", "base")))
+    assert [r.url for r in markup.children(top, 1).collect()] == ["https://x.org/new.xml"]
+    below = spark.createDataFrame([("x", bytearray(MAP), "https://x.org/new.xml")], "site string, body binary, base string").select("site", F.inline(markup.parse_sitemap("body", "base")))
+    every = markup.all_entries(top, below)
+    assert sorted(r.site for r in every.collect()) == ["x"] * 3 + ["y"] * 3
+    report = {r.site: r for r in markup.match_report(every, markup.matching(every.where("site = 'x'"), "^/2024/"), "^/2024/").collect()}
+    assert (report["x"].matched, report["x"].error) == (2, None) and report["y"].matched == 0 and "no address matches" in report["y"].error
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><blockquote><p>x</p></blockquote><ul><li><p>y<li>z</ul></article>", ["x", "- y", "- z"]),
+    ("<body><p>one<p>two<div>not</div><p>three<h2>four</h2>", ["one", "two", "three", "## four"]),
+    ("<main><table><tr><td><p>a<td><p>b</table><p>c<ul><li>d<ul><li>e</ul><li>f</ul></main>", ["a", "b", "c", "- d e", "- f"]),
+])
+def test_article_blocks(html, want):
+    assert markup.article_text(html, 1)[0].split("\n\n") == want
 
 
 def test_feed_summary(spark):
