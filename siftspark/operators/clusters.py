@@ -95,7 +95,7 @@ def update(known: Membership, new: DataFrame, edges: DataFrame) -> DataFrame:
     A cluster that an edge touches is one node; labels run over these nodes and the new items, which is the frontier
     of the batch. Clusters that come together take the smallest one's name, which is also a new item's; items that
     had none take the smallest id. Members are read of those clusters only whose name changes."""
-    e = edges.select("a", "b").where("a <> b")
+    e = checkpoint(edges.select("a", "b").where("a <> b"))  # read from three sides
     ends = e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))).union(new.select("id")).distinct()
     found = _some(known.by_id, ends, "id").select("id", "cluster_id")
     of = checkpoint(ends.join(found, "id", "left").withColumn("node", F.when(F.col("cluster_id").isNull(), F.concat(F.lit("item "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("cluster "), F.col("cluster_id").cast("string")))))

@@ -114,6 +114,22 @@ def page(rows: DataFrame, name: str, limit: int = PAGE) -> DataFrame:
     return top.withColumn("position_no", F.row_number().over(Window.orderBy(*order(name))))
 
 
+def listing(rows: DataFrame, keep: Column, by: str, limit: int = PAGE, ranked: DataFrame | None = None, pinned: int | None = None) -> tuple[DataFrame, int]:
+    """(the page, how many items there are without any condition). ranked (id, position) are a search's results, best first: only they are listed, in their order, under the other conditions; a pinned item stays, after them if they lack it."""
+    total = rows.count()
+    if ranked is not None:
+        rows = rows.join(F.broadcast(ranked.select("id", "position").limit(limit)), "id", "left")  # a search's few rows
+        keep, by = keep & F.col("position").isNotNull(), "ranked"
+    if pinned is not None:
+        keep = F.coalesce(keep, F.lit(False)) | (F.col("id") == pinned)
+    return page(rows.where(keep), by, limit), total
+
+
+def item_row(rows: DataFrame, item: int) -> DataFrame:
+    """The one row of an item, as the list shows it; none if there is no such item."""
+    return rows.where(F.col("id") == item)
+
+
 def tag_facet(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode("tags").alias("tag")).groupBy("tag").agg(F.countDistinct("id").alias("n"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import slug
 from ..functions.fences import fenced
-from ..functions.text import clip
+from ..functions.text import clip, word_count
 from .guard import checked
 from .lists import HIDING
 from .order import number_rows
@@ -80,13 +80,47 @@ def last_runs(runs: DataFrame, statuses: Sequence[str] = ()) -> DataFrame:
 
 
 def extraction_due(items: DataFrame, contents: DataFrame, now: Column, version: int) -> DataFrame:
-    """Items whose text has to be fetched: never tried, of an older extractor, or failed more than an hour ago; paid ones stay."""
+    """Items whose text has to be fetched: never tried, read by another extractor, or without a text (failed, or behind a paywall) for more than an hour."""
     c = contents.select(F.col("item_id").alias("id"), "status", "extractor_version", "fetched_at")
     both = items.select("id").join(c, "id", "left")
-    why = F.when(F.col("status").isNull(), "new").when((F.col("status") == "ok") & (F.col("extractor_version") < version), "old").when((F.col("status") == "failed") & (F.col("fetched_at") <= now - F.expr(RETRY)), "retry")
+    why = F.when(F.col("status").isNull(), "new").when((F.col("status") == "ok") & (F.col("extractor_version") != version), "old").when((F.col("status") != "ok") & (F.col("fetched_at") <= now - F.expr(RETRY)), "retry")
     return both.select("id", why.alias("reason")).where("reason IS NOT NULL")
 
 
+# Answers that ask for money or a login.
+PAYWALLED = (401, 402, 403)
+
+
+def store_contents(contents: DataFrame, tried: DataFrame, now: Column, version: int) -> DataFrame:
+    """Contents (item_id, status, body, extractor, words, error, extractor_version, fetched_at) after some texts were fetched: tried has item_id, at, http (the answer's status), body, extractor, error.
+
+    The last try of an item replaces what there was, whatever came of it: 'ok' with a text, 'paywalled' where the answer
+    asks for money or a login, else 'failed'. The rest stays."""
+    last = tried.groupBy("item_id").agg(F.max_by(F.struct("http", "body", "extractor", "error"), "at").alias("_t"))
+    ok = F.col("_t.body").isNotNull() & F.coalesce(F.col("_t.http") < 400, F.lit(True))
+    status = F.when(ok, "ok").when(F.col("_t.http").isin(*PAYWALLED), "paywalled").otherwise("failed")
+    error = F.when(~ok, F.coalesce("_t.error", F.concat(F.lit("HTTP "), F.col("_t.http").cast("string")), F.lit("no text")))
+    fresh = last.select("item_id", status.alias("status"), F.when(ok, F.col("_t.body")).alias("body"), F.when(ok, F.col("_t.extractor")).otherwise(F.lit("none")).alias("extractor"), F.when(ok, word_count(F.col("_t.body"))).cast("long").alias("words"), error.alias("error"), F.lit(version).alias("extractor_version"), now.alias("fetched_at"))
+    return contents.join(fresh.select("item_id"), "item_id", "left_anti").unionByName(fresh.select(*contents.columns))
+
+
+def last_run_of_day(runs: DataFrame, kind: str, start: Column, end: Column, statuses: Sequence[str] = ("ok", "partial")) -> DataFrame:
+    """The newest run of a kind that began within a day (its bounds are clock.day_bounds') and came to something; one row, or none."""
+    some = runs.where((F.col("kind") == kind) & F.col("status").isin(*statuses) & (F.col("started_at") >= start) & (F.col("started_at") < end))
+    return some.orderBy(F.desc("started_at"), F.desc("id")).limit(1)
+
+
+def save_ask(asks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Saved questions (id, run_id, scope, question, answer, citations, model, created_at) and new ones, whose ids go on from the last in the order of pos."""
+    last = asks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    new = number_rows(asked, F.asc("created_at"), F.asc("pos"), name="_n").crossJoin(F.broadcast(last))  # one row
+    return asks.unionByName(new.withColumn("id", F.col("_last") + F.col("_n")).select(*asks.columns))
+
+
+def recent_asks(asks: DataFrame, limit: int = 20) -> DataFrame:
+    return asks.orderBy(F.desc("id")).limit(limit)
+
+
 def content_due(contents: DataFrame, stored: DataFrame, vectors: bool) -> DataFrame:
     """Readable contents that the index lacks, has under another hash, or (if vectors are possible) without a vector."""
     rows = contents.where("status = 'ok' AND trim(body) <> ''").join(stored.select("item_id", "hash", "has_vector"), "item_id", "left")

@@ -20,12 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one; it goes with the session."""
     where = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +28,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return where
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df written as a table in the shared folder, and read again. It is computed once, and its plan is no more than a scan; Dataset.checkpoint() computes twice and keeps the plan's constraints."""
+    where = new_folder(df.sparkSession, "checkpoint")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """A path with what tells one state of its files from another: sizes and times."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, clusters, retrieval, segments, state
+from ..operators import cells, chunks, clusters, ingest, lists, retrieval, segments, state, steps
 from ..operators.storage import fingerprint, new_folder
 from ..sources import feeds, markup
 from . import catalogue
@@ -95,6 +95,73 @@ def cluster_batches(v):
     return clusters.open_membership(v.spark, folder).by_id.select("id", "cluster_id")
 
 
+_LINE1 = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_PASSAGE = f"""SELECT i.id, {_LINE1.format('s.name')} || CASE WHEN {_LINE1.format('title')} = '' THEN '' ELSE ' · ' || {_LINE1.format('title')} END AS header,
+  array_to_string(list_filter([{_LINE1.format('title')}, trim(summary), 'Source: ' || s.name, CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags, ', ') END], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS text
+  FROM items i JOIN sources s ON s.id = i.source_id LEFT JOIN triage t ON t.item_id = i.id"""
+
+
+def _waves(v) -> str:
+    """An archive after three runs: two thirds of the items, some with a title that changes; all of them; and again, with nothing new."""
+
+    def make(folder: str) -> None:
+        named, embed = v.sources.withColumn("trust", F.lit("publisher")), lambda text: chunks.hash_vector(text, F.lit(32))
+        early = v.items.where("id % 3 <> 0").withColumn("title", F.when(F.col("id") % 5 == 0, F.concat(F.lit("old "), F.col("title"))).otherwise(F.col("title")))
+        for rows in (early, v.items, v.items):
+            ingest.ingest_archive(v.spark, folder, rows, named, v.triage, embed, "hash", 32, 0.9)
+
+    return _once(v, "archive", "documents", make)
+
+
+@query(f"SELECT id AS item_id, sha1('1' || chr(10) || header || chr(10) || text) AS hash, CASE WHEN id % 3 = 0 OR id % 5 = 0 THEN 2 ELSE 1 END AS batch, 'hash' AS embed_model FROM ({_PASSAGE})", "items", "sources", "triage")
+def ingest_batches(v):
+    """The archive's passages after successive runs, with the run that wrote each: what hasn't changed isn't written again."""
+    return ingest.passages(v.spark, _waves(v), "hash", "embed_model")
+
+
+@query(f"""WITH p AS ({_PASSAGE}), tok AS (SELECT id, regexp_extract_all(strip_accents(lower(header || chr(10) || text)), '{catalogue.TOKENS}') AS t FROM p),
+n AS (SELECT id, len(t) AS length, q.w AS term, len(list_filter(t, lambda x: x = q.w)) AS tf FROM tok, (SELECT unnest({WORDS}) AS w) q), st AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS n, count(*) AS total, avg(length) AS mean FROM n GROUP BY term)
+SELECT id AS item_id, round(sum(greatest(1e-6, ln((total - st.n + 0.5) / (st.n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM n JOIN st USING (term) WHERE tf > 0 GROUP BY id""", "items", "sources", "triage")
+def ingest_search(v):
+    """A keyword search over the archive that these runs kept."""
+    scored = retrieval.keyword_scores(segments.open_index(v.spark, f"{_waves(v)}/index"), WORDS)
+    return scored.select(F.col("key").alias("item_id"), F.round("score", 6).alias("score"))
+
+
+# The list under a search, and by item
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM documents ORDER BY position LIMIT 40),
+k AS (SELECT l.*, position, (position IS NOT NULL AND NOT hidden AND NOT list_has_any(flags, ['promo', 'thin'])) OR id = 11 AS keep FROM listed l LEFT JOIN r ON doc_id = id)
+SELECT id, row_number() OVER (ORDER BY position NULLS LAST, first_seen DESC, coalesce(published_at, first_seen) DESC, id DESC) AS position_no, (SELECT count(*) FROM listed) AS total FROM k WHERE keep""", "listed")
+def list_ranked(v):
+    """A search's items in its order, under the view's conditions, a pinned one after them; and how many items there are at all."""
+    found = retrieval.top(v.raw("documents"), 40, F.desc("n_chars"), F.asc("doc_id"), rank="position").select(F.col("doc_id").alias("id"), "position")
+    rows, total = lists.listing(catalogue._listed(v), lists.conditions(lists.ItemFilter(show="all")), "newest", ranked=found, pinned=11)
+    return rows.select("id", F.col("position_no").cast("long").alias("position_no"), F.lit(total).cast("long").alias("total"))
+
+
+@query("SELECT id, source_id, kind, title, popularity, liked, minutes, tags FROM listed WHERE id = (SELECT max(id) FROM items)", "listed", "items")
+def item_row(v):
+    """One item as the list shows it."""
+    last = v.items.agg(F.max("id")).first()[0]
+    return lists.item_row(catalogue._listed(v), -1 if last is None else last).select("id", "source_id", "kind", "title", "popularity", "liked", "minutes", "tags")
+
+
+@query("""WITH t AS (SELECT user_id AS item_id, event_id, ts, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 402 ELSE 500 END WHEN 'signup' THEN NULL ELSE 200 END AS http, CASE WHEN event_type IN ('view', 'click') THEN props END AS body FROM events),
+l AS (SELECT item_id, arg_max(struct_pack(http := http, body := body), (ts, event_id)) AS t FROM t GROUP BY item_id), f AS (SELECT item_id, t.body IS NOT NULL AND coalesce(t.http < 400, true) AS ok, t FROM l)
+SELECT item_id, CASE WHEN ok THEN 'ok' WHEN t.http IN (401, 402, 403) THEN 'paywalled' ELSE 'failed' END AS status, CASE WHEN ok THEN t.body END AS body, CASE WHEN NOT ok THEN coalesce('HTTP ' || t.http, 'no text') END AS error, 2 AS version FROM f
+UNION ALL SELECT item_id, status, CASE WHEN status = 'ok' THEN body END, NULL, 1 FROM contents WHERE item_id NOT IN (SELECT item_id FROM l)""", "contents")
+def stored_contents(v):
+    """The texts that are kept after every item's last try: a paywall or a failure takes a text's place as well."""
+    none = F.lit(None).cast("string")
+    kept = v.contents.select("item_id", "status", F.when(F.col("status") == "ok", F.col("body")).alias("body"), none.alias("extractor"), F.col("words").cast("long").alias("words"), none.alias("error"), F.lit(1).alias("extractor_version"), now().alias("fetched_at"))
+    e, kind = v.raw("events"), F.col("event_type")
+    http = F.when(kind == "error", F.when(F.col("event_id") % 2 == 0, 402).otherwise(500)).when(kind != "signup", 200)
+    tried = e.select(F.col("user_id").alias("item_id"), F.struct("ts", "event_id").alias("at"), http.alias("http"), F.when(kind.isin("view", "click"), F.col("props")).alias("body"), F.lit("html").alias("extractor"), none.alias("error"))
+    return steps.store_contents(kept, tried, now(), 2).select("item_id", "status", "body", "error", F.col("extractor_version").alias("version"))
+
+
 # Vectors by cell
 
 _SOME = retrieval.SearchFilter(collections=("archive",), day_from=date(2023, 12, 10), read_since=date(2023, 11, 20))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, clock, score
 from ..operators import chunks, clusters, ranking, state, steps
-from .catalogue import _DAY, _DAY_VIEWS, _pop, _weighted, query
+from .catalogue import _DAY, _DAY_VIEWS, _TOP_TERMS, TOKENS, _pop, _weighted, query
 from .views import NOW, now
 
 _WEB = "'web:' || substr(sha1(url), 1, 16)"
@@ -211,7 +211,16 @@ def replaced_digest(v):
     return out.select(F.col("day").cast("string").alias("day"), "item_id", F.round("final_score", 6).alias("final_score"))
 
 
-@query()
+_LIKED_TERMS = _TOP_TERMS.removeprefix("WITH ").replace(", c AS (", ", counted AS (").replace("FROM c ORDER", "FROM counted ORDER")
+_BUILT = f"""{_DAY}, {_LIKED_TERMS}, k AS (SELECT id, regexp_extract_all(strip_accents(lower(concat_ws(' ', title, summary))), '{TOKENS}') AS tok FROM items),
+m AS (SELECT id, len(tok) AS length, i, len(list_filter(tok, lambda x: starts_with(x, term))) AS tf FROM k, tt), st AS (SELECT i, count(*) FILTER (WHERE tf > 0) AS n, count(*) AS total, avg(length) AS mean FROM m GROUP BY i),
+w AS (SELECT id, sum(CASE WHEN tf > 0 THEN greatest(1e-6, ln((total - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) ELSE 0 END) AS raw FROM m JOIN st USING (i) GROUP BY id),
+topic AS (SELECT c.id, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0.0 END AS topic FROM c JOIN w USING (id)), cc AS (SELECT c.* EXCLUDE (source), coalesce(topic, 0) AS topic, coalesce(source, 0) AS source FROM c LEFT JOIN topic USING (id)),
+f AS (SELECT *, {_weighted(ranking.WEIGHTS['likes'])} AS final FROM cc)
+SELECT DATE '2024-01-30' AS day, id AS item_id, row_number() OVER (ORDER BY final DESC, first_seen DESC, id) AS position, final AS final_score, hidden, round(topic, 6) AS t_topic, round(source, 6) AS t_source, round(rec, 6) AS t_rec FROM f"""
+
+
+@query(_BUILT, *_DAY_VIEWS)
 def built_digest(v):
     """A day's digest by the mode that the likes call for, with topics."""
     _, out = ranking.build_digest(v.items, v.digests, v.triage, v.item_state, _pop(v), F.lit("2024-01-30").cast("date"), now(), ai=False)

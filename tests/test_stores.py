@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.operators import cells, clusters, manifest, retrieval, segments, state
+from siftspark.operators import cells, chunks, clusters, ingest, manifest, retrieval, segments, state, steps
 from siftspark.sources import versioned
 
 
@@ -156,6 +156,37 @@ def test_untouched_clusters_are_not_read(spark, tmp_path):
     assert sorted(map(tuple, changes.collect())) == [(6, 2), (7, 2), (100, 2)]
 
 
+# The archive
+
+
+def test_ingest(spark, tmp_path):
+    """New, changed and removed items, a run without anything to do, one without an embedder and one with another model."""
+    folder = str(tmp_path)
+    none = "cast(NULL AS timestamp_ntz)"
+    sources = spark.createDataFrame([("s", "Source", "publisher")], "id string, name string, trust string")
+    triage = spark.createDataFrame([(1, ["a", "b"])], "item_id long, tags array<string>")
+    embed = lambda text: chunks.hash_vector(text, F.lit(16))
+
+    def items(*rows):
+        return spark.createDataFrame([(i, t, "same words in all of them", "paper" if i % 2 else "article", k) for i, t, k in rows], "id long, title string, summary string, kind string, paper_key long").withColumns({"source_id": F.lit("s"), "first_seen": F.lit("2024-01-05 10:00:00").cast("timestamp_ntz"), "published_at": F.expr(none)})
+
+    run = lambda rows, **o: ingest.ingest_archive(spark, folder, rows, sources, triage, **({"embed": embed, "model": "m", "dim": 16, "threshold": 0.99} | o))
+    first = run(items((1, "one", 7), (2, "two", 7), (3, "three", None)), embed=None)
+    assert first == ingest.Ingested(3, 0, 0, 2, "no embedder")
+    second = run(items((1, "one", 7), (2, "two", 7), (3, "three", None)))
+    assert (second.archived, second.embedded, second.removed) == (3, 3, 0)  # the same texts, now with vectors
+    assert run(items((1, "one", 7), (2, "two", 7), (3, "three", None))) == ingest.Ingested(0, 0, 0, 0)
+    third = run(items((1, "one", 7), (3, "else", None), (4, "else", None), (5, "five", None)))
+    assert (third.archived, third.removed) == (3, 1)
+    got = {r.item_id: r for r in ingest.passages(spark, folder).collect()}
+    assert set(got) == {1, 3, 4, 5} and got[1].batch == 2 and got[3].batch == 3 and "Tags: a, b" in got[1].text and got[4].header == "Source · else"
+    assert scores(segments.open_index(spark, f"{folder}/index"), ["else"])[0][0] == 3 and scores(segments.open_index(spark, f"{folder}/index"), ["two"]) == []
+    of = {r.id: r.cluster_id for r in clusters.open_membership(spark, f"{folder}/clusters").by_id.collect()}
+    assert of[1] == of[2] == 1 and of[3] == of[4] == 3 and of[5] is None
+    other = run(items((1, "one", 7), (6, "six", None)), model="n")
+    assert other.archived == 1 and other.embedded == 0 and "another model" in other.problem and other.removed == 3
+
+
 # Vector cells
 
 
@@ -270,3 +301,22 @@ def test_files_left_out(spark, tmp_path):
     assert sorted(r.id for r in load.where("id >= 35").collect()) == [35, 36, 37, 38, 39] and load.where("id > 5 AND k = 'k0'").count() == 4
     state_file = json.load(open(f"{folder}/versions/4.json"))
     assert [f["rows"] for f in state_file["files"]] == [10] * 4
+
+
+# Smaller tables
+
+
+def test_contents_asks_and_runs(spark):
+    when = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    kept = spark.createDataFrame([(1, "ok", "old", "html", 1, None, 1), (2, "ok", "two", "html", 1, None, 1), (9, "ok", "nine", "html", 1, None, 1)], "item_id long, status string, body string, extractor string, words long, error string, extractor_version int").withColumn("fetched_at", when)
+    tried = spark.createDataFrame([(1, 1, 200, "new text", "html", None), (1, 2, 403, None, None, None), (2, 1, 200, "a b c", "pdf", None), (3, 1, 500, None, None, None), (4, 1, None, None, None, "timed out"), (5, 1, 404, "error page", "html", None)], "item_id long, at int, http int, body string, extractor string, error string")
+    got = {r.item_id: (r.status, r.body, r.words, r.error) for r in steps.store_contents(kept, tried, when, 2).collect()}
+    assert got == {1: ("paywalled", None, None, "HTTP 403"), 2: ("ok", "a b c", 3, None), 3: ("failed", None, None, "HTTP 500"), 4: ("failed", None, None, "timed out"), 5: ("failed", None, None, "HTTP 404"), 9: ("ok", "nine", 1, None)}
+    due = steps.extraction_due(spark.createDataFrame([(i,) for i in (1, 2, 9, 10)], "id long"), steps.store_contents(kept, tried, when, 2), F.lit("2024-01-02 02:00:00").cast("timestamp_ntz"), 2)
+    assert {r.id: r.reason for r in due.collect()} == {1: "retry", 9: "old", 10: "new"}
+    asks = spark.createDataFrame([(4, "q")], "id long, question string").withColumn("created_at", when)
+    new = spark.createDataFrame([(0, "first"), (1, "second")], "pos int, question string").withColumn("created_at", when)
+    saved = steps.save_ask(asks, new)
+    assert [(r.id, r.question) for r in steps.recent_asks(saved, 2).collect()] == [(6, "second"), (5, "first")]
+    runs = spark.createDataFrame([(1, "scout", "ok", 1), (2, "scout", "failed", 3), (3, "scout", "partial", 2), (4, "ask", "ok", 3), (5, "scout", "ok", 30)], "id long, kind string, status string, hour int").withColumn("started_at", when + F.make_dt_interval(F.lit(0), F.col("hour")))
+    assert [r.id for r in steps.last_run_of_day(runs, "scout", when, when + F.expr("INTERVAL 1 DAY")).collect()] == [3]
