@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import feed_candidates
 from ..functions.text import plain_text, strip_controls
+from ..operators.storage import checkpoint
 from .markup import rejection
 
 MOST_SUMMARY, MOST_ALTERNATES = 1000, 5
@@ -193,7 +194,7 @@ def probe(asked: DataFrame, fetches: DataFrame, now: Column) -> tuple[DataFrame,
     listed = stages.select("page", F.concat(F.transform("first", lambda u: F.struct(F.lit(1).alias("stage"), u.alias("url"))), F.transform(F.array_except("guesses", "first"), lambda u: F.struct(F.lit(2).alias("stage"), u.alias("url")))).alias("t"))
     tries = listed.select("page", F.posexplode("t").alias("n", "t")).select("page", "n", "t.stage", "t.url")
     wanted = tries.select("url").distinct().join(fetches.select("url", "final_url", "status", "body"), "url", "left").withColumn("final_url", F.coalesce("final_url", "url"))
-    told = tries.join(inspected(wanted, now), "url")
+    told = checkpoint(tries.join(inspected(wanted, now), "url"))  # read for the attempts and for the candidates
     valid = F.col("outcome") == "valid feed"
     ends = told.where(valid).groupBy("page").agg(F.min(F.struct("stage", "n")).alias("end"))
     done = told.join(ends, "page", "left").where(F.col("end").isNull() | (F.col("stage") < F.col("end.stage")) | (F.col("stage") == F.col("end.stage")) & ((F.col("stage") == 1) | (F.col("n") <= F.col("end.n"))))
