@@ -45,6 +45,11 @@ def test_title_references():
     assert markup.page_meta_of(html, "https://x.org/p")[0] == "A &amp& B &ampx; <c> AB &nope; &am"
 
 
+def test_article_references():
+    words = "word " * 60
+    assert markup.article_text(f"<article><h1>a &amp&amp; b &ampx; &am</h1><p>{words}</article>")[0].startswith("# a &amp& b &ampx; &am\n\nword")
+
+
 def test_udfs_and_matching(spark):
     d = spark.createDataFrame([("x", bytearray(MAP), "https://x.org/"), ("y", bytearray(b"<nope"), "https://y.org/")], "site string, body binary, base string")
     e = d.select("site", F.inline(markup.parse_sitemap("body", "base")))
