@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.score import cosine
 from ..functions.text import index_tokens, query_terms, search_terms
+from .storage import checkpoint
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SIDE_K, RRF_K = 50, 60
-BLOCK_ROWS = 2048
+BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
+SIDE_BLOCKS, RANGE_BLOCKS = 10, 4
 BUCKETS, SHARDS = 32, 4
 
 
@@ -106,12 +108,61 @@ def _buckets(index: Index, terms: Sequence[str]) -> list[int]:
     return [r[0] for r in rows.select(bucket("term")).distinct().collect()]
 
 
-def keyword_scores_of(index: Index, queries: DataFrame, text: Column) -> DataFrame:
-    """query_id, key, score for many queries (query_id and a text) at once."""
+ASKED_ROWS, TEXT_ROWS, TEXT_BLOCKS = 1 << 20, 8192, 24
+
+
+def keyword_best_of(index: Index, queries: DataFrame, text: Column, passages: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best passages (chunk_id, item_id) by words for every query (query_id and a text), those of the item that asks left out.
+
+    The queries' terms, in blocks of about ASKED_ROWS, meet the passages' postings, TEXT_BLOCKS blocks of them or
+    more of TEXT_ROWS passages; a task holds the two, sums up one query at a time and returns the k best of each."""
     asked = queries.select("query_id", F.explode(search_terms(text)).alias("term")).withColumn("bucket", bucket("term"))
-    known = asked.join(index.terms, ["bucket", "term"])
-    hits = known.join(index.postings, ["bucket", "term"]).crossJoin(F.broadcast(index.corpus))  # one row
-    return hits.groupBy("query_id", "key").agg(F.sum(_part()).alias("score"))
+    known = checkpoint(asked.join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", "n"))
+    terms = known.select("bucket", "term", "n").distinct()
+    hits = index.postings.join(terms, ["bucket", "term"]).join(passages.select(F.col("chunk_id").alias("key"), "item_id"), "key").crossJoin(F.broadcast(index.corpus))  # one row
+    parts = hits.select(F.col("key").alias("chunk_id"), "item_id", "term", _part().alias("part"))
+    nq, n = max(1, -(-known.count() // ASKED_ROWS)), passages.count()
+    nc = max(-(-n // TEXT_ROWS), min(TEXT_BLOCKS, -(-n // 256)), 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = known.select("query_id", "term", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("i"), each(nc).alias("j"))
+    right = parts.select("*", each(nq).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).cast("int").alias("j"))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_best_by_words(k), "query_id long, chunk_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _best_by_words(k: int):
+    def run(asked: pa.Table, hits: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and hits.num_rows:
+            terms = hits.column("term").combine_chunks().dictionary_encode()
+            code, words = terms.indices.to_numpy(), len(terms.dictionary)
+            chunks, at = np.unique(hits.column("chunk_id").to_numpy(), return_inverse=True)
+            items = np.zeros(len(chunks), np.int64)
+            items[at] = hits.column("item_id").to_numpy()
+            o = np.argsort(code, kind="stable")  # the postings of a term lie together
+            at, part, start = at[o], hits.column("part").to_numpy()[o], np.searchsorted(code[o], np.arange(words + 1))
+            word = pc.fill_null(pc.index_in(asked.column("term").combine_chunks(), value_set=terms.dictionary), -1).to_numpy()
+            query = asked.column("query_id").to_numpy()
+            o = np.argsort(query, kind="stable")
+            for mine in np.split(o, np.flatnonzero(np.diff(query[o])) + 1):
+                runs = [slice(start[w], start[w + 1]) for w in word[mine] if w >= 0]
+                if not runs:
+                    continue
+                places = np.concatenate([at[r] for r in runs])
+                s = np.round(np.bincount(places, np.concatenate([part[r] for r in runs]), len(chunks)), 6)
+                hit = np.zeros(len(chunks), bool)
+                hit[places] = True
+                p = np.flatnonzero(hit & (items != query[mine[0]]))
+                if len(p) > k:
+                    p = p[s[p] >= np.partition(s[p], len(p) - k)[len(p) - k]]
+                p = p[np.lexsort((chunks[p], -s[p]))[:k]]
+                out.append((np.full(len(p), query[mine[0]]), chunks[p], s[p]))
+        return pa.table(dict(zip(("query_id", "chunk_id", "score"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
+
+    return run
 
 
 class VectorsUnavailable(ValueError):
@@ -223,18 +274,22 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -
     keep is a condition among 'true', 'other' (another id), 'band' (another id, at most 14 days apart) and
     'group' (another group): what it leaves out never shrinks k. Vectors that have no direction have no
     neighbours, and only vectors of one length are compared.
-    Both sides are cut into blocks of about BLOCK_ROWS; each pair of blocks is compared in one task, which
+    Both sides are cut into blocks: SIDE_BLOCKS of each, more where a block would pass BLOCK_BYTES, fewer
+    where it would be less than BLOCK_ROWS. So every row is sent a fixed number of times up to that size, and
+    beyond it as many times as the other side has blocks. Each pair of blocks is compared in one task, which
     holds the two, and returns the k best of each query; a window merges those of a query. For 'band' the
     blocks are cut by day first, and only those of near days meet: their number grows with the days, not
     with its square.
     """
     more = {"band": ["day"], "group": ["group"]}.get(keep, [])
-    q = queries.where(comparable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), *[f"q{c}" for c in more])
-    c = candidates.where(comparable(F.col("embedding"))).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    floats = all(dict(x.dtypes)["embedding"] == "array<float>" for x in (queries, candidates))
+    vector = F.col("embedding").cast("array<float>" if floats else "array<double>").alias("embedding")  # sent as it is, compared in double precision
+    q = queries.where(comparable(F.col("embedding"))).select("query_id", vector, *[f"q{c}" for c in more])
+    c = candidates.where(comparable(F.col("embedding"))).select("chunk_id", vector, *more)
     if keep == "band":
         left, right, unit = _band_blocks(q, c)
     else:
-        nq, nc = (max(1, -(-x.count() // BLOCK_ROWS)) for x in (q, c))
+        nq, nc = (x.agg(_blocks(SIDE_BLOCKS)).first()[0] for x in (q, c))
         dims = F.size("embedding").alias("dims")
         left = q.select("*", dims, F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"))
         right = c.select("*", dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).alias("j"))
@@ -244,6 +299,12 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocks(most: int) -> Column:
+    """How many blocks a side is cut into: `most` at most, unless they would pass BLOCK_BYTES, and one at least."""
+    by_bytes = F.ceil(F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)) * 8 / BLOCK_BYTES)
+    return F.greatest(F.lit(1), by_bytes, F.least(F.lit(most), F.ceil(F.count("*") / BLOCK_ROWS))).cast("long")
+
+
 BAND_DAYS = 14
 
 
@@ -251,7 +312,7 @@ def _band_blocks(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, list
     """Both sides dealt to pairs of blocks of ranges of BAND_DAYS + 1 days: a range meets itself and the two beside it, whatever else there is. Rows without a day meet none."""
     range_of = lambda day: F.floor(F.unix_date(day) / (BAND_DAYS + 1)).cast("long")
     q, c = q.where("qday IS NOT NULL").withColumn("r", range_of("qday")), c.where("day IS NOT NULL").withColumn("s", range_of("day"))
-    blocks = lambda rows, by, name: rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    blocks = lambda rows, by, name: rows.groupBy(by).agg(_blocks(RANGE_BLOCKS).alias(name))
     near = blocks(q, "r", "nq").select("r", "nq", F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("s")).join(blocks(c, "s", "nc"), "s")
     near = near.select(F.col("r").alias("r"), F.col("s").alias("s"), F.col("nq").cast("long").alias("nq"), F.col("nc").cast("long").alias("nc"))  # three rows for each 15 days of the calendar
     zero, dims = F.lit(0).cast("long"), F.size("embedding").alias("dims")
@@ -261,7 +322,7 @@ def _band_blocks(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, list
 
 
 def _unit_rows(t: pa.Table) -> np.ndarray:
-    x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -277,24 +338,78 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
+LANES, CELLS, PAIRS = 64, 1 << 22, 1 << 18  # columns of a maximum, cells of a matrix, pairs compared at once
+
+
+def _same(own: np.ndarray, other: np.ndarray):
+    """A function of (a, b): the pairs (row, place) of equal keys among the rows a to b."""
+    o = np.argsort(other, kind="stable")
+    low, high = (np.searchsorted(other[o], own, side) for side in ("left", "right"))
+
+    def run(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        n = (high - low)[a:b]
+        return np.repeat(np.arange(b - a), n), o[np.arange(n.sum()) + np.repeat(low[a:b] - np.cumsum(n) + n, n)]
+
+    return run
+
+
+def _nearest_rows(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, left_out=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, similarity) of the k nearest of c for each row of q; left_out(a, b) gives the pairs of the rows a to b that don't count.
+
+    Many columns are sifted in single precision first: the k-th largest of the maxima of LANES columns is no more than
+    the k-th largest of all, so what is below it by more than single precision can err is none of the k."""
+    rows, places, near = [], [], []
+    sift = len(c) >= 2 * k * LANES
+    q32, c32 = (q.astype(np.float32), c.astype(np.float32).T.copy()) if sift else (None, None)
+    slack = 2e-6 + 4e-7 * (q.shape[1] + 8)
+    step = max(1, CELLS // max(1, len(c)))
+    for a in range(0, len(q), step):
+        b = min(a + step, len(q))
+        skip = left_out(a, b) if left_out else None
+        if sift:
+            s = q32[a:b] @ c32
+            if skip is not None:
+                s[skip] = -2
+            edge = np.maximum.reduceat(s, np.arange(0, len(c), LANES), axis=1)
+            edge = np.partition(edge, edge.shape[1] - k, axis=1)[:, edge.shape[1] - k]
+            r, p = np.nonzero((s >= (edge - np.float32(slack))[:, None]) & (s > -1.5))
+            x = np.concatenate([np.einsum("ij,ij->i", q[a + r[i : i + PAIRS]], c[p[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)] or [np.zeros(0)]).round(6)
+            o = np.lexsort((ids[p], -x, r))
+            r, p, x = r[o], p[o], x[o]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, p, x = r[first], p[first], x[first]
+        else:
+            s = np.round(q[a:b] @ c.T, 6)
+            if skip is not None:
+                s[skip] = -2
+            at = _best(s, ids, k)
+            best = np.take_along_axis(s, at, 1)
+            r, col = np.nonzero(best > -1.5)
+            p, x = at[r, col], best[r, col]
+        rows.append(a + r), places.append(p), near.append(x)
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(near)
+
+
 def _compare(k: int, keep: str):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and candidates.num_rows:
-            ids, c = queries.column("query_id").to_numpy(), candidates.column("chunk_id").to_numpy()
-            s = np.round(_unit_rows(queries) @ _unit_rows(candidates).T, 6)
-            if keep == "group":
-                s[queries.column("qgroup").to_numpy()[:, None] == candidates.column("group").to_numpy()[None, :]] = -2
-            elif keep != "true":
-                s[ids[:, None] == c[None, :]] = -2
+            ids, c_ids, q, c = queries.column("query_id").to_numpy(), candidates.column("chunk_id").to_numpy(), _unit_rows(queries), _unit_rows(candidates)
+            pieces = [(slice(None), slice(None))]
             if keep == "band":
-                days = [t.column(n).cast(pa.int32()).to_numpy(zero_copy_only=False) for t, n in ((queries, "qday"), (candidates, "day"))]
-                s[~(np.abs(days[0][:, None] - days[1][None, :]) <= BAND_DAYS)] = -2
-            at = _best(s, c, k)
-            best = np.take_along_axis(s, at, 1)
-            row, col = np.nonzero(best > -2)
-            out = [ids[row], c[at[row, col]], best[row, col]]
-        return pa.table(dict(zip(("query_id", "chunk_id", "similarity"), map(pa.array, out), strict=True)))
+                # Candidates by day: the days near a query's are one run of them.
+                days, theirs = (t.column(n).cast(pa.int32()).to_numpy(zero_copy_only=False) for t, n in ((queries, "qday"), (candidates, "day")))
+                o = np.argsort(theirs, kind="stable")
+                theirs, c_ids, c = theirs[o], c_ids[o], c[o]
+                pieces = [(np.flatnonzero(days == d), slice(*np.searchsorted(theirs, [d - BAND_DAYS, d + BAND_DAYS + 1]))) for d in np.unique(days)]
+            own, other = (queries.column("qgroup").to_numpy(), candidates.column("group").to_numpy()) if keep == "group" else (ids, c_ids)
+            for mine, theirs in pieces:
+                m, t = ids[mine], c_ids[theirs]
+                if not len(t):
+                    continue
+                r, p, x = _nearest_rows(q[mine], c[theirs], t, k, None if keep == "true" else _same(own[mine], other[theirs]))
+                out.append((m[r], t[p], x))
+        return pa.table(dict(zip(("query_id", "chunk_id", "similarity"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
 
     return run
 
@@ -303,11 +418,11 @@ def search_ranks(pairs: DataFrame, index: Index, passages: DataFrame, k: int = 1
     """query_id, mode, rank: where each pair's target stands in keyword, vector and hybrid search, null beyond the first k.
 
     pairs: query_id (the item asking, left out of its own results), target (item_id), text, embedding. All queries are ranked at once."""
-    archive = passages.where("collection = 'archive'")
+    archive = checkpoint(passages.where("collection = 'archive'").select("chunk_id", "item_id", "embedding"))
+    pairs = checkpoint(pairs.select("query_id", "target", "text", "embedding"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    scored = keyword_scores_of(index, pairs, F.col("text")).select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
-    fts = scored.join(archive.select("chunk_id", "item_id"), "chunk_id").where("item_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SIDE_K)
-    near = knn(pairs.select("query_id", "embedding", F.col("query_id").alias("qgroup")), archive.select("chunk_id", "embedding", F.col("item_id").alias("group")), SIDE_K, keep="group")
+    fts = checkpoint(keyword_best_of(index, pairs, F.col("text"), archive, SIDE_K))
+    near = checkpoint(knn(pairs.select("query_id", "embedding", F.col("query_id").alias("qgroup")), archive.select("chunk_id", "embedding", F.col("item_id").alias("group")), SIDE_K, keep="group"))
     sides = fts.select("query_id", "chunk_id", "rank").unionByName(near.select("query_id", "chunk_id", "rank"))
     fused = sides.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score")).withColumn("rank", F.row_number().over(best))
     out = None

@@ -186,3 +186,21 @@ def test_index_problem(spark):
 def test_latest(spark):
     d = spark.createDataFrame([(1, date(2024, 1, 1), 5), (1, date(2024, 1, 2), None)], "k long, d date, v int")
     assert [tuple(r) for r in lists.latest(d, "k", "d").collect()] == [(1, date(2024, 1, 2), None)]
+
+
+def test_words_of_many_queries(spark, monkeypatch):
+    """Blocks of queries and passages: each query's best are those that it has by itself, its own item left out."""
+    r = np.random.default_rng(4)
+    p = spark.createDataFrame([(i, i - i % 2, " ".join(f"w{int(n)}" for n in r.zipf(1.4, 12) % 40)) for i in range(120)], "chunk_id long, item_id long, text string")
+    folder = new_folder(spark, "test-many")
+    retrieval.write_index(p, "chunk_id", F.col("text"), folder)
+    index = retrieval.open_index(spark, folder)
+    q = p.where("chunk_id % 20 = 0").selectExpr("chunk_id AS query_id", "text")
+    for name, n in (("ASKED_ROWS", 7), ("TEXT_ROWS", 16)):
+        monkeypatch.setattr(retrieval, name, n)
+    got = {}
+    for x in retrieval.keyword_best_of(index, q, F.col("text"), p, 5).collect():
+        got.setdefault(x.query_id, {})[x["rank"]] = (x.chunk_id, round(x.score, 6))
+    for x in q.collect():
+        alone = [(h.key, round(h.score, 6)) for h in retrieval.keyword_scores(index, sorted(set(x.text.split()))).collect() if h.key - h.key % 2 != x.query_id]
+        assert got[x.query_id] == dict(enumerate(sorted(alone, key=lambda h: (-h[1], h[0]))[:5], 1))
