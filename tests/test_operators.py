@@ -188,6 +188,23 @@ def test_latest(spark):
     assert [tuple(r) for r in lists.latest(d, "k", "d").collect()] == [(1, date(2024, 1, 2), None)]
 
 
+def test_knn_sifted(spark, monkeypatch):
+    """Many candidates, sifted in single precision: the result is that of all pairs, and a row is sent a fixed number of times."""
+    x = np.random.default_rng(3).normal(size=(400, 8)).astype(np.float32)
+    x[50:90] = x[7]
+    c = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<float>")
+    q = c.select(F.col("chunk_id").alias("query_id"), "embedding")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    want = {(i, int(j), n) for i in range(400) for n, j in enumerate([j for j in np.lexsort((np.arange(400), -s[i])) if j != i][:3], 1)}
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(retrieval, "LANES", 4)
+    assert c.agg(retrieval._blocks(retrieval.SIDE_BLOCKS)).first()[0] == 10
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in retrieval.knn(q, c, 3, keep="other").collect()} == want
+    sifted = retrieval._compare(3, "other")(*(t.toArrow() for t in (q, c)))
+    assert {tuple(r.values())[:2] for r in sifted.to_pylist()} == {p[:2] for p in want}
+
+
 def test_words_of_many_queries(spark, monkeypatch):
     """Blocks of queries and passages: each query's best are those that it has by itself, its own item left out."""
     r = np.random.default_rng(4)
