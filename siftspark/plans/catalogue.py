@@ -238,8 +238,9 @@ def item_order(v):
 
 # Clusters
 
-_EDGES = """WITH s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vectors a, vectors b WHERE a.collection = 'archive' AND b.collection = 'archive' AND a.chunk_id <> b.chunk_id AND abs(a.published_day - b.published_day) <= 14),
+_EDGES = """WITH s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM vectors a, vectors b WHERE a.chunk_id <> b.chunk_id AND abs(a.published_day - b.published_day) <= 14),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM s), e AS (SELECT a, b, similarity FROM k WHERE r <= 5 AND similarity >= 0.4) """
+_ARCHIVE_EDGES = _EDGES.replace("WHERE a.chunk_id", "WHERE a.collection = 'archive' AND b.collection = 'archive' AND a.chunk_id")
 
 
 @query(_EDGES + "SELECT a, b, similarity FROM e", "vectors")

@@ -10,7 +10,7 @@ from ..operators import cells, chunks, clusters, ingest, lists, retrieval, segme
 from ..operators.storage import fingerprint, new_folder
 from ..sources import feeds, markup
 from . import catalogue
-from .catalogue import _BM25, _EDGES, WORDS, query
+from .catalogue import _ARCHIVE_EDGES, _BM25, WORDS, query
 from .views import NOW, now
 
 _FOLDERS: dict[tuple, str] = {}
@@ -75,7 +75,7 @@ def _cluster_batches_sql() -> str:
         parts.append(f"w{t} AS (SELECT id AS node, id AS seen FROM i WHERE batch < {t} UNION SELECT w{t}.node, g.b FROM w{t} JOIN g ON g.a = w{t}.seen WHERE g.b IN {here})")
         parts.append(f"m{t} AS (SELECT node, min(seen) AS comp FROM w{t} GROUP BY node)")
         parts.append(f"c{t} AS (SELECT node AS id, CASE WHEN count(*) OVER (PARTITION BY comp) > 1 THEN coalesce(min(name) OVER (PARTITION BY comp), comp) END AS name FROM m{t} LEFT JOIN c{t - 1} ON c{t - 1}.id = node)")
-    return _EDGES + ", " + ", ".join(parts) + f" SELECT id, name AS cluster_id FROM c{_BATCHES}"
+    return _ARCHIVE_EDGES + ", " + ", ".join(parts) + f" SELECT id, name AS cluster_id FROM c{_BATCHES}"
 
 
 @query(_cluster_batches_sql(), "vectors", recursive=True)
@@ -83,7 +83,7 @@ def cluster_batches(v):
     """Clusters after three batches of archive vectors, each linked to what is there: only what it touches is read and written."""
     from ..operators.storage import checkpoint
 
-    edges = checkpoint(clusters.neighbour_edges(v.vectors, 0.4).select("a", "b"))
+    edges = checkpoint(clusters.neighbour_edges(v.vectors.where("collection = 'archive'"), 0.4).select("a", "b"))
     batch = lambda c: F.expr(f"({c} div 3) % 3")
     items = v.vectors.where("collection = 'archive'").select(F.col("chunk_id").alias("id"))
     folder = new_folder(v.spark, "clusters")

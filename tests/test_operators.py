@@ -221,3 +221,9 @@ def test_words_of_many_queries(spark, monkeypatch):
     for x in q.collect():
         alone = [(h.key, round(h.score, 6)) for h in retrieval.keyword_scores(index, sorted(set(x.text.split()))).collect() if h.key - h.key % 2 != x.query_id]
         assert got[x.query_id] == dict(enumerate(sorted(alone, key=lambda h: (-h[1], h[0]))[:5], 1))
+
+
+def test_neighbours_of_all_vectors(spark):
+    v = spark.createDataFrame([(1, "content", [1.0, 0.0]), (2, "archive", [1.0, 0.1]), (3, "content", [1.0, 0.2])], "chunk_id long, collection string, embedding array<double>").selectExpr("*", "DATE '2024-01-01' AS published_day")
+    edges = clusters.neighbour_edges(v, 0.4)
+    assert {(r.a, r.b) for r in edges.collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
