@@ -227,3 +227,4 @@ def test_neighbours_of_all_vectors(spark):
     v = spark.createDataFrame([(1, "content", [1.0, 0.0]), (2, "archive", [1.0, 0.1]), (3, "content", [1.0, 0.2])], "chunk_id long, collection string, embedding array<double>").selectExpr("*", "DATE '2024-01-01' AS published_day")
     edges = clusters.neighbour_edges(v, 0.4)
     assert {(r.a, r.b) for r in edges.collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+    assert {r.cluster_id for r in clusters.cluster(v.selectExpr("chunk_id AS id"), edges).collect()} == {1}
