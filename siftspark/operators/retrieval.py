@@ -26,7 +26,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SIDE_K, RRF_K = 50, 60
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 SIDE_BLOCKS, RANGE_BLOCKS = 10, 4
-BUCKETS, SHARDS = 32, 4
+BUCKETS, SHARDS, SHARD_CHARS = 32, 4, 1 << 20
 
 
 def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str], prefix: bool = False) -> DataFrame:
@@ -73,11 +73,23 @@ def bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def shards_of(chars: int) -> int:
+    """In how many shards the postings of a bucket are dealt: SHARDS, or more of about SHARD_CHARS of text."""
+    return max(SHARDS, -(-chars // (BUCKETS * SHARD_CHARS)))
+
+
+def deal(rows: DataFrame, shards: int) -> DataFrame:
+    """rows (key, bucket) with their shard, one partition for each bucket and shard where there are many: what a task holds doesn't grow with the texts. Spark may put few and small ones together."""
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return dealt.repartition("bucket", "shard") if shards == SHARDS else dealt.repartition(BUCKETS * shards, "bucket", "shard")
+
+
 def write_index(docs: DataFrame, key: str, text: Column, folder: str) -> None:
-    """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to SHARDS files at least, so no task holds a hot term's whole list."""
+    """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to shards, so no task holds a hot term's whole list."""
+    shards = shards_of(docs.agg(F.sum(F.length(text))).first()[0] or 0)
     tokens = docs.select(F.col(key).alias("key"), index_tokens(text).alias("t"))
     each = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term"))
-    dealt = each.withColumn("bucket", bucket("term")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
+    dealt = deal(each.withColumn("bucket", bucket("term")), shards)
     counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
     counted.drop("shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     stored = docs.sparkSession.read.parquet(f"{folder}/postings")
@@ -201,10 +213,10 @@ def allowed(f: SearchFilter, vector: bool) -> Column:
     return keep & ~F.col("item_id").isin(*f.exclude) if f.exclude else keep
 
 
-def search(passages: DataFrame, index: Index, query: str, vector: Sequence[float] | DataFrame | None = None, f: SearchFilter = SearchFilter(), mode: str = "hybrid", k: int = 10, problem: str | None = None) -> DataFrame:
+def search(passages: DataFrame, index: Index | None, query: str, vector: Sequence[float] | DataFrame | None = None, f: SearchFilter = SearchFilter(), mode: str = "hybrid", k: int = 10, problem: str | None = None) -> DataFrame:
     """chunk_id, item_id, fts_rank, vec_rank, similarity, score, rank of the k best passages.
 
-    mode is 'hybrid', 'fts' or 'vector'. Without a vector, or where the caller names a problem
+    A search by vector alone needs no index. mode is 'hybrid', 'fts' or 'vector'. Without a vector, or where the caller names a problem
     with the vectors, any mode but 'fts' is refused."""
     if mode not in ("hybrid", "fts", "vector"):
         raise ValueError(f"no such mode: {mode}")

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
 from . import manifest
-from .retrieval import SHARDS, Index, bucket
+from .retrieval import Index, bucket, deal, shards_of
 
-KEY_BUCKETS, MERGE = 16, 4
+KEY_BUCKETS, MERGE, TOKEN_CHARS = 16, 4, 6
 
 
 def _key_bucket(key: str) -> Column:
@@ -87,7 +87,8 @@ def apply(spark: SparkSession, folder: str, docs: DataFrame | None = None, key:
         name = uuid.uuid4().hex
         tokens = docs.dropDuplicates([key]).select(F.col(key).alias("key"), index_tokens(text if text is not None else F.col("text")).alias("t"))
         each = tokens.select("key", F.size("t").cast("long").alias("length"), F.explode_outer("t").alias("term"))
-        dealt = each.withColumn("bucket", F.coalesce(bucket("term"), F.lit(-1))).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
+        chars = docs.agg(F.sum(F.length(text if text is not None else F.col("text")))).first()[0] or 0
+        dealt = deal(each.withColumn("bucket", F.coalesce(bucket("term"), F.lit(-1))), shards_of(chars))
         counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
         stored = f"{folder}/segments/{name}/all"
         counted.sortWithinPartitions("bucket", "term").write.parquet(stored)  # the tokens are made once
@@ -139,7 +140,7 @@ def _merged(spark: SparkSession, folder: str, state: dict[str, Any]) -> dict[str
     while due := _due(state["segments"]):
         names, name = [s["name"] for s in due], uuid.uuid4().hex
         dead = _dead(spark, folder, state)
-        postings = _alive(_read(spark, folder, state, names, "postings"), dead).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).repartition("bucket", "shard")
+        postings = deal(_alive(_read(spark, folder, state, names, "postings"), dead), shards_of(TOKEN_CHARS * sum(s["tokens"] for s in due)))
         _write(postings, _alive(_read(spark, folder, state, names, "docs"), dead), folder, name)
         rest = [s for s in state["segments"] if s["name"] not in names]
         one = _totals(spark, folder, state, name)

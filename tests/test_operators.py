@@ -228,3 +228,17 @@ def test_neighbours_of_all_vectors(spark):
     edges = clusters.neighbour_edges(v, 0.4)
     assert {(r.a, r.b) for r in edges.collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
     assert {r.cluster_id for r in clusters.cluster(v.selectExpr("chunk_id AS id"), edges).collect()} == {1}
+
+
+def test_index_in_more_shards(spark, monkeypatch):
+    """What a task holds of the postings doesn't grow with the texts: there are more shards; what is stored is the same."""
+    p = spark.createDataFrame([(i, f"red w{i % 7} w{i % 11} red") for i in range(60)], "id long, text string")
+    found = []
+    for chars in (retrieval.SHARD_CHARS, 8):
+        monkeypatch.setattr(retrieval, "SHARD_CHARS", chars)
+        folder = new_folder(spark, "test-shards")
+        retrieval.write_index(p, "id", F.col("text"), folder)
+        found.append(sorted((r.key, r.term, r.tf, r.length) for r in retrieval.open_index(spark, folder).postings.collect()))
+    assert found[0] == found[1] and retrieval.shards_of(60 * 16) == 4 and retrieval.shards_of(10**5) > 100
+    rows = p.selectExpr("id AS key", "cast(id % 32 AS int) AS bucket")
+    assert retrieval.deal(rows, 9).rdd.getNumPartitions() == 9 * retrieval.BUCKETS
