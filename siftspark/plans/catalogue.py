@@ -214,7 +214,7 @@ def _search_sql(mode: str) -> str:
 
 
 def _search(v: Views, mode: str) -> DataFrame:
-    found = retrieval.search(v.passages, v.index, " ".join(WORDS), None if mode == "fts" else _probe(v), _FILTER, mode, 20)
+    found = retrieval.search(v.passages, None if mode == "vector" else v.index, " ".join(WORDS), None if mode == "fts" else _probe(v), _FILTER, mode, 20)
     ranks = [F.col(c).cast("long").alias(c) for c in ("fts_rank", "vec_rank", "rank")]
     return found.select("chunk_id", "item_id", *ranks, "similarity", F.round("score", 9).alias("score"))
 

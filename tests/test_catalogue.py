@@ -33,3 +33,12 @@ def test_equals_sql(name, spark, sf, duck):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_runs(name, spark, sf):
     assert catalogue.QUERIES[name](spark, sf).collect()
+
+
+def test_vector_search_builds_no_index(spark, sf):
+    class NoIndex(catalogue.Views):
+        @property
+        def index(self):
+            raise AssertionError("an index for a search by vector")
+
+    assert "similarity" in catalogue._search(NoIndex(spark, sf), "vector").columns
