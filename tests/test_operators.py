@@ -242,3 +242,11 @@ def test_index_in_more_shards(spark, monkeypatch):
     assert found[0] == found[1] and retrieval.shards_of(60 * 16) == 4 and retrieval.shards_of(10**5) > 100
     rows = p.selectExpr("id AS key", "cast(id % 32 AS int) AS bucket")
     assert retrieval.deal(rows, 9).rdd.getNumPartitions() == 9 * retrieval.BUCKETS
+
+
+def test_chunks_by_slices(spark):
+    """Passages leave a worker slice by slice, not with all of a batch's."""
+    d = spark.createDataFrame([(i, None if i == 5 else f"# T{i}\n\n" + "Some words here. " * (i % 300)) for i in range(300)], "id long, t string")
+    sizes = [b.num_rows for b in chunks._passages(d.toArrow().to_batches())]
+    got = [(r.id, r.n, r.section, r.text, r.char_start, r.char_end) for r in chunks.chunk_documents(d, "id", "t").orderBy("id", "n").collect()]
+    assert len(sizes) >= 3 and sum(sizes) == len(got) and got == [(r.id, n, *c) for r in d.collect() for n, c in enumerate(chunks.chunk(r.t or ""))]
