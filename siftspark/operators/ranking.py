@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.score import age_hours, combine, recency
-from ..functions.text import index_tokens, topic_tokens
+from ..functions.text import fold_latin, token_lines, topic_tokens
 from .lists import HIDING, latest
 from .order import number_rows
 from .retrieval import K1, B, IDF_FLOOR
@@ -61,12 +61,13 @@ def liked_terms(items: DataFrame, state: DataFrame, limit: int = LIKED_TERMS) ->
 
 def topic_scores(items: DataFrame, terms: list[str]) -> DataFrame:
     """id, topic: BM25 of the terms as prefixes (each one pseudo-term), scaled by the best; 0 without a match."""
-    tokens = items.select("id", index_tokens(F.concat_ws(" ", "title", "summary")).alias("t"))
+    lines = items.select("id", token_lines(fold_latin(F.lower(F.concat_ws(" ", "title", "summary")))).alias("t"))
 
     def count(w: str) -> Column:
-        return F.size(F.filter("t", lambda x: F.startswith(x, F.lit(w))))
+        return ((F.octet_length("t") - F.octet_length(F.replace("t", F.lit(f"\n{w}"), F.lit("")))) / (len(w.encode()) + 1)).cast("int")
 
-    counted = tokens.select("id", F.size("t").alias("length"), *[count(w).alias(f"f{i}") for i, w in enumerate(terms)])
+    # Three passes read the counts: they are made once.
+    counted = checkpoint(lines.select("id", F.regexp_count("t", F.lit("\n[^\n]")).alias("length"), *[count(w).alias(f"f{i}") for i, w in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("total"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

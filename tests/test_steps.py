@@ -117,3 +117,11 @@ def test_like_affinity(spark):
     assert {r.source_id: r.source for r in source.collect()}["s1"] == 1.0
     stop = items.withColumn("title", F.lit("the of")).withColumn("summary", F.lit("and"))
     assert ranking.like_affinity(stop, stop, state_)[0] is None
+
+
+def test_scores_of_lines(spark):
+    """Terms begin tokens, and the texts are read once for all passes."""
+    items = spark.createDataFrame([(1, "Mod-els of", "a ._model.x modeled, été"), (2, None, "remodel"), (3, "", "model model")], "id long, title string, summary string")
+    scores = ranking.topic_scores(items, ["model", "et"])
+    assert [(r.id, r.topic > 0) for r in scores.orderBy("id").collect()] == [(1, True), (2, False), (3, True)]
+    assert "regexp" not in scores._jdf.queryExecution().optimizedPlan().toString()
