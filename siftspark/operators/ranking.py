@@ -81,10 +81,11 @@ def topic_scores(items: DataFrame, terms: list[str]) -> DataFrame:
 
 def matched_terms(items: DataFrame, terms: list[str]) -> DataFrame:
     """id, matched: the terms that begin a token, in order, none overlapping one before it; the first three."""
-    low = F.transform(F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "summary")), F.lit(r"(?U)[\w.\-]+"), F.lit(0)), lambda t: F.regexp_replace(t, F.lit("^[._-]+|[._-]+$"), F.lit("")))
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda w: F.exists("t", lambda t: F.startswith(t, w)))
+    lines = items.select("id", F.regexp_replace(token_lines(F.lower(F.concat_ws(" ", "title", "summary"))), F.lit("(?<=\n)[._-]+|[._-]+(?=\n|$)"), F.lit("")).alias("t"))
+    # A column for each term, so that the lines are made once: within a lambda they would be made for every term.
+    found = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(f"\n{t}")), F.lit(t)) for t in terms]))
     pick = F.aggregate(found, F.array().cast("array<string>"), lambda a, w: F.when(F.exists(a, lambda h: F.startswith(h, w) | F.startswith(w, h)), a).otherwise(F.concat(a, F.array(w))))
-    return items.select("id", low.alias("t")).select("id", F.slice(pick, 1, MATCHED).alias("matched"))
+    return lines.select("id", F.slice(pick, 1, MATCHED).alias("matched"))
 
 
 def source_affinity(items: DataFrame, state: DataFrame) -> DataFrame:

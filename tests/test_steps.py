@@ -125,3 +125,11 @@ def test_scores_of_lines(spark):
     scores = ranking.topic_scores(items, ["model", "et"])
     assert [(r.id, r.topic > 0) for r in scores.orderBy("id").collect()] == [(1, True), (2, False), (3, True)]
     assert "regexp" not in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_lines(spark):
+    """Terms begin tokens: inner stops stay, outer ones go for the names, and the tokens are made once."""
+    items = spark.createDataFrame([(1, "Mod-els of", "a ._model.x modeled, été"), (2, None, "remodel"), (3, "", "model model")], "id long, title string, summary string")
+    matched = ranking.matched_terms(items, ["model", "mod", "et", "ét"])
+    assert {r.id: r.matched for r in matched.collect()} == {1: ["model", "ét"], 2: [], 3: ["model"]}
+    assert "exists(transform" not in matched._jdf.queryExecution().optimizedPlan().toString()
