@@ -244,7 +244,7 @@ def feed_items(v):
     atom = F.transform(F.split(clean, "\n"), lambda x, i: F.concat(F.lit("<entry><title>"), escaped(x), F.lit('</title><link rel="self" href="x"/><link href="'), link(i), F.lit('"/><published>'), F.date_format(at(i), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</published></entry>")))
     body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'), F.array_join(rss, ""), F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), F.array_join(atom, ""), F.lit("</feed>")))
     rows = v.raw("documents").select("doc_id", body.alias("body"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/feeds/all.xml")).alias("url"))
-    return feeds.feed_entries(rows).select("doc_id", F.inline("entries")).select("doc_id", "rank", "url", "title", "published_at", "ok")
+    return feeds.each_entry(feeds.feed_entries(rows), "doc_id").select("doc_id", "rank", "url", "title", "published_at", "ok")
 
 
 _LINKS = "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS origin, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS path, generate_subscripts(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1), 1) - 1 AS pos FROM pages"
@@ -259,7 +259,7 @@ def sitemap_all(v):
     below = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(urls, ""), F.lit("</urlset>"))
     own = F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
     top = p.select("page_id", "url", F.when(F.col("page_id") % 10 == 0, own).otherwise(F.lit("<sitemapindex><sitemap><loc>/below.xml</loc></sitemap></sitemapindex>")).alias("body"))
-    read = lambda rows: feeds.sitemap_entries(rows).select("page_id", F.inline("entries"))
+    read = lambda rows: feeds.each_entry(feeds.sitemap_entries(rows), "page_id")
     return markup.all_entries(read(top), read(p.where("page_id % 10 <> 0").select("page_id", "url", below.alias("body")))).select("page_id", "pos", "url", "lastmod")
 
 

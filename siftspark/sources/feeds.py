@@ -35,37 +35,55 @@ def text_of(body: Column) -> Column:
     return F.regexp_replace(text, F.lit("^﻿"), F.lit(""))
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with the value made once, however often it is used: within a lambda Spark makes an expression as often as it is written."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def moment(text: Column) -> Column:
     """A time without a zone, in UTC, from a mail date or ISO 8601; a moment that names no zone is UTC, and null if it is neither."""
-    t = F.trim(text)
-    mail = F.regexp_replace(t, F.lit(r"^[A-Za-z]+,\s*"), F.lit(""))
-    zone = F.regexp_extract(mail, r"([A-Za-z]+)$", 1)
-    named = F.element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.upper(zone))
-    mail = F.when(zone != "", F.concat(F.regexp_replace(mail, F.lit(r"[A-Za-z]+$"), F.lit("")), F.coalesce(named, F.lit("+0000")))).otherwise(mail)
-    mail = F.when(F.rlike(mail, F.lit(r"\d$")) & ~F.rlike(mail, F.lit(r"[+-]\d{4}$")), F.concat(mail, F.lit(" +0000"))).otherwise(mail)
-    seconds = F.regexp_replace(mail, F.lit(r"(\s\d{1,2}:\d{2})(\s+[+-])"), F.lit("$1:00$2"))
-    one = F.regexp_replace(seconds, F.lit(r"\s+"), F.lit(" "))
-    by_mail = F.when(F.rlike(one, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$")), F.try_to_timestamp(one, F.lit("d MMM yyyy H:mm:ss xx")))
-    iso = F.when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(t, F.lit("T00:00:00Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}$")), F.concat(t, F.lit(":00Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$")), F.concat(t, F.lit("Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")), t)
-    at = F.coalesce(by_mail, iso.try_cast("timestamp"))
-    return F.timestamp_add("SECOND", F.unix_seconds(at).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    names = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
+    numbered = lambda mail, zone: F.when(zone != "", F.concat(F.regexp_replace(mail, F.lit(r"[A-Za-z]+$"), F.lit("")), F.coalesce(F.element_at(names, F.upper(zone)), F.lit("+0000")))).otherwise(mail)
+    zoned = lambda mail: F.when(F.rlike(mail, F.lit(r"\d$")) & ~F.rlike(mail, F.lit(r"[+-]\d{4}$")), F.concat(mail, F.lit(" +0000"))).otherwise(mail)
+    by_mail = lambda one: F.when(F.rlike(one, F.lit(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$")), F.try_to_timestamp(one, F.lit("d MMM yyyy H:mm:ss xx")))
+
+    def at(t: Column) -> Column:
+        mail = _once(_once(F.regexp_replace(t, F.lit(r"^[A-Za-z]+,\s*"), F.lit("")), lambda m: _once(F.regexp_extract(m, r"([A-Za-z]+)$", 1), lambda z: numbered(m, z))), zoned)
+        seconds = F.regexp_replace(mail, F.lit(r"(\s\d{1,2}:\d{2})(\s+[+-])"), F.lit("$1:00$2"))
+        iso = F.when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(t, F.lit("T00:00:00Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}$")), F.concat(t, F.lit(":00Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$")), F.concat(t, F.lit("Z"))).when(F.rlike(t, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")), t)
+        return F.when(t != "", F.coalesce(_once(F.regexp_replace(seconds, F.lit(r"\s+"), F.lit(" ")), by_mail), iso.try_cast("timestamp")))
+
+    return F.timestamp_add("SECOND", F.unix_seconds(_once(F.trim(text), at)).cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def base_parts(base: Column) -> Column:
+    """What resolved() needs of a page's address."""
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.struct(
+        F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("scheme"), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"), path.alias("path"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("asked"), F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1)).alias("folder"))
 
 
 def resolved(href: Column, base: Column) -> Column:
     """An address as a browser reads it on a page: absolute ones stay, others complete it; dots in paths are walked."""
-    h = F.trim(href)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    asked = F.when(F.startswith(h, F.lit("?")), F.lit("")).otherwise(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1))
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
-    own, rest = F.regexp_extract(h, r"^([^?#]*)", 1), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    joined = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))
-    steps = F.split(joined, "/")
-    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
-    walked = F.concat(F.array_join(kept, "/"), F.when(F.rlike(joined, F.lit(r"/\.{1,2}$")), F.lit("/")).otherwise(F.lit("")))
-    plain = F.when(own == "", F.concat(origin, path, asked)).otherwise(F.concat(origin, F.when(F.rlike(joined, F.lit(r"(^|/)\.{1,2}(/|$)")), walked).otherwise(joined)))
-    return F.when(F.rlike(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h)).otherwise(F.concat(plain, rest))
+    return _once(base_parts(base), lambda b: resolved_on(href, b))
+
+
+def resolved_on(href: Column, b: Column) -> Column:
+    """resolved() on a page whose base_parts() are known."""
+
+    def walked(joined: Column) -> Column:
+        kept = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+        path = F.concat(F.array_join(kept, "/"), F.when(F.rlike(joined, F.lit(r"/\.{1,2}$")), F.lit("/")).otherwise(F.lit("")))
+        return F.when(F.rlike(joined, F.lit(r"(^|/)\.{1,2}(/|$)")), path).otherwise(joined)
+
+    def completed(h: Column) -> Column:
+        asked = F.when(F.startswith(h, F.lit("?")), F.lit("")).otherwise(b["asked"])
+        plain = lambda own: F.when(own == "", F.concat(b["origin"], b["path"], asked)).otherwise(F.concat(b["origin"], _once(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(b["folder"], own)), walked)))
+        whole = F.concat(_once(F.regexp_extract(h, r"^([^?#]*)", 1), plain), F.regexp_extract(h, r"^[^?#]*(.*)$", 1))
+        return F.when(F.rlike(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), h).when(F.startswith(h, F.lit("//")), F.concat(b["scheme"], F.lit(":"), h)).otherwise(whole)
+
+    return _once(F.trim(href), completed)
 
 
 def _whole(text: Column) -> Column:
@@ -92,17 +110,18 @@ def entries_of(feed: Column, base: Column) -> Column:
     """rank, url, title, published_at, summary, authors, ok of a parsed feed's entries, whichever kind it is of."""
     none = F.lit(None)
 
-    def entry(e: Column, at: Column) -> Column:
+    def entry(e: Column, at: Column, b: Column) -> Column:
         links = F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
         link = F.get(F.transform(links, lambda x: _first(x["_href"], x["_VALUE"])), F.lit(0))
-        url, title = F.when(F.coalesce(link, F.lit("")) != "", resolved(link, base)), _words(_first(e["title"]))
         names = F.transform(F.concat(F.coalesce(e["author"], F.array().cast("array<string>")), F.coalesce(e["creator"], F.array().cast("array<string>"))), lambda a: F.when(F.contains(a, F.lit("<name>")), _words(F.regexp_extract(a, r"(?s)<name>(.*?)</name>", 1))).otherwise(_words(a)))
         day = F.coalesce(moment(_first(e["pubDate"])), moment(_first(e["published"])), moment(_first(e["date"])), moment(_first(e["updated"])))
-        summary = F.substring(_words(_first(e["summary"], e["description"], e["content"])), 1, MOST_SUMMARY)
-        return F.struct((at + 1).alias("rank"), url.alias("url"), title.alias("title"), day.alias("published_at"), summary.alias("summary"), F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "").alias("authors"), (url.isNotNull() & (title != "")).alias("ok"))
+        summary = F.substring(_once(_first(e["summary"], e["description"], e["content"]), _words), 1, MOST_SUMMARY)
+        known = F.struct(_once(link, lambda x: F.when(F.coalesce(x, F.lit("")) != "", resolved_on(x, b))).alias("url"), _once(_first(e["title"]), _words).alias("title"))
+        row = lambda k: F.struct((at + 1).alias("rank"), k["url"].alias("url"), k["title"].alias("title"), day.alias("published_at"), summary.alias("summary"), F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "").alias("authors"), (k["url"].isNotNull() & (k["title"] != "")).alias("ok"))
+        return _once(known, row)
 
     every = F.coalesce(feed["channel"]["item"], feed["entry"], feed["item"], none)
-    return F.when(feed.isNotNull(), F.transform(every, entry))
+    return F.when(feed.isNotNull(), _once(base_parts(base), lambda b: F.transform(every, lambda e, at: entry(e, at, b))))
 
 
 def feed_entries(rows: DataFrame, body: str = "body", base: str = "url") -> DataFrame:
@@ -125,6 +144,12 @@ def sitemap_entries(rows: DataFrame, body: str = "body", base: str = "url") -> D
     return read.withColumn("entries", F.transform(web, lambda e, at: F.struct(at.alias("pos"), e["kind"].alias("kind"), e["url"].alias("url"), e["lastmod"].alias("lastmod")))).drop("_map")
 
 
+def each_entry(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row for each of the entries, with the columns to keep. For inline() Spark asks first whether there are entries, and parses everything once more to know; inline_outer() doesn't."""
+    always = rows.schema["entries"].dataType.elementType.names[0]  # rank or pos, which every entry has
+    return rows.select(*keep, F.inline_outer("entries")).where(F.col(always).isNotNull())
+
+
 # Conditional fetches
 
 

@@ -144,3 +144,11 @@ def test_probe_takes_five_alternates_and_a_feed_once(spark):
     twice = page(alternate("/one"), alternate("/two"))
     attempts, found = probed(spark, ("/eng/", 200, "text/html", twice), ("/one", 200, None, feed_of(3), "/real.xml"), ("/two", 200, None, feed_of(3), "/real.xml"))
     assert attempts == [("/one", "valid feed")] and [f[0] for f in found] == ["/real.xml"]
+
+
+def test_entries_are_made_once(spark):
+    """An address or a moment names each of its parts once, and rows of entries come from one reading."""
+    assert str(feeds.moment(F.col("x"))).count("RLIKE") + str(feeds.moment(F.col("x"))).count("rlike") <= 10
+    rows = feeds.each_entry(feeds.feed_entries(frame(spark, ATOM, RDF, "not xml <", None)), "id")
+    assert [(r.id, r.rank, r.title) for r in rows.orderBy("id", "rank").collect()] == [(0, 1, "A b"), (0, 2, "C"), (0, 3, ""), (1, 1, "One")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
