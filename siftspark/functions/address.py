@@ -60,9 +60,9 @@ def paper_id(*texts: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(t, PAPER, 1), F.lit("")) for t in texts])
 
 
-def item_id(kind: Column, url: Column, paper: Column) -> Column:
-    """arxiv:<id> for a paper that has one, else web: and 16 digits of the canonical address' SHA-1."""
-    web = F.concat(F.lit("web:"), F.substring(F.sha1(canonical_url(url)), 1, 16))
+def item_id(kind: Column, url: Column, paper: Column, canonical: Column | None = None) -> Column:
+    """arxiv:<id> for a paper that has one, else web: and 16 digits of the SHA-1 of the canonical address, which is made here if it isn't given."""
+    web = F.concat(F.lit("web:"), F.substring(F.sha1(canonical_url(url) if canonical is None else canonical), 1, 16))
     return F.when((kind == "paper") & paper.isNotNull(), F.concat(F.lit("arxiv:"), paper)).otherwise(web)
 
 

@@ -15,6 +15,7 @@ from ..functions.address import canonical_url, content_hash, item_id, paper_id
 from ..functions.clock import local_day
 from ..functions.score import is_old
 from ..functions.text import one_line, strip_controls
+from .storage import checkpoint
 
 
 SUMMARY = 1000
@@ -28,7 +29,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     paper = F.coalesce("paper_id", paper_id(F.col("url"), F.col("summary")))
     out = raw.withColumns({"title": F.coalesce(clean(F.col("title")), F.lit("")), "summary": summary, "url": F.trim("url"), "authors": F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), clean), lambda x: x != "")})
     out = out.withColumn("paper_id", paper).withColumn("canonical_url", canonical_url(F.col("url")))
-    return out.withColumn("id", item_id(F.col("kind"), F.col("url"), F.col("paper_id"))).withColumn("ok", F.col("title") != "")
+    return out.withColumn("id", item_id(F.col("kind"), F.col("url"), F.col("paper_id"), F.col("canonical_url"))).withColumn("ok", F.col("title") != "")
 
 
 _KEPT = ("source_id", "kind", "url", "canonical_url")
@@ -41,7 +42,7 @@ def store(table: DataFrame, batch: DataFrame, now: Column, zone: str = "UTC") ->
     one item, and an id whose first row has the address of an earlier id's first row is that item. Then, for an item:
     title, the last; summary, the last that isn't empty; date and paper, the first there is; authors, the first that
     aren't empty; image, the last there is; source, kind and addresses stay; seen again once a local day."""
-    new = batch.where("ok")
+    new = checkpoint(batch.where("ok"))  # read from three sides
     ids, urls = table.select("id").withColumn("hit", F.col("id")), table.groupBy("canonical_url").agg(F.min("id").alias("by_url"))
     lead = new.groupBy("id").agg(F.min_by("canonical_url", "pos").alias("canonical_url"), F.min("pos").alias("first_pos"))
     same = lead.groupBy("canonical_url").agg(F.min_by("id", "first_pos").alias("lead_id"))

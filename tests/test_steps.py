@@ -133,3 +133,12 @@ def test_terms_of_lines(spark):
     matched = ranking.matched_terms(items, ["model", "mod", "et", "ét"])
     assert {r.id: r.matched for r in matched.collect()} == {1: ["model", "ét"], 2: [], 3: ["model"]}
     assert "exists(transform" not in matched._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_store_reads_its_batch_once(spark):
+    raw = spark.createDataFrame([(1, "s", "article", "T", "https://x.org/a", None, None, "x", None, None)], "pos long, source_id string, kind string, title string, url string, authors array<string>, published_at timestamp_ntz, summary string, paper_id string, image_url string")
+    batch = state.normalize(raw)
+    table = batch.where("false").select("id", "source_id", "kind", "url", "canonical_url", "title", "authors", "published_at", "summary", "paper_id", "image_url", F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.lit(None).cast("timestamp_ntz").alias("last_seen"), F.lit(1).cast("long").alias("times_seen"), F.lit("").alias("content_hash"), F.lit(False).alias("is_old"))
+    out = state.store(table, batch, F.lit("2024-01-31").cast("timestamp_ntz"))
+    assert [(r.source_id, r.created) for r in out.collect()] == [("s", True)]
+    assert "arxiv" not in out.select("created")._jdf.queryExecution().optimizedPlan().toString()
