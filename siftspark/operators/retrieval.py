@@ -88,7 +88,8 @@ def write_index(docs: DataFrame, key: str, text: Column, folder: str) -> None:
     """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to shards, so no task holds a hot term's whole list."""
     shards = shards_of(docs.agg(F.sum(F.length(text))).first()[0] or 0)
     tokens = docs.select(F.col(key).alias("key"), index_tokens(text).alias("t"))
-    each = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term"))
+    # For explode() Spark asks first whether there are tokens, and makes them once more to know.
+    each = tokens.select("key", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term IS NOT NULL")
     dealt = deal(each.withColumn("bucket", bucket("term")), shards)
     counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
     counted.drop("shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")

@@ -250,3 +250,14 @@ def test_chunks_by_slices(spark):
     sizes = [b.num_rows for b in chunks._passages(d.toArrow().to_batches())]
     got = [(r.id, r.n, r.section, r.text, r.char_start, r.char_end) for r in chunks.chunk_documents(d, "id", "t").orderBy("id", "n").collect()]
     assert len(sizes) >= 3 and sum(sizes) == len(got) and got == [(r.id, n, *c) for r in d.collect() for n, c in enumerate(chunks.chunk(r.t or ""))]
+
+
+def test_index_makes_tokens_once(spark, monkeypatch):
+    """The postings of texts with and without tokens; before the tokens are dealt, no filter makes them once more."""
+    plans = []
+    deal = retrieval.deal
+    monkeypatch.setattr(retrieval, "deal", lambda rows, shards: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or deal(rows, shards))
+    folder = new_folder(spark, "once")
+    retrieval.write_index(spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string"), "id", F.col("text"), folder)
+    assert sorted((r.term, r.key, r.tf, r.length) for r in retrieval.open_index(spark, folder).postings.collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3)]
+    assert plans[0].count("regexp_extract_all") == 1
