@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 from ..functions.score import cosine
 from .retrieval import SIDE_K, SearchFilter, allowed, comparable, top
+from .storage import checkpoint
 
 MOST_CELLS, SAMPLE_ROWS, SAMPLE_BYTES, FIT_ROUNDS = 4096, 65536, 128 << 20, 8
 EFFORTS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+PLACED = 1 << 20  # similarities that a task holds at once
 SLACK = 1e-6  # of angles, and half a unit of the rounded similarities
 
 
@@ -76,9 +78,11 @@ def _placed(centroids: dict[int, np.ndarray]):
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 x = _unit(batch.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d))
-                s = x @ centroids[int(d)].T
-                cells[at] = s.argmax(1)
-                angles[at] = np.arccos(np.clip(s.max(1), -1, 1))
+                step = max(1, PLACED // len(centroids[int(d)]))  # rows at once: a batch's similarities to all cells may be many
+                for i in range(0, len(at), step):
+                    s = x[i : i + step] @ centroids[int(d)].T
+                    cells[at[i : i + step]] = s.argmax(1)
+                    angles[at[i : i + step]] = np.arccos(np.clip(s.max(1), -1, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(angles)], names=[*batch.schema.names, "cell", "angle"])
 
     return run
@@ -161,10 +165,10 @@ def _best(old: list[tuple], found: DataFrame, k: int) -> list[tuple]:
     return sorted([*old, *((r.chunk_id, r.similarity) for r in found.collect())], key=lambda r: (-r[1], r[0]))[:k]  # k rows
 
 
-def recall(index: Cells, queries: DataFrame, k: int = 10, effort: float | None = None) -> DataFrame:
-    """query_id, found, read: of the k nearest of each query (query_id, embedding), how many are in the cells that it reads, and the share of rows these hold.
+def recalls(index: Cells, queries: DataFrame, k: int, efforts: Sequence[float]) -> DataFrame:
+    """effort, query_id, found, read: of the k nearest of each query (query_id, embedding), how many are in the cells that it reads, and the share of rows these hold, for every effort.
 
-    All queries are compared with all rows, in blocks on the executors: this is the measure, not the search."""
+    All queries are compared with all rows once, in blocks on the executors: this is the measure, not the search."""
     from pyspark.sql import Window
 
     from .retrieval import knn
@@ -172,24 +176,38 @@ def recall(index: Cells, queries: DataFrame, k: int = 10, effort: float | None =
     rows = index.rows.select("chunk_id", "embedding", "dims", "cell")
     true = knn(queries.select("query_id", "embedding"), rows.select("chunk_id", "embedding"), k).select("query_id", "chunk_id")
     q = queries.where(comparable(F.col("embedding"))).select("query_id", "embedding", F.size("embedding").alias("dims"))
-    pairs = q.join(F.broadcast(index.centroids.select("dims", "cell", "centroid", "n")), "dims").withColumn("s", cosine(F.col("embedding").cast("array<double>"), F.col("centroid")))
+    pairs = q.join(F.broadcast(index.centroids.select("dims", "cell", "centroid", "n")), "dims").select("query_id", "cell", "n", cosine(F.col("embedding").cast("array<double>"), F.col("centroid")).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "cell")
-    share = index.effort if effort is None else effort
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(Window.partitionBy("query_id"))
-    probed = pairs.select("query_id", "cell", "n", before.alias("before"), total.alias("total")).where(F.col("before") < F.greatest(F.lit(k), share * F.col("total")))
-    read = probed.groupBy("query_id").agg((F.sum("n") / F.max("total")).alias("read"))
-    hit = true.join(rows.select("chunk_id", "cell"), "chunk_id").join(probed.select("query_id", "cell", F.lit(1).alias("in_cells")), ["query_id", "cell"], "left")
-    return hit.groupBy("query_id").agg(F.avg(F.coalesce("in_cells", F.lit(0))).alias("found")).join(read, "query_id")
+    order = checkpoint(pairs.select("query_id", "cell", "n", before.alias("before"), total.alias("total")))  # read for the hits and for the shares
+    is_read = lambda e: F.col("before") < F.greatest(F.lit(k), F.lit(float(e)) * F.col("total"))
+    each = lambda value: F.array(*[value(e) for e in efforts])
+    read = order.groupBy("query_id").agg(each(lambda e: F.sum(F.when(is_read(e), F.col("n"))) / F.max("total")).alias("read"))
+    hit = true.join(rows.select("chunk_id", "cell"), "chunk_id").join(order, ["query_id", "cell"])
+    found = hit.groupBy("query_id").agg(each(lambda e: F.avg(is_read(e).cast("int"))).alias("found"))
+    named = each(lambda e: F.lit(float(e)))
+    return found.join(read, "query_id").select("query_id", F.inline(F.arrays_zip(named.alias("effort"), "found", "read"))).select("effort", "query_id", "found", "read")
+
+
+def recall(index: Cells, queries: DataFrame, k: int = 10, effort: float | None = None) -> DataFrame:
+    """query_id, found, read: recalls() of one effort."""
+    return recalls(index, queries, k, [index.effort if effort is None else effort]).drop("effort")
+
+
+def mean_recalls(index: Cells, queries: DataFrame, k: int, efforts: Sequence[float]) -> DataFrame:
+    """effort, queries, recall, read of every effort: how many queries there are, and the means of recalls()."""
+    by = recalls(index, queries, k, efforts).groupBy("effort").agg(F.count("*").alias("queries"), F.avg("found").alias("recall"), F.avg("read").alias("read"))
+    asked = queries.sparkSession.createDataFrame([(float(e),) for e in efforts], "effort double")
+    return asked.join(by, "effort", "left").withColumn("queries", F.coalesce("queries", F.lit(0).cast("long")))
 
 
 def tune(spark: SparkSession, folder: str, queries: DataFrame, target: float = 0.95, k: int = 10) -> list[tuple[float, float, float]]:
     """(effort, recall, share of rows read) of efforts, up to the first whose mean recall reaches the target, which is stored."""
-    index, seen = open_cells(spark, folder), []
-    for effort in EFFORTS:
-        r = recall(index, queries, k, effort).agg(F.avg("found").alias("found"), F.avg("read").alias("read")).first()
-        seen.append((effort, r.found, r.read))
-        if r.found is None or r.found >= target:
+    seen = []
+    for r in sorted(mean_recalls(open_cells(spark, folder), queries, k, EFFORTS).collect()):  # a row for each effort
+        seen.append((r.effort, r.recall, r.read))
+        if r.recall is None or r.recall >= target:
             break
     set_effort(spark, folder, seen[-1][0])
     return seen

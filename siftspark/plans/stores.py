@@ -194,11 +194,7 @@ def cells_filtered(v):
 def cells_recall(v):
     """Recall at 10 of the cell index and the share of vectors read, by effort; every twentieth passage asks."""
     index, asked = _cells(v), v.passages.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    out = None
-    for effort in cells.EFFORTS:
-        one = cells.recall(index, asked, 10, effort).agg(F.lit(effort).alias("effort"), F.count("*").alias("queries"), F.avg("found").alias("recall"), F.avg("read").alias("read"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return cells.mean_recalls(index, asked, 10, cells.EFFORTS)
 
 
 # Deletions
