@@ -64,9 +64,13 @@ def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     return rows if dead is None else rows.join(dead.select("segment", "key"), ["segment", "key"], "left_anti")
 
 
-def _write(postings: DataFrame, lengths: DataFrame, folder: str, name: str) -> None:
-    """postings: key, length, term, tf, shard and bucket; lengths: key, length."""
+def _write_postings(postings: DataFrame, folder: str, name: str) -> None:
+    """postings: key, length, term, tf, shard and bucket."""
     postings.select("key", "length", "term", "tf", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(_segment(folder, name, "postings"))
+
+
+def _write_docs(lengths: DataFrame, folder: str, name: str) -> None:
+    """lengths: key, length."""
     dealt = lengths.select("key", "length", _key_bucket("key").alias("part")).repartition(KEY_BUCKETS, "part")
     dealt.sortWithinPartitions("part", "key").write.partitionBy("part").parquet(_segment(folder, name, "docs"))
 
@@ -88,14 +92,13 @@ def apply(spark: SparkSession, folder: str, docs: DataFrame | None = None, key:
         tokens = docs.dropDuplicates([key]).select(F.col(key).alias("key"), index_tokens(text if text is not None else F.col("text")).alias("t"))
         each = tokens.select("key", F.size("t").cast("long").alias("length"), F.explode_outer("t").alias("term"))
         chars = docs.agg(F.sum(F.length(text if text is not None else F.col("text")))).first()[0] or 0
-        dealt = deal(each.withColumn("bucket", F.coalesce(bucket("term"), F.lit(-1))), shards_of(chars))
+        dealt = deal(each.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(-1)).otherwise(bucket("term"))), shards_of(chars))
         counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
-        stored = f"{folder}/segments/{name}/all"
-        counted.sortWithinPartitions("bucket", "term").write.parquet(stored)  # the tokens are made once
-        every = spark.read.parquet(stored)
-        # A document without a token is a row of no term; its length counts in the totals.
-        _write(every.where("term IS NOT NULL"), every.select("key", F.when(F.col("term").isNull(), F.lit(0)).otherwise(F.col("length")).cast("long").alias("length")).distinct(), folder, name)
-        manifest.remove(spark, stored)
+        _write_postings(counted, folder, name)  # the tokens are made once, and their postings written once
+        # A document without a token is a row of no term, in a bucket of its own that goes; its length counts in the totals.
+        every = _read(spark, folder, state, [name], "postings")
+        _write_docs(every.select("key", F.when(F.col("bucket") == -1, F.lit(0)).otherwise(F.col("length")).cast("long").alias("length")).distinct(), folder, name)
+        manifest.remove(spark, f"{_segment(folder, name, 'postings')}/bucket=-1")
         added = _totals(spark, folder, state, name)
     gone = None
     if added is not None:
@@ -141,7 +144,8 @@ def _merged(spark: SparkSession, folder: str, state: dict[str, Any]) -> dict[str
         names, name = [s["name"] for s in due], uuid.uuid4().hex
         dead = _dead(spark, folder, state)
         postings = deal(_alive(_read(spark, folder, state, names, "postings"), dead), shards_of(TOKEN_CHARS * sum(s["tokens"] for s in due)))
-        _write(postings, _alive(_read(spark, folder, state, names, "docs"), dead), folder, name)
+        _write_postings(postings, folder, name)
+        _write_docs(_alive(_read(spark, folder, state, names, "docs"), dead), folder, name)
         rest = [s for s in state["segments"] if s["name"] not in names]
         one = _totals(spark, folder, state, name)
         state = {"key": state["key"], "segments": rest + ([one] if one["docs"] else []), "dead": state["dead"] if any(s["dead_docs"] for s in rest) else []}

@@ -320,3 +320,14 @@ def test_contents_asks_and_runs(spark):
     assert [(r.id, r.question) for r in steps.recent_asks(saved, 2).collect()] == [(6, "second"), (5, "first")]
     runs = spark.createDataFrame([(1, "scout", "ok", 1), (2, "scout", "failed", 3), (3, "scout", "partial", 2), (4, "ask", "ok", 3), (5, "scout", "ok", 30)], "id long, kind string, status string, hour int").withColumn("started_at", when + F.make_dt_interval(F.lit(0), F.col("hour")))
     assert [r.id for r in steps.last_run_of_day(runs, "scout", when, when + F.expr("INTERVAL 1 DAY")).collect()] == [3]
+
+
+def test_segments_write_postings_once(spark, tmp_path, monkeypatch):
+    """Postings go straight to their buckets; a document without tokens leaves none, and counts."""
+    folder, removed = str(tmp_path / "index"), []
+    remove = segments.manifest.remove
+    monkeypatch.setattr(segments.manifest, "remove", lambda spark, path: removed.append(path) or remove(spark, path))
+    segments.apply(spark, folder, spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string"))
+    index = segments.open_index(spark, folder)
+    assert [p.rsplit("/", 1)[1] for p in removed] == ["bucket=-1"]
+    assert sorted((r.term, r.key, r.tf) for r in index.postings.collect()) == [("a", 1, 2), ("b", 1, 1)] and index.corpus.first().total == 3
