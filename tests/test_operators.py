@@ -261,3 +261,14 @@ def test_index_makes_tokens_once(spark, monkeypatch):
     retrieval.write_index(spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, text string"), "id", F.col("text"), folder)
     assert sorted((r.term, r.key, r.tf, r.length) for r in retrieval.open_index(spark, folder).postings.collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3)]
     assert plans[0].count("regexp_extract_all") == 1
+
+
+def test_components_of_a_path(spark, monkeypatch):
+    """Rounds grow with the logarithm of a path, whatever its nodes are called, and nothing is broadcast."""
+    n, made = 600, []
+    ids = [int(x) for x in np.random.default_rng(3).permutation(n)]
+    keep = clusters.checkpoint
+    monkeypatch.setattr(clusters, "checkpoint", lambda df: made.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "node long"), spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
+    assert {r.comp for r in clusters.components(nodes, edges).collect()} == {0}
+    assert len(made) <= 2 + 2 * 12 and not any("BroadcastHashJoin" in p for p in made)
