@@ -26,7 +26,7 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SIDE_K, RRF_K = 50, 60
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 SIDE_BLOCKS, RANGE_BLOCKS = 10, 4
-BUCKETS, SHARDS, SHARD_CHARS = 32, 4, 1 << 20
+BUCKETS, SHARDS, SHARD_CHARS, PIECE_CHARS = 32, 4, 1 << 20, 8 << 20
 
 
 def postings(docs: DataFrame, key: str, text: Column, terms: Sequence[str], prefix: bool = False) -> DataFrame:
@@ -84,15 +84,27 @@ def deal(rows: DataFrame, shards: int) -> DataFrame:
     return dealt.repartition("bucket", "shard") if shards == SHARDS else dealt.repartition(BUCKETS * shards, "bucket", "shard")
 
 
+def pieces(docs: DataFrame, key: str, text: Column) -> tuple[DataFrame, int]:
+    """The texts (key, text) in pieces of about PIECE_CHARS by key, and how many characters they have: a task's share doesn't grow with the texts."""
+    texts = docs.select(F.col(key).alias("key"), text.alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return texts.repartition(max(1, -(-chars // PIECE_CHARS)), "key"), chars
+
+
+def count_tokens(texts: DataFrame) -> DataFrame:
+    """key, length, term, tf of texts in pieces by key: tokens are counted where their text is, so none is shuffled. A text without tokens has one row, of no term."""
+    tokens = texts.select("key", index_tokens(F.col("text")).alias("t"))
+    # For explode() Spark asks first whether there are tokens, and makes them once more to know.
+    each = tokens.select("key", F.size("t").cast("long").alias("length"), F.explode_outer("t").alias("term"))
+    return each.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+
+
 def write_index(docs: DataFrame, key: str, text: Column, folder: str) -> None:
     """The postings of docs under folder, in BUCKETS by term and sorted by it; a bucket's postings are dealt to shards, so no task holds a hot term's whole list."""
-    shards = shards_of(docs.agg(F.sum(F.length(text))).first()[0] or 0)
-    tokens = docs.select(F.col(key).alias("key"), index_tokens(text).alias("t"))
-    # For explode() Spark asks first whether there are tokens, and makes them once more to know.
-    each = tokens.select("key", F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term IS NOT NULL")
-    dealt = deal(each.withColumn("bucket", bucket("term")), shards)
-    counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
-    counted.drop("shard").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    texts, chars = pieces(docs, key, text)
+    dealt = deal(count_tokens(texts).where("term IS NOT NULL").withColumn("bucket", bucket("term")), shards_of(chars))
+    counted = dealt.select("bucket", "term", "key", F.col("length").cast("int").alias("length"), "tf")
+    counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     stored = docs.sparkSession.read.parquet(f"{folder}/postings")
     stored.groupBy("bucket", "term").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
     lengths = stored.agg(F.sum("tf").alias("tokens")).crossJoin(docs.agg(F.count("*").alias("total")))  # one row each

@@ -27,9 +27,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens
 from . import manifest
-from .retrieval import Index, bucket, deal, shards_of
+from .retrieval import Index, bucket, count_tokens, deal, pieces, shards_of
 
 KEY_BUCKETS, MERGE, TOKEN_CHARS = 16, 4, 6
 
@@ -89,12 +88,10 @@ def apply(spark: SparkSession, folder: str, docs: DataFrame | None = None, key:
     added = None
     if docs is not None:
         name = uuid.uuid4().hex
-        tokens = docs.dropDuplicates([key]).select(F.col(key).alias("key"), index_tokens(text if text is not None else F.col("text")).alias("t"))
-        each = tokens.select("key", F.size("t").cast("long").alias("length"), F.explode_outer("t").alias("term"))
-        chars = docs.agg(F.sum(F.length(text if text is not None else F.col("text")))).first()[0] or 0
-        dealt = deal(each.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(-1)).otherwise(bucket("term"))), shards_of(chars))
-        counted = dealt.groupBy("bucket", "shard", "term", "key", "length").agg(F.count("*").alias("tf"))
-        _write_postings(counted, folder, name)  # the tokens are made once, and their postings written once
+        texts, chars = pieces(docs, key, text if text is not None else F.col("text"))
+        counted = count_tokens(texts.dropDuplicates(["key"]))
+        dealt = deal(counted.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(-1)).otherwise(bucket("term"))), shards_of(chars))
+        _write_postings(dealt, folder, name)  # the tokens are made once, and their postings written once
         # A document without a token is a row of no term, in a bucket of its own that goes; its length counts in the totals.
         every = _read(spark, folder, state, [name], "postings")
         _write_docs(every.select("key", F.when(F.col("bucket") == -1, F.lit(0)).otherwise(F.col("length")).cast("long").alias("length")).distinct(), folder, name)

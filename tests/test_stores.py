@@ -331,3 +331,17 @@ def test_segments_write_postings_once(spark, tmp_path, monkeypatch):
     index = segments.open_index(spark, folder)
     assert [p.rsplit("/", 1)[1] for p in removed] == ["bucket=-1"]
     assert sorted((r.term, r.key, r.tf) for r in index.postings.collect()) == [("a", 1, 2), ("b", 1, 1)] and index.corpus.first().total == 3
+
+
+def test_segments_deal_postings(spark, tmp_path, monkeypatch):
+    """Tokens are counted where their text is, in pieces whose number follows the texts; only postings are dealt."""
+    docs, dealt, deal = spark.createDataFrame([(i, "a b " * 50) for i in range(20)], "id long, text string"), [], retrieval.deal
+    monkeypatch.setattr(segments, "deal", lambda rows, shards: dealt.append(rows.count()) or deal(rows, shards))
+    segments.apply(spark, str(tmp_path / "index"), docs.union(docs))
+    assert dealt == [40]
+    assert {(r.tf, r.length) for r in segments.open_index(spark, str(tmp_path / "index")).postings.collect()} == {(50, 100)}
+    monkeypatch.setattr(retrieval, "PIECE_CHARS", 400)
+    texts, chars = retrieval.pieces(docs, "id", F.col("text"))
+    assert chars == 4000 and texts.rdd.getNumPartitions() == 10
+    plan = retrieval.count_tokens(texts.dropDuplicates(["key"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of the pieces
