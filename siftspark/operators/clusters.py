@@ -22,8 +22,8 @@ def partner_edges(items: DataFrame) -> DataFrame:
 def neighbour_edges(vectors: DataFrame, threshold: float, k: int = 5) -> DataFrame:
     """a, b, similarity: of the k nearest vectors within 14 days, those of at least the threshold; k comes first."""
     v = vectors.select(F.col("chunk_id"), "embedding", F.col("published_day").alias("day"))
-    near = knn(v.select(F.col("chunk_id").alias("query_id"), "embedding", F.col("day").alias("qday")), v, k, keep="band")
-    return near.where(F.col("similarity") >= threshold).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), "similarity")
+    near = knn(v.select(F.col("chunk_id").alias("query_id"), "embedding", F.col("day").alias("qday")), v, k, keep="band", least=threshold)
+    return near.select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), "similarity")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def archive_texts(items: DataFrame, sources: DataFrame, triage: DataFrame) -> Da
     """Each item's passage: item_id, hash, header, text, source_id, kind, trust, paper_key, day. Items whose source is gone have none."""
     none = F.array().cast("array<string>")
     named = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "trust")
-    rows = items.join(named, "source_id").join(triage.select(F.col("item_id").alias("id"), "tags"), "id", "left")
+    # The sources that are followed, a short row each: by their name no text is shuffled, and none waits for the others of its source.
+    rows = items.join(F.broadcast(named), "source_id").join(triage.select(F.col("item_id").alias("id"), "tags"), "id", "left")
     text = archive_text(F.col("title"), F.col("summary"), F.col("source_name"), F.coalesce("tags", none))
     header = context_header(F.col("source_name"), F.col("title"), F.lit(""))
     day = F.to_date(F.coalesce("published_at", "first_seen"))
@@ -74,8 +75,8 @@ def _edges(known: DataFrame, todo: DataFrame, threshold: float) -> DataFrame:
     here, all_ = todo.where("paper_key IS NOT NULL"), known.where("paper_key IS NOT NULL")
     partners = here.select("paper_key", F.col("item_id").alias("a"), F.col("kind").alias("ka")).join(all_.select("paper_key", F.col("item_id").alias("b"), F.col("kind").alias("kb")), "paper_key").where("a <> b AND ka <> kb")
     q = todo.where("embedding IS NOT NULL").select(F.col("item_id").alias("query_id"), "embedding", F.col("day").alias("qday"))
-    near = knn(q, known.where("embedding IS NOT NULL").select(F.col("item_id").alias("chunk_id"), "embedding", "day"), NEIGHBOURS, keep="band")
-    return partners.select("a", "b").unionByName(near.where(F.col("similarity") >= threshold).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b")))
+    near = knn(q, known.where("embedding IS NOT NULL").select(F.col("item_id").alias("chunk_id"), "embedding", "day"), NEIGHBOURS, keep="band", least=threshold)
+    return partners.select("a", "b").unionByName(near.select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b")))
 
 
 def ingest_archive(spark: SparkSession, folder: str, items: DataFrame, sources: DataFrame, triage: DataFrame, embed: Callable[[Column], Column] | None = None, model: str = "", dim: int = 0, threshold: float | None = None) -> Ingested:

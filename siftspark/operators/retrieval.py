@@ -25,7 +25,7 @@ from .storage import checkpoint
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SIDE_K, RRF_K = 50, 60
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
-SIDE_BLOCKS, RANGE_BLOCKS = 10, 4
+SIDE_BLOCKS, RANGE_BLOCKS = 10, 2
 BUCKETS, SHARDS, SHARD_CHARS, PIECE_CHARS = 32, 4, 1 << 20, 8 << 20
 
 
@@ -292,8 +292,8 @@ def fuse(fts: DataFrame, vec: DataFrame, key: str, k: int) -> DataFrame:
     return top(sides.withColumn("score", score), k, F.desc(F.round("score", 9)), F.asc(key))
 
 
-def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -> DataFrame:
-    """query_id, chunk_id, similarity, rank: the k nearest candidates of every query.
+def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true", least: float | None = None) -> DataFrame:
+    """query_id, chunk_id, similarity, rank: the k nearest candidates of every query, where least is given those of them that are as similar at least.
 
     queries has query_id and embedding (and qday, qgroup), candidates chunk_id and embedding (and day, group);
     keep is a condition among 'true', 'other' (another id), 'band' (another id, at most 14 days apart) and
@@ -319,7 +319,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, keep: str = "true") -
         left = q.select("*", dims, F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("j"))
         right = c.select("*", dims, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.lit(nc)).alias("j"))
         unit = ["dims", "i", "j"]
-    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_compare(k, keep), "query_id long, chunk_id long, similarity double")
+    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(_compare(k, keep, least), "query_id long, chunk_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -415,7 +415,7 @@ def _nearest_rows(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, left_ou
     return np.concatenate(rows), np.concatenate(places), np.concatenate(near)
 
 
-def _compare(k: int, keep: str):
+def _compare(k: int, keep: str, least: float | None = None):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and candidates.num_rows:
@@ -433,7 +433,8 @@ def _compare(k: int, keep: str):
                 if not len(t):
                     continue
                 r, p, x = _nearest_rows(q[mine], c[theirs], t, k, None if keep == "true" else _same(own[mine], other[theirs]))
-                out.append((m[r], t[p], x))
+                near = slice(None) if least is None else x >= least  # the nearest come first, so the rest never has a place among the k
+                out.append((m[r][near], t[p][near], x[near]))
         return pa.table(dict(zip(("query_id", "chunk_id", "similarity"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
 
     return run

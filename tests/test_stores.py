@@ -345,3 +345,27 @@ def test_segments_deal_postings(spark, tmp_path, monkeypatch):
     assert chars == 4000 and texts.rdd.getNumPartitions() == 10
     plan = retrieval.count_tokens(texts.dropDuplicates(["key"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # that of the pieces
+
+
+def test_ingest_shuffles_texts_by_id(spark, monkeypatch):
+    """Texts are shuffled once, by their item; edges below the threshold stay where they are compared."""
+    rows = spark.createDataFrame([(i, "s", "a", f"t{i}", "x", None) for i in range(4)], "id long, source_id string, kind string, title string, summary string, paper_key long").withColumns({"published_at": F.lit(None).cast("timestamp"), "first_seen": F.lit("2024-01-02").cast("timestamp")})
+    sources, triage = spark.createDataFrame([("s", "S", "publisher")], "id string, name string, trust string"), spark.createDataFrame([(1, ["t"])], "item_id long, tags array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = ingest.archive_texts(rows, sources, triage)
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source_id" not in plan and "hashpartitioning(id" in plan and texts.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    c = spark.createDataFrame([(i, [1.0, i / 4]) for i in range(9)], "chunk_id long, embedding array<double>")
+    q = c.select(F.col("chunk_id").alias("query_id"), "embedding")
+    few = retrieval._compare(5, "other", 0.99)(*(t.toArrow() for t in (q, c))).column("similarity").to_pylist()
+    assert few and min(few) >= 0.99
+    near = {tuple(r) for r in retrieval.knn(q, c, 5, keep="other").where("similarity >= 0.99").collect()}
+    assert near == {tuple(r) for r in retrieval.knn(q, c, 5, keep="other", least=0.99).collect()}
+    # However many rows a range of days has, each is sent to two blocks of a range near it.
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 1)
+    day = F.lit("2024-01-15").cast("date")
+    left, right, _ = retrieval._band_blocks(q.withColumn("qday", day), c.withColumn("day", day))
+    assert left.count() == right.count() == 18
