@@ -122,7 +122,7 @@ def ingest_archive(spark: SparkSession, folder: str, items: DataFrame, sources:
         if archived:
             partner = written.select("paper_key").distinct()
             band = F.col("day").between(F.date_sub(F.lit(days.low), BAND_DAYS), F.date_add(F.lit(days.high), BAND_DAYS)) if days.low else F.lit(False)
-            near = known.where(band).unionByName(known.where(~F.coalesce(band, F.lit(False))).join(partner, "paper_key", "left_semi").select(*known.columns))
+            near = checkpoint(known.where(band).unionByName(known.where(~F.coalesce(band, F.lit(False))).join(partner, "paper_key", "left_semi").select(*known.columns)))  # read from four sides
             changes = checkpoint(clusters.update(clusters.open_membership(spark, home), written.select(F.col("item_id").alias("id")), _edges(near, written, threshold)))
             clustered = changes.where("cluster_id IS NOT NULL").count()
             clusters.store_update(spark, home, changes)

@@ -337,13 +337,18 @@ def _band_blocks(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, list
     """Both sides dealt to pairs of blocks of ranges of BAND_DAYS + 1 days: a range meets itself and the two beside it, whatever else there is. Rows without a day meet none."""
     range_of = lambda day: F.floor(F.unix_date(day) / (BAND_DAYS + 1)).cast("long")
     q, c = q.where("qday IS NOT NULL").withColumn("r", range_of("qday")), c.where("day IS NOT NULL").withColumn("s", range_of("day"))
-    blocks = lambda rows, by, name: rows.groupBy(by).agg(_blocks(RANGE_BLOCKS).alias(name))
-    near = blocks(q, "r", "nq").select("r", "nq", F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("s")).join(blocks(c, "s", "nc"), "s")
-    near = near.select(F.col("r").alias("r"), F.col("s").alias("s"), F.col("nq").cast("long").alias("nq"), F.col("nc").cast("long").alias("nc"))  # three rows for each 15 days of the calendar
+    blocks = lambda rows, by, name: rows.groupBy(by).agg(_blocks(RANGE_BLOCKS).alias(f"n{name}"), F.count("*").alias(name))
+    near = blocks(q, "r", "q").select("r", "nq", "q", F.explode(F.sequence(F.col("r") - 1, F.col("r") + 1)).alias("s")).join(blocks(c, "s", "c"), "s")
+    near = checkpoint(near.select("r", "s", "nq", "nc", F.col("q").cast("double"), F.col("c").cast("double")))  # three rows for each 15 days of the calendar
+    size = near.agg(F.sum(F.col("nq") * F.col("nc")).alias("units"), F.sum(F.col("q") * F.col("c")).alias("pairs")).first()
+    # Tasks by what they compare: their bytes are few, and Spark would put many units into one.
+    tasks = int(min(size.units or 1, max(q.sparkSession.sparkContext.defaultParallelism, (size.pairs or 0) // TASK_PAIRS)))
+    near = near.drop("q", "c")
     zero, dims = F.lit(0).cast("long"), F.size("embedding").alias("dims")
     left = q.join(F.broadcast(near), "r").select("query_id", "embedding", "qday", dims, "r", "s", F.pmod(F.xxhash64("query_id"), F.col("nq")).alias("i"), F.explode(F.sequence(zero, F.col("nc") - 1)).alias("j"))
     right = c.join(F.broadcast(near), "s").select("chunk_id", "embedding", "day", dims, "r", "s", F.explode(F.sequence(zero, F.col("nq") - 1)).alias("i"), F.pmod(F.xxhash64("chunk_id"), F.col("nc")).alias("j"))
-    return left, right, ["dims", "r", "s", "i", "j"]
+    unit = ["dims", "r", "s", "i", "j"]
+    return left.repartition(tasks, *unit), right.repartition(tasks, *unit), unit
 
 
 def _unit_rows(t: pa.Table) -> np.ndarray:
@@ -415,6 +420,84 @@ def _nearest_rows(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, left_ou
     return np.concatenate(rows), np.concatenate(places), np.concatenate(near)
 
 
+TILE_ROWS, TILE_COLUMNS, TASK_PAIRS = 256, 768, 1 << 28  # a tile's matrix (0.8 MB) stays in a core's cache; pairs for a task of its own
+
+
+def _first(r: np.ndarray, p: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each row, by similarity and then by id."""
+    o = np.lexsort((ids[p], -x, r))
+    r, p, x = r[o], p[o], x[o]
+    some = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[some], p[some], x[some]
+
+
+def _axis(c: np.ndarray) -> np.ndarray:
+    """A direction along which vectors differ much: their first principal axis, about."""
+    middle = c.mean(0)
+    spread = c.T @ c / len(c) - np.outer(middle, middle)
+    w = spread[np.argmax(np.diag(spread))]
+    for _ in range(8):
+        norm = np.linalg.norm(w)
+        if not norm > 1e-9:
+            return np.eye(1, c.shape[1])[0]
+        w = spread @ (w / norm)
+    return w / max(np.linalg.norm(w), 1e-300)
+
+
+def _near_rows(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, least: float, axis: np.ndarray, own: np.ndarray | None, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, similarity) like _nearest_rows', of pairs that are as similar as least; equal keys in own and other don't count.
+
+    Both sides lie in the order of one axis, along which pairs that are as similar differ by no more than they do at all.
+    A tile of the matrix is made in single precision and looked through once for what may reach least, with room for its
+    error; only that is compared in double precision. Where there is far more of it than k a row, the k best so far, and
+    in a tile its lanes' maxima, raise a row's bound: as many as there are equal keys may not count, and k more do."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    slack = 2e-6 + 4e-7 * (q.shape[1] + 8)
+    reach = np.sqrt(max(0.0, 2 - 2 * (least - 1e-6))) + 1e-6
+    at, to = q @ axis, c @ axis
+    rows, places = np.argsort(at, kind="stable"), np.argsort(to, kind="stable")
+    at, to, q, c, ids, other = at[rows], to[places], q[rows], c[places], ids[places], other[places]
+    own = None if own is None else own[rows]
+    q32, c32 = q.astype(np.float32), c.astype(np.float32)
+    enough = k + (0 if own is None else int(np.unique(other, return_counts=True)[1].max()))
+    room, over = np.empty(TILE_ROWS * TILE_COLUMNS, np.float32), np.zeros((TILE_ROWS, -(-min(TILE_COLUMNS, len(c)) // 8) * 8), bool)
+    for a in range(0, len(q), TILE_ROWS):
+        n = min(TILE_ROWS, len(q) - a)
+        bound, found, kept = np.float32(least - slack), [out[0]], 0
+        low, high = np.searchsorted(to, [at[a] - reach, at[a + n - 1] + reach])
+        for u in range(low, high, TILE_COLUMNS):
+            m = min(TILE_COLUMNS, high - u)
+            s = np.matmul(q32[a : a + n], c32[u : u + m].T, out=room[: n * m].reshape(n, m))
+            over[:, m:] = False
+            for again in (False, True):
+                np.greater_equal(s, bound, out=over[:n, :m])
+                eights = np.flatnonzero(over[:n].reshape(-1).view(np.uint64))  # few pairs are near: eight are passed over at once
+                lane = m // (2 * enough)
+                if again or lane < 2 or len(eights) <= 4 * k * n:
+                    break
+                lanes = np.maximum.reduceat(s, np.arange(0, m, lane), axis=1)
+                bound = np.maximum(bound, np.partition(lanes, lanes.shape[1] - enough, axis=1)[:, lanes.shape[1] - enough, None] - np.float32(slack))
+            e, bit = np.nonzero(over[:n].reshape(-1, 8)[eights])
+            r, p = np.divmod(8 * eights[e] + bit, over.shape[1])
+            r, p = a + r, u + p
+            if own is not None:
+                fine = own[r] != other[p]
+                r, p = r[fine], p[fine]
+            x = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + PAIRS]], c[p[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)] or [np.zeros(0)]).round(6)
+            found.append((r, p, x))
+            kept += len(r)
+            if kept > 8 * k * n:
+                r, p, x = _first(*map(np.concatenate, zip(*found, strict=True)), ids, k)
+                found, kept = [(r, p, x)], len(r)
+                full, worst = np.bincount(r - a, minlength=n) == k, np.full(n, np.inf)
+                np.minimum.at(worst, r - a, x)
+                bound = np.maximum(bound, np.where(full, worst - slack, -np.inf).astype(np.float32)[:, None])
+        r, p, x = _first(*map(np.concatenate, zip(*found, strict=True)), ids, k)
+        near = x >= least
+        out.append((rows[r[near]], places[p[near]], x[near]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def _compare(k: int, keep: str, least: float | None = None):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -428,13 +511,16 @@ def _compare(k: int, keep: str, least: float | None = None):
                 theirs, c_ids, c = theirs[o], c_ids[o], c[o]
                 pieces = [(np.flatnonzero(days == d), slice(*np.searchsorted(theirs, [d - BAND_DAYS, d + BAND_DAYS + 1]))) for d in np.unique(days)]
             own, other = (queries.column("qgroup").to_numpy(), candidates.column("group").to_numpy()) if keep == "group" else (ids, c_ids)
+            axis = None if least is None else _axis(c)
             for mine, theirs in pieces:
                 m, t = ids[mine], c_ids[theirs]
                 if not len(t):
                     continue
-                r, p, x = _nearest_rows(q[mine], c[theirs], t, k, None if keep == "true" else _same(own[mine], other[theirs]))
-                near = slice(None) if least is None else x >= least  # the nearest come first, so the rest never has a place among the k
-                out.append((m[r][near], t[p][near], x[near]))
+                if least is None:
+                    r, p, x = _nearest_rows(q[mine], c[theirs], t, k, None if keep == "true" else _same(own[mine], other[theirs]))
+                else:  # the nearest come first, so what is below least never has a place among the k
+                    r, p, x = _near_rows(q[mine], c[theirs], t, k, least, axis, None if keep == "true" else own[mine], other[theirs])
+                out.append((m[r], t[p], x))
         return pa.table(dict(zip(("query_id", "chunk_id", "similarity"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
 
     return run

@@ -369,3 +369,63 @@ def test_ingest_shuffles_texts_by_id(spark, monkeypatch):
     day = F.lit("2024-01-15").cast("date")
     left, right, _ = retrieval._band_blocks(q.withColumn("qday", day), c.withColumn("day", day))
     assert left.count() == right.count() == 18
+
+
+# Neighbours that are near enough
+
+
+@pytest.mark.parametrize("keep,least", [("other", 0.9), ("true", 0.9), ("group", 0.9), ("other", 0.2), ("other", -0.5), ("band", 0.9)])
+def test_near_rows(monkeypatch, keep, least):
+    """With a least similarity the result is that of all pairs, over tiles, copies, one narrow cone and many near pairs; most pairs that lie far apart aren't compared."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 16)
+    monkeypatch.setattr(retrieval, "TILE_COLUMNS", 96)
+    r = np.random.default_rng(8)
+    middle = r.normal(size=(10, 8)) + 3 * np.sign(np.arange(10) - 4.5)[:, None]
+    x = np.concatenate([middle[np.arange(500) % 10] + 0.3 * r.normal(size=(500, 8)), np.repeat(middle[:2], 60, 0), np.ones((80, 8)) + 1e-4 * r.normal(size=(80, 8))])
+    ids = r.permutation(len(x))
+    day, group = r.integers(0, 40, len(x)), ids // 3
+    table = lambda key, a, b: pa.table({key: ids, "embedding": pa.array(list(x)), a: pa.array(day, pa.int32()).cast(pa.date32()), b: group})
+    cells, matmul = [], np.matmul
+    monkeypatch.setattr(retrieval.np, "matmul", lambda a, b, **o: cells.append(a.shape[0] * b.shape[1]) or matmul(a, b, **o))
+    got = retrieval._compare(4, keep, least)(table("query_id", "qday", "qgroup"), table("chunk_id", "day", "group"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s = (unit @ unit.T).round(6)
+    out = {"true": np.zeros(s.shape, bool), "group": group[:, None] == group}.get(keep, ids[:, None] == ids) | (s < least)
+    if keep == "band":
+        out |= np.abs(day[:, None] - day) > retrieval.BAND_DAYS
+    want = {(ids[i], ids[j]) for i in range(len(x)) for j in sorted(np.flatnonzero(~out[i]), key=lambda j: (-s[i, j], ids[j]))[:4]}
+    assert set(zip(got.column("query_id").to_pylist(), got.column("chunk_id").to_pylist(), strict=True)) == want
+    assert 0 < sum(cells) and (least < 0.9 or sum(cells) < 0.7 * len(x) ** 2)
+
+
+def test_band_tasks(spark, monkeypatch):
+    """Tasks are as many as the pairs ask for, one for each pair of blocks at most; before, small rows with many pairs came together in few."""
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 100)
+    v = spark.range(120).selectExpr("id AS chunk_id", "array(1D, double(id)) AS embedding", "date_add(date'2024-01-01', int(id % 60)) AS day")
+    left, right, unit = retrieval._band_blocks(v.selectExpr("chunk_id AS query_id", "embedding", "day AS qday"), v)
+    units = left.select(*unit).distinct().count()
+    assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() == units > 4
+
+
+def test_hash_vector_hashes_a_word_once(monkeypatch):
+    import hashlib
+
+    import pandas as pd
+
+    met, blake2b = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda w, **o: met.append(w) or blake2b(w, **o))
+    got = chunks.hash_vector.func(pd.Series(["One two one", None, "two, one", "one"]), pd.Series([16, 16, 16, 8]))
+    assert sorted(met) == [b"one", b"two"]
+
+    def by_hand(words, d):
+        v = [0.0] * d
+        for w in words:
+            h = blake2b(w.encode(), digest_size=8).digest()
+            v[int.from_bytes(h[:4], "big") % d] += 1.0 if h[4] & 1 else -1.0
+        norm = sum(x * x for x in v) ** 0.5
+        return [x / norm for x in v] if norm else v
+
+    assert [list(v) for v in got] == [by_hand(["one", "two", "one"], 16), by_hand([], 16), by_hand(["two", "one"], 16), by_hand(["one"], 8)]
