@@ -31,19 +31,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Every node points to a smaller one of its component, at first itself. In a round, what it points to is moved to the
     smallest that a neighbour's points to, and so is the node; then it skips one step. Trees are hooked whole and halved,
-    so the rounds grow with the logarithm of the longest path. No side is sent to all executors by way of the driver."""
+    so the rounds grow with the logarithm of the longest path. No side is sent to all executors by way of the driver, and
+    nodes without edges take no part."""
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = checkpoint(nodes.select("node", F.col("node").alias("comp")))
+    every = checkpoint(nodes.where("node IS NOT NULL").select("node").distinct().join(both.select(F.col("a").alias("node"), F.lit(True).alias("linked")).distinct().hint("merge"), "node", "left").select("node", "linked"))
+    ahead = every.where("linked").select("node", F.col("node").alias("comp"), F.col("node").alias("far"))
     while True:
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        ahead = checkpoint(labels.join(jump.hint("merge"), "comp").select("node", "comp", "far"))
         near = both.join(ahead.select(F.col("node").alias("b"), "far").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
         step = ahead.join(near.hint("merge"), "node", "left").select("node", "comp", F.least("comp", "far", F.coalesce("near", "far")).alias("low"))
         moves = step.select("node", "comp", "low").unionByName(step.where("low < comp").select(F.col("comp").alias("node"), F.lit(None).cast(dict(step.dtypes)["comp"]).alias("comp"), "low"))
         after = checkpoint(moves.groupBy("node").agg(F.max("comp").alias("comp"), F.min("low").alias("next")))
         labels = after.select("node", F.col("next").alias("comp"))
         if after.where("next <> comp").isEmpty():
-            return labels
+            return labels.unionByName(every.where("linked IS NULL").select("node", F.col("node").alias("comp")))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        ahead = checkpoint(labels.join(jump.hint("merge"), "comp").select("node", "comp", "far"))
 
 
 def cluster(items: DataFrame, edges: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -272,3 +272,16 @@ def test_components_of_a_path(spark, monkeypatch):
     nodes, edges = spark.createDataFrame([(i,) for i in ids], "node long"), spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")
     assert {r.comp for r in clusters.components(nodes, edges).collect()} == {0}
     assert len(made) <= 2 + 2 * 12 and not any("BroadcastHashJoin" in p for p in made)
+
+
+def test_components_leave_single_nodes_out(spark, monkeypatch):
+    """Rounds move the nodes that have edges only; a node that comes twice, or is null, is one row or none."""
+    from siftspark.operators import clusters
+
+    rows, keep = [], clusters.checkpoint
+    monkeypatch.setattr(clusters, "checkpoint", lambda df: rows.append((df.columns, (out := keep(df)).count())) or out)
+    nodes = spark.range(200).selectExpr("id AS node").union(spark.sql("SELECT 150L UNION ALL SELECT NULL"))
+    edges = spark.createDataFrame([(3, 1), (3, 7), (9, 8), (8, 8), (5, 900)], "a long, b long")
+    got = sorted(tuple(r) for r in clusters.components(nodes, edges).collect())
+    assert got == [(i, {3: 1, 7: 1, 9: 8}.get(i, i)) for i in range(200)]
+    assert all(n <= 6 for columns, n in rows if "far" in columns or "next" in columns) and any("next" in columns for columns, _ in rows)
